@@ -49,12 +49,16 @@ def share(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, bottom)
 
 
+def _sql_vector(values: Sequence[float]) -> str:
+    return "array(" + ",".join(f"{float(v)!r}D" for v in values) + ")"
+
+
 def literal_vector(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr(_sql_vector(values))
 
 
 def literal_matrix(rows: Sequence[Sequence[float]]) -> Column:
-    return F.array(*[literal_vector(r) for r in rows])
+    return F.expr("array(" + ",".join(_sql_vector(r) for r in rows) + ")")
 
 
 def doubles(vector: Column) -> Column:

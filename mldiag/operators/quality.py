@@ -97,7 +97,7 @@ def quality_curves(
     seed: int = 42,
 ) -> DataFrame:
     """(method, k, trustworthiness, continuity) for k = 5, 10, ... while k < n / 2."""
-    n = len(hash_sample(df.select(ref(id_col)), id_col, sample_size, seed).collect())
+    n = min(sample_size, df.count())
     ks = [k for k in range(5, min(k_max, n - 1), 5) if 2 * k < n]
     counts = neighborhood_counts(df, id_col, vector, methods, ks, sample_size, seed)
     return _scores(counts).select("method", "k", "trustworthiness", "continuity")
@@ -139,7 +139,7 @@ def quality_metrics(
     seed: int = 42,
 ) -> DataFrame:
     """One row: trustworthiness and all-pairs Kruskal stress of the sample, its size and the k used."""
-    n = len(hash_sample(df.select(ref(id_col)), id_col, sample_size, seed).collect())
+    n = min(sample_size, df.count())
     used = min(k, max(1, n // 2 - 1))
     counts = neighborhood_counts(df, id_col, vector, {"m": (x, y)}, [used], sample_size, seed)
     scores = _scores(counts)
