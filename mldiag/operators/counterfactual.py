@@ -33,6 +33,19 @@ def _end(i: int, value: Column, direction: str) -> Column:
     return hi + margin if direction == "max" else lo - margin
 
 
+def _first_flip(scorer: ExprScorer, x: list[Column], i: int, width: Column, n_steps: int) -> Column:
+    """The first grid value of feature i whose predicted class differs from `_own`."""
+
+    def value(t: Column) -> Column:
+        return x[i] + t * width
+
+    def flips(v: Column) -> Column:
+        return scorer.class_index(x[:i] + [v] + x[i + 1 :]) != F.col("_own")
+
+    steps = F.sequence(F.lit(0), F.lit(n_steps - 1))
+    return F.get(F.filter(F.transform(steps, value), flips), F.lit(0))
+
+
 def sweep(
     df: DataFrame, id_col: str, scorer: Scorer, population: DataFrame | None = None, n_steps: int = STEPS
 ) -> DataFrame:
@@ -54,21 +67,14 @@ def sweep(
     if isinstance(scorer, ExprScorer):
         own = rows.withColumn("_own", scorer.class_index(x))
         cells = []
-        for i, d, direction, width in grids:
-            values = F.transform(
-                F.sequence(F.lit(0), F.lit(n_steps - 1)), lambda t, i=i, w=width: x[i] + t * w
-            )
-
-            def flips(v: Column, i: int = i) -> Column:
-                return scorer.class_index([v if j == i else x[j] for j in range(len(x))]) != F.col("_own")
-
+        for i, _, direction, width in grids:
             cells.append(
                 F.struct(
                     F.lit(features[i]).alias("feature"),
                     F.lit(i).alias("feature_pos"),
                     F.lit(direction).alias("direction"),
                     x[i].alias("original"),
-                    F.get(F.filter(values, flips), F.lit(0)).alias("flip_value"),
+                    _first_flip(scorer, x, i, width, n_steps).alias("flip_value"),
                 )
             )
         found = own.select(ref(id_col).alias("id"), F.inline(F.array(*cells)))

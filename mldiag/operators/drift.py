@@ -160,15 +160,17 @@ def reference_bins(reference: DataFrame, features: Sequence[str], n_bins: int =
 
 
 def time_windows(production: DataFrame, timestamp_col: str, id_col: str) -> DataFrame:
-    """Equal-count consecutive windows by time: min(20, n // 10) of them, none below two."""
+    """Equal-count consecutive windows by time: min(20, n // 10) of them, no rows below two."""
+    n_windows = 0
 
-    def starts(total: Column) -> Column:
-        windows = F.least(F.lit(MAX_WINDOWS).cast("bigint"), F.floor(total / 10))
-        return window_starts(total, windows)
+    def starts(total: int) -> list[int]:
+        nonlocal n_windows
+        n_windows = min(MAX_WINDOWS, total // 10)
+        return window_starts(total, n_windows)
 
     windowed = assign_windows(production, timestamp_col, id_col, starts)
-    enough = production.agg(F.count(F.lit(1)).alias("n")).scalar() >= 20
-    return windowed.where(enough)
+    timed = windowed.where(ref(timestamp_col).isNotNull())
+    return timed if n_windows >= 2 else timed.limit(0)
 
 
 def temporal_drift(
@@ -219,11 +221,7 @@ def temporal_drift(
 def half_split(df: DataFrame, order_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """First floor(n/2) rows by (order, id) as reference, the rest as production."""
 
-    def starts(total: Column) -> Column:
-        return F.array(F.floor(total / 2))
-
-    halves = assign_windows(df, order_col, id_col, starts, name="_half")
-    # a table of one row has no first half: its start position 0 is the first boundary
+    halves = assign_windows(df, order_col, id_col, lambda total: [total // 2], name="_half")
     return (
         halves.where(F.col("_half") == 0).drop("_half"),
         halves.where(F.col("_half") == 1).drop("_half"),

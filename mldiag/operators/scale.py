@@ -8,7 +8,7 @@ ranges; each range is one small window and a tiny table of range totals supplies
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -161,56 +161,74 @@ def exact_quantiles(
     return rank_picks(running, part, "n", probabilities, extra)
 
 
-def window_starts(total: Column, n_windows: Column) -> Column:
+def window_starts(total: int, n_windows: int) -> list[int]:
     """0-based first positions of equal-count windows 1.. (the first windows take the remainder)."""
-    size, rest = F.floor(total / n_windows), total % n_windows
-    return F.when(
-        n_windows > 1,
-        F.transform(
-            F.sequence(F.lit(1).cast("bigint"), n_windows - 1),
-            lambda w: w * size + F.least(w, rest),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    if n_windows < 2:
+        return []
+    size, rest = divmod(total, n_windows)
+    return [w * size + min(w, rest) for w in range(1, n_windows)]
+
+
+def _portable(column: Column, dtype: T.DataType) -> Column:
+    """A collected boundary value that survives the round trip into a literal unchanged."""
+    return F.unix_micros(column) if isinstance(dtype, T.TimestampType) else column.cast("string")
+
+
+def _literal(value, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(dtype)
 
 
 def assign_windows(
-    df: DataFrame, time_col: str, id_col: str, starts, name: str = "window"
+    df: DataFrame,
+    time_col: str,
+    id_col: str,
+    starts: Callable[[int], Sequence[int]],
+    name: str = "window",
 ) -> DataFrame:
     """Cut rows ordered by (time, id) into consecutive windows and add the window number.
 
-    `starts(total)` gives the 0-based start positions as an array column. Only the few boundary rows
-    are located (a third of all rows may share one time stamp: they are then split by id); the rows
-    themselves are compared with the boundary array and are never shuffled.
+    `starts(total)` lists the 0-based start positions of windows 1, 2, .... Only these few boundary
+    rows are located, by job, and become literals; a third of all rows may share one time stamp, and
+    are then split by id. The rows themselves are compared with the boundaries and never shuffled.
     """
-    times = df.groupBy(ref(time_col).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    hits = (
-        global_cumsum(times, [], "t", ["n"])
-        .withColumn("_starts", starts(F.col("total_n")))
-        .withColumn("_first", F.col("cum_n") - F.col("n"))
-        .withColumn(
-            "_local",
-            F.filter(
-                "_starts", lambda s: (s >= F.col("_first")) & (s < F.col("cum_n"))
-            ),
+    time_type, id_type = df.schema[time_col].dataType, df.schema[id_col].dataType
+    known = df.where(ref(time_col).isNotNull())
+    times = known.groupBy(ref(time_col).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    total = times.agg(F.sum("n")).first()[0] or 0
+    positions = [s for s in starts(total) if 0 <= s < total]
+    number = F.lit(0)
+    if positions:
+        inside = F.filter(
+            F.array(*[F.lit(s).cast("bigint") for s in positions]),
+            lambda s: (s >= F.col("cum_n") - F.col("n")) & (s < F.col("cum_n")),
         )
-        .where(F.size("_local") > 0)
-        .select("t", F.transform("_local", lambda s: s - F.col("_first") + 1).alias("_nth"))
-    )
-    # one row per boundary, so no more rows than there are windows
-    tied = df.select(ref(time_col).alias("t"), ref(id_col).alias("i")).join(F.broadcast(hits), "t")
-    ordered = global_cumsum(
-        tied.withColumn("one", F.lit(1).cast("bigint")), ["t"], "i", ["one"]
-    )
-    edges = (
-        ordered.where(F.array_contains("_nth", F.col("cum_one")))
-        .agg(F.sort_array(F.collect_list(F.struct("t", "i"))).alias("edges"))
-        .scalar()
-    )
-    here = F.struct(ref(time_col).alias("t"), ref(id_col).alias("i"))
-    marked = df.withColumn("_edges", edges)
-    return marked.withColumn(
-        name, F.size(F.filter("_edges", lambda e: e <= here))
-    ).drop("_edges")
+        hits = (
+            global_cumsum(times, [], "t", ["n"])
+            .select("t", "n", F.transform(inside, lambda s: s - F.col("cum_n") + F.col("n")).alias("at"))
+            .where(F.size("at") > 0)
+            .select(_portable(F.col("t"), time_type).alias("t"), "n", "at")
+            .collect()  # no more rows than boundaries
+        )
+        for hit in hits:
+            stamp = _literal(hit["t"], time_type)
+            later = ref(time_col) > stamp
+            for offset in hit["at"]:
+                if offset == 0:
+                    past = later | (ref(time_col) == stamp)
+                else:
+                    first = _nth_id(known.where(ref(time_col) == stamp), id_col, offset)
+                    past = later | ((ref(time_col) == stamp) & (ref(id_col) >= _literal(first, id_type)))
+                number = number + F.coalesce(past, F.lit(False)).cast("int")
+    return df.withColumn(name, number)
+
+
+def _nth_id(rows: DataFrame, id_col: str, offset: int):
+    """The id at a 0-based position in id order."""
+    ranked = global_rank(rows.select(ref(id_col).alias("i")), "i")
+    found = ranked.where(F.col("rank") == offset + 1)
+    return found.select(_portable(F.col("i"), rows.schema[id_col].dataType)).first()[0]
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mldiag.functions.columns import as_double, literal_matrix, literal_vector, ref
+from mldiag.functions.columns import as_double, dot, literal_matrix, literal_vector, ref
 from mldiag.operators.scale import hash_sample
 from mldiag.operators.scoring import BatchScorer, ExprScorer, LinearScorer, ModelScorer, Scorer
 
@@ -107,15 +107,15 @@ def exact_shap(
     cells = []
     for c, name in enumerate(classes):
         for i, feature in enumerate(features):
-            phi = F.aggregate(
-                F.zip_with("_v", literal_vector(weights[i]), lambda v, w, c=c: v[c] * w),
-                F.lit(0.0),
-                lambda s, t: s + t,
-            )
-            cells.append((name, feature, phi, x[i]))
+            per_class = F.transform("_v", _nth(c))
+            cells.append((name, feature, dot(per_class, literal_vector(weights[i])), x[i]))
     return _unfold(valued, id_col, cells)
 
 
+def _nth(position: int):
+    return lambda values: values[position]
+
+
 def _orders(n_features: int, rows: Sequence[Sequence[float]], n: int, seed: int):
     """n fixed draws of a feature order and a background row."""
     rng = np.random.RandomState(seed)

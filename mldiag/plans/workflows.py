@@ -105,10 +105,15 @@ class Comparison:
     metrics: DataFrame
 
 
-def compare(df: DataFrame, model_a: Scorer, model_b: Scorer, id_col: str, label: str) -> Comparison:
-    """Two scorers on one table."""
-    joined = arena.join_predictions(model_a.transform(df), model_b.transform(df), id_col)
-    zoned = arena.agreement_zones(joined, label)
+def compare(df: DataFrame, model_a: Scorer, model_b: Scorer, label: str) -> Comparison:
+    """Two scorers on one table, chained over a single scan."""
+    first = model_a.transform(df).withColumnsRenamed(
+        {"prediction": "pred_a", "probability": "probability_a"}
+    )
+    both = model_b.transform(first).withColumnsRenamed(
+        {"prediction": "pred_b", "probability": "probability_b"}
+    )
+    zoned = arena.agreement_zones(both, label)
     return Comparison(
         zoned, arena.zone_summary(zoned), arena.complementarity(zoned, label), arena.arena_metrics(zoned, label)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mldiag.functions.columns import as_double, literal_vector, ref
-from mldiag.operators.drift import psi_term
+from mldiag.operators.drift import bin_of, psi_term
 
 
 def _window(time_col: str, size: str, slide: str | None) -> Column:
@@ -37,13 +37,9 @@ def bin_counts(
     cells = []
     for feature, cuts in edges.items():
         value = as_double(feature)
-        at_or_below = (
-            F.size(F.filter(literal_vector(cuts), lambda e, v=value: e <= v)) if cuts else F.lit(0)
-        )
+        number = bin_of(value, literal_vector(cuts)) if cuts else F.lit(0)
         cells.append(
-            F.struct(
-                F.lit(feature).alias("feature"), F.when(value.isNotNull(), at_or_below).alias("bin")
-            )
+            F.struct(F.lit(feature).alias("feature"), F.when(value.isNotNull(), number).alias("bin"))
         )
     long = timed.select(F.col(time_col), F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
     return (
@@ -58,13 +54,21 @@ def window_psi(counts: DataFrame, bins: DataFrame) -> DataFrame:
 
     Runs on the sink's table or inside foreachBatch.
     """
-    totals = counts.groupBy("start", "feature").agg(F.sum("n").alias("total"))
-    every = totals.join(F.broadcast(bins.select("feature", "bin", "share")), "feature")
-    filled = every.join(counts, ["start", "feature", "bin"], "left")
-    production = "coalesce(n, 0) / total"
-    return filled.groupBy("start", "feature").agg(
-        F.max("total").alias("n"),
-        F.round(F.greatest(F.lit(0.0), F.expr(f"sum({psi_term(production, 'share')})")), 4).alias("psi"),
+    shares = bins.groupBy("feature").agg(
+        F.sort_array(F.collect_list(F.struct("bin", "share"))).alias("_ref")
+    )
+    cells = counts.groupBy("start", "feature").agg(
+        F.sum("n").alias("total"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n"),
+    )
+    term = psi_term("coalesce(_n[b.bin], 0) / total", "b.share")
+    index = f"aggregate(_ref, 0.0D, (s, b) -> s + {term})"
+    # a handful of bins per feature
+    return cells.join(F.broadcast(shares), "feature").select(
+        "start",
+        "feature",
+        F.col("total").alias("n"),
+        F.round(F.greatest(F.lit(0.0), F.expr(index)), 4).alias("psi"),
     )
 
 
