@@ -1 +1,319 @@
-"""Queries."""
+"""Similarity, text embedding, projection and projection-quality queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from mldiag.operators import embed, neighbors, quality, reduce, transforms
+from mldiag.plans.model_queries import N_DIMS, vectors
+from mldiag.plans.registry import query, table
+
+# A short list keeps the SQL readable; the operator's default is the list shipped with Spark ML.
+STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "on", "for", "that"]
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_PAIRS = """
+v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (SELECT a.id, b.id AS neighbor, b.label AS label, {metric}(a.e, b.e) AS d FROM v a JOIN v b ON {on})"""
+
+
+@query(
+    "knn_cosine",
+    "WITH "
+    + _PAIRS.format(metric="list_cosine_distance", on="a.id = 7 AND b.id <> 7")
+    + """ SELECT CAST(row_number() OVER (ORDER BY d, neighbor) AS INTEGER) AS rank, neighbor AS id,
+round(d, 6) AS distance, label FROM pairs ORDER BY d, neighbor LIMIT 10""",
+)
+def knn_cosine(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return neighbors.similar_rows(rows, "vec_id", "embedding", 7, 10, label="label")
+
+
+def _all_neighbors_sql(metric: str) -> str:
+    return (
+        "WITH "
+        + _PAIRS.format(metric=metric, on="a.id <> b.id")
+        + """ SELECT id, neighbor, round(d, 6) AS distance, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbor) AS rk FROM pairs) WHERE rk <= 5"""
+    )
+
+
+@query("knn_all_cosine", _all_neighbors_sql("list_cosine_distance"))
+def knn_all_cosine(spark, folder):
+    return _all_neighbors(spark, folder, "cosine")
+
+
+@query("knn_all_euclidean", _all_neighbors_sql("list_distance"))
+def knn_all_euclidean(spark, folder):
+    return _all_neighbors(spark, folder, "euclidean")
+
+
+def _all_neighbors(spark, folder, metric):
+    rows = table(spark, folder, "embeddings")
+    found = neighbors.knn_join(rows, rows, "vec_id", "embedding", 5, metric, exclude_self=True)
+    return found.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+@query(
+    "knn_classifier",
+    """
+WITH k AS (SELECT *, CAST('0x' || substr(md5(vec_id || ':42'), 1, 15) AS BIGINT) AS h FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS rk, count(*) OVER (PARTITION BY label) AS n FROM k),
+tr AS (SELECT vec_id, CAST(label AS VARCHAR) AS class, CAST(embedding AS DOUBLE[]) AS e FROM r WHERE rk > round(n * 0.2)),
+p AS (SELECT q.vec_id, t.class, row_number() OVER (PARTITION BY q.vec_id
+  ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), t.e), t.vec_id) AS nn FROM embeddings q CROSS JOIN tr t),
+votes AS (SELECT vec_id, class, count(*) / 5 AS share FROM p WHERE nn <= 5 GROUP BY vec_id, class),
+every AS (SELECT vec_id, class, coalesce(share, 0.0) AS share
+  FROM (SELECT vec_id FROM embeddings) CROSS JOIN (SELECT DISTINCT class FROM tr) LEFT JOIN votes USING (vec_id, class))
+SELECT vec_id, list(share ORDER BY class) AS probability,
+  list(class ORDER BY share DESC, class)[1] AS prediction FROM every GROUP BY vec_id""",
+)
+def knn_classifier(spark, folder):
+    from mldiag.operators.train import stratified_split
+
+    rows = vectors(spark, folder)
+    split = stratified_split(rows, "vec_id", "label", 0.2)
+    classes = [str(i) for i in range(10)]
+    scored = neighbors.knn_classify(
+        split.where("split = 'train'"), rows, "vec_id", "embedding", "label", classes, 5
+    )
+    return scored.select("vec_id", "probability", "prediction")
+
+
+@query("knn_lsh")
+def knn_lsh(spark, folder):
+    return neighbors.approximate_neighbors(table(spark, folder, "embeddings"), "vec_id", "embedding", 1.15)
+
+
+@query(
+    "nearest_point",
+    """SELECT vec_id AS id, round(sqrt(pow(CAST(embedding[1] AS DOUBLE) - 0.05, 2) + pow(CAST(embedding[2] AS DOUBLE) + 0.1, 2)), 6) AS distance
+FROM embeddings ORDER BY pow(CAST(embedding[1] AS DOUBLE) - 0.05, 2) + pow(CAST(embedding[2] AS DOUBLE) + 0.1, 2), vec_id LIMIT 1""",
+)
+def nearest_point(spark, folder):
+    return neighbors.nearest_point(vectors(spark, folder), "vec_id", 0.05, -0.1)
+
+
+@query("auto_cluster")
+def auto_cluster(spark, folder):
+    return neighbors.auto_cluster(vectors(spark, folder).drop("cluster"), "vec_id").groupBy("cluster").count()
+
+
+# -- text ------------------------------------------------------------------------------------------
+_TOKENS = rf"""
+tok AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id,
+  unnest(regexp_extract_all(lower(coalesce(text, 'nan')), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents)
+  WHERE term NOT IN ({_STOPS}) GROUP BY ALL),
+voc AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tok GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+n AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, total, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM voc, n)"""
+
+
+@query(
+    "tfidf_vocabulary",
+    "WITH " + _TOKENS + " SELECT term, total, df, round(idf, 6) AS idf FROM idf",
+)
+def tfidf_vocabulary(spark, folder):
+    vocab = embed.vocabulary(table(spark, folder, "documents"), "doc_id", "text", 5000, STOP_WORDS)
+    return vocab.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "tfidf_weights",
+    "WITH "
+    + _TOKENS
+    + """, w AS (SELECT id, term, tf * idf AS w FROM tok JOIN idf USING (term))
+SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""",
+)
+def tfidf_weights(spark, folder):
+    weights = embed.tfidf(table(spark, folder, "documents"), "doc_id", "text", 5000, STOP_WORDS)
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "tfidf_vectors",
+    "WITH "
+    + _TOKENS.replace("LIMIT 5000", "LIMIT 300")
+    + """, w AS (SELECT id, term, tf * idf AS w FROM tok JOIN idf USING (term))
+SELECT id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS largest, round(sum(w) / sqrt(sum(w * w)), 5) AS total
+FROM w GROUP BY id""",
+)
+def tfidf_vectors(spark, folder):
+    rows = embed.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text", 300, STOP_WORDS)
+    values = F.filter(vector_to_array("embedding"), lambda v: v > 0)
+    per_row = rows.select(F.col("doc_id").alias("id"), values.alias("v")).where(F.size("v") > 0)
+    return per_row.select(
+        "id",
+        F.size("v").cast("bigint").alias("terms"),
+        F.round(F.array_max("v"), 6).alias("largest"),
+        F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"),
+    )
+
+
+# -- projections -----------------------------------------------------------------------------------
+@query(
+    "embedding_transform",
+    "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS emb_{i}" for i in range(50)) + " FROM embeddings",
+)
+def embedding_transform(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return embed.embedding_transform(rows, "embedding", N_DIMS).drop("embedding")
+
+
+@query("pca2d")
+def pca2d(spark, folder):
+    return reduce.pca(table(spark, folder, "embeddings"), "embedding").select("vec_id", "x", "y")
+
+
+@query("pca_text")
+def pca_text(spark, folder):
+    rows = embed.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text", 500, STOP_WORDS)
+    return reduce.pca(rows, "embedding").select("doc_id", "x", "y")
+
+
+@query("landmark_mds")
+def landmark_mds(spark, folder):
+    placed = reduce.landmark_mds(table(spark, folder, "embeddings"), "vec_id", "embedding", landmarks=100)
+    return placed.select("vec_id", "x", "y")
+
+
+@query(
+    "reduce_passthrough",
+    "SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part",
+)
+def reduce_passthrough(spark, folder):
+    rows = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
+    placed = reduce.reduce_transform(rows, columns=["p_size", "p_retailprice"])
+    return placed.select("p_partkey", "x", "y")
+
+
+# -- projection quality: two axis-aligned projections -----------------------------------------------
+METHODS = {"first": ("x", "y"), "second": ("x2", "y2")}
+
+
+def _projected(spark, folder):
+    return vectors(spark, folder).withColumns(
+        {"x2": F.col("embedding")[2].cast("double"), "y2": F.col("embedding")[3].cast("double")}
+    )
+
+
+_PROJ = """
+p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e,
+  [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)] AS first,
+  [CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS second FROM embeddings
+  ORDER BY md5(vec_id || ':42'), vec_id LIMIT {size})"""
+_RANKS = """
+ab AS (SELECT a.id AS i, b.id AS j, list_distance(a.e, b.e) AS d, list_distance(a.first, b.first) AS f,
+  list_distance(a.second, b.second) AS s FROM p a JOIN p b ON a.id <> b.id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS ro,
+  row_number() OVER (PARTITION BY i ORDER BY f, j) AS rf, row_number() OVER (PARTITION BY i ORDER BY s, j) AS rs FROM ab),
+n AS (SELECT count(*) AS n FROM p),
+m AS (SELECT 'first' AS method, ro, rf AS rr, d, f AS e FROM rk UNION ALL SELECT 'second', ro, rs, d, s FROM rk)"""
+_CURVES = """
+ks AS (SELECT unnest(generate_series(5, least(50, n - 1) - 1, 5)) AS k FROM n),
+curves AS (SELECT method, k, round(1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * sum(greatest(ro - k, 0)), 6) AS trustworthiness,
+  round(1 - count(*) FILTER (ro > k) / (n * k), 6) AS continuity
+  FROM m, ks, n WHERE rr <= k AND 2 * k < n GROUP BY method, k, n)"""
+
+
+@query(
+    "quality_curves",
+    "WITH "
+    + _PROJ.format(size=2000)
+    + ","
+    + _RANKS
+    + ","
+    + _CURVES
+    + " SELECT method, CAST(k AS INTEGER) AS k, trustworthiness, continuity FROM curves",
+)
+def quality_curves(spark, folder):
+    return quality.quality_curves(_projected(spark, folder), "vec_id", "embedding", METHODS)
+
+
+@query(
+    "quality_metrics",
+    "WITH "
+    + _PROJ.format(size=5000)
+    + ","
+    + _RANKS
+    + """, t AS (SELECT 1 - 2.0 / (n * 10 * (2 * n - 31)) * sum(greatest(ro - 10, 0)) AS t
+  FROM m, n WHERE method = 'first' AND rr <= 10 GROUP BY n)
+SELECT round(t, 6) AS trustworthiness, round(sqrt(sum(pow(d - e, 2)) / sum(d * d)), 6) AS stress,
+  max(n.n) AS n_samples, CAST(10 AS INTEGER) AS k FROM m, n, t WHERE method = 'first' GROUP BY t""",
+)
+def quality_metrics(spark, folder):
+    return quality.quality_metrics(_projected(spark, folder), "vec_id", "embedding")
+
+
+_NUMBERED = """
+pos AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM p),
+n AS (SELECT count(*) AS n FROM p),
+raw AS (SELECT g AS pair_id, n, CAST('0x' || substr(md5(g || ':i:42'), 1, 8) AS BIGINT) % n AS i,
+  CAST('0x' || substr(md5(g || ':j:42'), 1, 8) AS BIGINT) % (n - 1) AS j0
+  FROM n, generate_series(0, {draws} - 1) AS s(g) WHERE g < n * (n - 1) // 2),
+pr AS (SELECT pair_id, i, CASE WHEN j0 >= i THEN j0 + 1 ELSE j0 END AS j FROM raw),
+dd AS (SELECT pair_id, i, j, list_distance(a.e, b.e) AS d, list_distance(a.first, b.first) AS f,
+  list_distance(a.second, b.second) AS s FROM pr JOIN pos a ON a.pos = i JOIN pos b ON b.pos = j)"""
+_STRESS = """
+st AS (SELECT 'first' AS method, sqrt(sum(pow(d - f, 2)) / sum(d * d)) AS raw FROM dd
+  UNION ALL SELECT 'second', sqrt(sum(pow(d - s, 2)) / sum(d * d)) FROM dd)"""
+
+
+@query(
+    "quality_stress_sampled",
+    "WITH "
+    + _PROJ.format(size=2000)
+    + ","
+    + _NUMBERED.format(draws=5000)
+    + ","
+    + _STRESS
+    + """ SELECT method, round(raw, 4) AS stress,
+  CASE WHEN raw < 0.1 THEN 'green' WHEN raw < 0.3 THEN 'orange' ELSE 'red' END AS level FROM st""",
+)
+def quality_stress_sampled(spark, folder):
+    return quality.sampled_stress(_projected(spark, folder), "vec_id", "embedding", METHODS)
+
+
+@query(
+    "shepard_pairs",
+    "WITH "
+    + _PROJ.format(size=2000)
+    + ","
+    + _NUMBERED.format(draws=10000)
+    + """ SELECT pair_id, round(d, 6) AS original, round(f, 6) AS reduced FROM dd WHERE i < j ORDER BY pair_id LIMIT 5000""",
+)
+def shepard_pairs(spark, folder):
+    return quality.shepard_pairs(_projected(spark, folder), "vec_id", "embedding")
+
+
+@query(
+    "quality_recommend",
+    "WITH "
+    + _PROJ.format(size=2000)
+    + ","
+    + _RANKS
+    + ","
+    + _CURVES
+    + ","
+    + _NUMBERED.format(draws=5000).split("n AS (SELECT count(*) AS n FROM p),")[0]
+    + _NUMBERED.format(draws=5000).split("n AS (SELECT count(*) AS n FROM p),")[1]
+    + ","
+    + _STRESS
+    + """, sc AS (SELECT method, round((avg(trustworthiness) + avg(continuity)) / 2 - 0.1 * max(round(raw, 4)), 6) AS score
+  FROM curves JOIN st USING (method) GROUP BY method)
+SELECT method, score, row_number() OVER (ORDER BY score DESC, method) = 1 AS best FROM sc""",
+)
+def quality_recommend(spark, folder):
+    rows = _projected(spark, folder)
+    curves = quality.quality_curves(rows, "vec_id", "embedding", METHODS)
+    stress = quality.sampled_stress(rows, "vec_id", "embedding", METHODS)
+    return quality.recommend(curves, stress)
+
+
+@query(
+    "feature_vector",
+    "SELECT p_partkey, [CAST(p_size AS DOUBLE), p_retailprice] AS features FROM part",
+)
+def feature_vector(spark, folder):
+    rows = transforms.feature_vector(table(spark, folder, "part"), ["p_size", "p_retailprice"], "features")
+    return rows.select("p_partkey", "features")
