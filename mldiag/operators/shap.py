@@ -305,7 +305,7 @@ def waterfall(long: DataFrame, top: int = 15) -> DataFrame:
             "id",
             "rank",
             "feature",
-            F.round("phi", 6).alias("phi"),
+            "phi",
             F.when(F.col("phi") > 0, "positive").otherwise("negative").alias("sign"),
         )
     )
@@ -332,21 +332,19 @@ def distribution(long: DataFrame, top: int = 15, min_rows: int = 5) -> DataFrame
         "id",
         "feature",
         "rank",
-        F.round("phi", 6).alias("phi"),
-        F.round(scaled, 6).alias("normalised"),
-        F.round("value", 6).alias("value"),
+        "phi",
+        scaled.alias("normalised"),
+        "value",
     )
 
 
 def dependence(long: DataFrame, feature: str, interaction: str | None = None) -> DataFrame:
     """(id, value, phi) of one feature, with the value of another one as `interaction`."""
-    own = long.where(F.col("feature") == feature).select(
-        "id", F.round("value", 6).alias("value"), F.round("phi", 6).alias("phi")
-    )
+    own = long.where(F.col("feature") == feature).select("id", "value", "phi")
     if interaction is None or interaction == feature:
         return own
     other = long.where(F.col("feature") == interaction).select(
-        "id", F.round("value", 6).alias("interaction")
+        "id", F.col("value").alias("interaction")
     )
     return own.join(other, "id")
 

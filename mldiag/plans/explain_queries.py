@@ -1 +1,315 @@
-"""Queries."""
+"""Attribution, counterfactual and what-if queries."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from mldiag.operators import counterfactual, scoring, shap
+from mldiag.plans.model_queries import (
+    LINE_BIAS,
+    LINE_FEATURES,
+    LINE_KEY,
+    LINE_WEIGHTS,
+    line_rows,
+    line_scorer,
+)
+from mldiag.plans.registry import query, table
+
+# -- linear scorer on line items --------------------------------------------------------------------
+_LONG = f"""
+long AS (""" + " UNION ALL ".join(
+    f"SELECT {LINE_KEY} AS id, '{f}' AS feature, CAST({w} AS DOUBLE) * ({f} - (SELECT avg({f}) FROM lineitem)) AS phi,"
+    f" CAST({f} AS DOUBLE) AS value FROM lineitem"
+    for f, w in zip(LINE_FEATURES, LINE_WEIGHTS)
+) + ")"
+
+
+def _rounded(rows):
+    """Attributions to 8 decimals, everything else numeric to 6; no negative zeros."""
+    digits = {"phi": 8, "value": 6, "normalised": 6, "interaction": 6}
+    return rows.select(
+        *[(F.round(c, digits[c]) + F.lit(0.0)).alias(c) if c in digits else F.col(c) for c in rows.columns]
+    )
+
+
+def _linear(spark, folder):
+    return shap.linear_shap(line_rows(spark, folder), "row_key", line_scorer())
+
+
+@query(
+    "shap_linear",
+    f"WITH {_LONG} SELECT id, '1' AS class, feature, round(phi, 8) + 0.0 AS phi, round(value, 6) AS value FROM long",
+)
+def shap_linear(spark, folder):
+    return _rounded(_linear(spark, folder))
+
+
+@query(
+    "shap_linear_base",
+    f"""SELECT '1' AS class, round({LINE_BIAS} + """
+    + " + ".join(f"CAST({w} AS DOUBLE) * avg({f})" for f, w in zip(LINE_FEATURES, LINE_WEIGHTS))
+    + ", 6) AS base FROM lineitem",
+)
+def shap_linear_base(spark, folder):
+    base = shap.linear_base(line_rows(spark, folder), line_scorer())
+    return base.withColumn("base", F.round("base", 6))
+
+
+@query(
+    "shap_importance",
+    f"""WITH {_LONG} SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM long GROUP BY feature
+ORDER BY 2 DESC, 1 LIMIT 20""",
+)
+def shap_importance(spark, folder):
+    return shap.importance(_linear(spark, folder))
+
+
+@query(
+    "shap_distribution",
+    f"""WITH {_LONG}, st AS (SELECT feature, avg(abs(phi)) AS s, min(value) AS lo, max(value) AS hi FROM long GROUP BY feature),
+rk AS (SELECT *, row_number() OVER (ORDER BY s DESC, feature) - 1 AS rank FROM st)
+SELECT id, feature, CAST(rank AS INTEGER) AS rank, round(phi, 8) + 0.0 AS phi,
+  round((value - lo) / (hi - lo + 1e-10), 6) AS normalised, round(value, 6) AS value
+FROM long JOIN rk USING (feature) WHERE rank < 15""",
+)
+def shap_distribution(spark, folder):
+    return _rounded(shap.distribution(_linear(spark, folder)))
+
+
+# -- two-feature parts: ids are unique here ---------------------------------------------------------
+PART_FEATURES = ["p_size", "p_retailprice", "name_length"]
+PART_WEIGHTS = [0.08, 0.02, -0.3]
+PART_BIAS = -18.0
+
+
+def part_rows(spark, folder):
+    part = table(spark, folder, "part")
+    return part.select(
+        "p_partkey",
+        F.col("p_size").cast("double").alias("p_size"),
+        "p_retailprice",
+        F.length("p_name").cast("double").alias("name_length"),
+    )
+
+
+def part_scorer():
+    """A logistic score with an interaction, so that attributions are not just weight times shift."""
+
+    def probability(values):
+        size, price, length = values
+        margin = (
+            F.lit(PART_BIAS)
+            + F.lit(PART_WEIGHTS[0]) * size
+            + F.lit(PART_WEIGHTS[1]) * price
+            + F.lit(PART_WEIGHTS[2]) * length
+            + F.lit(0.01) * size * length
+        )
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        return F.array(F.lit(1.0) - p, p)
+
+    return scoring.ExprScorer(PART_FEATURES, ["0", "1"], probability)
+
+
+def _part_function(x: np.ndarray) -> np.ndarray:
+    size, price, length = x[:, 0], x[:, 1], x[:, 2]
+    margin = -18.0 + 0.08 * size + 0.02 * price - 0.3 * length + 0.01 * size * length
+    p = 1.0 / (1.0 + np.exp(-margin))
+    return np.stack([1.0 - p, p], axis=1)
+
+
+_PARTS = """
+parts AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, CAST(length(p_name) AS DOUBLE) AS c FROM part),
+bg AS (SELECT a AS ba, b AS bb, c AS bc FROM parts ORDER BY md5(p_partkey || ':42'), p_partkey LIMIT 100)"""
+
+
+def _p1(a: str, b: str, c: str) -> str:
+    m = f"(-18.0::DOUBLE + 0.08::DOUBLE * {a} + 0.02::DOUBLE * {b} + -0.3::DOUBLE * {c} + 0.01::DOUBLE * {a} * {c})"
+    return f"(1.0 / (1.0 + exp(-{m})))"
+
+
+def _coalition(mask: int) -> str:
+    picks = [own if mask >> i & 1 else other for i, (own, other) in enumerate(zip("abc", ("ba", "bb", "bc")))]
+    return f"avg({_p1(*picks)}) AS v{mask}"
+
+
+_VALUES = (
+    _PARTS
+    + ", v AS (SELECT p_partkey, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, "
+    + ", ".join(_coalition(m) for m in range(8))
+    + " FROM parts, bg GROUP BY p_partkey)"
+)
+
+
+def _phi(i: int) -> str:
+    terms = [f"({float(w)!r}::DOUBLE * v{m})" for m, w in enumerate(shap.coalition_weights(3)[i])]
+    return " + ".join(terms)
+
+
+_EXACT = "WITH " + _VALUES + ", long AS (" + " UNION ALL ".join(
+    f"SELECT p_partkey AS id, '1' AS class, '{f}' AS feature, {_phi(i)} AS phi, {'abc'[i]} AS value FROM v"
+    for i, f in enumerate(PART_FEATURES)
+) + ")"
+_BOTH = """, both_ AS (SELECT * FROM long UNION ALL SELECT id, '0', feature, -phi, value FROM long)"""
+
+
+def _exact(spark, folder):
+    rows = part_rows(spark, folder)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    return shap.exact_shap(rows, "p_partkey", part_scorer(), background)
+
+
+_EXACT_ROWS = _EXACT + _BOTH + " SELECT id, class, feature, round(phi, 8) + 0.0 AS phi, round(value, 6) AS value FROM both_"
+
+
+@query("shap_exact", _EXACT_ROWS)
+def shap_exact(spark, folder):
+    return _rounded(_exact(spark, folder))
+
+
+@query("shap_batch", _EXACT_ROWS)
+def shap_batch(spark, folder):
+    """The same attributions from a model given as a matrix function."""
+    rows = part_rows(spark, folder)
+    scorer = scoring.BatchScorer(PART_FEATURES, ["0", "1"], _part_function)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    return _rounded(shap.batch_shap(rows, "p_partkey", scorer, background))
+
+
+@query("shap_sampled")
+def shap_sampled(spark, folder):
+    rows = part_rows(spark, folder)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    return shap.sampled_shap(rows, "p_partkey", part_scorer(), background, n_orders=50)
+
+
+@query(
+    "shap_base",
+    "WITH " + _PARTS + f", p AS (SELECT avg({_p1('ba', 'bb', 'bc')}) AS p FROM bg) SELECT '1' AS class, round(p, 6) AS base FROM p UNION ALL SELECT '0', round(1 - p, 6) FROM p",
+)
+def shap_base(spark, folder):
+    rows = part_rows(spark, folder)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    return shap.base_values(part_scorer(), spark, background).withColumn("base", F.round("base", 6))
+
+
+def _first(spark, folder):
+    return shap.reduce_classes(_exact(spark, folder), "first", "1")
+
+
+@query(
+    "shap_waterfall",
+    _EXACT
+    + """ SELECT id, CAST(rk AS INTEGER) AS rank, feature, round(phi, 8) + 0.0 AS phi,
+CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS sign
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, feature) AS rk FROM long) WHERE rk <= 2""",
+)
+def shap_waterfall(spark, folder):
+    return _rounded(shap.waterfall(_first(spark, folder), top=2))
+
+
+@query(
+    "shap_dependence",
+    _EXACT
+    + """ SELECT s.id, round(s.value, 6) AS value, round(s.phi, 8) + 0.0 AS phi, round(o.value, 6) AS interaction
+FROM long s JOIN long o ON s.id = o.id AND s.feature = 'p_size' AND o.feature = 'name_length'""",
+)
+def shap_dependence(spark, folder):
+    return _rounded(shap.dependence(_first(spark, folder), "p_size", "name_length"))
+
+
+@query(
+    "shap_columns",
+    "WITH "
+    + _VALUES
+    + ", "
+    + "w AS (SELECT p_partkey, "
+    + ", ".join(f"round({_phi(i)}, 6) + 0.0 AS shap_{f}" for i, f in enumerate(PART_FEATURES))
+    + " FROM v) SELECT * FROM w",
+)
+def shap_columns(spark, folder):
+    wide = shap.append_shap(
+        part_rows(spark, folder).select("p_partkey"), "p_partkey", _first(spark, folder), PART_FEATURES
+    )
+    return wide.select(
+        "p_partkey", *[(F.round(f"shap_{f}", 6) + F.lit(0.0)).alias(f"shap_{f}") for f in PART_FEATURES]
+    )
+
+
+@query(
+    "shap_mean_over_classes",
+    _EXACT + " SELECT id, feature, 0.0::DOUBLE AS phi, round(value, 6) AS value FROM long",
+)
+def shap_mean_over_classes(spark, folder):
+    rows = shap.reduce_classes(_exact(spark, folder), "mean")
+    return rows.select(
+        "id", "feature", F.abs(F.round("phi", 6)).alias("phi"), F.round("value", 6).alias("value")
+    )
+
+
+# -- counterfactuals -------------------------------------------------------------------------------
+_SWEEP = (
+    "WITH parts AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, CAST(length(p_name) AS DOUBLE) AS c FROM part),"
+    + f" own AS (SELECT *, {_p1('a', 'b', 'c')} > 1.0 - {_p1('a', 'b', 'c')} AS own FROM parts),"
+    + " st AS (SELECT "
+    + ", ".join(
+        f"min({c}) - (max({c}) - min({c})) * 0.1 AS lo_{c}, max({c}) + (max({c}) - min({c})) * 0.1 AS hi_{c}"
+        for c in "abc"
+    )
+    + " FROM parts), moves AS ("
+    + " UNION ALL ".join(
+        f"SELECT p_partkey AS id, '{PART_FEATURES[i]}' AS feature, {i} AS pos, '{d}' AS direction, {int(d == 'min')} AS down,"
+        f" {c} AS original, own, {c} + t * (({('hi_' if d == 'max' else 'lo_') + c} - {c}) / 49) AS moved, t, a, b, c FROM own, st,"
+        f" generate_series(0, 49) AS s(t)"
+        for i, c in enumerate("abc")
+        for d in ("max", "min")
+    )
+    + "), tried AS (SELECT *, CASE pos WHEN 0 THEN "
+    + f"{_p1('moved', 'b', 'c')} WHEN 1 THEN {_p1('a', 'moved', 'c')} ELSE {_p1('a', 'b', 'moved')} END AS p FROM moves),"
+    + " flips AS (SELECT id, feature, pos, direction, down, min(t) AS t, arg_min(moved, t) AS flip_value, any_value(original) AS original"
+    + " FROM tried WHERE (p > 1.0 - p) <> own GROUP BY ALL)"
+)
+
+
+@query(
+    "counterfactual_sweep",
+    _SWEEP
+    + """ SELECT id, feature, direction, round(original, 6) AS original, round(flip_value, 6) AS flip_value,
+round(abs(flip_value - original), 6) AS change FROM flips""",
+)
+def counterfactual_sweep(spark, folder):
+    found = counterfactual.sweep(part_rows(spark, folder), "p_partkey", part_scorer())
+    return found.select(
+        "id", "feature", "direction", *[F.round(c, 6).alias(c) for c in ("original", "flip_value", "change")]
+    )
+
+
+@query(
+    "counterfactual_flip",
+    _SWEEP
+    + """, best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(abs(flip_value - original), 9), pos, down) AS rk FROM flips)
+SELECT id, feature, direction, round(original, 6) AS original, round(flip_value, 6) AS flip_value,
+round(abs(flip_value - original), 6) AS change FROM best WHERE rk = 1""",
+)
+def counterfactual_flip(spark, folder):
+    return counterfactual.minimum_flip(part_rows(spark, folder), "p_partkey", part_scorer())
+
+
+@query(
+    "what_if",
+    "WITH parts AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, CAST(length(p_name) AS DOUBLE) AS c FROM part),"
+    + f" s AS (SELECT p_partkey AS id, {_p1('a', 'b', 'c')} AS o, {_p1('greatest(a, 25.0::DOUBLE)', 'b * 1.1', 'c')} AS m, a FROM parts)"
+    + """ SELECT id, class, round(CASE WHEN class = '1' THEN o ELSE 1.0 - o END, 6) AS original,
+  round(CASE WHEN class = '1' THEN m ELSE 1.0 - m END, 6) AS modified,
+  round(CASE WHEN class = '1' THEN m - o ELSE (1.0 - m) - (1.0 - o) END, 6) + 0.0 AS delta,
+  (o > 1.0 - o) <> (m > 1.0 - m) AS flipped,
+  CASE WHEN a < 25 THEN 'p_size,p_retailprice' ELSE 'p_retailprice' END AS changed
+FROM s, (SELECT unnest(['0', '1']) AS class)""",
+)
+def what_if(spark, folder):
+    changes = {
+        "p_size": F.greatest(F.col("p_size"), F.lit(25.0)),
+        "p_retailprice": F.col("p_retailprice") * 1.1,
+    }
+    rows = counterfactual.what_if(part_rows(spark, folder), "p_partkey", part_scorer(), changes)
+    return rows.withColumn("delta", F.col("delta") + F.lit(0.0))
