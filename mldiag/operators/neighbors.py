@@ -75,30 +75,37 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _block_top_k(q_ids, q, t_ids, t, k, exclude_self) -> pd.DataFrame:
+def _block_top_k(q_ids, q, t_ids, t, carried, k) -> pd.DataFrame:
     """Exact top-k of a block: the matrix product preselects, direct differences decide."""
     approx = _distances(q, t)
-    if exclude_self:
-        approx[q_ids[:, None] == t_ids[None, :]] = np.inf
     slack = 1e-6 * (1.0 + np.sqrt((t * t).sum(1).max()))
-    out = []
     kth = min(k, t.shape[0]) - 1
     bound = np.partition(approx, kth, axis=1)[:, kth]
+    ids, picks, distances = [], [], []
     for row, limit in enumerate(bound):
         near = np.flatnonzero(approx[row] <= limit + slack)
-        near = near[np.isfinite(approx[row][near])]
         exact = np.sqrt(((t[near] - q[row]) ** 2).sum(1))
         order = np.lexsort((t_ids[near], exact))[:k]
-        out.append((np.full(len(order), q_ids[row]), t_ids[near][order], exact[order]))
+        ids.append(np.full(len(order), q_ids[row]))
+        picks.append(near[order])
+        distances.append(exact[order])
+    pick = np.concatenate(picks)
     return pd.DataFrame(
         {
-            "id": np.concatenate([o[0] for o in out]),
-            "neighbor": np.concatenate([o[1] for o in out]),
-            "distance": np.concatenate([o[2] for o in out]),
+            "rep": np.concatenate(ids),
+            "distance": np.concatenate(distances),
+            "neighbor": t_ids[pick],
+            "carried": carried[pick],
         }
     )
 
 
+def _first_copies(points: DataFrame, need: int) -> DataFrame:
+    """Of identical vectors only the `need` smallest ids can be among anyone's nearest."""
+    order = Window.partitionBy("v").orderBy("id")
+    return points.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= need).drop("_r")
+
+
 def knn_join(
     queries: DataFrame,
     points: DataFrame,
@@ -107,30 +114,63 @@ def knn_join(
     k: int,
     metric: str = "euclidean",
     exclude_self: bool = False,
+    carry: str | None = None,
     n_cells: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
-    """(id, neighbor, distance, rank): the exact k nearest `points` of every query row.
-
-    The pivot method of Lu, Shen, Chen and Ooi (2012): points are grouped by their nearest pivot,
-    each group's radius and k smallest pivot distances are collected (bounded by the pivot count),
-    and the triangle inequality tells which groups can hold a query's neighbours. Only those receive
-    the query. Groups are cut into blocks of about `block_rows` rows on both sides, so a group that
-    holds a third of all points is spread over many tasks. Ids are integers.
+    """(id, rank, neighbor, distance, carried): the exact k nearest `points` of every query row.
+
+    Copies are answered once: queries collapse to distinct vectors, and of identical points only the
+    first few ids are kept. The rest follows the pivot method of Lu, Shen, Chen and Ooi (2012):
+    points are grouped by their nearest pivot, each group's radius and k smallest pivot distances are
+    collected (bounded by the pivot count), and the triangle inequality tells which groups can hold
+    a query's neighbours; only those receive the query. Groups are cut into blocks of about
+    `block_rows` rows on both sides, so one that holds a third of all points is spread over many
+    tasks. Ids are integers; `carry` names a column of `points` to bring along as text.
     """
     spark = points.sparkSession
-    prep = lambda df: df.select(
-        ref(id_col).cast("bigint").alias("id"), doubles(ref(vector)).alias("v")
-    ).where(F.col("v").isNotNull())
-    q, t = prep(queries), prep(points)
+    need = k + 1 if exclude_self else k
+    carried = ref(carry).cast("string") if carry else F.lit(None).cast("string")
+    identity, v = ref(id_col).cast("bigint").alias("id"), doubles(ref(vector)).alias("v")
+    q = queries.select(identity, v).where(F.col("v").isNotNull())
+    t = points.select(identity, v, carried.alias("carried")).where(F.col("v").isNotNull())
     if metric == "cosine":
         q, t = _unit(q, "v"), _unit(t, "v")
-    n_points, n_queries = t.count(), q.count()
+    t = _first_copies(t, need)
+    reps = q.groupBy("v").agg(F.min("id").alias("rep"))
+    found = _pivot_join(spark, reps, t, need, n_cells, block_rows)
+    if metric == "cosine":
+        found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
+    order = Window.partitionBy("rep").orderBy("distance", "neighbor")
+    best = (
+        found.withColumn("_r", F.row_number().over(order))
+        .where(F.col("_r") <= need)
+        .groupBy("rep")
+        .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor", "carried"))).alias("near"))
+    )
+    answered = q.join(reps.join(best, "rep").select("v", "near"), "v")
+    near = F.col("near")
+    if exclude_self:
+        near = F.filter(near, lambda n: n["neighbor"] != F.col("id"))
+    return answered.select("id", F.posexplode(F.slice(near, 1, k)).alias("_i", "n")).select(
+        "id",
+        (F.col("_i") + 1).alias("rank"),
+        F.col("n.neighbor").alias("neighbor"),
+        F.col("n.distance").alias("distance"),
+        F.col("n.carried").alias("carried"),
+    )
+
+
+def _pivot_join(
+    spark, reps: DataFrame, t: DataFrame, need: int, n_cells: int | None, block_rows: int
+) -> DataFrame:
+    """(rep, distance, neighbor, carried): per block the `need` nearest points of each query vector."""
+    schema = "rep bigint, distance double, neighbor bigint, carried string"
+    n_points, n_queries = t.count(), reps.count()
     n_cells = n_cells or max(1, min(MAX_CELLS, math.ceil(n_points / block_rows)))
     pivots = np.array([r["v"] for r in hash_sample(t, "id", n_cells).collect()], dtype=float)
     if len(pivots) == 0:
-        return spark.createDataFrame([], "id bigint, neighbor bigint, distance double, rank int")
-    need = k + 1 if exclude_self else k
+        return spark.createDataFrame([], schema)
 
     def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,7 +179,9 @@ def knn_join(
                 cell = d.argmin(1)
                 yield batch.assign(cell=cell, d=d[np.arange(len(cell)), cell])
 
-    placed = t.mapInPandas(to_cell, "id bigint, v array<double>, cell int, d double")
+    placed = t.mapInPandas(
+        to_cell, "id bigint, v array<double>, carried string, cell int, d double"
+    )
     per_cell = Window.partitionBy("cell").orderBy("d", "id")
     closest = (
         placed.select("cell", "d", "id")
@@ -161,53 +203,53 @@ def knn_join(
             if not len(batch):
                 continue
             d = _distances(np.stack(batch["v"].to_numpy()), pivots[cells])
-            bounds = np.concatenate([d[:, [j]] + c[None, :] for j, c in enumerate(closest_of)], axis=1)
-            kth = min(need, bounds.shape[1]) - 1
-            reach = np.partition(bounds, kth, axis=1)[:, kth]
-            if bounds.shape[1] < need:
+            if n_points > need:
+                bounds = np.concatenate(
+                    [d[:, [j]] + c[None, :] for j, c in enumerate(closest_of)], axis=1
+                )
+                reach = np.partition(bounds, need - 1, axis=1)[:, need - 1]
+            else:
                 reach = np.full(len(d), np.inf)
             rows, where = np.nonzero(d - radius[None, :] <= reach[:, None] * (1 + 1e-9) + 1e-6)
             copies = blocks[where]
-            block = np.concatenate([np.arange(c) for c in copies]) if len(copies) else []
             yield pd.DataFrame(
                 {
-                    "id": batch["id"].to_numpy()[np.repeat(rows, copies)],
+                    "rep": batch["rep"].to_numpy()[np.repeat(rows, copies)],
                     "v": batch["v"].to_numpy()[np.repeat(rows, copies)],
                     "cell": cells[np.repeat(where, copies)],
-                    "block": block,
+                    "block": np.concatenate([np.arange(c) for c in copies]),
                 }
             )
 
-    spread = F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair])
-    sent = q.mapInPandas(to_blocks, "id bigint, v array<double>, cell int, block int").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")
+    counts = F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair])
+    sent = (
+        reps.select("rep", "v")
+        .mapInPandas(to_blocks, "rep bigint, v array<double>, cell int, block int")
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(q_blocks)).cast("int"))
+    )
+    held = placed.select(
+        "id",
+        "v",
+        "carried",
+        "cell",
+        F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"),
     )
-    held = placed.withColumn(
-        "block", F.pmod(F.xxhash64("id"), spread[F.col("cell")]).cast("int")
-    ).select("id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"))
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
+            return pd.DataFrame({"rep": [], "distance": [], "neighbor": [], "carried": []})
         return _block_top_k(
-            left["id"].to_numpy(),
+            left["rep"].to_numpy(),
             np.stack(left["v"].to_numpy()),
             right["id"].to_numpy(),
             np.stack(right["v"].to_numpy()),
-            k,
-            exclude_self,
+            right["carried"].to_numpy(),
+            need,
         )
 
     keys = ["cell", "block", "part"]
-    found = (
-        sent.groupBy(*keys)
-        .cogroup(held.groupBy(*keys))
-        .applyInPandas(match, "id bigint, neighbor bigint, distance double")
-    )
-    if metric == "cosine":
-        found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
-    order = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(match, schema)
 
 
 def knn_classify(
@@ -224,37 +266,37 @@ def knn_classify(
 
     A tie goes to the class listed first. A training row counts among its own neighbours.
     """
-    found = knn_join(df, train, id_col, vector, k, **options)
-    votes = found.join(
-        train.select(ref(id_col).alias("neighbor"), ref(label).cast("string").alias("_class")),
-        "neighbor",
-    )
-    shares = votes.groupBy("id").agg(
-        F.array(
-            *[F.count_if(F.col("_class") == c) / F.count(F.lit(1)) for c in classes]
-        ).alias("probability")
+    found = knn_join(df, train, id_col, vector, k, carry=label, **options)
+    votes = found.groupBy("id").agg(
+        F.array(*[F.count_if(F.col("carried") == c) / F.count(F.lit(1)) for c in classes]).alias(
+            "probability"
+        )
     )
     names = F.array(*[F.lit(c) for c in classes])
     best = F.array_position("probability", F.array_max("probability")).cast("int")
-    scored = shares.withColumn("prediction", F.element_at(names, best)).withColumnRenamed("id", id_col)
+    scored = votes.withColumn("prediction", F.element_at(names, best)).withColumnRenamed("id", id_col)
     return df.join(scored, id_col)
 
 
-def approximate_neighbors(
+def approximate_similar_rows(
     df: DataFrame,
     id_col: str,
     vector: str,
-    radius: float,
-    bucket_length: float = 0.5,
+    query_id,
+    k: int = 10,
+    bucket_length: float = 2.0,
     n_tables: int = 4,
     seed: int = 42,
 ) -> DataFrame:
-    """(id, neighbor, distance) pairs of unit-scaled rows closer than `radius`, by hashed buckets.
+    """(id, distance) of about the k nearest rows by cosine distance, from hashed buckets.
 
-    Finds most, not all, such pairs; the distances themselves are exact.
+    Only rows that share a bucket with the query are measured, so some neighbours may be missed.
     """
     rows = _unit(df.select(ref(id_col).alias("id"), doubles(ref(vector)).alias("v")), "v")
-    rows = rows.select("id", array_to_vector("v").alias("features"))
+    key = rows.where(F.col("id") == F.lit(query_id)).select(array_to_vector("v").alias("f")).first()
+    if key is None:
+        raise ValueError(f"no row with id {query_id!r}")
+    others = rows.where(F.col("id") != F.lit(query_id)).select("id", array_to_vector("v").alias("features"))
     hashing = BucketedRandomProjectionLSH(
         inputCol="features",
         outputCol="hashes",
@@ -262,10 +304,8 @@ def approximate_neighbors(
         numHashTables=n_tables,
         seed=seed,
     )
-    joined = hashing.fit(rows).approxSimilarityJoin(rows, rows, radius, distCol="distance")
-    return joined.select(
-        F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbor"), "distance"
-    ).where(F.col("id") != F.col("neighbor"))
+    found = hashing.fit(others).approxNearestNeighbors(others, key["f"], k, distCol="d")
+    return found.select("id", F.round(F.col("d") * F.col("d") / 2, 6).alias("distance"))
 
 
 def auto_cluster(

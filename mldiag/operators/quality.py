@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mldiag.functions.columns import doubles, euclidean, ref
+from mldiag.operators.reduce import reduce2d
 from mldiag.operators.scale import hash_pairs, hash_sample, numbered_sample
 
 SAMPLE_CURVES = 2000
@@ -240,3 +241,17 @@ def recommend(curves: DataFrame, stress: DataFrame) -> DataFrame:
     # one row per reduction method
     place = F.row_number().over(Window.orderBy(F.desc("score"), "method"))
     return scored.withColumn("best", place == 1)
+
+
+def reduce_with_quality(
+    df: DataFrame,
+    id_col: str,
+    vector: str = "embedding",
+    method: str = "pca",
+    k: int = 10,
+    sample_size: int = SAMPLE_METRICS,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """The projected table and its one-row quality metrics."""
+    placed = reduce2d(df, method, vector, id_col=id_col, **options)
+    return placed, quality_metrics(placed, id_col, vector, k=k, sample_size=sample_size)

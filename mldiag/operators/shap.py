@@ -31,6 +31,15 @@ def background(
     return [[float(v) if v is not None else 0.0 for v in r] for r in rows.collect()]
 
 
+def explained_rows(
+    df: DataFrame, id_col: str, selection: DataFrame | None = None, n: int = 50
+) -> DataFrame:
+    """The selected rows, or the first n by id when nothing is selected."""
+    if selection is not None:
+        return df.join(selection.select(ref(id_col)).distinct(), id_col, "left_semi")
+    return df.orderBy(ref(id_col)).limit(n)
+
+
 def coalition_weights(n_features: int) -> np.ndarray:
     """(features, 2^features): factor of each coalition's value in each feature's Shapley value."""
     m = n_features

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from mldiag.operators import embed, neighbors, quality, reduce, transforms
+from mldiag.operators import embed, evaluate, neighbors, quality, reduce, scale, transforms
+from mldiag.operators.train import stratified_split
 from mldiag.plans.model_queries import N_DIMS, vectors
 from mldiag.plans.registry import query, table
 
@@ -51,7 +52,7 @@ def knn_all_euclidean(spark, folder):
 def _all_neighbors(spark, folder, metric):
     rows = table(spark, folder, "embeddings")
     found = neighbors.knn_join(rows, rows, "vec_id", "embedding", 5, metric, exclude_self=True)
-    return found.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+    return found.withColumn("distance", F.round("distance", 6) + F.lit(0.0)).drop("carried")
 
 
 @query(
@@ -69,8 +70,6 @@ SELECT vec_id, list(share ORDER BY class) AS probability,
   list(class ORDER BY share DESC, class)[1] AS prediction FROM every GROUP BY vec_id""",
 )
 def knn_classifier(spark, folder):
-    from mldiag.operators.train import stratified_split
-
     rows = vectors(spark, folder)
     split = stratified_split(rows, "vec_id", "label", 0.2)
     classes = [str(i) for i in range(10)]
@@ -82,7 +81,7 @@ def knn_classifier(spark, folder):
 
 @query("knn_lsh")
 def knn_lsh(spark, folder):
-    return neighbors.approximate_neighbors(table(spark, folder, "embeddings"), "vec_id", "embedding", 1.15)
+    return neighbors.approximate_similar_rows(table(spark, folder, "embeddings"), "vec_id", "embedding", 7)
 
 
 @query(
@@ -317,3 +316,30 @@ def quality_recommend(spark, folder):
 def feature_vector(spark, folder):
     rows = transforms.feature_vector(table(spark, folder, "part"), ["p_size", "p_retailprice"], "features")
     return rows.select("p_partkey", "features")
+
+
+@query(
+    "hash_sample",
+    "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 100",
+)
+def hash_sample(spark, folder):
+    return scale.hash_sample(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 100)
+
+
+@query(
+    "global_rank",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders",
+)
+def global_rank(spark, folder):
+    return scale.global_rank(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(
+    "categorical_columns",
+    """SELECT 'label' AS "column", count(DISTINCT label) <= 20 AS categorical FROM embeddings
+UNION ALL SELECT 'vec_id', count(DISTINCT vec_id) <= 20 FROM embeddings""",
+)
+def categorical_columns(spark, folder):
+    rows = table(spark, folder, "embeddings").select("label", "vec_id")
+    few = evaluate.low_cardinality(rows, ["label", "vec_id"])
+    return spark.createDataFrame(list(few.items()), "column string, categorical boolean")

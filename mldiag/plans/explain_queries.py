@@ -313,3 +313,18 @@ def what_if(spark, folder):
     }
     rows = counterfactual.what_if(part_rows(spark, folder), "p_partkey", part_scorer(), changes)
     return rows.withColumn("delta", F.col("delta") + F.lit(0.0))
+
+
+@query(
+    "shap_first_rows",
+    _EXACT
+    + """, f AS (SELECT p_partkey FROM parts ORDER BY p_partkey LIMIT 50)
+SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM long WHERE id IN (SELECT p_partkey FROM f) GROUP BY feature""",
+)
+def shap_first_rows(spark, folder):
+    """Importance when nothing is selected: the first 50 rows are explained."""
+    rows = part_rows(spark, folder)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    first = shap.explained_rows(rows, "p_partkey")
+    long = shap.exact_shap(first, "p_partkey", part_scorer(), background)
+    return shap.importance(shap.reduce_classes(long, "first", "1"))
