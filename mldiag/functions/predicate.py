@@ -180,7 +180,7 @@ class _Translator:
         if type(op) not in _ORDER:
             raise UnsafePredicate(f"comparison not allowed: {type(op).__name__}")
         test = _ORDER[type(op)](self.value(left), self.value(right))
-        nan = [F.isnan(ref(n.id)) for n in (left, right) if self.floating(n)]
+        nan = [F.isnan(self.value(n).cast("double")) for n in (left, right) if self.floating(n)]
         if isinstance(op, ast.NotEq):
             test = F.coalesce(test, F.lit(True))
             for flag in nan:
@@ -192,7 +192,12 @@ class _Translator:
         return test if bare else F.coalesce(test, F.lit(False))
 
     def floating(self, node: ast.expr) -> bool:
-        return isinstance(node, ast.Name) and is_floating(self.types.get(node.id, T.NullType()))
+        """May the value be NaN?"""
+        return any(
+            isinstance(n, (ast.Div, ast.Pow))
+            or (isinstance(n, ast.Name) and is_floating(self.types.get(n.id, T.NullType())))
+            for n in ast.walk(node)
+        ) and self.dtype(node) == "number"
 
     def test(self, node: ast.Call) -> Column:
         owner, name, arguments = self.method(node)

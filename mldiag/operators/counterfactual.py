@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mldiag.functions.columns import as_double, ref
-from mldiag.operators.scoring import ExprScorer, Scorer
+from mldiag.operators.scale import spread
+from mldiag.operators.scoring import Scorer
 
 STEPS = 50
 DIRECTIONS = ("max", "min")
@@ -33,90 +34,62 @@ def _end(i: int, value: Column, direction: str) -> Column:
     return hi + margin if direction == "max" else lo - margin
 
 
-def _first_flip(scorer: ExprScorer, x: list[Column], i: int, width: Column, n_steps: int) -> Column:
-    """The first grid value of feature i whose predicted class differs from `_own`."""
-
-    def value(t: Column) -> Column:
-        return x[i] + t * width
-
-    def flips(v: Column) -> Column:
-        return scorer.class_index(x[:i] + [v] + x[i + 1 :]) != F.col("_own")
-
-    steps = F.sequence(F.lit(0), F.lit(n_steps - 1))
-    return F.get(F.filter(F.transform(steps, value), flips), F.lit(0))
-
-
 def sweep(
     df: DataFrame, id_col: str, scorer: Scorer, population: DataFrame | None = None, n_steps: int = STEPS
 ) -> DataFrame:
     """(id, feature, feature_pos, direction, original, flip_value, change) where a flip exists.
 
     Every feature is moved alone over `n_steps` evenly spaced values towards each end of its range;
-    the first value (the nearest one) with another prediction is kept. Expression models are swept
-    inside the row; other models by one scored unfolding of the grid.
+    the first value (the nearest one) with another prediction is kept. Rows are spread by id, then
+    unfolded to their grid, scored in one transform and folded again inside their partition. Ids are
+    unique.
     """
     features = list(scorer.features)
-    rows = _spans(df, features, population if population is not None else df)
-    x = [as_double(f) for f in features]
-    grids = []
-    for i in range(len(features)):
-        for d, direction in enumerate(DIRECTIONS):
-            width = (_end(i, x[i], direction) - x[i]) / (n_steps - 1)
-            grids.append((i, d, direction, width))
-
-    if isinstance(scorer, ExprScorer):
-        own = rows.withColumn("_own", scorer.class_index(x))
-        cells = []
-        for i, _, direction, width in grids:
-            cells.append(
-                F.struct(
-                    F.lit(features[i]).alias("feature"),
-                    F.lit(i).alias("feature_pos"),
-                    F.lit(direction).alias("direction"),
-                    x[i].alias("original"),
-                    _first_flip(scorer, x, i, width, n_steps).alias("flip_value"),
-                )
-            )
-        found = own.select(ref(id_col).alias("id"), F.inline(F.array(*cells)))
-    else:
-        choice = F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("pos"), F.lit(direction).alias("direction"), width.alias("width")
-                    )
-                    for i, d, direction, width in grids
-                ]
-            )
-        )
-        scored = scorer.transform(rows.drop("prediction", "probability"))
-        grid = (
-            scored.select(
-                ref(id_col).alias("id"),
-                F.col("prediction").alias("_own"),
-                *[x[i].alias(f"_x{i}") for i in range(len(x))],
-                choice.alias("_g"),
+    m = len(features)
+    points = _spans(df, features, population if population is not None else df).select(
+        ref(id_col).alias("id"), *[as_double(f).alias(f) for f in features], "_s"
+    )
+    own = scorer.transform(spread(points, "id")).withColumnsRenamed({"prediction": "_own"})
+    x = [ref(f) for f in features]
+    moves = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("pos"),
+                F.lit(direction).alias("direction"),
+                ((_end(i, x[i], direction) - x[i]) / (n_steps - 1)).alias("width"),
             )
-            .select("*", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("_t"))
+            for i in range(m)
+            for direction in DIRECTIONS
+        ]
+    )
+    grid = (
+        own.select("id", "_own", *[x[i].alias(f"_x{i}") for i in range(m)], F.inline(moves))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("_t"))
+        .select(
+            "*",
+            *[
+                F.expr(f"case when pos = {i} then _x{i} + _t * width else _x{i} end").alias(f)
+                for i, f in enumerate(features)
+            ],
         )
-        for i, f in enumerate(features):
-            moved = F.col(f"_x{i}") + F.col("_t") * F.col("_g.width")
-            grid = grid.withColumn(f, F.when(F.col("_g.pos") == i, moved).otherwise(F.col(f"_x{i}")))
-        names = F.array(*[F.lit(f) for f in features])
-        originals = F.array(*[F.col(f"_x{i}") for i in range(len(x))])
-        value = F.get(F.array(*[ref(f) for f in features]), F.col("_g.pos"))
-        flipped = scorer.transform(grid).where(F.col("prediction") != F.col("_own"))
-        found = flipped.groupBy(
+    )
+    flipped = scorer.transform(grid).where(F.col("prediction") != F.col("_own"))
+    original = F.get(F.array(*[F.col(f"_x{i}") for i in range(m)]), F.col("pos"))
+    value = F.get(F.array(*x), F.col("pos"))
+    first = F.min(F.struct(F.col("_t"), value.alias("flip"), original.alias("original")))
+    names = F.array(*[F.lit(f) for f in features])
+    return (
+        flipped.groupBy("id", "pos", "direction")
+        .agg(first.alias("b"))
+        .select(
             "id",
-            F.get(names, F.col("_g.pos")).alias("feature"),
-            F.col("_g.pos").alias("feature_pos"),
-            F.col("_g.direction").alias("direction"),
-        ).agg(
-            F.max(F.get(originals, F.col("_g.pos"))).alias("original"),
-            F.min_by(value, F.col("_t")).alias("flip_value"),
+            F.get(names, F.col("pos")).alias("feature"),
+            F.col("pos").alias("feature_pos"),
+            "direction",
+            F.col("b.original").alias("original"),
+            F.col("b.flip").alias("flip_value"),
+            F.abs(F.col("b.flip") - F.col("b.original")).alias("change"),
         )
-    return found.where(F.col("flip_value").isNotNull()).withColumn(
-        "change", F.abs(F.col("flip_value") - F.col("original"))
     )
 
 

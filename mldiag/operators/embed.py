@@ -40,8 +40,9 @@ def tokens(text: Column, stop_words: Sequence[str]) -> Column:
 
 
 def _token_rows(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str]) -> DataFrame:
-    words = F.explode(tokens(ref(text_col), ()))
-    rows = df.select(ref(id_col).alias("id"), words.alias("term"))
+    # the outer form: a plain explode would first test the token list, computing it twice
+    words = F.explode_outer(tokens(ref(text_col), ()))
+    rows = df.select(ref(id_col).alias("id"), words.alias("term")).where(F.col("term").isNotNull())
     return rows.where(~F.col("term").isin(list(stop_words))) if stop_words else rows
 
 

@@ -182,8 +182,10 @@ def _score_counts(
 ) -> DataFrame:
     """One-vs-rest (class, score, pos, neg) over distinct scores."""
     names = F.array(*[F.lit(c) for c in classes])
+    # the outer form: a plain explode would first test the array, computing it twice
     long = df.select(
-        ref(label).cast("string").alias("_label"), F.posexplode(ref(probability)).alias("_i", "score")
+        ref(label).cast("string").alias("_label"),
+        F.posexplode_outer(ref(probability)).alias("_i", "score"),
     ).select("_label", F.get(names, F.col("_i")).alias("class"), "score")
     hit = F.col("_label").eqNullSafe(F.col("class")).cast("bigint")
     return (
@@ -228,8 +230,12 @@ def roc_auc(
 ) -> DataFrame:
     """(class, auc): share of (positive, negative) pairs ranked right, ties counting one half."""
     running = _roc_running(df, classes, label, probability)
+    # each pair is met from both sides, so that both running sums are read and share one shuffle
     below = (F.col("cum_neg") - F.col("neg")).cast("double")
-    won = F.col("pos") * (below + 0.5 * F.col("neg"))
+    above = (F.col("total_pos") - F.col("cum_pos")).cast("double")
+    won = 0.5 * (
+        F.col("pos") * (below + 0.5 * F.col("neg")) + F.col("neg") * (above + 0.5 * F.col("pos"))
+    )
     pairs = F.max(F.col("total_pos").cast("double") * F.col("total_neg"))
     return running.groupBy("class").agg(F.round(F.sum(won) / pairs, 6).alias("auc"))
 

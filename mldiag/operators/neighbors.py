@@ -238,7 +238,14 @@ def _pivot_join(
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "distance": [], "neighbor": [], "carried": []})
+            return pd.DataFrame(
+                {
+                    "rep": pd.Series(dtype="int64"),
+                    "distance": pd.Series(dtype="float64"),
+                    "neighbor": pd.Series(dtype="int64"),
+                    "carried": pd.Series(dtype="object"),
+                }
+            )
         return _block_top_k(
             left["rep"].to_numpy(),
             np.stack(left["v"].to_numpy()),

@@ -63,52 +63,73 @@ def global_cumsum(
     """Running sums of `values` by `order` inside each part.
 
     Adds `cum_<value>` (inclusive) and `total_<value>` (the part's sum). `order` must be distinct
-    inside a part: collapse duplicates first. Parts without weight are left out. All branches below
-    read every column of `df`, so the shuffle that collapsed the data is computed once and reused.
+    inside a part: collapse duplicates first. Parts without weight are left out.
+
+    Rows are shuffled once, by (part, value range); the range totals and the running sums both read
+    that shuffle. To keep it shareable every branch reads every column, which is why range totals
+    also look at `order` and the cut points at `values`. Callers should use all running sums.
     """
     n = n_ranges or range_count(df.sparkSession)
-    key = sort_key(df, order)
     probabilities = [i / n for i in range(1, n)]
-    cuts = df.groupBy(*[ref(p) for p in parts]).agg(
-        F.array_sort(F.percentile_approx(key, probabilities, max(1000, 20 * n))).alias("_cuts"),
-        *[F.sum(ref(v)).alias(f"total_{v}") for v in values],
-    )
-    some_weight = reduce(or_, [ref(f"total_{v}") > 0 for v in values])
-    cuts = cuts.where(some_weight).withColumn(
-        "_coarse", F.filter("_cuts", lambda _, i: (i + 1) % _FANOUT == 0)
+    key = sort_key(df, order)
+    weight = reduce(or_, [F.col(f"_w{i}") > 0 for i in range(len(values))])
+    cuts = (
+        df.groupBy(*[ref(p) for p in parts])
+        .agg(
+            F.array_sort(F.percentile_approx(key, probabilities, max(1000, 20 * n))).alias("_cuts"),
+            *[F.sum(ref(v)).alias(f"_w{i}") for i, v in enumerate(values)],
+        )
+        .where(weight)
+        .select(
+            *[ref(p) for p in parts],
+            "_cuts",
+            F.filter("_cuts", lambda _, i: (i + 1) % _FANOUT == 0).alias("_coarse"),
+        )
     )
     if parts:
         # one row per feature, class or window: bounded by the number of columns or classes
         keyed = df.join(F.broadcast(cuts), list(parts))
     else:
-        names = [c for c in cuts.columns]
-        one = cuts.select(F.struct(*names).alias("s")).scalar()
-        keyed = df.withColumn("_s", one).select("*", *[F.col(f"_s.{c}") for c in names]).drop("_s")
-    ranged = keyed.withColumn(
-        "_range", _range_of(sort_key(df, order), F.col("_cuts"), F.col("_coarse"))
-    ).drop("_cuts", "_coarse")
-
-    keys = [*parts, "_range"]
-    sums = ranged.groupBy(*[ref(k) for k in keys]).agg(
-        *[F.sum(ref(v)).alias(f"_sum_{v}") for v in values]
+        one = cuts.select(F.struct("_cuts", "_coarse").alias("s")).scalar()
+        keyed = df.withColumn("_s", one).select(
+            "*", F.col("_s._cuts").alias("_cuts"), F.col("_s._coarse").alias("_coarse")
+        ).drop("_s")
+    keys = [*[ref(p) for p in parts], F.col("_range")]
+    ranged = (
+        keyed.withColumn(
+            # never NULL: a null check inferred for one branch only would split the shared shuffle
+            "_range", F.coalesce(_range_of(key, F.col("_cuts"), F.col("_coarse")), F.lit(0))
+        )
+        .drop("_cuts", "_coarse")
+        .repartition(*keys)
     )
-    before = Window.partitionBy(*[ref(p) for p in parts]).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
+    sums = (
+        ranged.groupBy(*keys)
+        .agg(F.max(ref(order)).alias("_last"), *[F.sum(ref(v)).alias(f"_sum_{v}") for v in values])
+        .where(F.col("_last").isNotNull())
     )
+    whole = Window.partitionBy(*[ref(p) for p in parts])
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # at most (parts x ranges) rows, whatever the data size
     offsets = sums.select(
-        *[ref(k) for k in keys],
+        *keys,
         *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in values],
+        *[F.sum(f"_sum_{v}").over(whole).alias(f"total_{v}") for v in values],
     )
-    inside = Window.partitionBy(*[ref(k) for k in keys]).orderBy(ref(order)).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    running = ranged.join(F.broadcast(offsets), keys)
+    inside = Window.partitionBy(*keys).orderBy(ref(order)).rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.join(F.broadcast(offsets), [*parts, "_range"])
     return running.withColumns(
         {f"cum_{v}": F.col(f"_off_{v}") + F.sum(ref(v)).over(inside) for v in values}
     ).drop("_range", *[f"_off_{v}" for v in values])
 
 
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Cut rows into as many partitions as the session shuffles into, for work that costs far more
+    per row than moving it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, ref(id_col))
+
+
 def global_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     """1-based position by `order`, a column with distinct values (a key)."""
     counted = df.withColumn("_one", F.lit(1).cast("bigint"))

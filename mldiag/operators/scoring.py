@@ -46,14 +46,6 @@ class ExprScorer(Scorer):
     def probability(self, values: Sequence[Column]) -> Column:
         return self.fn(values)
 
-    def prediction(self, values: Sequence[Column]) -> Column:
-        return argmax_name(self.fn(values), self.classes)
-
-    def class_index(self, values: Sequence[Column]) -> Column:
-        """1-based position of the predicted class."""
-        p = self.fn(values)
-        return F.array_position(p, F.array_max(p))
-
     def transform(self, df: DataFrame) -> DataFrame:
         scored = df.withColumn("probability", self.fn([ref(f).cast("double") for f in self.features]))
         return scored.withColumn("prediction", argmax_name(F.col("probability"), self.classes))
@@ -78,9 +70,6 @@ class LinearScorer(ExprScorer):
             total = total + F.lit(weight) * value
         return total
 
-    def class_index(self, values: Sequence[Column]) -> Column:
-        return F.when(self.margin(values) > 0, F.lit(2)).otherwise(F.lit(1)).cast("bigint")
-
     def _probability(self, values: Sequence[Column]) -> Column:
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin(values)))
         return F.array(F.lit(1.0) - p, p)

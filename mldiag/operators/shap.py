@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mldiag.functions.columns import as_double, dot, literal_matrix, literal_vector, ref
-from mldiag.operators.scale import hash_sample
-from mldiag.operators.scoring import BatchScorer, ExprScorer, LinearScorer, ModelScorer, Scorer
+from mldiag.functions.columns import as_double, literal_matrix, literal_vector, ref
+from mldiag.operators.scale import hash_sample, spread
+from mldiag.operators.scoring import BatchScorer, ExprScorer, LinearScorer, Scorer
 
 BACKGROUND_ROWS = 100
 MAX_EXACT = 10
@@ -86,43 +86,51 @@ def linear_base(df: DataFrame, scorer: LinearScorer) -> DataFrame:
 
 
 def exact_shap(
-    df: DataFrame, id_col: str, scorer: ExprScorer, rows: Sequence[Sequence[float]]
+    df: DataFrame, id_col: str, scorer: Scorer, rows: Sequence[Sequence[float]]
 ) -> DataFrame:
-    """All 2^M coalitions of an expression model, evaluated inside each row; M <= 10."""
+    """All 2^M coalitions of an expression model or a fitted pipeline; M <= 10, unique ids.
+
+    Rows are first spread by id. Each is then unfolded to its coalitions and background mixes, scored
+    in one transform and summed up again inside its partition: the unfolded rows are never shuffled.
+    """
     features, classes = list(scorer.features), list(scorer.classes)
-    m, n_bg = len(features), len(rows)
+    m = len(features)
     if m > MAX_EXACT:
         raise ValueError(f"exact attribution needs at most {MAX_EXACT} features")
-    x = [as_double(f) for f in features]
-
-    def value_of(mask: Column) -> Column:
-        def mixed(b: Column) -> list[Column]:
-            return [
-                F.when(F.shiftright(mask, i).bitwiseAND(F.lit(1)) == 1, x[i]).otherwise(b[i])
-                for i in range(m)
-            ]
-
-        total = F.aggregate(
-            F.col("_bg"),
-            literal_vector([0.0] * len(classes)),
-            lambda s, b: F.zip_with(s, scorer.probability(mixed(b)), lambda u, v: u + v),
-        )
-        return F.transform(total, lambda t: t / F.lit(float(n_bg)))
-
-    valued = df.withColumn("_bg", literal_matrix(rows)).withColumn(
-        "_v", F.transform(F.sequence(F.lit(0), F.lit(2**m - 1)), value_of)
+    points = df.select(
+        ref(id_col).alias("id"), *[as_double(f).alias(f"_x{i}") for i, f in enumerate(features)]
     )
-    weights = coalition_weights(m)
-    cells = []
-    for c, name in enumerate(classes):
-        for i, feature in enumerate(features):
-            per_class = F.transform("_v", _nth(c))
-            cells.append((name, feature, dot(per_class, literal_vector(weights[i])), x[i]))
-    return _unfold(valued, id_col, cells)
-
-
-def _nth(position: int):
-    return lambda values: values[position]
+    mixes = (
+        spread(points, "id")
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(2**m - 1))).alias("_mask"))
+        .select("*", F.explode(literal_matrix(rows)).alias("_b"))
+    )
+    mixed = [
+        F.expr(f"case when (_mask & {1 << i}) <> 0 then _x{i} else _b[{i}] end").alias(f)
+        for i, f in enumerate(features)
+    ]
+    mixes = mixes.select("id", "_mask", *[f"_x{i}" for i in range(m)], *mixed)
+    weights = coalition_weights(m) / len(rows)
+    shares = [
+        F.get(literal_vector(weights[i]), F.col("_mask")).alias(f"_w{i}") for i in range(m)
+    ]
+    scored = scorer.transform(mixes).select(
+        "id", "probability", *[f"_x{i}" for i in range(m)], *shares
+    )
+    sums = scored.groupBy("id").agg(
+        *[F.expr(f"max(_x{i}) as _x{i}") for i in range(m)],
+        *[
+            F.expr(f"sum(_w{i} * probability[{c}]) as _phi_{c}_{i}")
+            for c in range(len(classes))
+            for i in range(m)
+        ],
+    )
+    cells = [
+        (name, f, F.col(f"_phi_{c}_{i}"), F.col(f"_x{i}"))
+        for c, name in enumerate(classes)
+        for i, f in enumerate(features)
+    ]
+    return _unfold(sums, "id", cells)
 
 
 def _orders(n_features: int, rows: Sequence[Sequence[float]], n: int, seed: int):
@@ -169,7 +177,7 @@ def sampled_shap(
         return total / F.lit(float(n_orders))
 
     cells = [(name, f, step(i, c), x[i]) for c, name in enumerate(classes) for i, f in enumerate(features)]
-    return _unfold(df.withColumn("_draws", draws), id_col, cells)
+    return _unfold(spread(df, id_col).withColumn("_draws", draws), id_col, cells)
 
 
 def batch_shap(
@@ -214,48 +222,7 @@ def batch_shap(
             yield pd.DataFrame(out, columns=["id", "class", "feature", "phi", "value"])
 
     points = df.select(ref(id_col).cast("bigint").alias("id"), F.array(*[as_double(f) for f in features]).alias("x"))
-    return points.mapInPandas(run, _LONG)
-
-
-def model_shap(
-    df: DataFrame, id_col: str, scorer: ModelScorer, rows: Sequence[Sequence[float]]
-) -> DataFrame:
-    """The same values for a fitted ML pipeline, meant for a selection of rows.
-
-    Each row is unfolded to its coalitions and background mixes next to where it lies, scored in one
-    transform, and the weighted scores are summed again, mostly before the shuffle.
-    """
-    features, classes = list(scorer.features), list(scorer.classes)
-    m = len(features)
-    if m > MAX_EXACT:
-        raise ValueError(f"exact attribution needs at most {MAX_EXACT} features")
-    mixes = (
-        df.select(ref(id_col).alias("id"), *[as_double(f).alias(f"_x{i}") for i, f in enumerate(features)])
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(2**m - 1))).alias("mask"))
-        .select("*", F.explode(literal_matrix(rows)).alias("_b"))
-    )
-    for i, f in enumerate(features):
-        bit = F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1
-        mixes = mixes.withColumn(f, F.when(bit, F.col(f"_x{i}")).otherwise(F.col("_b")[i]))
-    weights = coalition_weights(m)
-    scored = scorer.transform(mixes)
-    sums = scored.groupBy("id").agg(
-        *[F.max(f"_x{i}").alias(f"_x{i}") for i in range(m)],
-        *[
-            (
-                F.sum(F.get(literal_vector(weights[i]), F.col("mask")) * F.col("probability")[c])
-                / F.lit(float(len(rows)))
-            ).alias(f"_phi_{c}_{i}")
-            for c in range(len(classes))
-            for i in range(m)
-        ],
-    )
-    cells = [
-        (name, f, F.col(f"_phi_{c}_{i}"), F.col(f"_x{i}"))
-        for c, name in enumerate(classes)
-        for i, f in enumerate(features)
-    ]
-    return _unfold(sums, "id", cells)
+    return spread(points, "id").mapInPandas(run, _LONG)
 
 
 def shap_values(
@@ -267,10 +234,9 @@ def shap_values(
     rows = rows if rows is not None else background(df, id_col, scorer.features)
     if isinstance(scorer, BatchScorer):
         return batch_shap(df, id_col, scorer, rows)
-    if isinstance(scorer, ExprScorer):
-        exact = len(scorer.features) <= MAX_EXACT
-        return (exact_shap if exact else sampled_shap)(df, id_col, scorer, rows)
-    return model_shap(df, id_col, scorer, rows)
+    if isinstance(scorer, ExprScorer) and len(scorer.features) > MAX_EXACT:
+        return sampled_shap(df, id_col, scorer, rows)
+    return exact_shap(df, id_col, scorer, rows)
 
 
 def base_values(scorer: Scorer, spark, rows: Sequence[Sequence[float]]) -> DataFrame:
