@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mldiag.functions.columns import cosine_distance, dot, doubles, euclidean, ref
 from mldiag.operators.scale import hash_sample
+from mldiag.session import cut_lineage
 
 MAX_CELLS = 1024
 
@@ -136,7 +137,7 @@ def knn_join(
     t = points.select(identity, v, carried.alias("carried")).where(F.col("v").isNotNull())
     if metric == "cosine":
         q, t = _unit(q, "v"), _unit(t, "v")
-    t = _first_copies(t, need)
+    t = cut_lineage(_first_copies(t, need))  # read by four jobs below
     reps = q.groupBy("v").agg(F.min("id").alias("rep"))
     found = _pivot_join(spark, reps, t, need, n_cells, block_rows)
     if metric == "cosine":

@@ -22,8 +22,8 @@ _FANOUT = 32
 
 
 def range_count(spark: SparkSession) -> int:
-    """Value ranges per group: as many as the session shuffles into, within sane limits."""
-    return max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
+    """Value ranges per group: twice the shuffle partitions, so that hashing them fills every task."""
+    return max(4, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
 
 
 def unpivot_features(
