@@ -234,22 +234,21 @@ def assign_windows(
         )
         for hit in hits:
             stamp = _literal(hit["t"], time_type)
-            later = ref(time_col) > stamp
+            later, now = ref(time_col) > stamp, ref(time_col) == stamp
+            inner = [offset for offset in hit["at"] if offset > 0]
+            first = _ids_at(known.where(now), id_col, inner) if inner else {}
             for offset in hit["at"]:
-                if offset == 0:
-                    past = later | (ref(time_col) == stamp)
-                else:
-                    first = _nth_id(known.where(ref(time_col) == stamp), id_col, offset)
-                    past = later | ((ref(time_col) == stamp) & (ref(id_col) >= _literal(first, id_type)))
-                number = number + F.coalesce(past, F.lit(False)).cast("int")
+                here = now & (ref(id_col) >= _literal(first[offset], id_type)) if offset else now
+                number = number + F.coalesce(later | here, F.lit(False)).cast("int")
     return df.withColumn(name, number)
 
 
-def _nth_id(rows: DataFrame, id_col: str, offset: int):
-    """The id at a 0-based position in id order."""
+def _ids_at(rows: DataFrame, id_col: str, offsets: Sequence[int]) -> dict:
+    """The ids at some 0-based positions in id order, by one job."""
     ranked = global_rank(rows.select(ref(id_col).alias("i")), "i")
-    found = ranked.where(F.col("rank") == offset + 1)
-    return found.select(_portable(F.col("i"), rows.schema[id_col].dataType)).first()[0]
+    found = ranked.where(F.col("rank").isin([offset + 1 for offset in offsets]))
+    text = _portable(F.col("i"), rows.schema[id_col].dataType).alias("i")
+    return {r["rank"] - 1: r["i"] for r in found.select("rank", text).collect()}
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
