@@ -81,14 +81,14 @@ class PatriciaTrie:
             self.root[2] = None
         # the path of `keep` stays; whatever hangs off it goes
         node, at, path = self.root, 0, b""
-        while True:
-            for first in [k for k in node[1] if keep is None or at >= len(keep) or k != keep[at]]:
+        while keep is None or at < len(keep):
+            for first in [k for k in node[1] if keep is None or k != keep[at]]:
                 terminals.append((path, node[1].pop(first)))
-            child = None if keep is None or at >= len(keep) else node[1].get(keep[at])
+            child = None if keep is None else node[1].get(keep[at])
             if child is None:
                 break
             if not keep.startswith(child[0], at):
-                if at + len(child[0]) <= len(keep) or not child[0].startswith(keep[at:]):
+                if not child[0].startswith(keep[at:]):
                     terminals.append((path, node[1].pop(keep[at])))
                 break
             path, at, node = path + child[0], at + len(child[0]), child
