@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import exact_dedup
+from mldiag.llm import exact_dedup, simhash
 from mldiag.llm.common import documents
 from mldiag.llm.registry import query
 
@@ -19,3 +19,8 @@ from mldiag.llm.registry import query
 )
 def op5_patricia_owners(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
+
+
+@query("op7_golay_simhash")
+def op7_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, folder))
