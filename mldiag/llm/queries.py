@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import exact_dedup, simhash
+from mldiag.llm import divergence, exact_dedup, simhash
 from mldiag.llm.common import documents
 from mldiag.llm.registry import query
 
 
+@query("op2_distribution_divergence")
+def op2_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.measures(documents(spark, folder))
+
+
 @query(
     "op5_patricia_owners",
     """
