@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import divergence, exact_dedup, simhash
+from mldiag.llm import divergence, exact_dedup, mixing, simhash
 from mldiag.llm.common import documents
 from mldiag.llm.registry import query
 
@@ -29,3 +29,8 @@ def op5_patricia_owners(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_golay_simhash")
 def op7_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(documents(spark, folder))
+
+
+@query("op8_subset_sum_mix")
+def op8_subset_sum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_table(documents(spark, folder))
