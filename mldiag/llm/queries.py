@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import divergence, exact_dedup, mixing, simhash
+from mldiag.llm import divergence, exact_dedup, mixing, simhash, transducer
 from mldiag.llm.common import documents
 from mldiag.llm.registry import query
 
@@ -26,6 +27,11 @@ def op5_patricia_owners(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+@query("op6_shortest_path_pieces")
+def op6_shortest_path_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return transducer.digest(documents(spark, folder), transducer.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @query("op7_golay_simhash")
 def op7_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(documents(spark, folder))
