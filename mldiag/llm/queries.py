@@ -5,16 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import divergence, exact_dedup, mixing, simhash, transducer
-from mldiag.llm.common import documents
+from mldiag.llm import divergence, exact_dedup, mixing, repair, simhash, slots, transducer
+from mldiag.llm.common import documents, new_path
 from mldiag.llm.registry import query
 
 
+@query("op1_repair_blocks")
+def op1_repair_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        repair.write_tokens(documents(spark, folder), path, file.read())
+    return repair.read_documents(spark, path)
+
+
 @query("op2_distribution_divergence")
 def op2_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.measures(documents(spark, folder))
 
 
+@query("op3_virtual_slots")
+def op3_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    return slots.assign(documents(spark, folder))
+
+
 @query(
     "op5_patricia_owners",
     """
