@@ -34,8 +34,9 @@ def rebalanced(shard_of: np.ndarray, load: np.ndarray, shards: int) -> np.ndarra
     """The map after moves and swaps of slots between the fullest and the emptiest shard; `load` is bytes by slot."""
     shard_of = shard_of.copy()
     total = np.bincount(shard_of, weights=load, minlength=shards).astype(np.int64)
+    open_ = np.ones(shards, bool)  # a full shard that no change helps (one huge slot, say) is left out from then on
     for _ in range(20 * len(load)):
-        full, empty = int(total.argmax()), int(total.argmin())
+        full, empty = int(np.where(open_, total, -1).argmax()), int(total.argmin())
         gap = int(total[full] - total[empty])
         if gap <= 1:
             break
@@ -50,11 +51,10 @@ def rebalanced(shard_of: np.ndarray, load: np.ndarray, shards: int) -> np.ndarra
                 left = np.abs(gap - 2 * (load[ours] - load[other]))
                 best = int(left.argmin())
                 options.append((int(left[best]), int(ours[best]), int(other[best])))
-        if not options:
-            break
-        left, give, take = min(options)
-        if left >= gap:
-            break
+        if not options or min(options)[0] >= gap:
+            open_[full] = False
+            continue
+        _, give, take = min(options)
         shard_of[give] = empty
         moved = int(load[give])
         if take >= 0:
@@ -71,10 +71,11 @@ def grown(shard_of: np.ndarray, load: np.ndarray, shards: int) -> np.ndarray:
     total = np.bincount(shard_of, weights=load, minlength=shards + 1).astype(np.int64)
     goal = int(total.sum()) // (shards + 1)
     while total[shards] < goal:
-        full = int(total[:shards].argmax())
-        ours = np.flatnonzero((shard_of == full) & (load > 0) & (load <= goal - total[shards]))
-        if not len(ours):
+        fits = (load > 0) & (load <= goal - total[shards]) & (shard_of != shards) & (total[shard_of] > goal)
+        if not fits.any():
             break
+        full = shard_of[fits][total[shard_of[fits]].argmax()]
+        ours = np.flatnonzero(fits & (shard_of == full))
         slot = ours[load[ours].argmax()]
         shard_of[slot] = shards
         total[full] -= load[slot]

@@ -15,7 +15,8 @@ def test_rebalancing_and_growing(seed):
     assert (np.bincount(start) == 64).all()
     edited = slots.rebalanced(start, load, 16)
     total = np.bincount(edited, weights=load, minlength=16)
-    assert total.max() - total.min() <= 0.001 * total.mean() + 2 or total.max() == load.max()
+    single = np.array([np.count_nonzero(load[edited == k]) == 1 for k in range(16)])  # one huge slot alone
+    assert np.ptp(total[~single]) <= 0.001 * total.mean() + 2 and (total[single] >= total[~single].max() - 2).all()
     assert (slots.rebalanced(edited, load, 16) == edited).all()
     more = slots.grown(edited, load, 16)
     assert set(more[more != edited]) <= {16} and np.bincount(more, weights=load, minlength=17)[16] >= 0.9 * total.sum() / 17
