@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import divergence, exact_dedup, mixing, repair, simhash, slots, transducer
+from mldiag.llm import divergence, exact_dedup, language, mixing, repair, simhash, slots, transducer
 from mldiag.llm.common import documents, new_path
 from mldiag.llm.registry import query
 
@@ -53,3 +53,8 @@ def op7_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_subset_sum_mix")
 def op8_subset_sum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(documents(spark, folder))
+
+
+@query("op9_kneser_ney_language")
+def op9_kneser_ney_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(documents(spark, folder))
