@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mldiag.llm.common import bytes_of, map_batches
+from mldiag.llm.common import bytes_of, map_batches, stored
 
 COMMON_WORDS = 40
 LANGUAGE_SHARE = 0.001
@@ -114,7 +114,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float =
     """One reference a language; at most 1 / share languages of common_words words each come to the driver."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     partial = map_batches(texts.filter("lang is not null"), _corpus_counts(FLUSH), "kind string, lang string, item binary, n bigint")
-    counts = partial.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counts = stored(partial.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")), "word-counts")
     # the most common of each slice of words, then of those: no language's words meet in one task
     slice_ = F.when(F.col("kind") == "word", F.pmod(F.xxhash64("item"), F.lit(256))).otherwise(0)
     letters = F.decode("item", "UTF-8").rlike("[A-Za-z\\x{80}-\\x{10FFFF}]")
