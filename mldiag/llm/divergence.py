@@ -152,9 +152,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def repeated_words(ids: np.ndarray) -> int:
-    """Words within windows of three that occur twice or more; ids are below 2^21."""
+    """Words within windows of three that occur twice or more."""
     if len(ids) < 4:
         return 0
+    if ids.max() >= CODES:
+        return _repeated_wide(ids)
     windows = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
     ordered = np.sort(windows)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
@@ -220,7 +222,7 @@ def _measure(refs: list[Reference], limits: Limits):
             else:  # a text of a million words is numbered by itself
                 own: dict[bytes, int] = {}
                 ids = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, n)
-                repeated = repeated_words(ids) if len(own) <= CODES else _repeated_wide(ids)
+                repeated = repeated_words(ids)
                 codes.clear()
                 ids = None
             failed = n < limits.min_words or 100 * repeated > limits.repeat_percent * n

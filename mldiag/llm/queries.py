@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import divergence, exact_dedup, language, mixing, repair, simhash, slots, transducer
+from mldiag.llm import divergence, exact_dedup, language, mixing, repair, simhash, slots, transducer, weak_labels
 from mldiag.llm.common import documents, new_path
 from mldiag.llm.registry import query
 
@@ -28,6 +28,11 @@ def op3_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return slots.assign(documents(spark, folder))
 
 
+@query("op4_weak_label_model")
+def op4_weak_label_model(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_labels.classify(documents(spark, folder))
+
+
 @query(
     "op5_patricia_owners",
     """
