@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mldiag.llm import divergence, exact_dedup, language, mixing, repair, simhash, slots, transducer, weak_labels
+from mldiag.llm import divergence, exact_dedup, language, licences, mixing, repair, simhash, slots, transducer, weak_labels
 from mldiag.llm.common import documents, new_path
 from mldiag.llm.registry import query
 
@@ -63,3 +63,8 @@ def op8_subset_sum_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_kneser_ney_language")
 def op9_kneser_ney_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(documents(spark, folder))
+
+
+@query("op10_licence_paragraphs")
+def op10_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(documents(spark, folder))
