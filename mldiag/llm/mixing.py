@@ -31,6 +31,7 @@ MOST = 2.0
 SEED = 17
 SLICES = 256
 WINDOW = 1 << 16
+OVER = 1 << 10
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take, so that the lengths add up to `goal` or as near below it as can be found."""
+    """How many documents of each length to take, so that the lengths add up to `goal` or as near to it as can be found."""
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if goal <= 0 or total == 0:
@@ -76,17 +77,18 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int
         taken[i] += more
         left -= more * int(lengths[i])
     # bounded knapsack over what is left; a length's count is cut into powers of two
-    first = np.full(left + 1, -1, np.int64)
-    reach = np.zeros(left + 1, bool)
+    most = left + OVER
+    first = np.full(most + 1, -1, np.int64)
+    reach = np.zeros(most + 1, bool)
     reach[0] = True
     items: list[tuple[int, int]] = []
     for i in order.tolist():
         length, rest, part = int(lengths[i]), int(counts[i] - taken[i]), 1
-        rest = min(rest, left // length) if length else 0
+        rest = min(rest, most // length) if length else 0
         while rest and not reach[left]:
             part = min(part, rest)
             weight = part * length
-            new = np.flatnonzero(reach[: left + 1 - weight] & ~reach[weight:]) + weight
+            new = np.flatnonzero(reach[: most + 1 - weight] & ~reach[weight:]) + weight
             first[new] = len(items)
             reach[new] = True
             items.append((i, part))
@@ -94,7 +96,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int
             part *= 2
         if reach[left]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.abs(sums - left).argmin()])
     while at:
         i, part = items[first[at]]
         taken[i] += part
