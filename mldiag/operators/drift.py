@@ -17,8 +17,7 @@ from mldiag.operators.scale import (
 )
 
 PSI_FLOOR = 0.000001
-MAX_WINDOWS = 20
-TEMPORAL_FEATURES = 5
+N_WINDOWS = 20
 
 
 def drift_features(
@@ -159,13 +158,15 @@ def reference_bins(reference: DataFrame, features: Sequence[str], n_bins: int =
     )
 
 
-def time_windows(production: DataFrame, timestamp_col: str, id_col: str) -> DataFrame:
-    """Equal-count consecutive windows by time: min(20, n // 10) of them, no rows below two."""
+def time_windows(
+    production: DataFrame, timestamp_col: str, id_col: str, max_windows: int = N_WINDOWS
+) -> DataFrame:
+    """Equal-count consecutive windows by time: min(max_windows, n // 10) of them, no rows below two."""
     n_windows = 0
 
     def starts(total: int) -> list[int]:
         nonlocal n_windows
-        n_windows = min(MAX_WINDOWS, total // 10)
+        n_windows = min(max_windows, total // 10)
         return window_starts(total, n_windows)
 
     windowed = assign_windows(production, timestamp_col, id_col, starts)
@@ -179,19 +180,20 @@ def temporal_drift(
     timestamp_col: str,
     id_col: str,
     features: Sequence[str] | None = None,
+    max_windows: int = N_WINDOWS,
 ) -> DataFrame:
     """(window, mean_ks, max_ks): each time window of production against the whole reference.
 
     The reference is ordered once for all windows. The largest gap to a window's step function lies
     at a window value or just before it, so windows only carry their own values.
     """
-    names = drift_features(reference, production, features, timestamp_col)[:TEMPORAL_FEATURES]
+    names = drift_features(reference, production, features, timestamp_col)
     ref_counts = (
         unpivot_features(reference, names)
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n_ref"))
     )
-    windowed = time_windows(production, timestamp_col, id_col)
+    windowed = time_windows(production, timestamp_col, id_col, max_windows)
     win_counts = (
         unpivot_features(windowed, names, keep=["window"])
         .groupBy("window", "feature", "value")

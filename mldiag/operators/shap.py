@@ -20,24 +20,44 @@ from mldiag.operators.scoring import BatchScorer, ExprScorer, LinearScorer, Scor
 
 BACKGROUND_ROWS = 100
 MAX_EXACT = 10
-_LONG = "id bigint, class string, feature string, phi double, value double"
+
+
+def imputed(df: DataFrame, id_col: str, scorer: Scorer) -> DataFrame:
+    """Id (as `id`, any type), a row key, and the features as doubles without nulls.
+
+    A missing value becomes the mean the fitted model imputes, or else the mean of the table.
+    """
+    features = list(scorer.features)
+    learnt = getattr(getattr(scorer, "model", None), "prepared", None)
+    if learnt is not None:
+        by_name = dict(zip(learnt.features, learnt.means))
+        means = [F.lit(float(by_name[f])) for f in features]
+    else:
+        row = df.agg(F.struct(*[F.avg(as_double(f)).alias(f"m{i}") for i, f in enumerate(features)])).scalar()
+        means = [F.coalesce(row[f"m{i}"], F.lit(0.0)) for i in range(len(features))]
+    values = [F.coalesce(as_double(f), m).alias(f) for f, m in zip(features, means)]
+    return df.select(ref(id_col).alias("id"), F.monotonically_increasing_id().alias("_row"), *values)
 
 
 def background(
     df: DataFrame, id_col: str, features: Sequence[str], n: int = BACKGROUND_ROWS, seed: int = 42
 ) -> list[list[float]]:
-    """At most n sampled feature rows, as plain numbers."""
-    rows = hash_sample(df, id_col, n, seed).select(*[as_double(f).alias(f) for f in features])
-    return [[float(v) if v is not None else 0.0 for v in r] for r in rows.collect()]
+    """At most n sampled feature rows, as plain numbers; a missing value becomes the table's mean."""
+    values = [as_double(f).alias(f"f{i}") for i, f in enumerate(features)]
+    rows = hash_sample(df, id_col, n, seed).select(*values).collect()
+    if not any(v is None for r in rows for v in r):
+        return [list(r) for r in rows]
+    means = df.agg(*[F.avg(as_double(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    return [[(m or 0.0) if v is None else v for v, m in zip(r, means)] for r in rows]
 
 
 def explained_rows(
-    df: DataFrame, id_col: str, selection: DataFrame | None = None, n: int = 50
+    df: DataFrame, id_col: str, selection: DataFrame | None = None, n: int | None = None
 ) -> DataFrame:
-    """The selected rows, or the first n by id when nothing is selected."""
+    """The selected rows; without a selection the first n by id, or all rows if n is not given."""
     if selection is not None:
         return df.join(selection.select(ref(id_col)).distinct(), id_col, "left_semi")
-    return df.orderBy(ref(id_col)).limit(n)
+    return df if n is None else df.orderBy(ref(id_col)).limit(n)
 
 
 def coalition_weights(n_features: int) -> np.ndarray:
@@ -70,10 +90,11 @@ def linear_shap(df: DataFrame, id_col: str, scorer: LinearScorer) -> DataFrame:
         F.struct(*[F.avg(as_double(f)).alias(f"m{i}") for i, f in enumerate(scorer.features)])
     ).scalar()
     rows = df.withColumn("_m", means)
-    cells = [
-        (scorer.classes[1], f, F.lit(w) * (as_double(f) - F.col(f"_m.m{i}")), as_double(f))
-        for i, (f, w) in enumerate(zip(scorer.features, scorer.weights))
-    ]
+    cells = []
+    for i, (f, w) in enumerate(zip(scorer.features, scorer.weights)):
+        mean = F.col(f"_m.m{i}")
+        value = F.coalesce(as_double(f), mean)
+        cells.append((scorer.classes[1], f, F.lit(w) * (value - mean), value))
     return _unfold(rows, id_col, cells)
 
 
@@ -85,23 +106,55 @@ def linear_base(df: DataFrame, scorer: LinearScorer) -> DataFrame:
     )
 
 
+def _folded(scored: DataFrame, scorer: Scorer, weights: Sequence[Column]) -> DataFrame:
+    """Attributions from scored mixes: per row and feature the weighted sum of the probabilities.
+
+    Rows were spread by id, so this sum stays inside the partition; rows of one id are told apart by key.
+    """
+    features, classes = list(scorer.features), list(scorer.classes)
+    m = len(features)
+    shares = [w.alias(f"_w{i}") for i, w in enumerate(weights)]
+    sums = (
+        scored.select("id", "_row", "probability", *[f"_x{i}" for i in range(m)], *shares)
+        .groupBy("id", "_row")
+        .agg(
+            *[F.expr(f"max(_x{i}) as _x{i}") for i in range(m)],
+            *[
+                F.expr(f"sum(_w{i} * probability[{c}]) as _phi_{c}_{i}")
+                for c in range(len(classes))
+                for i in range(m)
+            ],
+        )
+    )
+    cells = [
+        (name, f, F.col(f"_phi_{c}_{i}"), F.col(f"_x{i}"))
+        for c, name in enumerate(classes)
+        for i, f in enumerate(features)
+    ]
+    return _unfold(sums, "id", cells)
+
+
+def _points(df: DataFrame, id_col: str, scorer: Scorer) -> DataFrame:
+    """(id, _row, _x0, _x1, ...) spread by id."""
+    names = [f"_x{i}" for i in range(len(scorer.features))]
+    rows = imputed(df, id_col, scorer)
+    return spread(rows.select("id", "_row", *[ref(f).alias(x) for f, x in zip(scorer.features, names)]), "id")
+
+
 def exact_shap(
     df: DataFrame, id_col: str, scorer: Scorer, rows: Sequence[Sequence[float]]
 ) -> DataFrame:
-    """All 2^M coalitions of an expression model or a fitted pipeline; M <= 10, unique ids.
+    """All 2^M coalitions of an expression model or a fitted pipeline; M <= 10.
 
     Rows are first spread by id. Each is then unfolded to its coalitions and background mixes, scored
     in one transform and summed up again inside its partition: the unfolded rows are never shuffled.
     """
-    features, classes = list(scorer.features), list(scorer.classes)
+    features = list(scorer.features)
     m = len(features)
     if m > MAX_EXACT:
-        raise ValueError(f"exact attribution needs at most {MAX_EXACT} features")
-    points = df.select(
-        ref(id_col).alias("id"), *[as_double(f).alias(f"_x{i}") for i, f in enumerate(features)]
-    )
+        raise ValueError(f"exact attribution needs at most {MAX_EXACT} features; ask for method='sampled'")
     mixes = (
-        spread(points, "id")
+        _points(df, id_col, scorer)
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(2**m - 1))).alias("_mask"))
         .select("*", F.explode(literal_matrix(rows)).alias("_b"))
     )
@@ -109,28 +162,10 @@ def exact_shap(
         F.expr(f"case when (_mask & {1 << i}) <> 0 then _x{i} else _b[{i}] end").alias(f)
         for i, f in enumerate(features)
     ]
-    mixes = mixes.select("id", "_mask", *[f"_x{i}" for i in range(m)], *mixed)
+    mixes = mixes.select("id", "_row", "_mask", *[f"_x{i}" for i in range(m)], *mixed)
     weights = coalition_weights(m) / len(rows)
-    shares = [
-        F.get(literal_vector(weights[i]), F.col("_mask")).alias(f"_w{i}") for i in range(m)
-    ]
-    scored = scorer.transform(mixes).select(
-        "id", "probability", *[f"_x{i}" for i in range(m)], *shares
-    )
-    sums = scored.groupBy("id").agg(
-        *[F.expr(f"max(_x{i}) as _x{i}") for i in range(m)],
-        *[
-            F.expr(f"sum(_w{i} * probability[{c}]) as _phi_{c}_{i}")
-            for c in range(len(classes))
-            for i in range(m)
-        ],
-    )
-    cells = [
-        (name, f, F.col(f"_phi_{c}_{i}"), F.col(f"_x{i}"))
-        for c, name in enumerate(classes)
-        for i, f in enumerate(features)
-    ]
-    return _unfold(sums, "id", cells)
+    shares = [F.get(literal_vector(weights[i]), F.col("_mask")) for i in range(m)]
+    return _folded(scorer.transform(mixes), scorer, shares)
 
 
 def _orders(n_features: int, rows: Sequence[Sequence[float]], n: int, seed: int):
@@ -144,21 +179,43 @@ def _orders(n_features: int, rows: Sequence[Sequence[float]], n: int, seed: int)
 def sampled_shap(
     df: DataFrame,
     id_col: str,
-    scorer: ExprScorer,
+    scorer: Scorer,
     rows: Sequence[Sequence[float]],
     n_orders: int = 200,
     seed: int = 42,
 ) -> DataFrame:
-    """Permutation sampling (Strumbelj and Kononenko, 2014) for models with many features.
+    """Permutation sampling (Strumbelj and Kononenko, 2014), for any number of features.
 
     Each draw walks from a background row to the explained row in a random feature order; the steps
-    of a draw add up to the difference of the two predictions, so sums are exact.
+    of a draw add up to the difference of the two predictions, so sums are exact. Expression models
+    are walked inside array functions; other models score every step as a row, like `exact_shap`.
     """
     features, classes = list(scorer.features), list(scorer.classes)
     m = len(features)
-    x = [as_double(f) for f in features]
     ranks, drawn = _orders(m, rows, n_orders, seed)
     draws = literal_matrix(np.concatenate([ranks, drawn], axis=1))
+    points = _points(df, id_col, scorer)
+    x = [F.col(f"_x{i}") for i in range(m)]
+    if not isinstance(scorer, ExprScorer):
+        steps = points.select("*", F.explode(draws).alias("_d")).select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_step")
+        )
+        mixed = [
+            F.when(F.col("_d")[i] < F.col("_step"), x[i]).otherwise(F.col("_d")[m + i]).alias(f)
+            for i, f in enumerate(features)
+        ]
+        kept = ["id", "_row", "_step", *[f"_x{i}" for i in range(m)]]
+        rows_ = steps.select(*kept, F.slice("_d", 1, m).alias("_ranks"), *mixed)
+        # a feature's gain is the score after its step less the score before it
+        shares = [
+            (
+                (F.col("_ranks")[i] == F.col("_step") - 1).cast("double")
+                - (F.col("_ranks")[i] == F.col("_step")).cast("double")
+            )
+            / F.lit(float(n_orders))
+            for i in range(m)
+        ]
+        return _folded(scorer.transform(rows_), scorer, shares)
 
     def step(i: int, c: int) -> Column:
         def gain(d: Column) -> Column:
@@ -177,7 +234,7 @@ def sampled_shap(
         return total / F.lit(float(n_orders))
 
     cells = [(name, f, step(i, c), x[i]) for c, name in enumerate(classes) for i, f in enumerate(features)]
-    return _unfold(spread(df, id_col).withColumn("_draws", draws), id_col, cells)
+    return _unfold(points.withColumn("_draws", draws), "id", cells)
 
 
 def batch_shap(
@@ -187,55 +244,81 @@ def batch_shap(
     rows: Sequence[Sequence[float]],
     n_orders: int = 200,
     seed: int = 42,
+    method: str = "exact",
+    chunk: int = 16,
 ) -> DataFrame:
-    """The same values for a model given as a matrix function, evaluated in Arrow batches."""
+    """The same values for a model given as a matrix function, called for `chunk` rows at a time."""
     features, classes, fn = list(scorer.features), list(scorer.classes), scorer.fn
-    m, bg = len(features), np.asarray(rows, dtype=float)
-    exact = m <= MAX_EXACT
+    m, bg, n_classes = len(features), np.asarray(rows, dtype=float), len(classes)
+    exact = method == "exact"
+    if exact and m > MAX_EXACT:
+        raise ValueError(f"exact attribution needs at most {MAX_EXACT} features; ask for method='sampled'")
     if exact:
         inside = (np.arange(2**m)[:, None] >> np.arange(m)[None, :]) & 1 == 1
         weights = coalition_weights(m)
     else:
         ranks, drawn = _orders(m, rows, n_orders, seed)
+        places = np.argsort(ranks, axis=1)  # feature taken at each step
 
-    def attribute(point: np.ndarray) -> np.ndarray:
+    def attribute(points: np.ndarray) -> np.ndarray:
+        """(rows, features, classes) of a chunk, by one call of the model."""
         if exact:
-            mixed = np.where(inside[:, None, :], point[None, None, :], bg[None, :, :])
+            mixed = np.where(inside[None, :, None, :], points[:, None, None, :], bg[None, None, :, :])
             values = np.asarray(fn(mixed.reshape(-1, m)), dtype=float)
-            return weights @ values.reshape(2**m, len(bg), -1).mean(1)
-        steps = np.arange(m + 1)[None, :, None]
-        mixed = np.where(ranks[:, None, :] < steps, point[None, None, :], drawn[:, None, :])
-        values = np.asarray(fn(mixed.reshape(-1, m)), dtype=float).reshape(len(ranks), m + 1, -1)
-        gains = np.diff(values, axis=1)
-        return np.stack([gains[np.arange(len(ranks)), ranks[:, i]].mean(0) for i in range(m)])
+            means = values.reshape(len(points), 2**m, len(bg), n_classes).mean(2)
+            return np.einsum("fk,rkc->rfc", weights, means)
+        before = ranks[None, :, None, :] < np.arange(m + 1)[None, None, :, None]
+        mixed = np.where(before, points[:, None, None, :], drawn[None, :, None, :])
+        values = np.asarray(fn(mixed.reshape(-1, m)), dtype=float).reshape(len(points), len(ranks), m + 1, n_classes)
+        gains = np.diff(values, axis=2)
+        by_feature = np.take_along_axis(gains, np.argsort(places, axis=1)[None, :, :, None], axis=2)
+        return by_feature.mean(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for identifier, point in zip(batch["id"], batch["x"]):
-                phi = attribute(np.asarray(point, dtype=float))
-                out += [
-                    (identifier, c, f, phi[i, k], point[i])
-                    for k, c in enumerate(classes)
-                    for i, f in enumerate(features)
-                ]
-            yield pd.DataFrame(out, columns=["id", "class", "feature", "phi", "value"])
-
-    points = df.select(ref(id_col).cast("bigint").alias("id"), F.array(*[as_double(f) for f in features]).alias("x"))
-    return spread(points, "id").mapInPandas(run, _LONG)
+            for at in range(0, len(batch), chunk):
+                part = batch.iloc[at : at + chunk]
+                points = np.stack(part["x"].to_numpy()).astype(float)
+                phi = attribute(points).transpose(0, 2, 1)  # rows, classes, features
+                yield pd.DataFrame(
+                    {
+                        "id": np.repeat(part["id"].to_numpy(), n_classes * m),
+                        "class": np.tile(np.repeat(classes, m), len(part)),
+                        "feature": np.tile(features, len(part) * n_classes),
+                        "phi": phi.ravel(),
+                        "value": np.repeat(points, n_classes, axis=0).ravel(),
+                    }
+                )
+
+    ready = imputed(df, id_col, scorer).select("id", F.array(*[ref(f) for f in features]).alias("x"))
+    kind = ready.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, class string, feature string, phi double, value double"
+    return spread(ready, "id").mapInPandas(run, schema)
 
 
 def shap_values(
-    df: DataFrame, id_col: str, scorer: Scorer, rows: Sequence[Sequence[float]] | None = None
+    df: DataFrame,
+    id_col: str,
+    scorer: Scorer,
+    rows: Sequence[Sequence[float]] | None = None,
+    method: str | None = None,
+    **options,
 ) -> DataFrame:
-    """Attributions by the cheapest exact way the scorer allows, sampling beyond 10 features."""
-    if isinstance(scorer, LinearScorer) and rows is None:
+    """Attributions by the method asked for: linear, exact (at most 10 features) or sampled.
+
+    Without one: linear for a linear scorer without a background, else exact, which raises beyond 10 features.
+    """
+    if method is None:
+        method = "linear" if isinstance(scorer, LinearScorer) and rows is None else "exact"
+    if method not in ("linear", "exact", "sampled"):
+        raise ValueError(f"Unknown method: {method}")
+    if method == "linear":
         return linear_shap(df, id_col, scorer)
     rows = rows if rows is not None else background(df, id_col, scorer.features)
     if isinstance(scorer, BatchScorer):
-        return batch_shap(df, id_col, scorer, rows)
-    if isinstance(scorer, ExprScorer) and len(scorer.features) > MAX_EXACT:
-        return sampled_shap(df, id_col, scorer, rows)
+        return batch_shap(df, id_col, scorer, rows, method=method, **options)
+    if method == "sampled":
+        return sampled_shap(df, id_col, scorer, rows, **options)
     return exact_shap(df, id_col, scorer, rows)
 
 
@@ -260,34 +343,37 @@ def reduce_classes(long: DataFrame, how: str = "mean", first: str | None = None)
     return long.groupBy("id", "feature").agg(F.avg("phi").alias("phi"), F.max("value").alias("value"))
 
 
-def importance(long: DataFrame, top: int = 20) -> DataFrame:
-    """(feature, mean_abs_phi), the largest first."""
-    return (
+def importance(long: DataFrame, top: int | None = None) -> DataFrame:
+    """(feature, mean_abs_phi), the largest first; all features unless `top` is given."""
+    ranked = (
         long.groupBy("feature")
         .agg(F.round(F.avg(F.abs("phi")), 6).alias("mean_abs_phi"))
         .orderBy(F.desc("mean_abs_phi"), "feature")
-        .limit(top)
     )
+    return ranked if top is None else ranked.limit(top)
 
 
-def waterfall(long: DataFrame, top: int = 15) -> DataFrame:
-    """(id, rank, feature, phi, sign): the strongest features of every row."""
+def waterfall(long: DataFrame, top: int | None = None, base: DataFrame | None = None) -> DataFrame:
+    """(id, rank, feature, phi, sign, base): the strongest features of every row, all unless `top` is given.
+
+    `base` is the one-row (or, with classes, per-class) table of `base_values`; without it the column is null.
+    """
     order = Window.partitionBy("id").orderBy(F.desc(F.abs("phi")), "feature")
-    return (
-        long.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select(
-            "id",
-            "rank",
-            "feature",
-            "phi",
-            F.when(F.col("phi") > 0, "positive").otherwise("negative").alias("sign"),
-        )
-    )
+    ranked = long.withColumn("rank", F.row_number().over(order))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
+    if base is None:
+        ranked = ranked.withColumn("base", F.lit(None).cast("double"))
+    elif "class" in long.columns:
+        ranked = ranked.join(base.select("class", "base"), "class")
+    else:
+        ranked = ranked.withColumn("base", base.select("base").scalar())
+    sign = F.when(F.col("phi") > 0, "positive").otherwise("negative").alias("sign")
+    return ranked.select("id", "rank", "feature", "phi", sign, "base")
 
 
-def distribution(long: DataFrame, top: int = 15, min_rows: int = 5) -> DataFrame:
-    """(id, feature, rank, phi, normalised, value) of the top features; needs five rows."""
+def distribution(long: DataFrame, top: int | None = None, min_rows: int = 1) -> DataFrame:
+    """(id, feature, rank, phi, normalised, value) of all features, or of the `top` strongest ones."""
     stats = long.groupBy("feature").agg(
         F.avg(F.abs("phi")).alias("strength"),
         F.count(F.lit(1)).alias("n"),
@@ -295,13 +381,12 @@ def distribution(long: DataFrame, top: int = 15, min_rows: int = 5) -> DataFrame
         F.max("value").alias("hi"),
     )
     # one row per feature
-    ranked = (
-        stats.withColumn(
-            "rank", F.row_number().over(Window.orderBy(F.desc("strength"), "feature")) - 1
-        )
-        .where((F.col("rank") < top) & (F.col("n") >= min_rows))
-        .select("feature", "rank", "lo", "hi")
-    )
+    ranked = stats.withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("strength"), "feature")) - 1
+    ).where(F.col("n") >= min_rows)
+    if top is not None:
+        ranked = ranked.where(F.col("rank") < top)
+    ranked = ranked.select("feature", "rank", "lo", "hi")
     scaled = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10)
     return long.join(F.broadcast(ranked), "feature").select(
         "id",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
 from mldiag.operators import drift
 from mldiag.plans.registry import query, table
+from mldiag.session import shared_folder
 from mldiag.streaming import drift_stream
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -145,6 +144,25 @@ def drift_temporal(spark, folder):
     return drift.temporal_drift(events, events, "ts", "event_id", ["value", "user_id"])
 
 
+SIX = {
+    "value": "value",
+    "user_id": "user_id",
+    "half": "value / 2",
+    "late": "event_id % 7",
+    "double": "user_id * 2",
+    "steady": "event_id",
+}
+_SIX_EVENTS = "(SELECT event_id AS key, ts, " + ", ".join(f"{e} AS {n}" for n, e in SIX.items()) + " FROM events)"
+
+
+@query("drift_temporal_six", temporal_sql(_SIX_EVENTS, list(SIX), "ts", "key"))
+def drift_temporal_six(spark, folder):
+    """Six features, of which only the sixth moves with time."""
+    events = table(spark, folder, "events")
+    rows = events.select(F.col("event_id").alias("key"), "ts", *[F.expr(e).alias(n) for n, e in SIX.items()])
+    return drift.temporal_drift(rows, rows, "ts", "key", list(SIX))
+
+
 @query("drift_temporal_tied", temporal_sql("orders", ["o_totalprice"], "o_orderstatus", "o_orderkey"))
 def drift_temporal_tied(spark, folder):
     """Windows over a column where a third of all rows share one value."""
@@ -204,28 +222,51 @@ def reference_bins(spark, folder):
 
 
 # -- streams -------------------------------------------------------------------------------------
-def _run(spark, stream, name):
-    """Drain a stream, keeping the latest complete counts as a table in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mldiag-")
-    base = f"{folder}/{name}-{uuid.uuid4().hex}"
+# Files are read in the order of writing, one a micro-batch: all events but the last day's, half of the last
+# day's, the other half with one row that is years late (rows are late by the watermark of the batch before),
+# and a row that moves the watermark past every window, so that all of them are emitted.
+_LATE = "2001-01-01 00:00:00"
+
+
+def _event_files(spark, folder):
+    events = table(spark, folder, "events")
+    base = shared_folder(spark, "events")
+    last = F.date_trunc("day", events.agg(F.max("ts").alias("t")).scalar())
+    late = events.where("event_id = 0").withColumn("ts", F.lit(_LATE).cast(events.schema["ts"].dataType))
+    end = events.where("event_id = 0").withColumn(
+        "ts", F.lit("2100-01-01 00:00:00").cast(events.schema["ts"].dataType)
+    )
+    final, even = F.col("ts") >= last, F.col("event_id") % 2 == 0
+    parts = (
+        events.where(~final),
+        events.where(final & even),
+        events.where(final & ~even).unionByName(late),
+        end,
+    )
+    for number, rows in enumerate(parts):
+        rows.coalesce(1).write.parquet(f"{base}/{number}")
+    return base, events.schema
 
-    def save(batch, _):
-        batch.write.mode("overwrite").parquet(f"{base}/counts")
 
+def _run(spark, stream, name):
+    """Drain a stream whose closed windows are appended to a table in the shared folder."""
+    base = shared_folder(spark, name)
     run = (
-        stream.writeStream.foreachBatch(save)
-        .outputMode("complete")
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{base}/counts")
         .option("checkpointLocation", f"{base}/progress")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{base}/counts")
+    return spark.read.schema(stream.schema).parquet(f"{base}/counts")
 
 
 def _events_stream(spark, folder):
-    schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    base, schema = _event_files(spark, folder)
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    return reader.option("pathGlobFilter", "*.parquet").parquet(base)
 
 
 def _stream_psi(spark, folder, size, slide, name):
@@ -276,3 +317,17 @@ def stream_class_counts(spark, folder):
     return _run(spark, counts, "stream_class_counts").withColumn(
         "start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")
     )
+
+
+@query(
+    "stream_confusion_counts",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS label,
+CASE WHEN value > 10 THEN 'purchase' ELSE 'click' END AS prediction, count(*) AS n FROM events GROUP BY ALL""",
+)
+def stream_confusion_counts(spark, folder):
+    predicted = F.when(F.col("value") > 10, "purchase").otherwise("click")
+    rows = _events_stream(spark, folder).withColumns({"label": F.col("event_type"), "prediction": predicted})
+    counts = drift_stream.class_counts(rows, "ts", ["label", "prediction"])
+    return _run(spark, counts, "stream_confusion_counts").withColumn(
+        "start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")
+    )

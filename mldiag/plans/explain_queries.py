@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from mldiag.operators import counterfactual, scoring, shap
+from mldiag.operators import counterfactual, scoring, shap, train
 from mldiag.plans.model_queries import (
     LINE_BIAS,
     LINE_FEATURES,
@@ -58,8 +61,7 @@ def shap_linear_base(spark, folder):
 
 @query(
     "shap_importance",
-    f"""WITH {_LONG} SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM long GROUP BY feature
-ORDER BY 2 DESC, 1 LIMIT 20""",
+    f"""WITH {_LONG} SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM long GROUP BY feature""",
 )
 def shap_importance(spark, folder):
     return shap.importance(_linear(spark, folder))
@@ -71,7 +73,7 @@ def shap_importance(spark, folder):
 rk AS (SELECT *, row_number() OVER (ORDER BY s DESC, feature) - 1 AS rank FROM st)
 SELECT id, feature, CAST(rank AS INTEGER) AS rank, round(phi, 8) + 0.0 AS phi,
   round((value - lo) / (hi - lo + 1e-10), 6) AS normalised, round(value, 6) AS value
-FROM long JOIN rk USING (feature) WHERE rank < 15""",
+FROM long JOIN rk USING (feature)""",
 )
 def shap_distribution(spark, folder):
     return _rounded(shap.distribution(_linear(spark, folder)))
@@ -176,11 +178,74 @@ def shap_batch(spark, folder):
     return _rounded(shap.batch_shap(rows, "p_partkey", scorer, background))
 
 
-@query("shap_sampled")
+N_ORDERS = 200
+
+
+def _sampled_sql() -> str:
+    ranks = np.random.RandomState(42)
+    draws = ", ".join(f"({d}, {', '.join(str(r) for r in ranks.permutation(3))})" for d in range(N_ORDERS))
+    own, other = ("a", "b", "c"), ("ba", "bb", "bc")
+
+    def gain(i: int) -> str:
+        def at(mine: bool) -> str:
+            picks = []
+            for j in range(3):
+                if j == i:
+                    picks.append(own[j] if mine else other[j])
+                else:
+                    picks.append(f"(CASE WHEN r{j} < r{i} THEN {own[j]} ELSE {other[j]} END)")
+            return _p1(*picks)
+
+        return f"avg({at(True)} - {at(False)}) AS g{i}"
+
+    return (
+        "WITH "
+        + _PARTS.replace("bg AS (SELECT", "bg AS (SELECT row_number() OVER (ORDER BY md5(p_partkey || ':42'), p_partkey) - 1 AS pos,")
+        + f", draws(d, r0, r1, r2) AS (VALUES {draws}), nb AS (SELECT count(*) AS nb FROM bg),"
+        + " dr AS (SELECT draws.*, ba, bb, bc FROM draws, nb JOIN bg ON pos = d % nb),"
+        + " g AS (SELECT p_partkey, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, "
+        + ", ".join(gain(i) for i in range(3))
+        + " FROM parts, dr GROUP BY p_partkey), long AS ("
+        + " UNION ALL ".join(
+            f"SELECT p_partkey AS id, '1' AS class, '{f}' AS feature, g{i} AS phi, {'abc'[i]} AS value FROM g"
+            for i, f in enumerate(PART_FEATURES)
+        )
+        + ")"
+        + _BOTH
+        + " SELECT id, class, feature, round(phi, 8) + 0.0 AS phi, round(value, 6) AS value FROM both_"
+    )
+
+
+@query("shap_sampled", _sampled_sql())
 def shap_sampled(spark, folder):
     rows = part_rows(spark, folder)
     background = shap.background(rows, "p_partkey", PART_FEATURES)
-    return shap.sampled_shap(rows, "p_partkey", part_scorer(), background, n_orders=50)
+    return _rounded(shap.shap_values(rows, "p_partkey", part_scorer(), background, "sampled", n_orders=N_ORDERS))
+
+
+@query(
+    "shap_pipeline_sums",
+    """SELECT vec_id AS id, CAST(label AS VARCHAR) AS class, CAST(12 AS BIGINT) AS features, true AS adds_up
+FROM embeddings, (SELECT DISTINCT label FROM embeddings)""".replace("CAST(label AS VARCHAR)", "c").replace(
+        "(SELECT DISTINCT label FROM embeddings)", "(SELECT DISTINCT CAST(label AS VARCHAR) AS c FROM embeddings)"
+    ),
+)
+def shap_pipeline_sums(spark, folder):
+    """A fitted pipeline on twelve features: sampled attributions add up to the prediction less the base."""
+    features = [f"f{i}" for i in range(12)]
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)]
+    )
+    fitted = train.train(rows, "vec_id", features, "label", "LogisticRegression", max_iter=20)
+    background = shap.background(rows, "vec_id", features, 20)
+    long = shap.shap_values(rows, "vec_id", fitted.scorer, background, "sampled", n_orders=20)
+    total = long.groupBy("id", "class").agg(F.sum("phi").alias("phi"), F.count("*").alias("features"))
+    base = shap.base_values(fitted.scorer, spark, background)
+    names = F.array(*[F.lit(c) for c in fitted.scorer.classes])
+    scored = fitted.scored.select(F.col("vec_id").alias("id"), F.posexplode("probability").alias("i", "p"))
+    scored = scored.select("id", F.get(names, F.col("i")).alias("class"), "p")
+    both = total.join(scored, ["id", "class"]).join(F.broadcast(base), "class")  # one row per class
+    return both.select("id", "class", "features", (F.abs(F.col("p") - F.col("base") - F.col("phi")) < 1e-9).alias("adds_up"))
 
 
 @query(
@@ -200,12 +265,17 @@ def _first(spark, folder):
 @query(
     "shap_waterfall",
     _EXACT
-    + """ SELECT id, CAST(rk AS INTEGER) AS rank, feature, round(phi, 8) + 0.0 AS phi,
-CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS sign
-FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, feature) AS rk FROM long) WHERE rk <= 2""",
+    + f""", base AS (SELECT avg({_p1('ba', 'bb', 'bc')}) AS base FROM bg)
+SELECT id, CAST(rk AS INTEGER) AS rank, feature, round(phi, 8) + 0.0 AS phi,
+CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS sign, round(base, 6) AS base
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, feature) AS rk FROM long), base""",
 )
 def shap_waterfall(spark, folder):
-    return _rounded(shap.waterfall(_first(spark, folder), top=2))
+    rows = part_rows(spark, folder)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    base = shap.base_values(part_scorer(), spark, background).where("class = '1'")
+    falls = shap.waterfall(_first(spark, folder), base=base)
+    return _rounded(falls).withColumn("base", F.round("base", 6))
 
 
 @query(
@@ -236,14 +306,55 @@ def shap_columns(spark, folder):
     )
 
 
-@query(
-    "shap_mean_over_classes",
-    _EXACT + " SELECT id, feature, 0.0::DOUBLE AS phi, round(value, 6) AS value FROM long",
-)
+# three one-against-rest scores that need not add up to 1, so that the mean over classes is not 0
+_SCORES = ["-18.0 + 0.02 * {b} + 0.08 * {a}", "2.0 - 0.1 * {a}", "-1.0 + 0.05 * {c} + 0.001 * {a} * {c}"]
+
+
+def _score_sql(k: int, picks: Sequence[str]) -> str:
+    margin = _SCORES[k].format(a=picks[0], b=picks[1], c=picks[2])
+    for number in ("18.0", "0.02", "0.08", "2.0", "0.1", "1.0", "0.05", "0.001"):
+        margin = re.sub(rf"(?<![\d.]){re.escape(number)}(?![\d.])", f"{number}::DOUBLE", margin)
+    return f"(1.0 / (1.0 + exp(-({margin}))))"
+
+
+def _three_sql() -> str:
+    own, other = ("a", "b", "c"), ("ba", "bb", "bc")
+    values = ", ".join(
+        f"avg({_score_sql(k, [o if mask >> i & 1 else x for i, (o, x) in enumerate(zip(own, other))])}) AS v{k}_{mask}"
+        for k in range(3)
+        for mask in range(8)
+    )
+    weights = shap.coalition_weights(3)
+    phi = lambda k, i: " + ".join(f"({float(w)!r}::DOUBLE * v{k}_{m})" for m, w in enumerate(weights[i]))
+    return (
+        "WITH " + _PARTS + f", v AS (SELECT p_partkey, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, {values}"
+        " FROM parts, bg GROUP BY p_partkey) "
+        + " UNION ALL ".join(
+            f"SELECT p_partkey AS id, '{f}' AS feature, round(({' + '.join(phi(k, i) for k in range(3))}) / 3, 6) + 0.0 AS phi,"
+            f" round({'abc'[i]}, 6) AS value FROM v"
+            for i, f in enumerate(PART_FEATURES)
+        )
+    )
+
+
+def _three_scores(values):
+    size, price, length = values
+    margins = [
+        F.lit(-18.0) + F.lit(0.02) * price + F.lit(0.08) * size,
+        F.lit(2.0) - F.lit(0.1) * size,
+        F.lit(-1.0) + F.lit(0.05) * length + F.lit(0.001) * size * length,
+    ]
+    return F.array(*[F.lit(1.0) / (F.lit(1.0) + F.exp(-m)) for m in margins])
+
+
+@query("shap_mean_over_classes", _three_sql())
 def shap_mean_over_classes(spark, folder):
-    rows = shap.reduce_classes(_exact(spark, folder), "mean")
-    return rows.select(
-        "id", "feature", F.abs(F.round("phi", 6)).alias("phi"), F.round("value", 6).alias("value")
+    rows = part_rows(spark, folder)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    scorer = scoring.ExprScorer(PART_FEATURES, ["0", "1", "2"], _three_scores)
+    mean = shap.reduce_classes(shap.exact_shap(rows, "p_partkey", scorer, background), "mean")
+    return mean.select(
+        "id", "feature", (F.round("phi", 6) + F.lit(0.0)).alias("phi"), F.round("value", 6).alias("value")
     )
 
 
@@ -322,9 +433,9 @@ def what_if(spark, folder):
 SELECT feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM long WHERE id IN (SELECT p_partkey FROM f) GROUP BY feature""",
 )
 def shap_first_rows(spark, folder):
-    """Importance when nothing is selected: the first 50 rows are explained."""
+    """Importance of the first 50 rows, as asked for."""
     rows = part_rows(spark, folder)
     background = shap.background(rows, "p_partkey", PART_FEATURES)
-    first = shap.explained_rows(rows, "p_partkey")
+    first = shap.explained_rows(rows, "p_partkey", n=50)
     long = shap.exact_shap(first, "p_partkey", part_scorer(), background)
     return shap.importance(shap.reduce_classes(long, "first", "1"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from mldiag.operators import shap, transforms
@@ -13,7 +10,6 @@ from mldiag.operators.profile import normalise_nulls as clean_nulls
 from mldiag.plans.annotate_queries import _LOG, annotation_log
 from mldiag.plans.explain_queries import _LONG
 from mldiag.plans.model_queries import (
-    A,
     LINE_FEATURES,
     LINE_SQL,
     N_DIMS,
@@ -22,46 +18,41 @@ from mldiag.plans.model_queries import (
     scored_vectors,
 )
 from mldiag.plans.registry import query, table
+from mldiag.session import shared_folder
 from mldiag.sources import catalog, readers, sinks
 
 
-def _folder(spark, name: str) -> str:
-    """A fresh folder below the shared one, or a private one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mldiag-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 _CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 _SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
 @query("read_csv", _CUSTOMERS)
 def read_csv(spark, folder):
-    path = _folder(spark, "customer") + ".csv"
+    path = shared_folder(spark, "customer") + ".csv"
     table(spark, folder, "customer").write.option("header", True).csv(path)
     return readers.read_table(spark, path, _SCHEMA)
 
 
 @query("read_tsv", _CUSTOMERS)
 def read_tsv(spark, folder):
-    path = _folder(spark, "customer") + ".TSV"
+    path = shared_folder(spark, "customer") + ".TSV"
     table(spark, folder, "customer").write.option("header", True).option("sep", "\t").csv(path)
     return readers.read_table(spark, path, _SCHEMA)
 
 
 @query("read_json_lines", _CUSTOMERS)
 def read_json_lines(spark, folder):
-    path = _folder(spark, "customer") + ".jsonl"
+    path = shared_folder(spark, "customer") + ".jsonl"
     table(spark, folder, "customer").write.json(path)
     return readers.read_table(spark, path, _SCHEMA)
 
 
 @query("read_json", _CUSTOMERS)
 def read_json(spark, folder):
-    """Array documents, one per nation."""
-    path = _folder(spark, "customer") + ".json"
+    """Array documents of up to 500 customers."""
+    path = shared_folder(spark, "customer") + ".json"
     rows = table(spark, folder, "customer")
-    documents = rows.groupBy("c_nationkey").agg(
+    documents = rows.groupBy(F.expr("c_custkey div 500").alias("document")).agg(
         F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")
     )
     documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
@@ -78,20 +69,6 @@ def _catalog(spark, folder):
     return catalog.TableCatalog(spark, {n: f"{folder}/{n}.parquet" for n in names})
 
 
-@query("source_tables", "SELECT unnest(['orders', 'customer', 'part']) AS \"table\"")
-def source_tables(spark, folder):
-    return _catalog(spark, folder).schema().select("table").distinct()
-
-
-@query(
-    "source_schema",
-    """SELECT 'customer' AS "table", unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column",
-unnest(['bigint', 'string', 'int', 'double', 'string']) AS dtype FROM (SELECT 1 FROM customer LIMIT 1)""",
-)
-def source_schema(spark, folder):
-    return _catalog(spark, folder).schema("customer")
-
-
 @query(
     "source_filter",
     """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
@@ -146,26 +123,30 @@ def decode_target_list(spark, folder):
 
 @query(
     "snapshot",
-    A
+    _LOG
     + """ SELECT 'embeddings' AS dataset_name, count(*) AS n_samples, CAST(2 AS BIGINT) AS n_features, 'x,y' AS feature_columns,
-'label' AS label_column, '' AS class_names, 'centroid' AS model_name, 'features' AS embedding_method, 'pca' AS reduction_method,
-CAST(5 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_annotations, CAST(0 AS BIGINT) AS n_selected,
+'label' AS label_column, '' AS class_names, 'centroid' AS model_name, 'given' AS embedding_method, 'axes' AS reduction_method,
+count(DISTINCT cluster) AS n_clusters, (SELECT count(*) FROM labels_) AS n_annotations, count(*) FILTER (label <> prediction) AS n_selected,
 round(count(*) FILTER (label = prediction) / count(*), 6) AS accuracy, 'centroid' AS models_trained FROM scored""",
 )
 def snapshot(spark, folder):
     """Written as JSON and read back."""
+    scored = scored_vectors(spark, folder)
     row = sinks.snapshot(
-        scored_vectors(spark, folder),
+        scored,
         "embeddings",
         ["x", "y"],
         "label",
         "prediction",
         model_name="centroid",
-        embedding_method="features",
-        reduction_method="pca",
+        embedding_method="given",
+        reduction_method="axes",
+        cluster_col="cluster",
+        annotations=current_labels(annotation_log(scored)),
+        selected=scored.where(F.col("label") != F.col("prediction")),
         models_trained=["centroid"],
     )
-    path = _folder(spark, "snapshot") + ".jsonl"
+    path = shared_folder(spark, "snapshot") + ".jsonl"
     sinks.write_snapshot(row, path)
     return readers.read_table(spark, path, row.schema)
 
@@ -208,13 +189,13 @@ def summary_rows(spark, folder):
 
 @query("labels_csv", _LOG + " SELECT row_id, label FROM labels_")
 def labels_csv(spark, folder):
-    path = _folder(spark, "labels") + ".csv"
+    path = shared_folder(spark, "labels") + ".csv"
     sinks.write_labels_csv(current_labels(annotation_log(scored_vectors(spark, folder))), path)
     return readers.read_table(spark, path, "row_id bigint, label string")
 
 
 @query("labels_json", _LOG + " SELECT row_id, label FROM labels_")
 def labels_json(spark, folder):
-    path = _folder(spark, "labels") + ".jsonl"
+    path = shared_folder(spark, "labels") + ".jsonl"
     sinks.write_labels_json(current_labels(annotation_log(scored_vectors(spark, folder))), path)
     return readers.read_table(spark, path, "row_id bigint, label string")

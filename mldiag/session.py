@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,24 @@ def local_session(app: str = "mldiag", cpus: int | str = 8, partitions: int = 8)
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate data below spark.checkpoint.dir, which all machines share.
+
+    Only a local session may do without that setting; its folder is private.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="mldiag-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; a private one only where none is set."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mldiag-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or shared_folder(spark, "checkpoints"))
     return df.checkpoint()

@@ -38,12 +38,14 @@ def snapshot(
     model_name: str = "",
     embedding_method: str = "",
     reduction_method: str = "",
-    n_clusters: int = 5,
-    n_annotations: int = 0,
-    n_selected: int = 0,
+    cluster_col: str | None = None,
+    annotations: DataFrame | None = None,
+    selected: DataFrame | None = None,
     models_trained: Sequence[str] = (),
 ) -> DataFrame:
-    """One row describing the state of an analysis."""
+    """One row describing the state of an analysis; clusters, annotations and selected rows are counted."""
+    size = lambda rows: F.lit(0) if rows is None else rows.agg(F.count(F.lit(1))).scalar()
+    n_clusters = F.count_distinct(ref(cluster_col)) if cluster_col else F.lit(0)
     text = lambda items: F.lit(",".join(items))
     return df.agg(
         F.lit(dataset_name).alias("dataset_name"),
@@ -55,9 +57,9 @@ def snapshot(
         F.lit(model_name).alias("model_name"),
         F.lit(embedding_method).alias("embedding_method"),
         F.lit(reduction_method).alias("reduction_method"),
-        F.lit(n_clusters).cast("bigint").alias("n_clusters"),
-        F.lit(n_annotations).cast("bigint").alias("n_annotations"),
-        F.lit(n_selected).cast("bigint").alias("n_selected"),
+        n_clusters.cast("bigint").alias("n_clusters"),
+        F.max(size(annotations)).cast("bigint").alias("n_annotations"),
+        F.max(size(selected)).cast("bigint").alias("n_selected"),
         _accuracy(df, label, prediction).alias("accuracy"),
         text(models_trained).alias("models_trained"),
     )

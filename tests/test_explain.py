@@ -63,13 +63,36 @@ def test_many_features_are_sampled(spark):
     weights = rng.normal(size=12)
     score = scoring.BatchScorer(names, ["s"], lambda m: (m @ weights)[:, None])
     rows = shap.background(df, "id", names)
-    got = shap.shap_values(df, "id", score, rows).toPandas()
+    got = shap.shap_values(df, "id", score, rows, "sampled").toPandas()
     linear = scoring.ExprScorer(names, ["s"], lambda v: F.array(sum((F.lit(float(w)) * c for w, c in zip(weights, v)), F.lit(0.0))))
-    other = shap.shap_values(df, "id", linear, rows).toPandas()
+    other = shap.shap_values(df, "id", linear, rows, "sampled").toPandas()
     key = ["id", "feature"]
     assert np.allclose(got.sort_values(key)["phi"], other.sort_values(key)["phi"])
     with pytest.raises(ValueError):
         shap.exact_shap(df, "id", linear, rows)
+    with pytest.raises(ValueError):
+        shap.shap_values(df, "id", score, rows)
+
+
+def test_missing_values_and_repeated_ids(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, None), ("b", None, 4.0), ("c", 5.0, 6.0)]
+    df = spark.createDataFrame(rows, "id string, a double, b double")
+    linear = scoring.ExprScorer(["a", "b"], ["s"], lambda v: F.array(F.lit(2.0) * v[0] - v[1]))
+    matrix = scoring.BatchScorer(["a", "b"], ["s"], lambda m: (2.0 * m[:, 0] - m[:, 1])[:, None])
+    background = shap.background(df, "id", ["a", "b"])
+    assert sorted(background) == [[1.0, 2.0], [3.0, 4.0], [3.0, 4.0], [5.0, 6.0]]
+    for found in (
+        shap.exact_shap(df, "id", linear, background),
+        shap.sampled_shap(df, "id", linear, background, 8),
+        shap.batch_shap(df, "id", matrix, background),
+        shap.batch_shap(df, "id", matrix, background, 8, method="sampled"),
+    ):
+        got = sorted((r["id"], r["feature"], round(r["value"], 9), round(r["phi"], 9)) for r in found.collect())
+        wanted = []
+        for i, a, b in rows:
+            a, b = a if a is not None else 3.0, b if b is not None else 4.0
+            wanted += [(i, "a", a, 2.0 * (a - 3.0)), (i, "b", b, -(b - 4.0))]
+        assert got == sorted((i, f, v, p + 0.0) for i, f, v, p in wanted)
 
 
 def test_linear_attributions(data):
@@ -93,7 +116,8 @@ def test_tables_from_attributions(data):
     assert (fall[fall["rank"] == 1].set_index("id")["phi"].abs() >= fall[fall["rank"] == 2].set_index("id")["phi"].abs()).all()
     spread = shap.distribution(long, 2).toPandas()
     assert spread["normalised"].between(0, 1).all() and set(spread["rank"]) == {0, 1}
-    assert shap.distribution(long.where("id < 4")).count() == 0
+    assert shap.distribution(long.where("id < 4"), min_rows=5).count() == 0
+    assert shap.distribution(long.where("id < 4")).count() > 0
     assert shap.dependence(long, "a", "a").columns == ["id", "value", "phi"]
     assert shap.append_shap(df, "id", None, FEATURES) is df
     assert "shap_b" in shap.append_shap(df, "id", long, FEATURES).columns
