@@ -150,36 +150,40 @@ class Transducer:
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
 
     def path(self, word: str) -> list[int]:
-        """Ids of the shortest path through the composition of a word with the machines."""
+        """Ids of the shortest path through the composition of a word with the machines.
+
+        No two paths of finite weight end at one place, so the first one found is the shortest and weights need not be compared."""
         n = len(word)
-        cost: list[int | None] = [None] * (n + 1)
-        state = [-1] * (n + 1)  # the piece before a position; -1 at the start and after a letter put out as bytes
+        state: list[int | None] = [None] * (n + 1)  # the piece before a place; -1 at the start and behind a letter put out as bytes
         back = [0] * (n + 1)
-        cost[0] = 0
-        apart, size = self.apart, self.size
+        state[0] = -1
+        apart, size, trie = self.apart, self.size, self.trie
         for at in range(n):
-            before = cost[at]
-            if before is None:
+            last = state[at]
+            if last is None:
                 continue
-            last, node, end = state[at], self.trie, at
-            if word[at] not in node:
-                if cost[at + 1] is None or before + 1 < cost[at + 1]:
-                    cost[at + 1], state[at + 1], back[at + 1] = before + 1, -1, at
+            node = trie.get(word[at])
+            if node is None:
+                if state[at + 1] is None:
+                    state[at + 1], back[at + 1] = -1, at
                 continue
-            while end < n:
+            end = at + 1
+            pair = last * size
+            while True:
+                if "" in node and state[end] is None:
+                    piece = node[""]
+                    if last < 0:
+                        state[end], back[end] = piece, at
+                    else:
+                        known = apart.get(pair + piece)
+                        if self.stay_apart(last, piece) if known is None else known:
+                            state[end], back[end] = piece, at
+                if end == n:
+                    break
                 node = node.get(word[end])
                 if node is None:
                     break
                 end += 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                if last >= 0:
-                    known = apart.get(last * size + piece)
-                    if not (self.stay_apart(last, piece) if known is None else known):
-                        continue
-                if cost[end] is None or before + 1 < cost[end]:
-                    cost[end], state[end], back[end] = before + 1, piece, at
         ids: list[int] = []
         at = n
         while at:
@@ -198,7 +202,7 @@ class Encoder:
 
     def __init__(self, machine: Transducer):
         self.machine = machine
-        self.short = Remembered(lambda words: [machine.path(w) for w in words], np.uint16 if machine.size <= 1 << 16 else np.int32)
+        self.short = Remembered(lambda words: [machine.path(w) for w in words], np.uint16 if machine.size <= 1 << 16 else np.int32, 600_000)
         # a line feed that no piece holds stands alone
         line = "\n" if not any("\n" in t for t in machine.id_of) else ""
         self.words = re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else "")) if machine.cut else None
