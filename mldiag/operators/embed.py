@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,6 +23,7 @@ from mldiag.operators.transforms import feature_embedding, vector_columns
 
 # Fixed value: a token is two or more word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+DRIVER_TERMS = 1_000_000
 
 
 def english_stop_words() -> list[str]:
@@ -39,63 +41,57 @@ def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(list(stop_words)))
 
 
-def _token_rows(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str]) -> DataFrame:
-    # the outer form: a plain explode would first test the token list, computing it twice
-    words = F.explode_outer(tokens(ref(text_col), ()))
-    rows = df.select(ref(id_col).alias("id"), words.alias("term")).where(F.col("term").isNotNull())
-    return rows.where(~F.col("term").isin(list(stop_words))) if stop_words else rows
+def _term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str]) -> DataFrame:
+    """(id, term, tf), counted inside each document: nothing is shuffled."""
+    dropped = frozenset(stop_words)
+
+    @F.pandas_udf("map<string,bigint>")
+    def count(documents: pd.Series) -> pd.Series:
+        return pd.Series([{t: n for t, n in Counter(words).items() if t not in dropped} for words in documents], dtype=object)
+
+    return df.select(ref(id_col).alias("id"), F.explode(count(tokens(ref(text_col), ()))).alias("term", "tf"))
 
 
 def vocabulary(
     df: DataFrame,
     id_col: str,
     text_col: str,
-    max_features: int = 5000,
+    max_features: int | None = None,
     stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(term, total, df, idf): the most frequent terms by corpus count, ties by name.
+    """(term, total, df, idf): all terms, or the `max_features` most frequent ones by corpus count, ties by name.
 
-    Term counts combine map-side per document and term, so frequent words do not skew the shuffle.
+    Term counts combine map-side, so frequent words do not skew the shuffle.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
-    counts = _token_rows(df, id_col, text_col, stop_words).groupBy("id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    return _vocabulary(counts, df, max_features)
+    return _vocabulary(_term_counts(df, id_col, text_col, stop_words), df, max_features)
 
 
-def _vocabulary(counts: DataFrame, df: DataFrame, max_features: int) -> DataFrame:
+def _vocabulary(counts: DataFrame, df: DataFrame, max_features: int | None) -> DataFrame:
     n_docs = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    return (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-        .withColumn("n", n_docs)
-        .select("term", "total", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    )
+    terms = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if max_features is not None:
+        terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    return terms.withColumn("n", n_docs).select("term", "total", "df", idf.alias("idf"))
 
 
 def tfidf(
     df: DataFrame,
     id_col: str,
     text_col: str,
-    max_features: int = 5000,
+    max_features: int | None = None,
     stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(id, term, weight): smoothed TF-IDF, each document scaled to length 1.
+    """(id, term, weight): smoothed TF-IDF over all terms (or a bounded vocabulary), each document scaled to length 1.
 
-    The vocabulary (at most `max_features` rows) is broadcast; the per-document window holds at most
-    that many terms. Documents without any vocabulary term have no rows.
+    The join with the vocabulary is left to the optimiser, which broadcasts it only while it is small; the window
+    per document holds its distinct terms. Documents without any vocabulary term have no rows.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
-    counts = _token_rows(df, id_col, text_col, stop_words).groupBy("id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    counts = _term_counts(df, id_col, text_col, stop_words)
     vocab = _vocabulary(counts, df, max_features).select("term", "idf")
-    weighted = counts.join(F.broadcast(vocab), "term").select(
-        "id", "term", (F.col("tf") * F.col("idf")).alias("w")
-    )
+    weighted = counts.join(vocab, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return weighted.select("id", "term", (F.col("w") / norm).alias("weight"))
 
@@ -104,21 +100,26 @@ def tfidf_vectors(
     df: DataFrame,
     id_col: str,
     text_col: str,
-    max_features: int = 5000,
+    max_features: int | None = None,
     stop_words: Sequence[str] | None = None,
     name: str = "embedding",
 ) -> DataFrame:
-    """Append the same weights as one sparse ML vector per row; only the vocabulary job shuffles."""
+    """Append the same weights as one sparse ML vector per row; only the vocabulary job shuffles.
+
+    The vocabulary travels with the model, so more than `DRIVER_TERMS` terms are refused, not cut: bound them, or use `tfidf`.
+    """
     stop_words = english_stop_words() if stop_words is None else stop_words
-    vocab = vocabulary(df, id_col, text_col, max_features, stop_words)
-    rows = vocab.select("term", "idf").collect()  # at most max_features words
+    vocab = vocabulary(df, id_col, text_col, max_features, stop_words).select("term", "total", "idf")
+    rows = vocab.limit(DRIVER_TERMS + 1).collect() if max_features is None else vocab.collect()
+    if max_features is None and len(rows) > DRIVER_TERMS:
+        raise ValueError(f"more than {DRIVER_TERMS} terms: give max_features, or use tfidf()")
+    rows.sort(key=lambda r: (-r["total"], r["term"]))
     terms = [r["term"] for r in rows]
     if not terms:
         raise ValueError("no tokens to build a vocabulary from")
-    idf = {r["term"]: r["idf"] for r in rows}
     counter = CountVectorizerModel.from_vocabulary(terms, inputCol="_tokens", outputCol="_tf")
     weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([idf[t] for t in terms]), inputCol="_tf", outputCol="_w"
+        scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_tf", outputCol="_w"
     )
     unit = Normalizer(p=2.0, inputCol="_w", outputCol=name)
     rows_ = df.withColumn("_tokens", tokens(ref(text_col), stop_words))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from mldiag.functions.columns import (
 from mldiag.operators.scale import hash_sample
 
 AXES = ("x", "y", "z")
+DENSE_DIMENSIONS = 4096
 
 
 def _is_vector(df: DataFrame, vector: str) -> bool:
@@ -41,21 +41,125 @@ def _append(df: DataFrame, coordinates: Column, n: int) -> DataFrame:
     return placed.withColumns({AXES[i]: F.col("_xy")[i] for i in range(n)}).drop("_xy")
 
 
-def pca(df: DataFrame, vector: str, n_components: int = 2) -> DataFrame:
-    """Append centred principal coordinates; each axis has its largest loading positive."""
-    features = ref(vector) if _is_vector(df, vector) else array_to_vector(doubles(ref(vector)))
-    rows = df.withColumn("_features", features)
-    model = PCA(k=n_components, inputCol="_features", outputCol="_pc").fit(rows)
-    mean = rows.select(Summarizer.mean(F.col("_features")).alias("m")).first()["m"].toArray()
-    loadings = model.pc.toArray()
+def _indexed(vector) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of a sparse or dense vector, or of a list."""
+    if isinstance(vector, SparseVector):
+        return vector.indices, vector.values
+    values = vector.toArray() if isinstance(vector, DenseVector) else np.asarray(vector, dtype=float)
+    return np.arange(len(values)), values
+
+
+def _centred_products(rows: DataFrame, vector: str, basis: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Covariance-like product: sum over rows x of x ((x - mean) basis), dimensions x columns.
+
+    Tasks add up their rows; what is shuffled and collected is one row per dimension and basis column set.
+    """
+    shift = mean @ basis
+
+    def add(part):
+        def summed(block):
+            sizes = np.array([len(at) for at, _ in block])
+            at, values = (np.concatenate([b[i] for b in block]) for i in (0, 1))
+            row = np.repeat(np.arange(len(block)), sizes)
+            parts = values[:, None] * basis[at]
+            t = np.column_stack([np.bincount(row, weights=p, minlength=len(block)) for p in parts.T]) - shift
+            order = np.argsort(at, kind="stable")
+            kinds, starts = np.unique(at[order], return_index=True)
+            sums = np.add.reduceat((values[:, None] * t[row])[order], starts, axis=0) if len(at) else np.zeros((0, len(shift)))
+            return zip(kinds.tolist(), sums.tolist())
+
+        block = []
+        for (v,) in part:
+            block.append(_indexed(v))
+            if len(block) == 4096:
+                yield from summed(block)
+                block = []
+        if block:
+            yield from summed(block)
+
+    def add_dense(part):
+        block, total = [], np.zeros(basis.shape)
+        for (v,) in part:
+            block.append(np.asarray(v, dtype=float) if isinstance(v, list) else v.toArray())
+            if len(block) == 1024:
+                x = np.stack(block)
+                total += x.T @ (x @ basis - shift)
+                block = []
+        if block:
+            x = np.stack(block)
+            total += x.T @ (x @ basis - shift)
+        return ((i, t.tolist()) for i, t in enumerate(total))
+
+    # the vector type has no Arrow form, hence the row iterator
+    dense = len(mean) <= DENSE_DIMENSIONS
+    found = rows.select(vector).rdd.mapPartitions(add_dense if dense else add).toDF("i bigint, t array<double>")
+    sums = found.groupBy("i").agg(*[F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(basis.shape[1])])
+    out = np.zeros(basis.shape)
+    for r in sums.collect():
+        out[r["i"]] = r[1:]
+    return out
+
+
+def pca(df: DataFrame, vector: str, n_components: int = 2, passes: int = 5, extra: int = 64, seed: int = 42) -> DataFrame:
+    """Append centred principal coordinates; each axis has its largest loading positive.
+
+    Randomised subspace iteration (Halko, Martinsson and Tropp, 2011): each pass multiplies a basis of a few columns by
+    the covariance, so the driver holds dimensions x columns numbers, never a square matrix. Up to `extra` dimensions
+    the basis is complete and one pass is exact.
+    """
+    rows = df.where(ref(vector).isNotNull()).select(ref(vector)).persist()  # read by every pass
+    size = _vector_size(rows, vector)
+    n = rows.count()
+    ml = ref(vector) if _is_vector(df, vector) else array_to_vector(doubles(ref(vector)))
+    mean = rows.select(Summarizer.mean(ml).alias("m")).first()["m"].toArray()
+    width = min(size, max(n_components + 8, extra if size <= extra else n_components + 8))
+    complete = width == size
+    basis = np.eye(size) if complete else np.linalg.qr(np.random.RandomState(seed).normal(size=(size, width)))[0]
+    for _ in range(0 if complete else passes):
+        basis = np.linalg.qr(_centred_products(rows, vector, basis, mean))[0]
+    small = basis.T @ _centred_products(rows, vector, basis, mean) / max(n - 1, 1)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    loadings = basis @ vectors[:, np.argsort(values)[::-1][:n_components]]
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(n_components)])
-    signs[signs == 0] = 1.0
+    loadings = loadings * np.where(signs == 0, 1.0, signs)
     offset = mean @ loadings
-    projected = vector_to_array(F.col("_pc"))
-    axes = F.array(
-        *[(projected[i] - float(offset[i])) * float(signs[i]) for i in range(n_components)]
-    )
-    return _append(model.transform(rows), axes, n_components).drop("_features", "_pc")
+    rows.unpersist()
+    if _is_vector(df, vector):
+
+        @F.udf("array<double>")  # the vector type has no Arrow form
+        def place(v):
+            if v is None:
+                return None
+            at, x = _indexed(v)
+            return (x @ loadings[at] - offset).tolist()
+
+        return _append(df, place(ref(vector)), n_components)
+    axes = F.array(*[dot(literal_vector(w), doubles(ref(vector))) - F.lit(float(o)) for w, o in zip(loadings.T, offset)])
+    return _append(df, axes, n_components)
+
+
+def _landmark_distances(df: DataFrame, vector: str, points: list) -> Column:
+    """Squared distances to the landmarks, an array per row."""
+    if not _is_vector(df, vector):
+        matrix = [list(p) for p in points]
+        return F.transform(literal_matrix(matrix), lambda l: F.pow(euclidean(doubles(ref(vector)), l), F.lit(2)))
+    # only dimensions that some landmark has matter to the products
+    parts = [_indexed(p) for p in points]
+    known = np.unique(np.concatenate([at[x != 0] for at, x in parts]))
+    matrix = np.zeros((len(points), len(known)))
+    for row, (at, x) in enumerate(parts):
+        keep = x != 0
+        matrix[row, np.searchsorted(known, at[keep])] = x[keep]
+    lengths = (matrix**2).sum(1)
+
+    @F.udf("array<double>")
+    def measure(v):
+        at, x = _indexed(v)
+        place = np.minimum(np.searchsorted(known, at), len(known) - 1)
+        hit = known[place] == at
+        return np.maximum((x**2).sum() + lengths - 2 * matrix[:, place[hit]] @ x[hit], 0.0).tolist()
+
+    return measure(ref(vector))
 
 
 def landmark_mds(
@@ -66,10 +170,16 @@ def landmark_mds(
     The only non-linear-distance job on the driver is the eigenproblem of the landmark block (at
     most `landmarks` rows); every row is placed by its distances to the landmarks, in a column.
     """
-    sample = hash_sample(df.select(ref(id_col).alias("id"), doubles(ref(vector)).alias("v")), "id", landmarks, seed)
-    points = np.array([r["v"] for r in sample.collect()], dtype=float)
+    point = ref(vector) if _is_vector(df, vector) else doubles(ref(vector))
+    sample = hash_sample(df.select(ref(id_col).alias("id"), point.alias("v")), "id", landmarks, seed).collect()
+    parts = [_indexed(r["v"]) for r in sample]
+    known = np.unique(np.concatenate([at for at, _ in parts]))
+    points = np.zeros((len(parts), len(known)))
+    for row, (at, x) in enumerate(parts):
+        points[row, np.searchsorted(known, at)] = x
     n = len(points)
-    squared = ((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)
+    lengths = (points**2).sum(1)
+    squared = np.maximum(lengths[:, None] + lengths[None, :] - 2 * points @ points.T, 0.0)
     centring = np.eye(n) - 1.0 / n
     values, vectors = np.linalg.eigh(-0.5 * centring @ squared @ centring)
     top = np.argsort(values)[::-1][:n_components]
@@ -77,8 +187,7 @@ def landmark_mds(
     signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(top))])
     vectors = vectors * np.where(signs == 0, 1.0, signs)
     pseudo = vectors.T / np.sqrt(values)[:, None]
-    point = doubles(ref(vector))
-    near = F.transform(literal_matrix(points), lambda l: F.pow(euclidean(point, l), F.lit(2)))
+    near = _landmark_distances(df, vector, [r["v"] for r in sample])
     rows = df.withColumn("_d2", F.zip_with(near, literal_vector(squared.mean(0)), lambda d, m: m - d))
     axes = F.array(*[0.5 * dot(literal_vector(p), F.col("_d2")) for p in pseudo])
     return _append(rows, axes, n_components).drop("_d2")

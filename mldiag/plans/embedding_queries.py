@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import functions as F
 
 from mldiag.operators import embed, evaluate, neighbors, quality, reduce, scale, transforms
 from mldiag.operators.train import stratified_split
+from mldiag.plans import workflows
 from mldiag.plans.model_queries import N_DIMS, vectors
 from mldiag.plans.registry import query, table
 
@@ -79,9 +80,14 @@ def knn_classifier(spark, folder):
     return scored.select("vec_id", "probability", "prediction")
 
 
-@query("knn_lsh")
+@query("knn_lsh", "SELECT true AS recalled, count(*) > 0 AS rows_ FROM embeddings")
 def knn_lsh(spark, folder):
-    return neighbors.approximate_similar_rows(table(spark, folder, "embeddings"), "vec_id", "embedding", 7)
+    """Whether the hashed search finds at least nine tenths of the exact neighbours."""
+    rows = table(spark, folder, "embeddings")
+    near = neighbors.approximate_similar_rows(rows, "vec_id", "embedding", 7, bucket_length=8.0, n_tables=8)
+    exact = neighbors.similar_rows(rows, "vec_id", "embedding", 7, 10)
+    found = exact.join(near.select("id", F.lit(1).alias("hit")), "id", "left")
+    return found.agg((F.sum("hit") >= 0.9 * F.count("*")).alias("recalled"), (F.count("*") > 0).alias("rows_"))
 
 
 @query(
@@ -93,9 +99,16 @@ def nearest_point(spark, folder):
     return neighbors.nearest_point(vectors(spark, folder), "vec_id", 0.05, -0.1)
 
 
-@query("auto_cluster")
+@query("auto_cluster", "SELECT count(*) AS n, CAST(5 AS BIGINT) AS clusters, true AS nearest FROM embeddings")
 def auto_cluster(spark, folder):
-    return neighbors.auto_cluster(vectors(spark, folder).drop("cluster"), "vec_id").groupBy("cluster").count()
+    """Whether (nearly) every row lies nearest to the mean of its own cluster, as k-means leaves it."""
+    rows = neighbors.auto_cluster(vectors(spark, folder).drop("cluster"), "vec_id").select("vec_id", "x", "y", "cluster")
+    means = rows.groupBy("cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    every = means.agg(F.collect_list(F.struct("cluster", "mx", "my"))).scalar()  # one entry a cluster
+    away = F.transform("_m", lambda m: F.struct(((F.col("x") - m["mx"]) ** 2 + (F.col("y") - m["my"]) ** 2).alias("d"), m["cluster"].alias("c")))
+    best = rows.withColumn("_m", every).select("cluster", F.array_min(away)["c"].alias("best"))
+    hits = F.count_if(F.col("cluster") == F.col("best"))
+    return best.agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"), (hits >= 0.95 * F.count("*")).alias("nearest"))
 
 
 # -- text ------------------------------------------------------------------------------------------
@@ -103,7 +116,7 @@ _TOKENS = rf"""
 tok AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id,
   unnest(regexp_extract_all(lower(coalesce(text, 'nan')), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents)
   WHERE term NOT IN ({_STOPS}) GROUP BY ALL),
-voc AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tok GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+voc AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tok GROUP BY term),
 n AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT term, total, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM voc, n)"""
 
@@ -113,7 +126,7 @@ idf AS (SELECT term, total, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM voc, n)""
     "WITH " + _TOKENS + " SELECT term, total, df, round(idf, 6) AS idf FROM idf",
 )
 def tfidf_vocabulary(spark, folder):
-    vocab = embed.vocabulary(table(spark, folder, "documents"), "doc_id", "text", 5000, STOP_WORDS)
+    vocab = embed.vocabulary(table(spark, folder, "documents"), "doc_id", "text", stop_words=STOP_WORDS)
     return vocab.withColumn("idf", F.round("idf", 6))
 
 
@@ -125,22 +138,22 @@ def tfidf_vocabulary(spark, folder):
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""",
 )
 def tfidf_weights(spark, folder):
-    weights = embed.tfidf(table(spark, folder, "documents"), "doc_id", "text", 5000, STOP_WORDS)
+    weights = embed.tfidf(table(spark, folder, "documents"), "doc_id", "text", stop_words=STOP_WORDS)
     return weights.withColumn("weight", F.round("weight", 6))
 
 
 @query(
     "tfidf_vectors",
     "WITH "
-    + _TOKENS.replace("LIMIT 5000", "LIMIT 300")
+    + _TOKENS
     + """, w AS (SELECT id, term, tf * idf AS w FROM tok JOIN idf USING (term))
 SELECT id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS largest, round(sum(w) / sqrt(sum(w * w)), 5) AS total
 FROM w GROUP BY id""",
 )
 def tfidf_vectors(spark, folder):
-    rows = embed.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text", 300, STOP_WORDS)
-    values = F.filter(vector_to_array("embedding"), lambda v: v > 0)
-    per_row = rows.select(F.col("doc_id").alias("id"), values.alias("v")).where(F.size("v") > 0)
+    rows = embed.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text", stop_words=STOP_WORDS)
+    held = F.udf(lambda v: v.values.tolist(), "array<double>")  # the vector type has no Arrow form
+    per_row = rows.select(F.col("doc_id").alias("id"), held("embedding").alias("v")).where(F.size("v") > 0)
     return per_row.select(
         "id",
         F.size("v").cast("bigint").alias("terms"),
@@ -159,21 +172,117 @@ def embedding_transform(spark, folder):
     return embed.embedding_transform(rows, "embedding", N_DIMS).drop("embedding")
 
 
-@query("pca2d")
+_AXES = "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, true AS beats_columns FROM "
+
+
+def _axes(placed, largest=None):
+    """Properties that principal coordinates must have; `largest` is the greatest variance of a column."""
+    moments = placed.agg(
+        F.count("x").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_samp("x", "y").alias("c"),
+        F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"),
+    )
+    beats = F.lit(True) if largest is None else F.col("vx") >= largest * (1 - 1e-9)
+    return moments.select(
+        "n",
+        (F.greatest(F.abs("mx"), F.abs("my")) < 1e-9).alias("centred"),
+        (F.abs("c") <= 1e-6 * F.col("vx")).alias("uncorrelated"),
+        (F.col("vx") >= F.col("vy")).alias("ordered"),
+        beats.alias("beats_columns"),
+    )
+
+
+@query("pca2d", _AXES + "embeddings")
 def pca2d(spark, folder):
-    return reduce.pca(table(spark, folder, "embeddings"), "embedding").select("vec_id", "x", "y")
+    rows = table(spark, folder, "embeddings")
+    columns = [F.var_samp(F.col("embedding")[i].cast("double")) for i in range(N_DIMS)]
+    return _axes(reduce.pca(rows, "embedding"), rows.agg(F.greatest(*columns)).scalar())
 
 
-@query("pca_text")
+@query("pca_text", _AXES + "documents")
 def pca_text(spark, folder):
-    rows = embed.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text", 500, STOP_WORDS)
-    return reduce.pca(rows, "embedding").select("doc_id", "x", "y")
+    """Over all terms of all documents."""
+    rows = embed.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text", stop_words=STOP_WORDS)
+    return _axes(reduce.pca(rows, "embedding"))
 
 
-@query("landmark_mds")
+@query(
+    "pca_two_columns",
+    """
+WITH m AS (SELECT avg(p_size) AS ma, avg(p_retailprice / 100) AS mb, var_samp(p_size) AS a, var_samp(p_retailprice / 100) AS c,
+  covar_samp(p_size, p_retailprice / 100) AS b FROM part),
+e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1 FROM m),
+v AS (SELECT *, b / sqrt(b * b + pow(l1 - a, 2)) AS u, (l1 - a) / sqrt(b * b + pow(l1 - a, 2)) AS w FROM e)
+SELECT p_partkey, round(((p_size - ma) * u + (p_retailprice / 100 - mb) * w) * sign(CASE WHEN abs(u) >= abs(w) THEN u ELSE w END), 6) + 0.0 AS x
+FROM part, v""",
+)
+def pca_two_columns(spark, folder):
+    """Two columns, whose first axis has a closed form."""
+    rows = table(spark, folder, "part").select(
+        "p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("v")
+    )
+    return reduce.pca(rows, "v", 1).select("p_partkey", (F.round("x", 6) + F.lit(0.0)).alias("x"))
+
+
+@query(
+    "landmark_mds",
+    """SELECT a.vec_id, round(sqrt(pow(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE, 2) + pow(a.embedding[2]::DOUBLE - b.embedding[2]::DOUBLE, 2)), 6) AS distance
+FROM embeddings a, embeddings b WHERE b.vec_id = 0""",
+)
 def landmark_mds(spark, folder):
-    placed = reduce.landmark_mds(table(spark, folder, "embeddings"), "vec_id", "embedding", landmarks=100)
-    return placed.select("vec_id", "x", "y")
+    """Points of a plane keep their distances; shown are those to the first one."""
+    plane = F.array(*[F.col("embedding")[i].cast("double") for i in range(2)])
+    rows = table(spark, folder, "embeddings").select("vec_id", F.array_append(plane, F.lit(0.0)).alias("v"))
+    placed = reduce.landmark_mds(rows, "vec_id", "v")
+    first = placed.where("vec_id = 0").select(F.struct("x", "y")).scalar()
+    away = F.sqrt(F.pow(F.col("x") - first["x"], F.lit(2)) + F.pow(F.col("y") - first["y"], F.lit(2)))
+    return placed.select("vec_id", (F.round(away, 6) + F.lit(0.0)).alias("distance"))
+
+
+@query("landmark_mds_text", "SELECT count(*) AS n, true AS placed FROM documents")
+def landmark_mds_text(spark, folder):
+    """TF-IDF vectors of all terms; every document gets coordinates."""
+    found = workflows.explore(table(spark, folder, "documents"), "doc_id", text="text", reduction="landmark_mds", n_clusters=1)
+    return found.frame.agg(F.count("*").alias("n"), (F.count("x") == F.count("*")).alias("placed"))
+
+
+@query(
+    "explore_features",
+    """WITH m AS (SELECT p_partkey, CAST(p_size AS FLOAT)::DOUBLE AS a, CAST(p_retailprice AS FLOAT)::DOUBLE AS b FROM part)
+SELECT p_partkey, round(sqrt(pow(a - (SELECT avg(a) FROM m), 2) + pow(b - (SELECT avg(b) FROM m), 2)), 4) AS radius FROM m""",
+)
+def explore_features(spark, folder):
+    """No text column: the numeric features are the embedding, and a real reduction turns three of them (one is
+    constant) to two axes, which keeps every distance from the mean."""
+    rows = table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    found = workflows.explore(rows.withColumn("c", F.lit(1.0)), "p_partkey", n_clusters=1)
+    axes = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    return found.frame.select("p_partkey", F.round(axes, 4).alias("radius"))
+
+
+@query(
+    "embed_encoder",
+    "SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces FROM documents",
+)
+def embed_encoder(spark, folder):
+    """A user's encoder, called on lists of texts."""
+
+    def encoder(texts):
+        return np.array([[len(t), t.count(" ")] for t in texts])
+
+    rows = embed.embed(table(spark, folder, "documents").select("doc_id", "text"), "text", text_col="text", encoder=encoder)
+    return rows.select("doc_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("chars", "spaces"))])
+
+
+@query(
+    "reduce_axes",
+    """SELECT p_partkey, round(abs(p_size - (SELECT avg(p_size) FROM part)), 6) AS away FROM part""",
+)
+def reduce_axes(spark, folder):
+    """Columns that vary along one line: the first axis of the reduction is the distance along it."""
+    size = F.col("p_size").cast("double")
+    rows = table(spark, folder, "part").select("p_partkey", (size * 0.6).alias("u"), (size * 0.8).alias("v"), F.lit(2.0).alias("w"))
+    placed = reduce.reduce_transform(rows, columns=["u", "v", "w"])
+    return placed.select("p_partkey", F.round(F.abs("x"), 6).alias("away"))
 
 
 @query(
