@@ -12,9 +12,10 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from mldiag.functions.columns import cosine_distance, dot, doubles, euclidean, ref
-from mldiag.operators.scale import hash_sample
+from mldiag.operators.scale import global_rank, hash_sample
 from mldiag.session import cut_lineage
 
 MAX_CELLS = 1024
@@ -127,18 +128,26 @@ def knn_join(
     collected (bounded by the pivot count), and the triangle inequality tells which groups can hold
     a query's neighbours; only those receive the query. Groups are cut into blocks of about
     `block_rows` rows on both sides, so one that holds a third of all points is spread over many
-    tasks. Ids are integers; `carry` names a column of `points` to bring along as text.
+    tasks. Ids may be of any type that orders; `carry` names a column of `points` to bring along as text.
     """
     spark = points.sparkSession
     need = k + 1 if exclude_self else k
     carried = ref(carry).cast("string") if carry else F.lit(None).cast("string")
-    identity, v = ref(id_col).cast("bigint").alias("id"), doubles(ref(vector)).alias("v")
-    q = queries.select(identity, v).where(F.col("v").isNotNull())
-    t = points.select(identity, v, carried.alias("carried")).where(F.col("v").isNotNull())
+    v = doubles(ref(vector)).alias("v")
+    q = queries.select(ref(id_col).alias("key"), v).where(F.col("v").isNotNull())
+    t = points.select(ref(id_col).alias("key"), v, carried.alias("carried")).where(F.col("v").isNotNull())
+    numbers = None
+    if isinstance(points.schema[id_col].dataType, IntegralType):
+        t = t.withColumn("id", F.col("key").cast("bigint"))
+    else:  # numbered in the order of the ids, so that ties go to the smallest id as well
+        numbers = cut_lineage(global_rank(t.select(F.col("key").alias("name")).distinct(), "name", "id"))
+        t = t.join(numbers, t["key"] == numbers["name"]).drop("name")
     if metric == "cosine":
         q, t = _unit(q, "v"), _unit(t, "v")
-    t = cut_lineage(_first_copies(t, need))  # read by four jobs below
-    reps = q.groupBy("v").agg(F.min("id").alias("rep"))
+    t = cut_lineage(_first_copies(t.select("id", "v", "carried"), need))  # read by four jobs below
+    # each distinct query vector gets a number, and rows join by it: a vector that many rows share is one narrow hot key
+    q = cut_lineage(q.withColumn("hash", F.xxhash64("v")))
+    reps = cut_lineage(q.groupBy("hash", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id()))
     found = _pivot_join(spark, reps, t, need, n_cells, block_rows)
     if metric == "cosine":
         found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
@@ -149,25 +158,31 @@ def knn_join(
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor", "carried"))).alias("near"))
     )
-    answered = q.join(reps.join(best, "rep").select("v", "near"), "v")
-    near = F.col("near")
-    if exclude_self:
-        near = F.filter(near, lambda n: n["neighbor"] != F.col("id"))
-    return answered.select("id", F.posexplode(F.slice(near, 1, k)).alias("_i", "n")).select(
-        "id",
-        (F.col("_i") + 1).alias("rank"),
-        F.col("n.neighbor").alias("neighbor"),
-        F.col("n.distance").alias("distance"),
-        F.col("n.carried").alias("carried"),
+    named = reps.join(best, "rep").select("hash", F.col("v").alias("rep_v"), "near")
+    answered = q.join(named, (q["hash"] == named["hash"]) & (q["v"] == named["rep_v"])).select("key", "near")
+    rows = answered.select("key", F.posexplode("near").alias("_i", "n")).select(
+        "key", (F.col("_i") + 1).alias("rank"), F.col("n.neighbor").alias("neighbor"), "n.distance", "n.carried"
     )
+    if numbers is not None:
+        rows = rows.join(numbers.select(F.col("id").alias("neighbor"), "name"), "neighbor").drop("neighbor")
+        rows = rows.withColumnRenamed("name", "neighbor")
+    if exclude_self:  # of the one neighbour more that was sought, the row itself goes, or else the last one
+        own = F.max(F.when(F.col("neighbor") == F.col("key"), F.col("rank"))).over(Window.partitionBy("key"))
+        rows = rows.withColumn("_own", F.coalesce(own, F.lit(need))).where(F.col("rank") != F.col("_own"))
+        rows = rows.withColumn("rank", F.col("rank") - (F.col("rank") > F.col("_own")).cast("int"))
+    return rows.where(F.col("rank") <= k).select(F.col("key").alias("id"), "rank", "neighbor", "distance", "carried")
 
 
 def _pivot_join(
     spark, reps: DataFrame, t: DataFrame, need: int, n_cells: int | None, block_rows: int
 ) -> DataFrame:
-    """(rep, distance, neighbor, carried): per block the `need` nearest points of each query vector."""
+    """(rep, distance, neighbor, carried): per block the `need` nearest points of each query vector.
+
+    Queries are cut into parts by their own nearest pivot, so that a part's queries reach much the same cells;
+    a block of points goes only to the parts of which some query reaches its cell.
+    """
     schema = "rep bigint, distance double, neighbor bigint, carried string"
-    n_points, n_queries = t.count(), reps.count()
+    n_points = t.count()
     n_cells = n_cells or max(1, min(MAX_CELLS, math.ceil(n_points / block_rows)))
     pivots = np.array([r["v"] for r in hash_sample(t, "id", n_cells).collect()], dtype=float)
     if len(pivots) == 0:
@@ -180,8 +195,8 @@ def _pivot_join(
                 cell = d.argmin(1)
                 yield batch.assign(cell=cell, d=d[np.arange(len(cell)), cell])
 
-    placed = t.mapInPandas(
-        to_cell, "id bigint, v array<double>, carried string, cell int, d double"
+    placed = cut_lineage(
+        t.mapInPandas(to_cell, "id bigint, v array<double>, carried string, cell int, d double")
     )
     per_cell = Window.partitionBy("cell").orderBy("d", "id")
     closest = (
@@ -197,9 +212,8 @@ def _pivot_join(
     radius = np.array([r["radius"] for r in stats])
     closest_of = [np.array(r["closest"]) for r in stats]
     blocks = np.array([math.ceil(r["n"] / block_rows) for r in stats])
-    q_blocks = max(1, math.ceil(n_queries / block_rows))
 
-    def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
@@ -211,31 +225,30 @@ def _pivot_join(
                 reach = np.partition(bounds, need - 1, axis=1)[:, need - 1]
             else:
                 reach = np.full(len(d), np.inf)
-            rows, where = np.nonzero(d - radius[None, :] <= reach[:, None] * (1 + 1e-9) + 1e-6)
-            copies = blocks[where]
+            near = d - radius[None, :] <= reach[:, None] * (1 + 1e-9) + 1e-6
             yield pd.DataFrame(
                 {
-                    "rep": batch["rep"].to_numpy()[np.repeat(rows, copies)],
-                    "v": batch["v"].to_numpy()[np.repeat(rows, copies)],
-                    "cell": cells[np.repeat(where, copies)],
-                    "block": np.concatenate([np.arange(c) for c in copies]),
+                    "rep": batch["rep"].to_numpy(),
+                    "v": batch["v"].to_numpy(),
+                    "home": cells[d.argmin(1)],
+                    "cells": [cells[row] for row in near],
                 }
             )
 
     counts = F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair])
-    sent = (
-        reps.select("rep", "v")
-        .mapInPandas(to_blocks, "rep bigint, v array<double>, cell int, block int")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(q_blocks)).cast("int"))
+    asked = cut_lineage(
+        reps.select("rep", "v").mapInPandas(to_cells, "rep bigint, v array<double>, home int, cells array<int>")
     )
-    held = placed.select(
-        "id",
-        "v",
-        "carried",
-        "cell",
-        F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"),
+    crowd = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    sent = (
+        asked.join(F.broadcast(crowd), "home")  # one row a cell
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .select("rep", "v", "home", "part", F.explode("cells").alias("cell"))
     )
+    reached = sent.select(F.col("home").alias("to_home"), F.col("part").alias("to_part"), "cell").distinct()
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), counts[F.col("cell")] - 1)))
+    block = F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int")
+    held = placed.select("id", "v", "carried", "cell", block.alias("block")).join(reached, "cell")
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -256,8 +269,8 @@ def _pivot_join(
             need,
         )
 
-    keys = ["cell", "block", "part"]
-    return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(match, schema)
+    asking = sent.groupBy("cell", "block", "home", "part")
+    return asking.cogroup(held.groupBy("cell", "block", "to_home", "to_part")).applyInPandas(match, schema)
 
 
 def knn_classify(

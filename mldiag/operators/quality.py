@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,22 +10,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mldiag.functions.columns import doubles, euclidean, ref
+from mldiag.operators.neighbors import knn_join
 from mldiag.operators.reduce import reduce2d
-from mldiag.operators.scale import hash_pairs, hash_sample, numbered_sample
+from mldiag.operators.scale import global_rank, hash_pairs, hash_sample
+from mldiag.session import cut_lineage
 
-SAMPLE_CURVES = 2000
-SAMPLE_METRICS = 5000
 N_PAIRS = 5000
-ROWS_PER_TASK = 250
+BLOCK_ROWS = 1024
+CHUNK = 16
 
 Methods = Mapping[str, tuple[str, str]]
 
 
-def _points(df: DataFrame, id_col: str, vector: str, methods: Methods) -> DataFrame:
+def _points(
+    df: DataFrame, id_col: str, vector: str, methods: Methods, sample_size: int | None = None, seed: int = 42
+) -> DataFrame:
+    """(id, v, xy): all rows, or the hashed sample of them that the caller asks for."""
     coordinates = [F.array(ref(x).cast("double"), ref(y).cast("double")) for x, y in methods.values()]
-    return df.select(
+    rows = df.select(
         ref(id_col).alias("id"), doubles(ref(vector)).alias("v"), F.array(*coordinates).alias("xy")
     )
+    return rows if sample_size is None else hash_sample(rows, "id", sample_size, seed)
+
+
+def _distances_to(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distances of a few rows to a block, by direct differences: equal vectors give equal distances."""
+    return np.sqrt(((t[None, :, :] - q[:, None, :]) ** 2).sum(2))
+
+
+def _sought(points: DataFrame, methods: Methods, k: int) -> DataFrame:
+    """(id, v, xy, near): each row with the k nearest rows of every projection: (method, rank, neighbour, its vector)."""
+    found = None
+    for m, name in enumerate(methods):
+        plane = points.select("id", F.col("xy")[m].alias("p"))
+        near = knn_join(plane, plane, "id", "p", k, exclude_self=True).select(
+            "id", F.lit(m).alias("method"), "rank", "neighbor"
+        )
+        found = near if found is None else found.unionByName(near)
+    vectors = points.select(F.col("id").alias("neighbor"), F.col("v").alias("nv"))
+    lists = found.join(vectors, "neighbor").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("method", "rank", "neighbor", "nv"))).alias("near")  # methods x k
+    )
+    return points.join(lists, "id")
 
 
 def neighborhood_counts(
@@ -34,58 +60,79 @@ def neighborhood_counts(
     vector: str,
     methods: Methods,
     ks: Sequence[int],
-    sample_size: int = SAMPLE_CURVES,
+    sample_size: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """(id, method, k, n, penalty, missing, d2, e2) for every sampled row.
+    """(id, method, k, n, penalty, missing, d2, e2) for every row (or every row of a sample that is asked for).
 
     `penalty` sums rank - k over projected neighbours that rank beyond k in the embedding; `missing`
     counts embedding neighbours lost by the projection; d2 and e2 are the row's squared original
-    distances and squared errors. The sample is bounded by `sample_size` and is broadcast; the rows
-    are spread over tasks, and a task compares its rows with the sample by matrix arithmetic.
+    distances and squared errors. Projected neighbours come from the nearest-neighbour join. A neighbour's
+    rank in the embedding is one more than the rows that are nearer, which blocks of rows count for blocks
+    of rows by matrix arithmetic and Spark adds up. Ranks and all-pairs stress compare every row with every
+    other by definition; on large tables ask for a sample.
     """
     spark = df.sparkSession
-    sample = hash_sample(_points(df, id_col, vector, methods), "id", sample_size, seed).collect()
-    sample.sort(key=lambda r: r["id"])
-    n, names = len(sample), list(methods)
-    schema = (
-        "id bigint, method string, k int, n bigint, penalty bigint, missing bigint, d2 double, e2 double"
-    )
-    ks = [int(k) for k in ks if 0 < k < n]
+    points = cut_lineage(_points(df, id_col, vector, methods, sample_size, seed))
+    n = points.count()
+    kind = points.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, method string, k int, n bigint, penalty bigint, missing bigint, d2 double, e2 double"
+    ks = sorted(int(k) for k in ks if 0 < k < n)
     if not ks:
         return spark.createDataFrame([], schema)
-    ids = np.array([r["id"] for r in sample])
-    shared = spark.sparkContext.broadcast(
-        (
-            np.array([r["v"] for r in sample], dtype=float),
-            np.array([r["xy"] for r in sample], dtype=float),
-        )
+    names, most = list(methods), ks[-1]
+    n_blocks = max(1, -(-n // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    asking = _sought(points, methods, most).select("*", block.alias("a"), every.alias("b"))
+    against = points.select(
+        F.col("id").alias("other"), F.col("v").alias("ov"), F.col("xy").alias("oxy"), block.alias("ob"), every.alias("oa")
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        original, projected = shared.value
-        for batch in batches:
-            out = []
-            for i in batch["id"].to_numpy():
-                d = np.sqrt(((original - original[i]) ** 2).sum(1))
-                order = np.argsort(d, kind="stable")
-                rank = np.empty(n, dtype=np.int64)
-                rank[order[order != i]] = np.arange(1, n)
-                for m, name in enumerate(names):
-                    e = np.sqrt(((projected[:, m] - projected[i, m]) ** 2).sum(1))
-                    near = np.argsort(e, kind="stable")
-                    seen = rank[near[near != i][: ks[-1]]]
-                    for k in ks:
-                        over = seen[:k] - k
-                        out.append(
-                            (ids[i], name, k, n, over[over > 0].sum(), (over > 0).sum(),
-                             (d * d).sum(), ((d - e) ** 2).sum())
-                        )
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    ks = sorted(ks)
-    tasks = max(1, min(1000, -(-n // ROWS_PER_TASK)))
-    return spark.range(0, n, 1, tasks).mapInPandas(compare, schema)
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ("id", "nearer", "d2", "e2")})
+        t, txy = np.stack(right["ov"].to_numpy()), np.stack([np.stack(x) for x in right["oxy"]])
+        others = right["other"].to_numpy()
+        out = []
+        for at in range(0, len(left), CHUNK):
+            part = left.iloc[at : at + CHUNK]
+            q, qxy = np.stack(part["v"].to_numpy()), np.stack([np.stack(x) for x in part["xy"]])
+            d = _distances_to(q, t)
+            errors = [((d - _distances_to(qxy[:, m], txy[:, m])) ** 2).sum(1) for m in range(len(names))]
+            for i, (own, near) in enumerate(zip(part["id"].to_numpy(), part["near"])):
+                limits = _distances_to(q[i : i + 1], np.stack([x["nv"] for x in near]))[0]
+                ids = np.array([x["neighbor"] for x in near], dtype=others.dtype)
+                closer = (d[i] < limits[:, None]) | ((d[i] == limits[:, None]) & (others < ids[:, None]))
+                closer &= others != own
+                out.append((own, closer.sum(1).tolist(), float((d[i] ** 2).sum()), [float(e[i]) for e in errors]))
+        return pd.DataFrame(out, columns=["id", "nearer", "d2", "e2"])
+
+    partial = asking.groupBy("a", "b").cogroup(against.groupBy("oa", "ob")).applyInPandas(
+        compare, f"id {kind}, nearer array<bigint>, d2 double, e2 array<double>"
+    )
+    size = len(names) * most
+    ranks = F.array(*[F.sum(F.col("nearer")[i]) + 1 for i in range(size)])  # methods x k sums
+    totals = partial.groupBy("id").agg(
+        ranks.alias("ranks"), F.sum("d2").alias("d2"), F.array(*[F.sum(F.col("e2")[m]) for m in range(len(names))]).alias("e2")
+    )
+    zero = "cast(0 as bigint)"
+    cells = []
+    for m, name in enumerate(names):
+        for k in ks:
+            over = f"filter(slice(ranks, {m * most + 1}, {k}), r -> r > {k})"
+            cells.append(
+                F.struct(
+                    F.lit(name).alias("method"),
+                    F.lit(k).alias("k"),
+                    F.lit(n).cast("bigint").alias("n"),
+                    F.expr(f"aggregate({over}, {zero}, (s, r) -> s + r - {k})").alias("penalty"),
+                    F.expr(f"cast(size({over}) as bigint)").alias("missing"),
+                    F.col("d2"),
+                    F.col("e2")[m].alias("e2"),
+                )
+            )
+    return totals.select("id", F.inline(F.array(*cells)))
 
 
 def quality_curves(
@@ -94,11 +141,11 @@ def quality_curves(
     vector: str,
     methods: Methods,
     k_max: int = 50,
-    sample_size: int = SAMPLE_CURVES,
+    sample_size: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """(method, k, trustworthiness, continuity) for k = 5, 10, ... while k < n / 2."""
-    n = min(sample_size, df.count())
+    n = df.count() if sample_size is None else min(sample_size, df.count())
     ks = [k for k in range(5, min(k_max, n - 1), 5) if 2 * k < n]
     counts = neighborhood_counts(df, id_col, vector, methods, ks, sample_size, seed)
     return _scores(counts).select("method", "k", "trustworthiness", "continuity")
@@ -136,11 +183,14 @@ def quality_metrics(
     x: str = "x",
     y: str = "y",
     k: int = 10,
-    sample_size: int = SAMPLE_METRICS,
+    sample_size: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """One row: trustworthiness and all-pairs Kruskal stress of the sample, its size and the k used."""
-    n = min(sample_size, df.count())
+    """One row: trustworthiness and all-pairs Kruskal stress of all rows (or of a sample), their number and the k used.
+
+    Below four rows every neighbour is a neighbour, and trustworthiness is 1 by definition.
+    """
+    n = df.count() if sample_size is None else min(sample_size, df.count())
     used = min(k, max(1, n // 2 - 1))
     counts = neighborhood_counts(df, id_col, vector, {"m": (x, y)}, [used], sample_size, seed)
     scores = _scores(counts)
@@ -156,15 +206,17 @@ def sampled_pairs(
     vector: str,
     methods: Methods,
     n_pairs: int = N_PAIRS,
-    sample_size: int = SAMPLE_CURVES,
+    sample_size: int | None = None,
     seed: int = 42,
     upper: bool = False,
 ) -> DataFrame:
-    """(pair_id, i, j, original, d_<method>...): distances of pseudo-random pairs of sampled rows.
+    """(pair_id, i, j, original, d_<method>...): distances of pseudo-random pairs of rows, numbered in id order.
 
     With `upper` only pairs i < j are kept, from twice as many draws.
     """
-    points = numbered_sample(_points(df, id_col, vector, methods), "id", sample_size, seed)
+    rows = _points(df, id_col, vector, methods, sample_size, seed)
+    ranks = global_rank(rows.select("id"), "id", "pos").withColumn("pos", F.col("pos") - 1)
+    points = cut_lineage(rows.join(ranks, "id"))
     n = points.agg(F.count(F.lit(1)).alias("n")).scalar()
     pairs = hash_pairs(df.sparkSession, 2 * n_pairs if upper else n_pairs, n, seed)
     if upper:
@@ -186,7 +238,7 @@ def shepard_pairs(
     x: str = "x",
     y: str = "y",
     n_pairs: int = N_PAIRS,
-    sample_size: int = SAMPLE_CURVES,
+    sample_size: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """(pair_id, original, reduced) distances of sampled pairs i < j."""
@@ -202,7 +254,7 @@ def sampled_stress(
     vector: str,
     methods: Methods,
     n_pairs: int = N_PAIRS,
-    sample_size: int = SAMPLE_CURVES,
+    sample_size: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """(method, stress, level): Kruskal stress over sampled pairs; below 0.1 green, 0.3 orange."""
@@ -249,7 +301,7 @@ def reduce_with_quality(
     vector: str = "embedding",
     method: str = "pca",
     k: int = 10,
-    sample_size: int = SAMPLE_METRICS,
+    sample_size: int | None = None,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """The projected table and its one-row quality metrics."""

@@ -19,11 +19,16 @@ from pyspark.sql import types as T
 from mldiag.functions.columns import as_double, hash_fraction_key, hash_number, ref
 
 _FANOUT = 32
+MAX_RANGES = 4096
+BROADCAST_ROWS = 500_000
 
 
-def range_count(spark: SparkSession) -> int:
-    """Value ranges per group: twice the shuffle partitions, so that hashing them fills every task."""
-    return max(4, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
+def range_count(spark: SparkSession, most: int = MAX_RANGES) -> int:
+    """Value ranges per group: twice the shuffle partitions, so that hashing them fills every task.
+
+    `most` bounds the sketch of cut points; pass `n_ranges` to go beyond it.
+    """
+    return max(4, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), most))
 
 
 def unpivot_features(
@@ -36,14 +41,32 @@ def unpivot_features(
 
 
 def sort_key(df: DataFrame, name: str) -> Column:
-    """A monotone numeric stand-in for a sort column, used only to choose ranges."""
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.StringType):
-        prefix = F.rpad(F.substring(F.hex(F.encode(ref(name), "UTF-8")), 1, 14), 14, "0")
-        return F.conv(prefix, 16, 10).cast("double")
-    if isinstance(dtype, T.BooleanType):
-        return ref(name).cast("int")
-    return ref(name)
+    """What a sort column is cut by: itself, or a number for a boolean."""
+    return ref(name).cast("int") if isinstance(df.schema[name].dataType, T.BooleanType) else ref(name)
+
+
+def _cut_points(df: DataFrame, parts: Sequence[str], order: str, n: int) -> Column:
+    """Aggregate: about n - 1 sorted cut points of `order`, from a quantile sketch.
+
+    Text has no sketch: its cut points are every so-manieth of a hashed sample, compared as whole texts, so
+    that ids with a long common start are cut like any others.
+    """
+    if not isinstance(df.schema[order].dataType, T.StringType):
+        probabilities = [i / n for i in range(1, n)]
+        return F.array_sort(F.percentile_approx(sort_key(df, order), probabilities, max(1000, 20 * n)))
+    total = max(df.count(), 1)
+    draw = F.pmod(F.xxhash64(ref(order)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = F.sort_array(F.collect_set(F.when(draw < min(1.0, 20 * n / total), ref(order))))  # about 20 n values
+    every = F.transform(
+        F.sequence(F.lit(1), F.lit(n - 1)),
+        lambda i: F.get(sample, F.floor(i * F.size(sample) / F.lit(n)).cast("int")),
+    )
+    return F.array_distinct(F.filter(every, lambda c: c.isNotNull()))
+
+
+def _few(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast a table only if its size is known and small; else the optimiser decides by what it measures."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
 def _range_of(key: Column, cuts: Column, coarse: Column) -> Column:
@@ -59,6 +82,7 @@ def global_cumsum(
     order: str,
     values: Sequence[str],
     n_ranges: int | None = None,
+    n_parts: int | None = None,
 ) -> DataFrame:
     """Running sums of `values` by `order` inside each part.
 
@@ -76,7 +100,7 @@ def global_cumsum(
     cuts = (
         df.groupBy(*[ref(p) for p in parts])
         .agg(
-            F.array_sort(F.percentile_approx(key, probabilities, max(1000, 20 * n))).alias("_cuts"),
+            _cut_points(df, parts, order, n).alias("_cuts"),
             *[F.sum(ref(v)).alias(f"_w{i}") for i, v in enumerate(values)],
         )
         .where(weight)
@@ -87,8 +111,8 @@ def global_cumsum(
         )
     )
     if parts:
-        # one row per feature, class or window: bounded by the number of columns or classes
-        keyed = df.join(F.broadcast(cuts), list(parts))
+        # one row of n cut points per part
+        keyed = df.join(_few(cuts, n_parts and n_parts * n // 8), list(parts))
     else:
         one = cuts.select(F.struct("_cuts", "_coarse").alias("s")).scalar()
         keyed = df.withColumn("_s", one).select(
@@ -117,7 +141,7 @@ def global_cumsum(
         *[F.sum(f"_sum_{v}").over(whole).alias(f"total_{v}") for v in values],
     )
     inside = Window.partitionBy(*keys).orderBy(ref(order)).rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.join(F.broadcast(offsets), [*parts, "_range"])
+    running = ranged.join(_few(offsets, (n_parts or (None if parts else 1)) and (n_parts or 1) * n), [*parts, "_range"])
     return running.withColumns(
         {f"cum_{v}": F.col(f"_off_{v}") + F.sum(ref(v)).over(inside) for v in values}
     ).drop("_range", *[f"_off_{v}" for v in values])
@@ -172,13 +196,14 @@ def exact_quantiles(
     probabilities: Sequence[float],
     part: str = "feature",
     extra: Sequence[Column] = (),
+    n_parts: int | None = None,
 ) -> DataFrame:
     """(part, total, quantiles, extra...) of a long (part, value) table, by numpy's linear rule.
 
     `extra` aggregates see one row per distinct `value` with its count `n`.
     """
     counts = long.groupBy(ref(part), F.col("value")).agg(F.count(F.lit(1)).alias("n"))
-    running = global_cumsum(counts, [part], "value", ["n"])
+    running = global_cumsum(counts, [part], "value", ["n"], n_parts=n_parts)
     return rank_picks(running, part, "n", probabilities, extra)
 
 
@@ -232,34 +257,53 @@ def assign_windows(
             .select(_portable(F.col("t"), time_type).alias("t"), "n", "at")
             .collect()  # no more rows than boundaries
         )
+        stamps = {hit["t"]: [offset for offset in hit["at"] if offset > 0] for hit in hits}
+        first = _ids_at(known, time_col, id_col, {t: at for t, at in stamps.items() if at})
         for hit in hits:
             stamp = _literal(hit["t"], time_type)
             later, now = ref(time_col) > stamp, ref(time_col) == stamp
-            inner = [offset for offset in hit["at"] if offset > 0]
-            first = _ids_at(known.where(now), id_col, inner) if inner else {}
             for offset in hit["at"]:
-                here = now & (ref(id_col) >= _literal(first[offset], id_type)) if offset else now
+                here = now & (ref(id_col) >= _literal(first[hit["t"], offset], id_type)) if offset else now
                 number = number + F.coalesce(later | here, F.lit(False)).cast("int")
     return df.withColumn(name, number)
 
 
-def _ids_at(rows: DataFrame, id_col: str, offsets: Sequence[int]) -> dict:
-    """The ids at some 0-based positions in id order, by one job."""
-    ranked = global_rank(rows.select(ref(id_col).alias("i")), "i")
-    found = ranked.where(F.col("rank").isin([offset + 1 for offset in offsets]))
-    text = _portable(F.col("i"), rows.schema[id_col].dataType).alias("i")
-    return {r["rank"] - 1: r["i"] for r in found.select("rank", text).collect()}
+def _ids_at(rows: DataFrame, time_col: str, id_col: str, wanted: dict) -> dict:
+    """The ids at some 0-based positions in id order among the rows of each time stamp, by one job for all stamps."""
+    if not wanted:
+        return {}
+    time_type, id_type = rows.schema[time_col].dataType, rows.schema[id_col].dataType
+    here = F.lit(False)
+    for stamp in wanted:
+        here = here | (ref(time_col) == _literal(stamp, time_type))
+    tied = rows.where(here).select(
+        ref(time_col).alias("t"), ref(id_col).alias("i"), F.lit(1).cast("bigint").alias("n")
+    )
+    ranked = global_cumsum(tied, ["t"], "i", ["n"], n_parts=len(wanted))
+    pick = F.lit(False)
+    for stamp, offsets in wanted.items():
+        ranks = F.col("cum_n").isin([offset + 1 for offset in offsets])
+        pick = pick | ((F.col("t") == _literal(stamp, time_type)) & ranks)
+    found = ranked.where(pick).select(
+        _portable(F.col("t"), time_type).alias("t"), "cum_n", _portable(F.col("i"), id_type).alias("i")
+    )
+    return {(r["t"], r["cum_n"] - 1): r["i"] for r in found.collect()}  # no more rows than boundaries
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Reproducible sample of n rows: the n smallest md5(id:seed) (a top-k, no full sort)."""
-    return df.orderBy(hash_fraction_key(ref(id_col), seed), ref(id_col)).limit(n)
-
+    """Reproducible sample of n rows: the n smallest md5(id:seed).
 
-def numbered_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """`hash_sample` with `pos` = 0..n-1 in id order. n bounds the single window task."""
-    by_id = Window.orderBy(ref(id_col))
-    return hash_sample(df, id_col, n, seed).withColumn("pos", F.row_number().over(by_id) - 1)
+    Of large tables only the rows below a hash threshold, about twice as many as asked for, enter the top-k, so that
+    its one merging task does not grow with the number of partitions.
+    """
+    key = hash_fraction_key(ref(id_col), seed)
+    rows = df
+    total = df.count()
+    if total > 4 * n:
+        limit = F.lit(f"{int(16**8 * min(1.0, (2 * n + 64) / total)):08x}")
+        below = df.where(F.substring(key, 1, 8) < limit)
+        rows = below if below.count() >= n else df
+    return rows.orderBy(key, ref(id_col)).limit(n)
 
 
 def hash_pairs(spark: SparkSession, n_pairs: int, n: Column, seed: int = 42) -> DataFrame:

@@ -308,8 +308,7 @@ def _projected(spark, folder):
 _PROJ = """
 p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e,
   [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)] AS first,
-  [CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS second FROM embeddings
-  ORDER BY md5(vec_id || ':42'), vec_id LIMIT {size})"""
+  [CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS second FROM embeddings)"""
 _RANKS = """
 ab AS (SELECT a.id AS i, b.id AS j, list_distance(a.e, b.e) AS d, list_distance(a.first, b.first) AS f,
   list_distance(a.second, b.second) AS s FROM p a JOIN p b ON a.id <> b.id),
@@ -327,7 +326,7 @@ curves AS (SELECT method, k, round(1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * sum
 @query(
     "quality_curves",
     "WITH "
-    + _PROJ.format(size=2000)
+    + _PROJ
     + ","
     + _RANKS
     + ","
@@ -341,7 +340,7 @@ def quality_curves(spark, folder):
 @query(
     "quality_metrics",
     "WITH "
-    + _PROJ.format(size=5000)
+    + _PROJ
     + ","
     + _RANKS
     + """, t AS (SELECT 1 - 2.0 / (n * 10 * (2 * n - 31)) * sum(greatest(ro - 10, 0)) AS t
@@ -370,7 +369,7 @@ st AS (SELECT 'first' AS method, sqrt(sum(pow(d - f, 2)) / sum(d * d)) AS raw FR
 @query(
     "quality_stress_sampled",
     "WITH "
-    + _PROJ.format(size=2000)
+    + _PROJ
     + ","
     + _NUMBERED.format(draws=5000)
     + ","
@@ -385,7 +384,7 @@ def quality_stress_sampled(spark, folder):
 @query(
     "shepard_pairs",
     "WITH "
-    + _PROJ.format(size=2000)
+    + _PROJ
     + ","
     + _NUMBERED.format(draws=10000)
     + """ SELECT pair_id, round(d, 6) AS original, round(f, 6) AS reduced FROM dd WHERE i < j ORDER BY pair_id LIMIT 5000""",
@@ -397,7 +396,7 @@ def shepard_pairs(spark, folder):
 @query(
     "quality_recommend",
     "WITH "
-    + _PROJ.format(size=2000)
+    + _PROJ
     + ","
     + _RANKS
     + ","
@@ -418,6 +417,15 @@ def quality_recommend(spark, folder):
     return quality.recommend(curves, stress)
 
 
+@query("reduce_with_quality", "SELECT count(*) AS n_samples, CAST(10 AS INTEGER) AS k, true AS better_than_axes FROM embeddings")
+def reduce_with_quality(spark, folder):
+    """Principal axes keep all-pairs distances at least as well as the first two columns do."""
+    rows = _projected(spark, folder)
+    _, metrics = quality.reduce_with_quality(rows.select("vec_id", "embedding"), "vec_id")
+    axes = quality.quality_metrics(rows, "vec_id", "embedding").select("stress").scalar()
+    return metrics.select("n_samples", "k", (F.col("stress") <= axes).alias("better_than_axes"))
+
+
 @query(
     "feature_vector",
     "SELECT p_partkey, [CAST(p_size AS DOUBLE), p_retailprice] AS features FROM part",
@@ -443,6 +451,16 @@ def global_rank(spark, folder):
     return scale.global_rank(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query(
+    "global_rank_text",
+    "SELECT 'customer-with-a-long-start-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS id, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer",
+)
+def global_rank_text(spark, folder):
+    """Ids that share a long start."""
+    text = F.concat(F.lit("customer-with-a-long-start-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    return scale.global_rank(table(spark, folder, "customer").select(text.alias("id")), "id")
+
+
 @query(
     "categorical_columns",
     """SELECT 'label' AS "column", count(DISTINCT label) <= 20 AS categorical FROM embeddings

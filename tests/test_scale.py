@@ -63,3 +63,25 @@ def test_sample_is_reproducible(spark):
     one = {r["i"] for r in scale.hash_sample(df, "i", 10).collect()}
     two = {r["i"] for r in scale.hash_sample(df.repartition(7), "i", 10).collect()}
     assert one == two and len(one) == 10
+
+
+def test_text_ids_with_a_long_common_start_are_spread(spark):
+    rows = spark.range(20_000).select(F.format_string("customer-%030d", F.col("id")).alias("id"))
+    ranked = scale.global_rank(rows, "id")
+    got = ranked.select("id", "rank", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r["id"], r["rank"]) for r in got) == [(f"customer-{i:030d}", i + 1) for i in range(20_000)]
+    counted = rows.withColumn("_one", F.lit(1).cast("bigint"))
+    cuts = counted.agg(scale._cut_points(counted, [], "id", 8).alias("c")).first()["c"]
+    assert len(cuts) == 7
+    sizes = [0] * 8
+    for i in range(20_000):
+        sizes[sum(c < f"customer-{i:030d}" for c in cuts)] += 1
+    assert max(sizes) < 3 * 20_000 / 8
+
+
+def test_samples_of_large_tables(spark):
+    rows = spark.range(5_000)
+    from hashlib import md5
+
+    wanted = sorted(range(5_000), key=lambda i: (md5(f"{i}:42".encode()).hexdigest(), i))[:100]
+    assert [r["id"] for r in scale.hash_sample(rows, "id", 100).collect()] == wanted
