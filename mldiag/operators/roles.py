@@ -91,12 +91,12 @@ def training_check(
 ) -> DataFrame:
     """(seq, check, ok, detail) of every precondition for training, in the order they are reported."""
     checks = [
-        ("features", bool(features), "No feature columns defined"),
-        ("label", bool(label), "No label column defined"),
-        ("label_present", label in df.columns, f"Label column '{label}' not found"),
+        ("features", bool(features), "the list of features is empty"),
+        ("label", bool(label), "no label was named"),
+        ("label_present", label in df.columns, f"the table lacks the label {label!r}"),
     ]
     missing = [c for c in features if c not in df.columns]
-    checks.append(("features_present", not missing, f"Feature columns missing: {missing}"))
+    checks.append(("features_present", not missing, f"the table lacks the features {', '.join(missing)}"))
     classes = F.count_distinct(ref(label)) if label in df.columns else F.lit(0)
     sizes = df.agg(F.count(F.lit(1)).alias("n"), classes.alias("classes"))
     test_n = F.floor(F.col("n") * F.lit(float(test_size)))

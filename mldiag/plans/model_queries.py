@@ -465,38 +465,101 @@ def stratified_split(spark, folder):
     return train.stratified_split(rows, "vec_id", "label", 0.2)
 
 
-def _train(spark, folder, model, **options):
-    rows = line_rows(spark, folder)
-    return train.train(rows, "row_key", LINE_FEATURES, "label", model, **options).metrics
+_BINARY = "CASE WHEN label >= 5 THEN 'high' ELSE 'low' END"
 
 
-@query("train_logistic")
+def _counts_sql(source: str, label: str) -> str:
+    """Rows of a stratified split, and what the metrics of a useful model must show."""
+    return f"""
+WITH k AS (SELECT {label} AS label, count(*) AS n FROM {source} GROUP BY 1)
+SELECT CAST(sum(n) - sum(round(n * 0.2)) AS BIGINT) AS n_train, CAST(sum(round(n * 0.2)) AS BIGINT) AS n_test,
+  true AS learnt, true AS in_range FROM k"""
+
+
+def _checked(fitted, least):
+    """Counts, whether the model has learnt its training rows, and whether both measures are shares."""
+    own = fitted.scored.where("split = 'train'").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")))
+    ranged = F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)
+    return fitted.metrics.select("n_train", "n_test", (own.scalar() >= least).alias("learnt"), ranged.alias("in_range"))
+
+
+def embedded_features(spark, folder, n=N_DIMS, binary=False):
+    """Embeddings as n feature columns, some of them missing, with a text id."""
+    label = F.when(F.col("label") >= 5, "high").otherwise("low") if binary else F.col("label").cast("string")
+    rows = table(spark, folder, "embeddings")
+    values = [
+        F.when(F.col("vec_id") % 17 != i % 17, F.col("embedding")[i].cast("double")).alias(f"f{i}") for i in range(n)
+    ]
+    key = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
+    return rows.select(key.alias("key"), label.alias("label"), *values), [f"f{i}" for i in range(n)]
+
+
+def _train(spark, folder, model, binary=False, **options):
+    rows, features = embedded_features(spark, folder, binary=binary)
+    return train.train(rows, "key", features, "label", model, **options)
+
+
+@query("train_logistic", _counts_sql("embeddings", "label"))
 def train_logistic(spark, folder):
-    return _train(spark, folder, "LogisticRegression")
+    return _checked(_train(spark, folder, "LogisticRegression"), 0.3)
 
 
-@query("train_forest")
+@query("train_forest", _counts_sql("embeddings", "label"))
 def train_forest(spark, folder):
-    return _train(spark, folder, "RandomForest", n_trees=20, max_depth=5)
+    return _checked(_train(spark, folder, "RandomForest"), 0.9)
 
 
-@query("train_boosting")
+@query("train_boosting", _counts_sql("embeddings", _BINARY))
 def train_boosting(spark, folder):
-    return _train(spark, folder, "GradientBoosting", n_trees=10)
+    return _checked(_train(spark, folder, "GradientBoosting", binary=True), 0.9)
 
 
-@query("train_svm")
+@query("train_svm", _counts_sql("embeddings", _BINARY))
 def train_svm(spark, folder):
-    return _train(spark, folder, "SVM", n_components=50, max_iter=20)
+    return _checked(_train(spark, folder, "SVM", binary=True), 0.6)
 
 
-@query("train_knn")
+@query(
+    "train_knn",
+    """
+WITH k AS (SELECT 'v' || vec_id AS key, CAST(label AS VARCHAR) AS label, vec_id, embedding,
+  CAST('0x' || substr(md5('v' || vec_id || ':42'), 1, 15) AS BIGINT) AS h FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS rk, count(*) OVER (PARTITION BY label) AS n FROM k),
+sp AS (SELECT key, label, rk <= round(n * 0.2) AS test, list_transform(generate_series(0, 63),
+  lambda i: CASE WHEN vec_id % 17 <> i % 17 THEN CAST(embedding[i + 1] AS DOUBLE) END) AS raw FROM r),
+mean AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v) AS m FROM (SELECT generate_subscripts(raw, 1) AS i, unnest(raw) AS v FROM sp) GROUP BY i)),
+e AS (SELECT key, label, test, list_transform(generate_series(1, 64), lambda i: coalesce(raw[i], m[i])) AS e FROM sp, mean),
+p AS (SELECT q.key, t.label AS class, row_number() OVER (PARTITION BY q.key ORDER BY list_distance(q.e, t.e), t.key) AS nn
+  FROM e q JOIN e t ON q.test AND NOT t.test),
+votes AS (SELECT key, class, count(*) AS votes FROM p WHERE nn <= 5 GROUP BY key, class),
+best AS (SELECT key, class AS prediction, row_number() OVER (PARTITION BY key ORDER BY votes DESC, class) AS rk FROM votes),
+test AS (SELECT e.key, e.label, prediction FROM e JOIN best USING (key) WHERE rk = 1),"""
+    + metrics_sql("test")
+    + """
+SELECT (SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 4) FROM test) AS accuracy,
+  round(sum(support * f1) / sum(support), 4) AS f1, (SELECT count(*) FROM sp WHERE NOT test) AS n_train,
+  (SELECT count(*) FROM sp WHERE test) AS n_test FROM per_class""",
+)
 def train_knn(spark, folder):
-    rows = vectors(spark, folder).select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(N_DIMS)]
-    )
-    features = [f"f{i}" for i in range(N_DIMS)]
-    return train.train(rows, "vec_id", features, "label", "KNN").metrics
+    return _train(spark, folder, "KNN").metrics
+
+
+@query(
+    "train_log_odds",
+    """
+WITH k AS (SELECT """
+    + LINE_KEY
+    + """ AS key, CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS label, CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS big FROM lineitem),
+h AS (SELECT *, CAST('0x' || substr(md5(key || ':42'), 1, 15) AS BIGINT) AS h FROM k),
+r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY h) AS rk, count(*) OVER (PARTITION BY label) AS n FROM h)
+SELECT CAST(big AS DOUBLE) AS big, round(count(*) FILTER (label = '1') / count(*), 4) AS probability FROM r WHERE rk > round(n * 0.2) GROUP BY big""",
+)
+def train_log_odds(spark, folder):
+    """On one binary feature an unpenalised logistic model is the share of the label at each value."""
+    rows = line_rows(spark, folder).withColumn("big", F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0))
+    fitted = train.train(rows, "row_key", ["big"], "label", "LogisticRegression", reg_param=0.0)
+    values = spark.createDataFrame([(0.0,), (1.0,)], "big double")
+    return fitted.scorer.transform(values).select("big", F.round(F.col("probability")[1], 4).alias("probability"))
 
 
 @query(
