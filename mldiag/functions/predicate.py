@@ -96,7 +96,7 @@ class _Translator:
         if isinstance(node.op, (ast.Div, ast.FloorDiv, ast.Mod)):
             infinite = F.when(a > 0, float("inf")).when(a < 0, float("-inf"))
             if isinstance(node.op, ast.Mod):
-                return F.when(b != 0, F.pmod(a, b))
+                return F.when(b > 0, F.pmod(a, b)).when(b < 0, -F.pmod(-a, -b))  # the sign of the divisor
             quotient = F.when(b == 0, infinite).otherwise(F.try_divide(a, b))
             return F.floor(quotient) if isinstance(node.op, ast.FloorDiv) else quotient
         raise UnsafePredicate(f"operator not allowed: {type(node.op).__name__}")

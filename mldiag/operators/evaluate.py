@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mldiag.functions.columns import ratio, ref, same, share, top_probability
@@ -293,7 +293,7 @@ def cluster_summary(
     counts = df.groupBy(ref(cluster).cast("string").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(same(ref(label), ref(prediction))).alias("ok")
     )
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = F.sum("n").over(Window.partitionBy())  # over one row a cluster
     return counts.withColumn("total", total).select(
         "cluster",
         "n",
@@ -363,7 +363,7 @@ def detail_table(df: DataFrame, id_col: str, columns: int = 8, rows: int = 50) -
 
 def selection_classes(selected: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, pct) of the selected rows."""
-    total = selected.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = F.sum("n").over(Window.partitionBy())  # over one row a class
     counts = class_balance(selected, label).withColumn("total", total)
     return counts.select("label", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
 

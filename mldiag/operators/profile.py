@@ -46,9 +46,15 @@ def overview(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     blanks = sum(
         (ref(c).isNull().cast("int") for c in clean.columns), F.lit(0)
     )
-    grouped = clean.groupBy(*[ref(c) for c in clean.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    # rows are told apart by 128 bits of hash; hashes pass over nulls, so their places are hashed as well
+    places = F.concat(*[F.when(ref(c).isNull(), "1").otherwise("0") for c in clean.columns])
+    columns = [places, *[ref(c) for c in clean.columns]]
+    hashed = clean.select(
+        F.xxhash64(*columns).alias("_h"), F.xxhash64(F.lit(1), *columns).alias("_g"), blanks.alias("_blanks")
+    )
+    grouped = hashed.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.max("_blanks").alias("_blanks"))
     cells = F.sum("_n") * len(clean.columns)
-    return grouped.select("_n", blanks.alias("_blanks")).agg(
+    return grouped.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("samples"),
         F.lit(n_features).cast("bigint").alias("features"),
         F.coalesce(F.round(share(F.sum(F.col("_n") * F.col("_blanks")) * 100.0, cells), 2), F.lit(0.0)).alias(
@@ -77,14 +83,45 @@ def missing_percent(df: DataFrame) -> DataFrame:
     )
 
 
+def _exact_dtypes(clean: DataFrame, fields: Sequence) -> DataFrame:
+    """Distinct values by their 128-bit hashes: narrow (column, hash) rows that collapse map-side."""
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"),
+            ref(f.name).isNull().alias("missing"),
+            F.xxhash64(ref(f.name)).alias("h"),
+            F.xxhash64(F.lit(1), ref(f.name)).alias("g"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    values = clean.select(F.inline(F.array(*cells))).groupBy("i", "missing", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    sums = values.groupBy("i").agg(
+        F.count(F.lit(1)).alias("unique_values"),
+        F.sum(F.when(F.col("missing"), F.col("n")).otherwise(zero)).alias("missing_count"),
+        F.sum("n").alias("n"),
+    )
+    names = F.array(*[F.lit(f.name) for f in fields])
+    kinds = F.array(*[F.lit(f.dataType.simpleString()) for f in fields])
+    every = clean.sparkSession.range(len(fields)).select(F.col("id").cast("int").alias("i"))
+    return every.join(F.broadcast(sums), "i", "left").select(  # one row a column
+        F.get(names, F.col("i")).alias("column"),
+        F.get(kinds, F.col("i")).alias("dtype"),
+        F.coalesce("unique_values", zero).alias("unique_values"),
+        F.coalesce("missing_count", zero).alias("missing_count"),
+        F.round(share(F.col("missing_count") * 100.0, F.col("n")), 2).alias("missing_pct"),
+    )
+
+
 def dtype_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(column, dtype, unique_values, missing_count, missing_pct); missing counts as one value."""
     fields = df.schema.fields
     clean = normalise_nulls(df)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    if not approximate:
+        return _exact_dtypes(clean, fields)
     sums = clean.agg(
         F.count(F.lit(1)).alias("n"),
-        *[distinct(ref(f.name)).alias(f"d{i}") for i, f in enumerate(fields)],
+        *[F.approx_count_distinct(ref(f.name)).alias(f"d{i}") for i, f in enumerate(fields)],
         *[F.count_if(ref(f.name).isNull()).alias(f"m{i}") for i, f in enumerate(fields)],
     )
     return _rows(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mldiag.operators import annotate
 from mldiag.plans.model_queries import scored_sql, scored_vectors
 from mldiag.plans.registry import query
+from mldiag.session import cut_lineage
 
 _AT = "2024-01-01 00:00:00"
 _LOG = "WITH " + scored_sql() + """,
@@ -27,17 +28,18 @@ ent AS (SELECT *, -list_sum(list_transform(probability, lambda p: least(1.0, gre
   FROM scored)"""
 
 
-def _at():
-    return F.lit(_AT).cast("timestamp")
+def _at(batch):
+    """A minute after the other."""
+    return F.lit(_AT).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(batch))
 
 
 def annotation_log(scored):
-    wrong = scored.where(F.col("label") != F.col("prediction"))
-    log = annotate.assign_events(wrong.where("label = '3'"), "vec_id", "three", 1, _at())
-    log = log.unionByName(annotate.assign_events(wrong.where("label = '5'"), "vec_id", "five", 2, _at()))
-    log = log.unionByName(annotate.assign_events(wrong.where("cluster = 'NE'"), "vec_id", "corner", 3, _at()))
-    log = log.unionByName(annotate.undo_event(log, 4, _at()))
-    return log.unionByName(annotate.assign_events(wrong.where("label = '7'"), "vec_id", " seven ", 5, _at()))
+    wrong = cut_lineage(scored.where(F.col("label") != F.col("prediction")))  # read by each action below
+    log = annotate.assign_events(wrong.where("label = '3'"), "vec_id", "three", 1, _at(1))
+    log = log.unionByName(annotate.assign_events(wrong.where("label = '5'"), "vec_id", "five", 2, _at(2)))
+    log = log.unionByName(annotate.assign_events(wrong.where("cluster = 'NE'"), "vec_id", "corner", 3, _at(3)))
+    log = log.unionByName(annotate.undo_event(log, 4, _at(4)))
+    return log.unionByName(annotate.assign_events(wrong.where("label = '7'"), "vec_id", " seven ", 5, _at(5)))
 
 
 def _state(spark, folder):
@@ -55,11 +57,14 @@ def annotation_state(spark, folder):
     _LOG
     + """, o AS (SELECT * FROM assigned WHERE batch <> 3)
 SELECT CAST(row_number() OVER (ORDER BY batch) AS INTEGER) AS number,
-  array_to_string(list(row_id ORDER BY row_id)[1:5], ',') AS first_ids, any_value(label) AS label, count(*) AS n
-FROM o GROUP BY batch""",
+  array_to_string(list(row_id ORDER BY row_id)[1:5], ',') AS first_ids, any_value(label) AS label, count(*) AS n,
+  strftime(TIMESTAMP '"""
+    + _AT
+    + """' + INTERVAL 1 MINUTE * CAST(batch AS INTEGER), '%Y-%m-%d %H:%M:%S') AS at FROM o GROUP BY batch""",
 )
 def annotation_history(spark, folder):
-    return annotate.history(annotation_log(scored_vectors(spark, folder))).drop("at")
+    found = annotate.history(annotation_log(scored_vectors(spark, folder)))
+    return found.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(

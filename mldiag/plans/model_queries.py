@@ -387,6 +387,15 @@ def _arena(spark, folder):
     return compare.join_predictions(a, b, "vec_id")
 
 
+def _chained(spark, folder):
+    """Both scorers over one scan."""
+    rows = vectors(spark, folder)
+    names = {"prediction": "pred_a", "probability": "probability_a"}
+    first = centroid_scorer(rows).transform(rows).withColumnsRenamed(names)
+    both = centroid_scorer(rows, "cosine").transform(first).withColumnRenamed("prediction", "pred_b")
+    return both.select("vec_id", "label", "pred_a", "pred_b")
+
+
 @query("agreement_zones", _ARENA + " SELECT vec_id, label, pred_a, pred_b, zone FROM zoned")
 def agreement_zones(spark, folder):
     return compare.agreement_zones(_arena(spark, folder))
@@ -400,7 +409,7 @@ FROM (SELECT unnest(['both_correct', 'both_wrong', 'only_a_correct', 'only_b_cor
 LEFT JOIN zoned ON zone = z GROUP BY z""",
 )
 def zone_summary(spark, folder):
-    return compare.zone_summary(compare.agreement_zones(_arena(spark, folder)))
+    return compare.zone_summary(compare.agreement_zones(_chained(spark, folder)))
 
 
 @query(
@@ -412,7 +421,7 @@ SELECT round(u / n, 6) AS union_accuracy, round(greatest(a, b) / n, 6) AS best_s
   round((u - greatest(a, b)) / n, 6) AS gain FROM c""",
 )
 def complementarity(spark, folder):
-    return compare.complementarity(_arena(spark, folder))
+    return compare.complementarity(_chained(spark, folder))
 
 
 def _metric_rows(name: str) -> str:
@@ -429,7 +438,7 @@ mb AS (WITH {metrics_sql("zoned", "pred_b")} {_metric_rows("model_b")} per_class
 SELECT metric, model_a, model_b FROM ma JOIN mb USING (metric)""",
 )
 def arena_metrics(spark, folder):
-    return compare.arena_metrics(_arena(spark, folder))
+    return compare.arena_metrics(_chained(spark, folder))
 
 
 @query(

@@ -276,39 +276,37 @@ def feature_embedding(spark, folder):
 # -- predicates ------------------------------------------------------------------------------------
 _FILTERS = {
     "filter_expr_compare": (
-        "lineitem",
         "l_quantity > 45 and l_discount <= 0.02 & l_returnflag == 'R'",
         f"FROM {_ITEMS} WHERE l_quantity > 45 AND l_discount <= 0.02 AND l_returnflag = 'R'",
     ),
     "filter_expr_not_equal": (
-        "lineitem",
         "l_discount != 0.05",
         f"FROM {_ITEMS} WHERE l_discount IS DISTINCT FROM 0.05",
     ),
     "filter_expr_not": (
-        "lineitem",
         "not (l_discount > 0.02) and l_tax >= 0.07",
         f"FROM {_ITEMS} WHERE (l_discount IS NULL OR l_discount <= 0.02) AND l_tax >= 0.07",
     ),
     "filter_expr_in": (
-        "lineitem",
         "l_returnflag in ('A', 'N') | ~(l_linestatus == 'O')",
         f"FROM {_ITEMS} WHERE l_returnflag IN ('A', 'N') OR l_linestatus <> 'O'",
     ),
     "filter_expr_not_in": (
-        "lineitem",
         "l_discount not in (0.01, 0.02, 0.03)",
         f"FROM {_ITEMS} WHERE l_discount IS NULL OR l_discount NOT IN (0.01, 0.02, 0.03)",
     ),
+    "filter_expr_modulo": (
+        "l_linenumber % -3 == -2 or l_partkey % 4 == 1",
+        f"FROM {_ITEMS} WHERE (l_linenumber % 3 = 1) OR l_partkey % 4 = 1",
+    ),
     "filter_expr_chained": (
-        "lineitem",
         "10 < l_quantity <= 12.5 and l_extendedprice / l_quantity > 1500",
         f"FROM {_ITEMS} WHERE 10 < l_quantity AND l_quantity <= 12.5 AND l_extendedprice / l_quantity > 1500",
     ),
 }
 
 
-def _register_filter(name, source, text, tail):
+def _register_filter(name, text, tail):
     keys = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount"
 
     @query(name, f"SELECT {keys} {tail}")
@@ -316,8 +314,8 @@ def _register_filter(name, source, text, tail):
         return filter_expr(line_items(spark, folder), text).select(*keys.split(", "))
 
 
-for _name, (_source, _text, _tail) in _FILTERS.items():
-    _register_filter(_name, _source, _text, _tail)
+for _name, (_text, _tail) in _FILTERS.items():
+    _register_filter(_name, _text, _tail)
 
 
 @query(
