@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mldiag.llm.common import bytes_of, map_batches, stored
+from mldiag.llm.ragged import Numbers
 
 COMMON_WORDS = 40
 LANGUAGE_SHARE = 0.001
@@ -193,17 +194,18 @@ def _measure(refs: list[Reference], limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_classes()
         places = [{w: i for i, w in enumerate(r.words)} for r in refs]
-        codes: dict[bytes, int] = {}
+        codes = Numbers()
         bins = [np.zeros(1 << 12, np.int64) for _ in refs]
 
         def coded(words: list[bytes]) -> np.ndarray:
             """Number of each word; a new word gets the next number and its bin in each reference."""
-            if len(codes) > CODES // 2:
-                codes.clear()
+            nonlocal codes
+            if len(codes) > CODES // 4:
+                codes = Numbers()
             known = len(codes)
-            ids = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
+            ids = codes.of(words)
             if len(codes) > known:
-                fresh = [plain_word(w) for w in list(codes)[known:]] if known == 0 else [plain_word(w) for w in dict.fromkeys(words) if codes[w] >= known]
+                fresh = [plain_word(w) for w in codes.order[known:]]
                 for i, (r, place) in enumerate(zip(refs, places)):
                     while len(bins[i]) < len(codes):
                         bins[i] = np.append(bins[i], np.zeros(len(bins[i]), np.int64))
@@ -220,11 +222,7 @@ def _measure(refs: list[Reference], limits: Limits):
                 ids = coded(words)
                 repeated = repeated_words(ids)
             else:  # a text of a million words is numbered by itself
-                own: dict[bytes, int] = {}
-                ids = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, n)
-                repeated = repeated_words(ids)
-                codes.clear()
-                ids = None
+                ids, repeated = None, repeated_words(Numbers().of(words))
             failed = n < limits.min_words or 100 * repeated > limits.repeat_percent * n
             base = (n, chars, symbols, duplicate_lines(content), repeated, failed)
             if n == 0 or not refs:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from mldiag.llm.ragged import Numbers
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -16,16 +18,16 @@ class WordTable:
     LIMIT = 1 << 20
 
     def __init__(self, attributes: Callable[[list[bytes]], np.ndarray], width: int):
-        self.attributes, self.place, self.rows = attributes, {}, np.zeros((1 << 12, width), np.int64)
+        self.attributes, self.place, self.rows = attributes, Numbers(), np.zeros((1 << 12, width), np.int64)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number, attribute rows) of at most LIMIT words."""
         if len(self.place) > min(self.LIMIT, 300_000):
-            self.place = {}
+            self.place = Numbers()
         place, known = self.place, len(self.place)
-        at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+        at = place.of(words)
         if len(place) > known:
-            new = list(dict.fromkeys(w for w, i in zip(words, (at >= known).tolist()) if i))
+            new = place.order[known:]
             while len(self.rows) < len(place):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[known : len(place)] = self.attributes(new)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mldiag.llm.common import map_batches, texts_of
-from mldiag.llm.ragged import blocks
+from mldiag.llm.ragged import Numbers, blocks
 
 ORDER = 5
 DOCUMENTS_A_LANGUAGE = 2_000
@@ -219,7 +219,7 @@ class Scorer:
     """Cross-entropies of whole texts under all models; distinct words are scored once."""
 
     def __init__(self, models: list[CharacterModel]):
-        self.models, self.place, self.scores = models, {}, np.zeros((1 << 12, len(models)))
+        self.models, self.place, self.scores = models, Numbers(), np.zeros((1 << 12, len(models)))
 
     def fresh(self, words: list[str]) -> np.ndarray:
         order = len(self.models[0].hashes)
@@ -232,11 +232,11 @@ class Scorer:
         total, letters = np.zeros(len(self.models)), 0
         for block in word_blocks(text):
             if len(self.place) > REMEMBERED:
-                self.place = {}
+                self.place = Numbers()
             place, known = self.place, len(self.place)
-            at = np.fromiter((place.setdefault(w, len(place)) for w in block), np.int64, len(block))
+            at = place.of(block)
             if len(place) > known:
-                new = list(dict.fromkeys(w for w, i in zip(block, (at >= known).tolist()) if i))
+                new = place.order[known:]
                 while len(self.scores) < len(place):
                     self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
                 self.scores[known : len(place)] = self.fresh(new)

@@ -126,8 +126,8 @@ def mixed(
     window: int = WINDOW,
 ) -> tuple[DataFrame, list[str]]:
     """The rows of `docs` with size, source_size, target and copies; returns the names that these four columns got."""
-    size, source_size, target, copies, key, slice_, code, rank = names = [
-        free_name(docs, n) for n in ("size", "source_size", "target", "copies", "mix_key", "mix_slice", "mix_code", "mix_rank")
+    size, source_size, target, copies, key, slice_, code, rank, take = names = [
+        free_name(docs, n) for n in ("size", "source_size", "target", "copies", "mix_key", "mix_slice", "mix_code", "mix_rank", "mix_take")
     ]
     # a key that is never null: the source after an equals sign, or nothing
     rows = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
@@ -145,14 +145,14 @@ def mixed(
     plan = counted.join(fitted, ["key", "size"]).join(targets, "key")
     plan = plan.select(
         F.col("key").alias(key), F.col("size").alias(size), F.col("slice").alias(slice_), F.col("source_size").alias(source_size),
-        F.col("target").alias(target), F.col("copies").alias(copies), (F.col("take") - F.col("before")).alias("take_here"),
+        F.col("target").alias(target), F.col("copies").alias(copies), (F.col("take") - F.col("before")).alias(take),
     )
     plan = stored(plan, "mix")
     # rows are dealt out once, by slice: the row number and the join use the same keys
     ordered = Window.partitionBy(key, size, slice_).orderBy(code, "doc_id", F.xxhash64(text_or_empty()))
     ranked = rows.withColumn(rank, F.row_number().over(ordered))
     joined = ranked.join(plan, [key, size, slice_])
-    chosen = joined.withColumn(copies, F.col(copies) + (F.col(rank) <= F.col("take_here")).cast("bigint"))
+    chosen = joined.withColumn(copies, F.col(copies) + (F.col(rank) <= F.col(take)).cast("bigint"))
     return chosen.select(*docs.columns, *names[:4]), names[:4]
 
 

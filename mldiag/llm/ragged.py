@@ -15,6 +15,21 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
 
 
+class Numbers(dict):
+    """Numbers words as they come; `order` lists them. Known words are found without running Python code."""
+
+    def __init__(self):
+        self.order: list = []
+
+    def __missing__(self, word):
+        number = self[word] = len(self.order)
+        self.order.append(word)
+        return number
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Remembered:
     """Ids of words by `encode`, which gets lists of new words; forgets everything beyond `most` words."""
 
@@ -23,7 +38,7 @@ class Remembered:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict = {}
+        self.place = Numbers()
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
@@ -32,15 +47,10 @@ class Remembered:
     def ids(self, words: list) -> np.ndarray:
         if len(self.place) > self.most:
             self.forget()
-        place = self.place
-        known = len(place)
-        at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+        place, known = self.place, len(self.place)
+        at = place.of(words)
         if len(place) > known:
-            fresh, seen = [], known  # a new word stands where its number first appears
-            for i in np.flatnonzero(at >= known).tolist():
-                if at[i] == seen:
-                    fresh.append(words[i])
-                    seen += 1
+            fresh = place.order[known:]
             found = self.encode(fresh)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             total = int(sizes.sum())

@@ -19,6 +19,9 @@ content and each has its own start; a text longer than a block goes on in the ne
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,34 +38,50 @@ from mldiag.llm.ragged import Remembered, blocks, gather
 END = 1
 BLOCK_IDS = 1 << 20
 MIN_COUNT = 4
-LEAST_GAIN = 0.005
+LEAST_GAIN = 0.01
 MARK = 1024
 MAGIC = b"RPR1"
 HEAD = "<4s6I"
 WORDS_AT_ONCE = 200_000
+#: Fixed value: how a tokenizer parts runs of letters, digits and marks; marks never join a letter or digit before them.
+PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = np.sort(codes)
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[starts], np.diff(np.append(starts, len(ordered)))
+    return ordered[starts], np.diff(np.append(starts, len(ordered))).astype(np.int32)
+
+
+def _find(pairs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Place of each code among the pairs, if it is one, by a table of hashes; of pairs with one hash the last is found."""
+    bits = max(12, min(20, int(len(pairs)).bit_length() + 3))
+    factor = codes.dtype.type(0x9E3779B1 if codes.dtype == np.uint32 else 0x9E3779B97F4A7C15)
+    shift = codes.dtype.type(codes.dtype.itemsize * 8 - bits)
+    table = np.zeros(1 << bits, np.int32)
+    table[(pairs * factor) >> shift] = np.arange(len(pairs), dtype=np.int32)
+    return table[(codes * factor) >> shift]
 
 
 def _winners(weight: np.ndarray) -> np.ndarray:
     """Places whose pair beats the overlapping ones; of a run of equals every second place. No two of them touch."""
     n = len(weight)
-    place = np.arange(n)
-    left = np.append(0, weight[:-1])
-    start = np.maximum.accumulate(np.where(weight != left, place, 0))
-    right = np.append(weight[1:], 0)
+    place = np.arange(n, dtype=np.int32)
+    left, right = np.zeros(n, weight.dtype), np.zeros(n, weight.dtype)
+    left[1:], right[:-1] = weight[:-1], weight[1:]
+    start = np.maximum.accumulate(np.where(weight != left, place, np.int32(0)))
     even = ((place - start) & 1) == 0
     return np.flatnonzero((weight > 0) & even & ((place != start) | (left < weight)) & (right <= weight))
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
     """The payload of a block."""
-    alphabet, symbols = np.unique(ids.astype(np.uint32), return_inverse=True)
-    symbols = symbols.astype(np.uint32)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        there = np.bincount(ids) > 0
+        alphabet, symbols = np.flatnonzero(there), (np.cumsum(there, dtype=np.uint32) - np.uint32(1))[ids]
+    else:
+        alphabet, symbols = np.unique(ids.astype(np.uint32), return_inverse=True)
+        symbols = symbols.astype(np.uint32)
     size, lefts, rights = len(alphabet), [], []
     while len(symbols) > 1:
         room = (1 << 16) - size if size <= 1 << 16 else 1 << 16
@@ -80,7 +99,7 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
         if len(often) > room:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
         pairs, counts = pairs[often], counts[often]
-        at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
+        at = _find(pairs, codes)
         weight = np.where(pairs[at] == codes, counts[at], 0)
         places = _winners(weight)
         used = np.bincount(at[places], minlength=len(pairs))
@@ -167,31 +186,74 @@ class Block:
 
 
 class WordEncoder:
-    """Ids of whole texts. No token of a tokenizer that drops white space crosses it, so words are encoded apart and remembered."""
+    """Ids of whole texts. No token of a tokenizer that drops white space crosses it, so words are encoded apart and remembered.
+
+    Where the tokenizer lowers letters, ASCII letters are lowered first; where it parts runs of letters from marks, so does a cut
+    between an ASCII letter or digit and a mark. Both only let more words be the same. Texts that might hold an added token in capitals are left as they are."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.no_padding()
         tokenizer.no_truncation()
+        spec = json.loads(tokenizer_json)
+        normalizer, parting = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        self.lowers = any(n.get("type") == "Lowercase" for n in [normalizer, *normalizer.get("normalizers", [])])
+        patterns = [p.get("pattern", {}).get("Regex") for p in [parting, *parting.get("pretokenizers", [])] if p.get("type") == "Split"]
+        self.cut = re.compile(rb"(?<=[A-Za-z0-9])(?=[,.;:!?])") if patterns == [PARTED] else None
+        self.added = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
+
+        ends = [t for t, i in sorted(tokenizer.get_vocab(True).items(), key=lambda x: x[1])]
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        last = np.array([bool(suffix) and t.endswith(suffix) for t in ends])
 
         def encode(words: list[bytes]) -> list[list[int]]:
+            """Letters alone are one word with an end mark, so they are encoded in one go and parted at the marks."""
             texts = [w.decode("utf-8", "replace") for w in words]
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found: list = [None] * len(texts)
+            plain = [i for i, t in enumerate(texts) if t.isalpha()] if suffix and self.cut is not None else []
+            for at in range(0, len(plain), 1000):
+                part = plain[at : at + 1000]
+                ids = tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids
+                stops = np.flatnonzero(last[ids]) + 1 if ids else np.zeros(0, int)
+                if len(stops) == len(part) and stops[-1] == len(ids):
+                    for i, start, stop in zip(part, [0, *stops[:-1].tolist()], stops.tolist()):
+                        found[i] = ids[start:stop]
+            rest = [i for i, f in enumerate(found) if f is None]
+            for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+                found[i] = e.ids
+            return found
 
-        self.words = Remembered(encode, np.uint32)
+        self.words = Remembered(encode, np.uint32, 600_000)
 
     def encode(self, content: bytes) -> np.ndarray:
+        low = content.lower()
+        if not any(a in low for a in self.added):
+            content = low if self.lowers else content
+            if self.cut is not None:
+                content = self.cut.sub(b" ", content)
         words = content.split()
         if len(words) <= WORDS_AT_ONCE:
             return self.words.ids(words)
         return np.concatenate([self.words.ids(part) for part in blocks(iter(words), WORDS_AT_ONCE)])
 
 
+def kept_encoder(tokenizer_json: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps it and its words from task to task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_mldiag_encoders", {})
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in kept:
+        kept[key] = WordEncoder(tokenizer_json)
+    return kept[key]
+
+
 def _write_blocks(tokenizer_json: str, block_ids: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_json)
+        encoder = kept_encoder(tokenizer_json)
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         pieces: list[tuple] = []
