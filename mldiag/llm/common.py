@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all machines see: spark.checkpoint.dir; a private one only where no cluster is."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="mldiag-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
