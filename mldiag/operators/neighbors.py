@@ -146,7 +146,7 @@ def knn_join(
         q, t = _unit(q, "v"), _unit(t, "v")
     t = cut_lineage(_first_copies(t.select("id", "v", "carried"), need))  # read by four jobs below
     # each distinct query vector gets a number, and rows join by it: a vector that many rows share is one narrow hot key
-    q = cut_lineage(q.withColumn("hash", F.xxhash64("v")))
+    q = q.withColumn("hash", F.xxhash64("v"))
     reps = cut_lineage(q.groupBy("hash", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id()))
     found = _pivot_join(spark, reps, t, need, n_cells, block_rows)
     if metric == "cosine":

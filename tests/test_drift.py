@@ -89,19 +89,35 @@ def test_density_integrates_to_one(spark, sides):
 
 def test_late_rows_are_dropped_and_stream_equals_batch(spark, tmp_path):
     rows = [(f"2024-01-0{d} 0{h}:00:00", float(d + h)) for d in (1, 2, 3) for h in range(5)]
-    events = spark.createDataFrame(rows, "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    counts = drift_stream.bin_counts(stream, "ts", {"value": [3.0, 5.0]})
-    saved = str(tmp_path / "out")
+    frame = lambda part: spark.createDataFrame(part, "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = ("2023-12-01 00:00:00", 4.0)
+    # rows are late by the watermark of the batch before; the last file moves it past every window
+    for number, part in enumerate((rows[:8], rows[8:12], [*rows[12:], late], [("2030-01-01 00:00:00", 4.0)])):
+        frame(part).coalesce(1).write.parquet(str(tmp_path / "in" / str(number)))
+    reader = spark.readStream.schema(frame(rows).schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    counts = drift_stream.bin_counts(reader.parquet(str(tmp_path / "in")), "ts", {"value": [3.0, 5.0]})
     run = (
-        counts.writeStream.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(saved))
-        .outputMode("complete")
+        counts.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "progress"))
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    batch = drift_stream.bin_counts(events, "ts", {"value": [3.0, 5.0]})
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(spark.read.parquet(saved)) == key(batch)
+    got = key(spark.read.parquet(str(tmp_path / "out")))
+    assert got == key(drift_stream.bin_counts(frame(rows), "ts", {"value": [3.0, 5.0]}))
+    assert key(drift_stream.bin_counts(frame([*rows, late]), "ts", {"value": [3.0, 5.0]})) != got
+
+
+def test_no_feature_is_left_out_of_temporal_drift(spark):
+    rows = pd.DataFrame({f"f{i}": [float(k % 3) for k in range(60)] for i in range(5)})
+    rows["f5"] = [0.0 if k < 30 else 9.0 for k in range(60)]
+    rows["ts"] = pd.date_range("2024-01-01", periods=60, freq="h")
+    rows["i"] = range(60)
+    df = spark.createDataFrame(rows)
+    names = [f"f{i}" for i in range(6)]
+    found = drift.temporal_drift(df.where("i < 30"), df, "ts", "i", names).toPandas()
+    assert found["max_ks"].max() == 1.0
+    assert drift.temporal_drift(df, df, "ts", "i", names, max_windows=3).count() == 3
