@@ -147,3 +147,45 @@ def test_clusters_and_explore(points):
     assert sizes.sum() == 180 and len(sizes) == 3
     one = df.limit(1).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
     assert "cluster" not in neighbors.auto_cluster(one, "id").columns
+
+
+def test_neighbour_join_takes_text_ids(points):
+    v, df = points
+    named = df.select(F.format_string("point-%05d", F.col("id")).alias("id"), "v")
+    got = neighbors.knn_join(named, named, "id", "v", 4, exclude_self=True, n_cells=8, block_rows=16).toPandas()
+    want = brute(v, 4, True)
+    for i, g in got.sort_values("rank").groupby("id"):
+        assert g["neighbor"].tolist() == [f"point-{j:05d}" for j in want[int(i[6:])]]
+
+
+def test_sparse_vectors_are_reduced(spark):
+    rng = np.random.RandomState(4)
+    words = [f"w{i:03d}" for i in range(150)]
+    texts = [" ".join(rng.choice(words[: 40 if i % 2 else 150], 30)) for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = embed.tfidf_vectors(df, "id", "text", stop_words=[])
+    dense = np.array([r["e"] for r in rows.orderBy("id").select(vector_to_array("embedding").alias("e")).collect()])
+    placed = reduce.pca(rows, "embedding", passes=40).toPandas().sort_values("id")
+    centred = dense - dense.mean(0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    for i, name in enumerate("xy"):
+        assert abs(np.corrcoef(centred @ axes[i], placed[name])[0, 1]) == pytest.approx(1, abs=1e-4)
+    far = reduce.landmark_mds(rows, "id", "embedding", 2, landmarks=90).toPandas().sort_values("id")
+    for i, name in enumerate("xy"):  # with all rows as landmarks the scaling gives the principal axes
+        assert abs(np.corrcoef(centred @ axes[i], far[name])[0, 1]) == pytest.approx(1, abs=1e-4)
+
+
+def test_quality_covers_all_rows_by_brute_force(points):
+    v, df = points
+    plane = df.select("id", "v", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+    got = quality.quality_metrics(plane, "id", "v", k=7).first()
+    n, k = len(v), 7
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    e = np.sqrt(((v[:, None, :2] - v[None, :, :2]) ** 2).sum(-1))
+    penalty = 0
+    for i in range(n):
+        others = [j for j in range(n) if j != i]
+        rank = {j: r for r, j in enumerate(sorted(others, key=lambda j: (d[i, j], j)), 1)}
+        penalty += sum(max(0, rank[j] - k) for j in sorted(others, key=lambda j: (e[i, j], j))[:k])
+    assert got["trustworthiness"] == pytest.approx(1 - 2 / (n * k * (2 * n - 3 * k - 1)) * penalty, abs=1e-6)
+    assert got["stress"] == pytest.approx(np.sqrt(((d - e) ** 2).sum() / (d**2).sum()), abs=1e-6) and got["n_samples"] == n
