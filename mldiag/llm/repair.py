@@ -38,7 +38,7 @@ from mldiag.llm.ragged import Remembered, blocks, gather
 END = 1
 BLOCK_IDS = 1 << 20
 MIN_COUNT = 4
-LEAST_GAIN = 0.01
+LEAST_GAIN = 0.02
 MARK = 1024
 MAGIC = b"RPR1"
 HEAD = "<4s6I"
@@ -216,7 +216,7 @@ class WordEncoder:
             plain = [i for i, t in enumerate(texts) if t.isalpha()] if suffix and self.cut is not None else []
             for at in range(0, len(plain), 1000):
                 part = plain[at : at + 1000]
-                ids = tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids
+                ids = tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids
                 stops = np.flatnonzero(last[ids]) + 1 if ids else np.zeros(0, int)
                 if len(stops) == len(part) and stops[-1] == len(ids):
                     for i, start, stop in zip(part, [0, *stops[:-1].tolist()], stops.tolist()):
