@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +39,7 @@ EDGE = 2
 REMEMBERED = 200_000
 LONGEST = 64
 WORDS_AT_ONCE = 100_000
+FRESH = 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIXER = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -227,22 +228,28 @@ class Scorer:
         unique = [np.unique(h, return_inverse=True) for h in hashes]
         return np.column_stack([m.word_scores(len(words), word, place, unique) for m in self.models])
 
-    def entropies(self, text: str) -> tuple[np.ndarray, int] | None:
-        """Nats a character under each model, and the number of characters; None if the text has no letter."""
-        total, letters = np.zeros(len(self.models)), 0
-        for block in word_blocks(text):
-            if len(self.place) > REMEMBERED:
-                self.place = Numbers()
-            place, known = self.place, len(self.place)
-            at = place.of(block)
-            if len(place) > known:
-                new = place.order[known:]
-                while len(self.scores) < len(place):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[known : len(place)] = self.fresh(new)
-            total += self.scores[at].sum(axis=0)
-            letters += sum(map(len, block)) + len(block)
-        return (-total / letters, letters) if letters else None
+    def entropies(self, texts: Iterable[str]) -> list[tuple[np.ndarray, int] | None]:
+        """Of each text the nats a character under each model and the number of characters; None if it has no letter.
+
+        Texts are read first; then the words that none of them had before are scored together."""
+        if len(self.place) > REMEMBERED:
+            self.place = Numbers()
+        place, known = self.place, len(self.place)
+        read = []
+        for text in texts:
+            parts, letters = [], 0
+            for block in word_blocks(text):
+                parts.append(place.of(block).astype(np.int32))
+                letters += sum(map(len, block)) + len(block)
+            read.append((parts, letters))
+        while len(self.scores) < len(place):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        for at in range(known, len(place), FRESH):
+            new = place.order[at : at + FRESH]
+            self.scores[at : at + len(new)] = self.fresh(new)
+        return [
+            (-sum(self.scores[part].sum(axis=0) for part in parts) / letters, letters) if letters else None for parts, letters in read
+        ]
 
 
 def probabilities(entropies: np.ndarray, letters: np.ndarray, temperature: float) -> np.ndarray:
@@ -327,8 +334,7 @@ def _calibration(models: list[CharacterModel]):
         scorer = Scorer(models)
         for batch in batches:
             out = []
-            for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                found = scorer.entropies(text)
+            for lang, found in zip(batch.column(0).to_pylist(), scorer.entropies(texts_of(batch.column(1)))):
                 if found is not None:
                     out.append((lang, found[1], found[0].tolist()))
             columns = list(zip(*out)) or [()] * 3
@@ -348,8 +354,7 @@ def predict(docs: DataFrame, identifier: Identifier | None) -> DataFrame:
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         for batch in batches:
             out = []
-            for text in texts_of(batch.column(1)):
-                found = scorer.entropies(text) if scorer else None
+            for found in scorer.entropies(texts_of(batch.column(1))) if scorer else [None] * batch.num_rows:
                 if found is None:
                     out.append(("und", 0.0, None, True))
                     continue

@@ -63,7 +63,7 @@ def test_scores_equal_a_plain_model(spark):
     for word in [*list(words)[:60], "zzz", "abz", "a", "dddddddd"]:
         marked = "\x02" + word + "\x02"
         wanted = sum(np.log(p(marked[max(0, i - order + 1) : i + 1])) for i in range(1, len(marked)))
-        (got, letters) = scorer.entropies(word)
+        ((got, letters),) = scorer.entropies([word])
         assert letters == len(word) + 1 and -got[0] * letters == pytest.approx(wanted, rel=1e-9), word
 
 
