@@ -262,30 +262,32 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
         names = ["doc_id", "n_paragraphs", "n_licences", "family", "probability", "containment", "families"]
 
         def read(content: bytes) -> tuple:
-            paragraphs, licensed, found, held = 0, set(), [], 0
-            hashes, lengths = [], []
+            paragraphs, found = 0, []
+            words: list[bytes] = []
+            sizes: list[int] = []
 
             def close() -> None:
-                nonlocal held
-                if hashes:
-                    sizes = np.array(lengths)
-                    found.extend((f, p, c, paragraphs - len(lengths) + i) for f, p, c, i in model.found(np.concatenate(hashes), sizes))
-                    hashes.clear(), lengths.clear()
-                    held = 0
+                """Read the lines that are held: all words at once, less those that are mere marks."""
+                hashes = np.concatenate([table.look_up(words[i : i + 200_000])[1][:, 0] for i in range(0, len(words), 200_000)])
+                real = hashes > 0
+                ends = np.cumsum(sizes)
+                before = np.append(0, np.cumsum(real))
+                lengths = before[ends] - before[ends - sizes]
+                first = paragraphs - len(sizes)
+                found.extend((f, p, c, first + i) for f, p, c, i in model.found(hashes[real], lengths))
+                words.clear(), sizes.clear()
 
             for line in content.split(b"\n"):
-                words = line.split()
-                if not words:
+                mine = line.split()
+                if not mine:
                     continue
                 paragraphs += 1
-                mine = np.concatenate([table.look_up(words[i : i + 200_000])[1][:, 0] for i in range(0, len(words), 200_000)])
-                mine = mine[mine > 0]
-                hashes.append(mine)
-                lengths.append(len(mine))
-                held += len(mine)
-                if held > 100_000:  # a long text is read in parts of whole lines
+                words.extend(mine)
+                sizes.append(len(mine))
+                if len(words) > 100_000:  # a long text is read in parts of whole lines
                     close()
-            close()
+            if words:
+                close()
             licensed = {i for *_, i in found}
             if not found:
                 return paragraphs, 0, UNKNOWN, None, None, []
