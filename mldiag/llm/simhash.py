@@ -256,11 +256,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id): component_id is the smallest doc_id linked to the row's, null where none has an id."""
-    rows = stored(fingerprints(docs), "fingerprints")
+def named_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text_hash, fp) with component_id, the smallest doc_id of the rows whose fp is linked to the row's."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(fingerprint_links(distinct))
+    roots = components(links)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     shared = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -268,16 +267,27 @@ def near_components(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id): component_id is the smallest doc_id linked to the row's, null where none has an id."""
+    rows = stored(fingerprints(docs), "fingerprints")
+    return named_components(rows, fingerprint_links(rows.select("fp").distinct()))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, fingerprint as 16 hex digits, component_id."""
     found = near_components(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is the smallest of their component, with the columns of the input.
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is the smallest of their component in `found` (doc_id, text_hash, component_id).
 
     Rows of one doc_id in one component are one document and share its fate; rows without an id go where a row with one stays."""
-    gone = near_components(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
     same = docs["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["text_hash"])
     return docs.join(gone, same, "left_anti")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows whose doc_id is the smallest of their component, with the columns of the input."""
+    return keep_least(docs, near_components(docs))
