@@ -62,14 +62,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take, so that the lengths add up to `goal` or as near to it as can be found."""
+    """How many documents of each length to take, so that the lengths add up to `goal` or as near to it as any sum that holds the proportional part."""
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if goal <= 0 or total == 0:
         return taken
     if goal >= total:
         return counts.copy()
-    taken = np.array([int(c) * goal // total for c in counts.tolist()], np.int64)
+    part = np.array([int(c) * goal // total for c in counts.tolist()], np.int64)
+    taken, miss = _filled(lengths, counts, part, goal, window, OVER)
+    step = int(np.gcd.reduce(lengths))
+    if miss > min(goal % step, -goal % step):  # few documents are left: none too long to be looked at, and any sum that is nearer
+        wide, nearer = _filled(lengths, counts, part, goal, max(window, 3 * int(lengths.max())), miss)
+        taken = wide if nearer < miss else taken
+    return taken
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, part: np.ndarray, goal: int, window: int, over: int) -> tuple[np.ndarray, int]:
+    """The counts that begin with `part`, and how far from the goal they end; sums up to `over` above the goal are looked at."""
+    taken = part.copy()
     left = goal - int((lengths * taken).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order[lengths[order] > 0].tolist():
@@ -77,7 +88,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int
         taken[i] += more
         left -= more * int(lengths[i])
     # bounded knapsack over what is left; a length's count is cut into powers of two
-    most = left + OVER
+    most = left + over
     first = np.full(most + 1, -1, np.int64)
     reach = np.zeros(most + 1, bool)
     reach[0] = True
@@ -98,11 +109,12 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int
             break
     sums = np.flatnonzero(reach)
     at = int(sums[np.abs(sums - left).argmin()])
+    miss = abs(at - left)
     while at:
         i, part = items[first[at]]
         taken[i] += part
         at -= part * int(lengths[i])
-    return taken
+    return taken, miss
 
 
 def _fitted(window: int):

@@ -94,3 +94,16 @@ def test_empty_tables(spark):
     docs, _ = made(spark)
     assert mixing.mix_table(docs.filter("false")).count() == 0 and mixing.mix(docs.filter("false")).count() == 0
     assert mixing.mix_table(docs.filter("text is null")).first().taken == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_few_long_documents_end_at_the_nearest_sum(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.choice(np.arange(4_000, 120_000), 1 + seed % 3, replace=False)
+    counts = np.ones(len(lengths), np.int64)
+    cases = [(lengths, counts, int(lengths.sum() * rng.uniform(0.05, 0.95)))]
+    cases += [(np.array([100_000]), np.array([1]), 90_000), (np.array([5_000]), np.array([3]), 13_500), (np.array([5_000]), np.array([1]), 3_500)]
+    for lengths, counts, goal in cases:
+        take = mixing.fit_lengths(lengths, counts, goal)
+        sums = [sum(a * b for a, b in zip(c, lengths.tolist())) for c in itertools.product(*(range(n + 1) for n in counts.tolist()))]
+        assert abs(int((take * lengths).sum()) - goal) == min(abs(s - goal) for s in sums)
