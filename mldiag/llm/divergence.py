@@ -1,12 +1,12 @@
 """Quality rules: distance of a document's character-class and common-word histograms from language references.
 
-Every language that holds a thousandth of the rows gets two reference histograms, counted over all texts of the corpus: byte
+Every language with `EVIDENCE` counted words, however few of the rows, gets two reference histograms, counted over all texts of the corpus: byte
 classes, and its most common words with one more bin for all other words. A document is measured against the language whose
 word histogram is nearest (so a missing or wrong label does no harm), by Jensen-Shannon distance with base-2 logarithms. Distances
 of short texts are large by chance, hence the minimum length and a word threshold that falls with the square root of the length.
 
 Cases: a null or empty text has no words and fails the base rule. Without any language reference (no labels) the distances
-are null and only the base rule decides. Rows that repeat are measured one by one.
+are null and only the base rule decides; it also decides alone on a document whose own language has no reference. Rows that repeat are measured one by one.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from mldiag.llm.common import bytes_of, map_batches, stored
 from mldiag.llm.ragged import Numbers
 
 COMMON_WORDS = 40
-LANGUAGE_SHARE = 0.001
+EVIDENCE = 5_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 CHAR_DISTANCE = 0.3
@@ -111,8 +111,8 @@ class Reference:
     class_shares: np.ndarray
 
 
-def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float = LANGUAGE_SHARE) -> list[Reference]:
-    """One reference a language; at most 1 / share languages of common_words words each come to the driver."""
+def references(docs: DataFrame, common_words: int = COMMON_WORDS, evidence: int = EVIDENCE) -> list[Reference]:
+    """One reference for each language with enough counted words; common_words words of each come to the driver."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     partial = map_batches(texts.filter("lang is not null"), _corpus_counts(FLUSH), "kind string, lang string, item binary, n bigint")
     counts = stored(partial.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")), "word-counts")
@@ -126,9 +126,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float =
     best = ranked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max(common_words, CLASSES))
     second = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")
     best = best.withColumn("r", F.row_number().over(second)).filter((F.col("kind") != "word") | (F.col("r") <= common_words))
-    sizes = Window.partitionBy("kind")
-    total = total.withColumn("all", F.sum("total").over(sizes))
-    large = total.filter((F.col("kind") == "rows") & (F.col("total") >= share * F.col("all"))).select("lang")
+    large = total.filter((F.col("kind") == "word") & (F.col("total") >= evidence)).select("lang")
     found = best.join(total.select("kind", "lang", "total"), ["kind", "lang"]).join(large, "lang", "left_semi").collect()
     out = []
     for lang in sorted({r.lang for r in found}):
@@ -194,6 +192,7 @@ def _measure(refs: list[Reference], limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_classes()
         places = [{w: i for i, w in enumerate(r.words)} for r in refs]
+        known_langs = {r.lang for r in refs}
         codes = Numbers()
         bins = [np.zeros(1 << 12, np.int64) for _ in refs]
 
@@ -212,7 +211,8 @@ def _measure(refs: list[Reference], limits: Limits):
                     bins[i][known : len(codes)] = [place.get(w, len(r.words)) for w in fresh]
             return ids
 
-        def measure(content: bytes) -> tuple:
+        def measure(content: bytes, own: bool) -> tuple:
+            """`own`: a reference of the document's own language exists, or its language is not known."""
             words = content.split()
             n = len(words)
             spaces = sum(content.count(c) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
@@ -238,14 +238,15 @@ def _measure(refs: list[Reference], limits: Limits):
             counts = class_counts(content, table)
             word, char = distances[nearest], js_distance(counts / counts.sum(), refs[nearest].class_shares)
             near = word <= limits.word_distance + limits.word_distance_short / np.sqrt(n) and char <= limits.char_distance
-            return (*base, not failed and bool(near), refs[nearest].lang, word, char)
+            return (*base, not failed and (bool(near) or not own), refs[nearest].lang, word, char)
 
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string(), pa.float64(), pa.float64()]
         names = [x.split()[0] for x in MEASURES.split(", ")]
         for batch in batches:
-            found = list(zip(*[measure(t) for t in bytes_of(batch.column(batch.num_columns - 1))])) or [()] * len(kinds)
-            columns = batch.columns[:-1] + [pa.array(c, k) for c, k in zip(found, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1] + names)
+            own = [lang is None or str(lang) in known_langs for lang in batch.column(batch.num_columns - 2).to_pylist()]
+            found = list(zip(*[measure(t, o) for t, o in zip(bytes_of(batch.column(batch.num_columns - 1)), own)])) or [()] * len(kinds)
+            columns = batch.columns[:-2] + [pa.array(c, k) for c, k in zip(found, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2] + names)
 
     return run
 
@@ -264,21 +265,22 @@ def _repeated_wide(ids: np.ndarray) -> int:
 def measures(docs: DataFrame, limits: Limits | None = None, refs: list[Reference] | None = None) -> DataFrame:
     """One row per input row: doc_id, base measures, the nearest language and both distances, kept."""
     refs = references(docs) if refs is None else refs
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    columns = (F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(*columns)
     return map_batches(texts, _measure(refs, limits or Limits()), f"doc_id bigint, {MEASURES}")
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The rows that pass, with the columns of the input. Rows travel with their verdict, so no join is needed."""
     run = _measure(references(docs), limits or Limits())
-    names, place = docs.columns, docs.columns.index("text")
+    names, place, lang = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         def judged(batch):
             # the text may be of a type that `measures` casts; here it is text already
-            only = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
+            only = pa.RecordBatch.from_arrays([batch.column(lang), batch.column(place)], ["lang", "text"])
             (found,) = run(iter([only]))
             return found.column(found.schema.get_field_index("kept"))
 

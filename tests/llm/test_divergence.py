@@ -84,3 +84,19 @@ def test_distances_and_verdicts(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
     kept = divergence.keep_good(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, r in found.items() if r.kept)
+
+
+def test_rare_language_beside_a_huge_one(spark):
+    """A language of one row in 1,500 is measured against itself; one of too few words for a reference meets the base rule only."""
+    rng = np.random.default_rng(4)
+    vocabulary = {lang: [f"{lang}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)] for lang in ("big", "rare", "tiny")}
+    share = 1 / np.arange(1, 401)
+    text = lambda lang, n: " ".join(rng.choice(vocabulary[lang], n, p=share / share.sum()))
+    rows = [(i, text("big", 60), "big") for i in range(6_000)]
+    rows += [(10_000 + i, text("rare", 2_000), "rare") for i in range(4)] + [(20_000, text("tiny", 200), "tiny"), (20_001, "tiny " * 200, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    assert [r.lang for r in divergence.references(docs)] == ["big", "rare"]
+    found = {r.doc_id: r for r in divergence.measures(docs.filter("doc_id >= 10000"), refs=divergence.references(docs)).collect()}
+    assert all(found[10_000 + i].kept and found[10_000 + i].nearest_lang == "rare" for i in range(4))
+    assert found[20_000].kept and not found[20_001].kept
+    assert {r.doc_id for r in divergence.keep_good(docs).collect() if r.doc_id >= 10_000} == {10_000, 10_001, 10_002, 10_003, 20_000}
