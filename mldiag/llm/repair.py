@@ -2,7 +2,8 @@
 
 Texts are encoded with the tokenizers library, an end id is put behind each document, and the stream of ids in ascending doc_id order
 is cut into blocks. In a block, frequent neighbouring ids are replaced by nonterminals, round by round: a round counts all
-pairs, takes those that occur often enough, and replaces every occurrence that beats the ones it overlaps with. What is
+pairs, takes those that occur often enough, and replaces every occurrence that beats the ones it overlaps with, until no pair occurs
+often enough. After a round only places are counted whose pair was frequent or is new. What is
 left is a sequence over the block's alphabet and rules. Rules carry their expansion length and every 1,024th symbol its
 place, so that any stretch of ids is decoded without the ids before it.
 
@@ -38,7 +39,6 @@ from mldiag.llm.ragged import Remembered, blocks, gather
 END = 1
 BLOCK_IDS = 1 << 20
 MIN_COUNT = 4
-LEAST_GAIN = 0.02
 MARK = 1024
 MAGIC = b"RPR1"
 HEAD = "<4s6I"
@@ -53,14 +53,20 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts], np.diff(np.append(starts, len(ordered))).astype(np.int32)
 
 
-def _find(pairs: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Place of each code among the pairs, if it is one, by a table of hashes; of pairs with one hash the last is found."""
+def _find(pairs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the pairs or -1, whether the code may be a pair) of each code, by a table of hashes; of pairs with one hash the last is found."""
     bits = max(12, min(20, int(len(pairs)).bit_length() + 3))
     factor = codes.dtype.type(0x9E3779B1 if codes.dtype == np.uint32 else 0x9E3779B97F4A7C15)
     shift = codes.dtype.type(codes.dtype.itemsize * 8 - bits)
+    slots, number = (pairs * factor) >> shift, np.arange(len(pairs), dtype=np.int32)
     table = np.zeros(1 << bits, np.int32)
-    table[(pairs * factor) >> shift] = np.arange(len(pairs), dtype=np.int32)
-    return table[(codes * factor) >> shift]
+    table[slots] = number
+    shared = np.zeros(1 << bits, bool)
+    shared[slots[table[slots] != number]] = True
+    slots = (codes * factor) >> shift
+    at = table[slots]
+    found = pairs[at] == codes
+    return np.where(found, at, np.int32(-1)), found | shared[slots]
 
 
 def _winners(weight: np.ndarray) -> np.ndarray:
@@ -83,39 +89,60 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
         alphabet, symbols = np.unique(ids.astype(np.uint32), return_inverse=True)
         symbols = symbols.astype(np.uint32)
     size, lefts, rights = len(alphabet), [], []
+    live = np.ones(len(symbols), bool)  # places whose pair may be frequent: a pair that is not can't become so
     while len(symbols) > 1:
-        room = (1 << 16) - size if size <= 1 << 16 else 1 << 16
-        if room <= 0:
-            break
         narrow = size <= 1 << 16
+        live[-1] = False
+        here = np.flatnonzero(live)
         if narrow:
-            codes = (symbols[:-1] << np.uint32(16)) | symbols[1:]
+            codes = (symbols[here] << np.uint32(16)) | symbols[here + 1]
         else:
-            codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+            codes = (symbols[here].astype(np.uint64) << np.uint64(32)) | symbols[here + 1]
+        if not len(codes):
+            break
         pairs, counts = _counted(codes)
+        shift = codes.dtype.type(16 if narrow else 32)
+        low = codes.dtype.type((1 << int(shift)) - 1)
         often = np.flatnonzero(counts >= min_count)
+        twins = often[pairs[often] >> shift == pairs[often] & low]
+        if len(twins):  # of a run of one symbol every second place counts
+            twin = here[symbols[here] == symbols[here + 1]]
+            starts = np.flatnonzero(np.append(True, np.diff(twin) != 1))
+            halves = (np.diff(np.append(starts, len(twin))) + 1) // 2
+            counts[twins] = np.bincount(symbols[twin[starts]], halves, minlength=size)[(pairs[twins] & low).astype(np.int64)]
+            often = often[counts[often] >= min_count]
         if not len(often):
             break
-        if len(often) > room:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
         pairs, counts = pairs[often], counts[often]
-        at = _find(pairs, codes)
-        weight = np.where(pairs[at] == codes, counts[at], 0)
+        at, live[here] = _find(pairs, codes)
+        weight = np.zeros(len(symbols) - 1, np.int32)
+        weight[here] = np.where(at >= 0, counts[at], 0)
+        which = np.full(len(symbols), -1, np.int32)
+        which[here] = at
         places = _winners(weight)
-        used = np.bincount(at[places], minlength=len(pairs))
+        used = np.bincount(which[places], minlength=len(pairs))
         good = used >= min_count
-        places = places[good[at[places]]]
-        if len(places) < LEAST_GAIN * len(symbols):
-            break
+        if not good.any():  # pairs of one weight have split the places: now no two weigh the same, and the heaviest gets all of its own
+            rank = np.empty(len(pairs), np.int32)
+            rank[np.argsort(counts, kind="stable")] = np.arange(1, len(pairs) + 1)
+            which[here] = at = np.searchsorted(pairs, codes).astype(np.int32)
+            same = pairs[np.minimum(at, len(pairs) - 1)] == codes
+            which[here[~same]] = -1
+            weight[here] = np.where(same, rank[np.minimum(at, len(pairs) - 1)], 0)
+            places = _winners(weight)
+            used = np.bincount(which[places], minlength=len(pairs))
+            good = used >= min_count
+        places = places[good[which[places]]]
         name = size + np.cumsum(good) - 1
-        shift = np.uint64(16 if narrow else 32)
         chosen = pairs[good].astype(np.uint64)
-        lefts.append((chosen >> shift).astype(np.uint32))
-        rights.append((chosen & np.uint64((1 << int(shift)) - 1)).astype(np.uint32))
-        symbols[places] = name[at[places]]
+        lefts.append((chosen >> np.uint64(shift)).astype(np.uint32))
+        rights.append((chosen & np.uint64(low)).astype(np.uint32))
+        symbols[places] = name[which[places]]
+        live[places] = True
+        live[places[places > 0] - 1] = True
         stay = np.ones(len(symbols), bool)
         stay[places + 1] = False
-        symbols = symbols[stay]
+        symbols, live = symbols[stay], live[stay]
         size += int(good.sum())
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.uint32)
     right = np.concatenate(rights) if rights else np.zeros(0, np.uint32)

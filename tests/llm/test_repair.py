@@ -94,3 +94,34 @@ def test_real_texts(vocabulary):
     library, encoder = tokenizers.Tokenizer.from_str(vocabulary), repair.WordEncoder(vocabulary)
     for text in pq.read_table(f"{FOLDER}/documents.parquet").column("text").to_pylist():
         assert encoder.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def pair_counts(symbols):
+    """How often each neighbouring pair occurs without overlapping itself."""
+    counts, last = {}, {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if last.get(pair) != i - 1:
+            counts[pair] = counts.get(pair, 0) + 1
+            last[pair] = i
+    return counts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_frequent_pair_is_left(seed):
+    rng = np.random.default_rng(seed)
+    if seed < 4:
+        ids = np.minimum(rng.zipf(1.2, 30_000), 3_000) if seed < 2 else rng.integers(0, 3 + 40 * seed, 20_000)
+    elif seed == 4:  # all of two bytes taken by the alphabet
+        ids = np.append(np.arange(65_536), np.tile([5, 6, 7, 8], 5000))
+    else:  # a few frequent pairs among many places that hold none
+        ids = np.append(rng.permutation(60_000), np.tile([5, 6, 9, 9, 9], 40))
+    block = repair.Block(repair.compress(ids.astype(np.uint32)))
+    assert (block.ids() == ids).all()
+    assert max(pair_counts(block.symbols.tolist()).values(), default=0) < repair.MIN_COUNT
+
+
+def test_more_rules_than_two_bytes_hold():
+    pairs = np.arange(80_000).reshape(-1, 2)
+    ids = np.concatenate([pairs[np.random.default_rng(i).permutation(len(pairs))].ravel() for i in range(5)])
+    block = repair.Block(repair.compress(ids.astype(np.uint32)))
+    assert (block.ids() == ids).all() and len(block.symbols) == 200_000 and len(block.lengths) == 120_000
