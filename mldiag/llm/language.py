@@ -6,8 +6,8 @@ gets the language of the lowest cross-entropy a character. Scores and rejection
 the models have not seen: a temperature turns differences of cross-entropy into a probability, and a document whose own language
 finds it less likely than almost all of its kind is marked as rejected (its prediction stays).
 
-Fitting reads at most `documents_a_language` labelled documents a language, drawn by a hash of the identifier, and languages that hold
-a thousandth of the labelled rows; every text is scored whole. Words are scored once and remembered.
+Fitting reads at most `documents_a_language` labelled documents a language, drawn by a hash of the identifier, of every labelled language;
+more than `MOST_LANGUAGES` of them are an error. Every text is scored whole. Words are scored once and remembered.
 
 Cases: a text that is null or has no letter is `und` with score 0, and so is every text where nothing is labelled. Repeated rows
 are scored one by one; a null identifier hashes like an empty one.
@@ -32,7 +32,7 @@ from mldiag.llm.ragged import Numbers, blocks
 ORDER = 5
 DOCUMENTS_A_LANGUAGE = 2_000
 CALIBRATION_DOCUMENTS = 500
-LANGUAGE_SHARE = 0.001
+MOST_LANGUAGES = 1_000
 REJECT_SHARE = 0.005
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = 2
@@ -290,10 +290,11 @@ def fit(
     documents_a_language: int = DOCUMENTS_A_LANGUAGE,
     calibration_documents: int = CALIBRATION_DOCUMENTS,
 ) -> Identifier | None:
-    """Models of the labelled rows (doc_id, text, lang). At most 1 / LANGUAGE_SHARE languages come to the driver."""
+    """Models of the labelled rows (doc_id, text, lang), one for each language; raises if there are more than MOST_LANGUAGES."""
     labelled = learn.filter("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).withColumn(
-        "all", F.sum("n").over(_everything())).filter(F.col("n") >= LANGUAGE_SHARE * F.col("all")).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labelled languages: their models don't fit into a worker; join or drop labels first")
     if not counts:
         return None
     calibrating = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(5)) == 0
@@ -323,12 +324,6 @@ def fit(
     return Identifier(models, float(grid[int(np.argmin(loss))]), highest)
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()  # over one row a language
-
-
 def _calibration(models: list[CharacterModel]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)

@@ -101,3 +101,18 @@ def test_held_out_accuracy(spark):
     assert len(rows) == 1000 and 200 < len(held) < 500
     right = [r.lang_pred == truth[r.doc_id][0] for r in held if truth[r.doc_id][1] >= 5]
     assert sum(right) >= 0.99 * len(right)
+
+
+def test_rare_language_beside_a_hot_one(spark, monkeypatch):
+    """40 labelled documents of 50,000 are learned from like any others; too many languages are an error."""
+    hot = ["the cat and the dog were here with all of them", "this is what they have been thinking about"]
+    rare = ["der hund und die katze sind nicht hier gewesen", "das ist was sie über die straße gedacht haben"]
+    rows = [(i, hot[i % 2], "en") for i in range(50_000)] + [(60_000 + i, rare[i % 2], "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    identifier = language.fit(docs)
+    assert [m.lang for m in identifier.models] == ["de", "en"]
+    found = language.predict(docs.filter("doc_id >= 60000"), identifier).collect()
+    assert len(found) == 40 and {r.lang_pred for r in found} == {"de"}
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 "):
+        language.fit(docs)
