@@ -7,7 +7,8 @@ which a family is named rather than unknown. A named family counts only if the p
 one of the family's templates, which confirms the prediction.
 
 A paragraph is a line; a line of more than `WINDOW` words is also read in windows that overlap by half, so a notice inside a long
-line is found. Every text is read whole. Cases: a null or empty text has no paragraphs and no licence; rows that repeat are read one
+line is found. Windows also run across the line breaks of the whole text, without comment marks, so a hard-wrapped notice is found; it counts
+as one paragraph, unless one of its lines has been found to be a notice of the family by itself. Every text is read whole. Cases: a null or empty text has no paragraphs and no licence; rows that repeat are read one
 by one; several licences in one document are all listed, the likeliest one first (ties by name).
 """
 
@@ -35,6 +36,8 @@ FALSE_ALARMS = 0.001
 SEED = 23
 UNKNOWN = "unknown"
 MARKS = b".,;:!?()[]{}\"'`*#<>|/-"
+#: What a line of a comment may begin with besides marks.
+COMMENTS = (b"dnl", b"rem", b"%", b"%%", b"@rem", b"..", b"\\", b"=", b"+")
 
 #: Short notices and sentences of public licences, by family.
 TEMPLATES = {
@@ -200,6 +203,63 @@ class LicenceModel:
                     out.append((int(named[i]), float(chance[i]), alike, int(paragraph[start + i])))
         return out
 
+    def wrapped(self, hashes: np.ndarray, lines: np.ndarray, found: list[tuple]) -> list[tuple[int, float, float, int, int, int]]:
+        """(family, probability, containment, first line, last line, template) of notices that run across line breaks.
+
+        `lines` has the line of each word; `found` are the notices that lines hold by themselves."""
+        first = np.arange(0, len(hashes), WINDOW // 2)
+        end = np.minimum(first + WINDOW, len(hashes))
+        several = lines[first] < lines[end - 1] if len(first) else np.zeros(0, bool)
+        first, end = first[several], end[several]
+        own = {(f, i) for f, _, _, i in found}
+        gnu = [self.families.index(f) for f in ("AGPL", "GPL", "LGPL")]
+        out: list[tuple] = []
+        for start in range(0, len(first), 1 << 15):
+            part = slice(start, start + (1 << 15))
+            low, high = int(first[part].min()), int(end[part].max())
+            shares = self.shares(hashes[low:high], first[part] - low, end[part] - low)
+            named = shares[:, :-1].argmax(axis=1)
+            chance = shares[np.arange(len(shares)), named]
+            alike_names = np.isin(named, gnu)  # families of the same words but for the name: their shares count together
+            chance[alike_names] = shares[alike_names][:, gnu].sum(axis=1)
+            for i in np.flatnonzero(chance >= self.least).tolist():
+                a, b = int(first[start + i]), int(end[start + i])
+                pairs = hashed.pair_hashes(hashes[a:b])
+                family = int(named[i])
+                if alike_names[i]:
+                    family = gnu[0] if np.isin(AFFERO, pairs).any() else gnu[2] if np.isin(LESSER, pairs).any() else family
+                alike, number = max((float(np.isin(t, pairs).mean()), k) for k, (f, t) in enumerate(self.templates) if f == family)
+                if alike < CONFIRMED:
+                    continue
+                hit = np.flatnonzero(np.isin(pairs, self.templates[number][1]))
+                top, last = int(lines[a + hit[0]]), int(lines[a + hit[-1] + 1])
+                if top < last and not any((family, k) in own for k in range(top, last + 1)):
+                    out.append((family, float(chance[i]), alike, top, last, number))
+        return out
+
+
+#: Pairs of words that name the relatives of the GPL, and those of the paragraph that all of them have.
+AFFERO = hashed.pair_hashes(_hashes(b"Affero General"))
+LESSER = np.concatenate([hashed.pair_hashes(_hashes(t)) for t in (b"Lesser General", b"Library General")])
+SHARED = hashed.pair_hashes(_hashes(TEMPLATES["GPL"][2].encode()))
+
+
+def joined(model: LicenceModel, wrapped: list[tuple], found: list[tuple]) -> list[tuple]:
+    """(family, probability, containment, first line, last line): wrapped notices of one family whose lines overlap are one.
+
+    The paragraph that the GPL shares with its relatives says nothing where a relative is named."""
+    named = {model.families[x[0]] for x in [*found, *wrapped]}
+    out: list[tuple] = []
+    for f, p, c, top, last, number in sorted(wrapped, key=lambda x: (x[0], x[3], x[4])):
+        if model.families[f] == "GPL" and named & {"AGPL", "LGPL"} and np.array_equal(model.templates[number][1], SHARED):
+            continue
+        if out and out[-1][0] == f and top <= out[-1][4]:
+            _, q, d, start, stop = out.pop()
+            p, c = max((p, c), (q, d))
+            top, last = start, max(stop, last)
+        out.append((f, p, c, top, last))
+    return out
+
 
 def train(docs: DataFrame, background: int = BACKGROUND) -> LicenceModel:
     """Fit on the notices' variants and at most `background` paragraphs of the corpus, drawn by a hash."""
@@ -252,7 +312,7 @@ def train(docs: DataFrame, background: int = BACKGROUND) -> LicenceModel:
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_paragraphs (lines with a word), n_licences (paragraphs with a confirmed licence), family (the likeliest,
+    """One row per input row: doc_id, n_paragraphs (lines with a word), n_licences (lines and wrapped notices with a confirmed licence), family (the likeliest,
     or unknown), probability and containment of that one, families (all confirmed, by name)."""
     model = model or train(docs)
 
@@ -262,12 +322,15 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
         names = ["doc_id", "n_paragraphs", "n_licences", "family", "probability", "containment", "families"]
 
         def read(content: bytes) -> tuple:
-            paragraphs, found = 0, []
+            paragraphs, found, across = 0, [], []
             words: list[bytes] = []
             sizes: list[int] = []
+            marks: list[int] = []
+            rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the last words of the part before, and their lines
 
             def close() -> None:
                 """Read the lines that are held: all words at once, less those that are mere marks."""
+                nonlocal rest
                 hashes = np.concatenate([table.look_up(words[i : i + 200_000])[1][:, 0] for i in range(0, len(words), 200_000)])
                 real = hashes > 0
                 ends = np.cumsum(sizes)
@@ -275,24 +338,33 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
                 lengths = before[ends] - before[ends - sizes]
                 first = paragraphs - len(sizes)
                 found.extend((f, p, c, first + i) for f, p, c, i in model.found(hashes[real], lengths))
-                words.clear(), sizes.clear()
+                real[marks] = False
+                lines = np.repeat(np.arange(first, paragraphs), sizes)[real]
+                hashes, lines = np.append(rest[0], hashes[real]), np.append(rest[1], lines)
+                across.extend(model.wrapped(hashes, lines, found))
+                rest = hashes[-WINDOW:], lines[-WINDOW:]
+                words.clear(), sizes.clear(), marks.clear()
 
             for line in content.split(b"\n"):
                 mine = line.split()
                 if not mine:
                     continue
                 paragraphs += 1
+                if mine[0].lower() in COMMENTS:
+                    marks.append(len(words))
                 words.extend(mine)
                 sizes.append(len(mine))
                 if len(words) > 100_000:  # a long text is read in parts of whole lines
                     close()
             if words:
                 close()
-            licensed = {i for *_, i in found}
+            notices = joined(model, across, found)
+            licensed = len({i for *_, i in found}) + len({top for *_, top, _ in notices})
+            found.extend(x[:4] for x in notices)
             if not found:
                 return paragraphs, 0, UNKNOWN, None, None, []
             f, p, c, _ = min(found, key=lambda x: (-x[1], x[0], -x[2]))
-            return paragraphs, len(licensed), model.families[f], p, c, sorted({model.families[x[0]] for x in found})
+            return paragraphs, licensed, model.families[f], p, c, sorted({model.families[x[0]] for x in found})
 
         for batch in batches:
             columns = list(zip(*[read(t) for t in bytes_of(batch.column(1))])) or [()] * len(kinds)

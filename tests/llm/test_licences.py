@@ -62,3 +62,51 @@ def test_templates_are_named(model, family):
 @pytest.fixture(scope="module")
 def model(spark):
     return licences.train(spark.createDataFrame([(1, "The cat sat on the mat and looked at the dog.\nThey were quite happy with it all day long.")], "doc_id bigint, text string"))
+
+
+GNU = """This {what} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {name}General Public License as published by
+the Free Software Foundation{comma} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name}General Public License for more details."""
+WRAPPED = {
+    "GPL": GNU.format(what="program", mark=":", name="", comma=",", version=3),
+    "AGPL": GNU.format(what="program", mark=":", name="Affero ", comma=",", version=3),
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense""",
+}
+CODE = "\n".join(f"def function_{i}(x):\n    return x + {i}" for i in range(40))
+
+
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// ", ";; ", "% ", "dnl ", "-- "])
+@pytest.mark.parametrize("long", [False, True])
+def test_wrapped_headers_are_found(spark, model, prefix, long):
+    before = ("word " * 30 + "\n") * 3_400 if long else "x = 1\n"
+    rows = [(i, before + "Copyright 2020 Someone\n" + "\n".join(prefix + x for x in text.split("\n")) + "\n" + CODE) for i, text in enumerate(WRAPPED.values())]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([*rows, (99, CODE)], "doc_id bigint, text string"), model).collect()}
+    assert {f: got[i].families for i, f in enumerate(WRAPPED)} == {f: [f] for f in WRAPPED}
+    assert got[99].families == [] and all(got[i].n_licences >= 1 for i in range(len(WRAPPED)))
