@@ -4,8 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from mldiag.llm import divergence, exact_dedup, language, licences, mixing, repair, simhash, slots, transducer, weak_labels
+from pyspark.sql import functions as F
+
+from mldiag.llm import (
+    divergence,
+    exact_dedup,
+    language,
+    licences,
+    lines,
+    merkle,
+    mixing,
+    repair,
+    simhash,
+    slots,
+    sql,
+    transducer,
+    turns,
+    weak_labels,
+)
 from mldiag.llm.common import documents, new_path
 from mldiag.llm.registry import query
 
@@ -68,3 +84,19 @@ def op9_kneser_ney_language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_licence_paragraphs")
 def op10_licence_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(documents(spark, folder))
+
+
+@query("op11_turn_repair", sql.TURNS)
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.repair_damaged(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query("op12_interval_manifest", sql.MANIFEST)
+def op12_interval_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(documents(spark, folder), merkle.tampering())
+
+
+@query("op13_perfect_hash_lines", sql.LINES)
+def op13_perfect_hash_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_lines(documents(spark, folder))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
