@@ -6,28 +6,15 @@ import re
 import pytest
 
 import corpus_pipeline
-from mldiag.llm import divergence, mixing, simhash
+from mldiag.llm import divergence, mixing
+from tests.llm.test_near_copies import plain_kept
 
 sentencepiece = pytest.importorskip("sentencepiece")
 FOLDER = "/root/testdata/sf0.001"
 
 
 def plain_near(rows):
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in rows}
-    parent = {d: d for d in fps}
-
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    ids = sorted(fps)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return {d for d in ids if root(d) == d}
+    return plain_kept([(r.doc_id, r.text) for r in rows])
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
