@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -59,7 +60,7 @@ class Remembered:
             while len(self.starts) < len(place):
                 self.starts = np.append(self.starts, np.zeros(len(self.starts), np.int64))
                 self.lengths = np.append(self.lengths, np.zeros(len(self.lengths), np.int64))
-            self.flat[self.used : self.used + total] = np.fromiter((x for f in found for x in f), self.dtype, total)
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
             self.starts[known : len(place)] = self.used + np.cumsum(sizes) - sizes
             self.lengths[known : len(place)] = sizes
             self.used += total

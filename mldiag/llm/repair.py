@@ -10,8 +10,9 @@ place, so that any stretch of ids is decoded without the ids before it.
 File format: `blocks` is a Parquet table with a row a block: part (ascending with doc_id), block, start (ids before it in the part),
 n_ids, doc_ids and doc_lengths of the documents' pieces in it (a piece of a document that began in an earlier block comes first
 and `continued` is set), and payload. `index` is a Parquet table (part, first_id, n_ids). A payload is little-endian: the magic
-RPR1, six unsigned 32-bit integers (ids, alphabet, rules, symbols, bytes a symbol, crc32 of the rest), then unsigned
-32-bit arrays alphabet, left, right, lengths, marks, and the symbols. Spark commits both tables, so a lost executor leaves no half
+RPR2, seven unsigned 32-bit integers (ids, alphabet, rules, symbols, bits a symbol, bytes a length, crc32 of the rest), the alphabet
+and marks (32 bits each), the lengths of the rules, and their left sides, their right sides and the symbols: the low two bytes
+of each, then a packed plane for every bit beyond 16. Spark commits both tables, so a lost executor leaves no half
 of a block.
 
 Cases: a null text counts as empty and holds the end id alone; null identifiers come first; rows of one identifier are ordered by
@@ -22,8 +23,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import string
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -38,10 +41,11 @@ from mldiag.llm.ragged import Remembered, blocks, gather
 
 END = 1
 BLOCK_IDS = 1 << 20
-MIN_COUNT = 4
+#: Symbols that two bytes can name.
+NARROW = 1 << 16
 MARK = 1024
-MAGIC = b"RPR1"
-HEAD = "<4s6I"
+MAGIC = b"RPR2"
+HEAD = "<4s7I"
 WORDS_AT_ONCE = 200_000
 #: Fixed value: how a tokenizer parts runs of letters, digits and marks; marks never join a letter or digit before them.
 PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -69,19 +73,52 @@ def _find(pairs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where(found, at, np.int32(-1)), found | shared[slots]
 
 
-def _winners(weight: np.ndarray) -> np.ndarray:
-    """Places whose pair beats the overlapping ones; of a run of equals every second place. No two of them touch."""
-    n = len(weight)
-    place = np.arange(n, dtype=np.int32)
+def _winners(place: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the places, in order and with weights above 0, hold a pair that beats the overlapping ones; of a run of equals
+    every second one. No two of them touch."""
+    n = len(place)
     left, right = np.zeros(n, weight.dtype), np.zeros(n, weight.dtype)
-    left[1:], right[:-1] = weight[:-1], weight[1:]
-    start = np.maximum.accumulate(np.where(weight != left, place, np.int32(0)))
-    even = ((place - start) & 1) == 0
-    return np.flatnonzero((weight > 0) & even & ((place != start) | (left < weight)) & (right <= weight))
+    touch = np.flatnonzero(place[1:] == place[:-1] + 1)
+    left[touch + 1], right[touch] = weight[touch], weight[touch + 1]
+    number = np.arange(n, dtype=np.int32)
+    start = np.maximum.accumulate(np.where(weight != left, number, np.int32(0)))
+    even = ((number - start) & 1) == 0
+    return np.flatnonzero(even & ((number != start) | (left < weight)) & (right <= weight))
 
 
-def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
-    """The payload of a block."""
+def _bits(size: int) -> int:
+    """Bits a symbol: two bytes, and a packed plane for each bit beyond."""
+    return max(16, (max(1, size) - 1).bit_length())
+
+
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    planes = [np.packbits(((values >> b) & 1).astype(np.uint8)).tobytes() for b in range(16, bits)]
+    return b"".join([values.astype("<u2").tobytes(), *planes])
+
+
+def _unpack(payload: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    values = np.frombuffer(payload, "<u2", n, at)
+    at += 2 * n
+    if bits > 16:
+        values = values.astype(np.uint32)
+        for b in range(16, bits):
+            plane = np.frombuffer(payload, np.uint8, -(-n // 8), at)
+            values |= np.unpackbits(plane, count=n).astype(np.uint32) << np.uint32(b)
+            at += len(plane)
+    return values, at
+
+
+def least_count(size: int) -> int:
+    """The fewest uses of a rule that save bytes: a use saves a symbol, a rule costs two symbols and a length of two bytes."""
+    bits = _bits(size)
+    return (2 * bits + 16) // bits + 1
+
+
+def compress(ids: np.ndarray, room: int = NARROW) -> bytes:
+    """The payload of a block: replaced until no pair occurs often enough to save bytes.
+
+    Beyond `room` symbols each takes a bit more. All rounds are made in any case; if they don't make up for that bit, the
+    block is written as it was with `room` symbols."""
     if len(ids) and int(ids.max()) < 1 << 22:
         there = np.bincount(ids) > 0
         alphabet, symbols = np.flatnonzero(there), (np.cumsum(there, dtype=np.uint32) - np.uint32(1))[ids]
@@ -90,7 +127,12 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
         symbols = symbols.astype(np.uint32)
     size, lefts, rights = len(alphabet), [], []
     live = np.ones(len(symbols), bool)  # places whose pair may be frequent: a pair that is not can't become so
+    narrow_end = None  # symbols and rounds when the alphabet was full
+    min_count = least_count(size)
     while len(symbols) > 1:
+        if least_count(size) != min_count:
+            min_count = least_count(size)
+            live[:] = True
         narrow = size <= 1 << 16
         live[-1] = False
         here = np.flatnonzero(live)
@@ -115,43 +157,57 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
             break
         pairs, counts = pairs[often], counts[often]
         at, live[here] = _find(pairs, codes)
-        weight = np.zeros(len(symbols) - 1, np.int32)
-        weight[here] = np.where(at >= 0, counts[at], 0)
-        which = np.full(len(symbols), -1, np.int32)
-        which[here] = at
-        places = _winners(weight)
-        used = np.bincount(which[places], minlength=len(pairs))
+        frequent = np.flatnonzero(at >= 0)
+        place, which = here[frequent], at[frequent]
+        won = _winners(place, counts[which])
+        used = np.bincount(which[won], minlength=len(pairs))
         good = used >= min_count
         if not good.any():  # pairs of one weight have split the places: now no two weigh the same, and the heaviest gets all of its own
             rank = np.empty(len(pairs), np.int32)
             rank[np.argsort(counts, kind="stable")] = np.arange(1, len(pairs) + 1)
-            which[here] = at = np.searchsorted(pairs, codes).astype(np.int32)
-            same = pairs[np.minimum(at, len(pairs) - 1)] == codes
-            which[here[~same]] = -1
-            weight[here] = np.where(same, rank[np.minimum(at, len(pairs) - 1)], 0)
-            places = _winners(weight)
-            used = np.bincount(which[places], minlength=len(pairs))
+            at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
+            frequent = np.flatnonzero(pairs[at] == codes)
+            place, which = here[frequent], at[frequent]
+            won = _winners(place, rank[which])
+            used = np.bincount(which[won], minlength=len(pairs))
             good = used >= min_count
-        places = places[good[which[places]]]
+        if size < room < size + int(good.sum()):  # fill the alphabet with the most used first
+            best = np.flatnonzero(good)
+            good[best[np.argsort(-used[best], kind="stable")[room - size :]]] = False
+        elif size == room and narrow_end is None:
+            narrow_end = symbols, len(lefts)
+        won = won[good[which[won]]]
+        places, which = place[won], which[won]
         name = size + np.cumsum(good) - 1
         chosen = pairs[good].astype(np.uint64)
         lefts.append((chosen >> np.uint64(shift)).astype(np.uint32))
         rights.append((chosen & np.uint64(low)).astype(np.uint32))
-        symbols[places] = name[which[places]]
+        if narrow_end is not None and narrow_end[0] is symbols:
+            symbols = symbols.copy()
+        symbols[places] = name[which]
         live[places] = True
         live[places[places > 0] - 1] = True
         stay = np.ones(len(symbols), bool)
         stay[places + 1] = False
         symbols, live = symbols[stay], live[stay]
         size += int(good.sum())
+    found = _payload(len(ids), alphabet, lefts, rights, symbols)
+    if narrow_end is None:
+        return found
+    symbols, rounds = narrow_end
+    return min(found, _payload(len(ids), alphabet, lefts[:rounds], rights[:rounds], symbols), key=len)
+
+
+def _payload(n_ids: int, alphabet: np.ndarray, lefts: list, rights: list, symbols: np.ndarray) -> bytes:
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.uint32)
     right = np.concatenate(rights) if rights else np.zeros(0, np.uint32)
     lengths = _rule_lengths(len(alphabet), left, right)
     every = np.append(np.ones(len(alphabet), np.int64), lengths)[symbols]
-    marks = (np.cumsum(every) - every)[::MARK].astype(np.uint32)
-    width = 2 if size <= 1 << 16 else 4
-    body = b"".join(a.astype("<u4").tobytes() for a in (alphabet, left, right, lengths, marks)) + symbols.astype(f"<u{width}").tobytes()
-    return struct.pack(HEAD, MAGIC, len(ids), len(alphabet), len(left), len(symbols), width, zlib.crc32(body)) + body
+    marks = (np.cumsum(every) - every)[::MARK].astype("<u4")
+    bits = _bits(len(alphabet) + len(left))
+    size = "<u2" if lengths.max(initial=0) < 1 << 16 else "<u4"
+    body = b"".join([alphabet.astype("<u4").tobytes(), marks.tobytes(), lengths.astype(size).tobytes(), _pack(left, bits), _pack(right, bits), _pack(symbols, bits)])
+    return struct.pack(HEAD, MAGIC, n_ids, len(alphabet), len(left), len(symbols), bits, int(size[-1]), zlib.crc32(body)) + body
 
 
 def _levels(terminals: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -176,7 +232,7 @@ class Block:
     """A payload, opened: ids of any stretch."""
 
     def __init__(self, payload: bytes):
-        magic, self.n_ids, n_alphabet, n_rules, n_symbols, width, check = struct.unpack_from(HEAD, payload)
+        magic, self.n_ids, n_alphabet, n_rules, n_symbols, bits, size, check = struct.unpack_from(HEAD, payload)
         if magic != MAGIC or zlib.crc32(payload[struct.calcsize(HEAD) :]) != check:
             raise ValueError("not a whole block")
         at = struct.calcsize(HEAD)
@@ -187,9 +243,10 @@ class Block:
             at += found.nbytes
             return found
 
-        alphabet, left, right, lengths = (array(n, "<u4") for n in (n_alphabet, n_rules, n_rules, n_rules))
-        self.marks = array(-(-n_symbols // MARK), "<u4")
-        self.symbols = array(n_symbols, f"<u{width}")
+        alphabet, self.marks, lengths = array(n_alphabet, "<u4"), array(-(-n_symbols // MARK), "<u4"), array(n_rules, f"<u{size}")
+        left, at = _unpack(payload, at, n_rules, bits)
+        right, at = _unpack(payload, at, n_rules, bits)
+        self.symbols, at = _unpack(payload, at, n_symbols, bits)
         self.lengths = np.append(np.ones(n_alphabet, np.int64), lengths)
         # all symbols expanded, one behind the other
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -212,6 +269,18 @@ class Block:
         return gather(self.flat, self.starts[symbols], self.lengths[symbols])[offset : offset + stop - start]
 
 
+ALNUM, MARKS = (np.array([chr(c) in x for c in range(256)]) for x in (string.ascii_letters + string.digits, ",.;:!?"))
+#: A module of this worker process that holds its encoders; functions come to a worker by value, so their own module's names don't last.
+KEPT = "mldiag_kept_encoders"
+
+
+def parted(content: bytes) -> bytes:
+    """A blank between an ASCII letter or digit and a mark that follows it."""
+    letters = np.frombuffer(content, np.uint8)
+    at = np.flatnonzero(MARKS[letters[1:]] & ALNUM[letters[:-1]]) + 1
+    return np.insert(letters, at, 32).tobytes() if len(at) else content
+
+
 class WordEncoder:
     """Ids of whole texts. No token of a tokenizer that drops white space crosses it, so words are encoded apart and remembered.
 
@@ -229,7 +298,7 @@ class WordEncoder:
         normalizer, parting = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         self.lowers = any(n.get("type") == "Lowercase" for n in [normalizer, *normalizer.get("normalizers", [])])
         patterns = [p.get("pattern", {}).get("Regex") for p in [parting, *parting.get("pretokenizers", [])] if p.get("type") == "Split"]
-        self.cut = re.compile(rb"(?<=[A-Za-z0-9])(?=[,.;:!?])") if patterns == [PARTED] else None
+        self.cut = patterns == [PARTED]
         self.added = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
 
         ends = [t for t, i in sorted(tokenizer.get_vocab(True).items(), key=lambda x: x[1])]
@@ -240,7 +309,7 @@ class WordEncoder:
             """Letters alone are one word with an end mark, so they are encoded in one go and parted at the marks."""
             texts = [w.decode("utf-8", "replace") for w in words]
             found: list = [None] * len(texts)
-            plain = [i for i, t in enumerate(texts) if t.isalpha()] if suffix and self.cut is not None else []
+            plain = [i for i, t in enumerate(texts) if t.isalpha()] if suffix and self.cut else []
             for at in range(0, len(plain), 1000):
                 part = plain[at : at + 1000]
                 ids = tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids
@@ -259,8 +328,8 @@ class WordEncoder:
         low = content.lower()
         if not any(a in low for a in self.added):
             content = low if self.lowers else content
-            if self.cut is not None:
-                content = self.cut.sub(b" ", content)
+            if self.cut:
+                content = parted(content)
         words = content.split()
         if len(words) <= WORDS_AT_ONCE:
             return self.words.ids(words)
@@ -269,10 +338,8 @@ class WordEncoder:
 
 def kept_encoder(tokenizer_json: str) -> WordEncoder:
     """The encoder of this worker process, which keeps it and its words from task to task."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_mldiag_encoders", {})
-    key = zlib.crc32(tokenizer_json.encode())
+    kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__
+    key = f"_{zlib.crc32(tokenizer_json.encode())}"
     if key not in kept:
         kept[key] = WordEncoder(tokenizer_json)
     return kept[key]

@@ -117,7 +117,22 @@ def test_no_frequent_pair_is_left(seed):
         ids = np.append(rng.permutation(60_000), np.tile([5, 6, 9, 9, 9], 40))
     block = repair.Block(repair.compress(ids.astype(np.uint32)))
     assert (block.ids() == ids).all()
-    assert max(pair_counts(block.symbols.tolist()).values(), default=0) < repair.MIN_COUNT
+    assert max(pair_counts(block.symbols.tolist()).values(), default=0) < repair.least_count(len(block.lengths))
+
+
+def test_a_use_less_would_cost_bytes():
+    """A rule of the least count makes the block smaller, one used less does not."""
+    for size in (10, 65_536, 65_537, 300_000):
+        bits, least = max(16, (size - 1).bit_length()), repair.least_count(size)
+        assert least * bits > 2 * bits + 16 >= (least - 1) * bits
+
+
+@pytest.mark.parametrize("room", [300, 1000, 1 << 16])
+def test_a_full_alphabet_grows_only_where_it_pays(room):
+    ids = np.minimum(np.random.default_rng(8).zipf(1.2, 30_000), 250).astype(np.uint32)
+    payload = repair.compress(ids, room)
+    assert (repair.Block(payload).ids() == ids).all()
+    assert len(payload) <= 1.02 * len(repair.compress(ids))
 
 
 def test_more_rules_than_two_bytes_hold():
