@@ -2,14 +2,15 @@
 
 A sparse word n-gram softmax regression tells licence families and `unknown` apart. It is trained on variants of public licence
 notices (cut, thinned out, embedded in other words) and, as `unknown`, on a bounded sample of the corpus' own paragraphs and on
-sentences that merely use licence words. A held-out part of them calibrates a temperature and the least probability at
+sentences that merely use licence words. Whole notices and texts that a first fit has not seen calibrate a temperature and the least probability at
 which a family is named rather than unknown. A named family counts only if the paragraph holds enough of the two-word shingles of
 one of the family's templates, which confirms the prediction.
 
 A paragraph is a line; a line of more than `WINDOW` words is also read in windows that overlap by half, so a notice inside a long
 line is found. Windows also run across the line breaks of the whole text, without comment marks, so a hard-wrapped notice is found; it counts
 as one paragraph, unless one of its lines has been found to be a notice of the family by itself. Every text is read whole. Cases: a null or empty text has no paragraphs and no licence; rows that repeat are read one
-by one; several licences in one document are all listed, the likeliest one first (ties by name).
+by one; several licences in one document are all listed, the likeliest one first (ties by name); a very long text is read in parts
+of whole lines; an empty table gives no rows, and a model of the notices alone; only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from mldiag.llm.common import bytes_of, map_batches
 
 BUCKETS = 1 << 18
 BACKGROUND = 4_000
-VARIANTS = 50
+VARIANTS = 60
 WINDOW = 48
 CONFIRMED = 0.6
-FALSE_ALARMS = 0.001
+#: Characters of a line of the fitting sample.
+CUT = 4_000
+FALSE_ALARMS = 0.02
 SEED = 23
 UNKNOWN = "unknown"
 MARKS = b".,;:!?()[]{}\"'`*#<>|/-"
@@ -44,55 +47,70 @@ TEMPLATES = {
     "AGPL": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "You must cause any modified files to carry prominent notices stating that You changed the files; and You must retain, in the Source form of any Derivative Works that You distribute, all copyright, patent, trademark, and attribution notices from the Source form of the Work",
     ],
     "BSD": [
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "You are free to copy and redistribute the material in any medium or format and to remix, transform, and build upon the material for any purpose, even commercially, if you give appropriate credit, provide a link to the license, and indicate if changes were made.",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "You may not use the material for commercial purposes. NonCommercial means not primarily intended for or directed towards commercial advantage or monetary compensation.",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "If you remix, transform, or build upon the material, you must distribute your contributions under the same ShareAlike license as the original.",
     ],
     "CC0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Released into the public domain under CC0 1.0 Universal.",
+        "To the greatest extent permitted by, but not in contravention of, applicable law, Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of the Copyright and Related Rights in the Work.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users.",
     ],
     "LGPL": [
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "You may convey a Combined Work under terms of your choice that, taken together, effectively do not restrict modification of the portions of the Library contained in the Combined Work and reverse engineering for debugging such modifications",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, Version 2.0.",
+        "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual property rights other than patent or trademark Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at the website of Mozilla.",
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
 #: Sentences with licence words that grant nothing.
@@ -149,7 +167,7 @@ def _variants(text: str, fillers: list[str], rng: random.Random) -> list[str]:
             words = words[first : first + size]
         if len(words) > 6 and rng.random() < 0.3:
             words = [w for w in words if rng.random() > 0.1]
-        before, after = (rng.choices(fillers, k=rng.randrange(0, 20)) if fillers and rng.random() < 0.6 else [] for _ in range(2))
+        before, after = (rng.choices(fillers, k=rng.randrange(0, 24)) if fillers and rng.random() < 0.6 else [] for _ in range(2))
         copy = " ".join([*before, *words, *after])
         out.append(copy.upper() if rng.random() < 0.1 else copy)
     return out
@@ -261,11 +279,26 @@ def joined(model: LicenceModel, wrapped: list[tuple], found: list[tuple]) -> lis
     return out
 
 
+def background_lines(docs: DataFrame, most: int = BACKGROUND) -> list[str]:
+    """At most `most` distinct lines of the corpus, the first `CUT` characters of each, drawn by a hash.
+
+    A threshold for the hash, from an estimate of the distinct lines, is applied where the lines are read, so that a few times `most`
+    lines leave the tasks however large the corpus is; a line in a third of all documents leaves each task once."""
+    line = F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")
+    lines = docs.select(line).filter(F.length("line") > 20).select(F.xxhash64(F.lit(SEED), "line").alias("draw"), F.substring("line", 1, CUT).alias("line"))
+    distinct = max(1, lines.agg(F.approx_count_distinct("draw")).first()[0])
+    least = -(1 << 63)
+    limit = least + min((1 << 64) - 1, int((1 << 64) * (2 * most + 200) / distinct))
+    drawn = lines.filter(F.col("draw") <= limit).groupBy("draw").agg(F.min("line").alias("line"))
+    return [r.line for r in drawn.orderBy("draw").limit(most).collect()]
+
+
 def train(docs: DataFrame, background: int = BACKGROUND) -> LicenceModel:
-    """Fit on the notices' variants and at most `background` paragraphs of the corpus, drawn by a hash."""
-    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).filter(F.length("line") > 20)
-    draw = F.xxhash64(F.lit(SEED), "line")
-    sample = [r.line for r in lines.select("line", draw.alias("draw")).distinct().orderBy("draw", "line").limit(background).collect()]
+    """Fit on the notices' variants and at most `background` lines of the corpus.
+
+    What is needed to calibrate comes from a first fit without a fifth of the notices, of the sentences that are none, and of the lines, each
+    whole with all its variants; the model itself is then fitted on all of them."""
+    sample = background_lines(docs, background)
     rng = random.Random(SEED)
     families = [*sorted(TEMPLATES), UNKNOWN]
     templates = [(f, hashed.pair_hashes(_hashes(t.encode()))) for f, name in enumerate(families[:-1]) for t in TEMPLATES[name]]
@@ -273,42 +306,57 @@ def train(docs: DataFrame, background: int = BACKGROUND) -> LicenceModel:
     for line in sample:
         words = line.split()
         first = rng.randrange(max(1, len(words) - WINDOW))
-        window = " ".join(words[first : first + WINDOW]) if rng.random() < 0.7 else line[:4000]
+        window = " ".join(words[first : first + WINDOW]) if rng.random() < 0.7 else line
         if max(containment(_hashes(window.encode()), t) for _, t in templates) < 0.4:
             windows.append(window)
     fillers = [w for line in windows[:300] for w in line.split()]
-    examples = [(v, f) for f, name in enumerate(families[:-1]) for t in TEMPLATES[name] for v in _variants(t, fillers, rng)]
-    examples += [(w, len(families) - 1) for w in windows]
-    examples += [(v, len(families) - 1) for t in NOT_LICENCES for v in _variants(t, fillers, rng)]
+    unknown = len(families) - 1
+    # texts with their variants: what is held out is held out whole
+    groups = [([t], f) for f, name in enumerate(families[:-1]) for t in TEMPLATES[name]]
+    groups = [(_variants(t, fillers, rng), f) for (t,), f in groups]
+    groups += [(_variants(t, fillers, rng), unknown) for t in NOT_LICENCES]
+    groups += [([w], unknown) for w in windows]
     vocabulary = sorted({w for texts in TEMPLATES.values() for t in texts for w in t.split()})
-    examples += [(" ".join(rng.choices(vocabulary, k=rng.randrange(4, 25))), len(families) - 1) for _ in range(600)]
-    rng.shuffle(examples)
-    read = [(_hashes(t.encode()), f) for t, f in examples]
-    read = [(h, f) for h, f in read if len(h)]
-    held = len(read) // 5
-    fitted = read[held:]
+    groups += [([" ".join(rng.choices(vocabulary, k=rng.randrange(4, 25)))], unknown) for _ in range(600)]
+    read = [[(h, f) for h in (_hashes(t.encode()) for t in texts) if len(h)] for texts, f in groups]
+    fold = [zlib.crc32(texts[0].encode()) % 5 == 0 for texts, _ in groups]
+    fitted = [x for part, held in zip(read, fold) if not held for x in part]
+    held = [x for part, held in zip(read, fold) if held for x in part]
+    rng.shuffle(fitted)
+    model = LicenceModel(families, _fitted(fitted, len(families)), 0.5, templates)
+    model.linear.temperature, model.least = _calibrated(model, held) if held else (1.0, 0.5)
+    temperature = model.linear.temperature
+    every = [x for part in read for x in part]
+    rng.shuffle(every)
+    model.linear = _fitted(every, len(families))
+    model.linear.temperature = temperature
+    return model
+
+
+def _fitted(examples: list[tuple[np.ndarray, int]], classes: int) -> hashed.Linear:
     rows, buckets, values = [], [], []
-    for i, (h, _) in enumerate(fitted):
+    for i, (h, _) in enumerate(examples):
         both = np.concatenate(_buckets(h))
         rows.append(np.full(len(both), i))
         buckets.append(both)
         values.append(np.full(len(both), 1 / np.sqrt(len(both))))
-    targets = np.eye(len(families))[[f for _, f in fitted]]
-    linear = hashed.fit(np.concatenate(rows), np.concatenate(buckets), np.concatenate(values), targets, BUCKETS, steps=60)
-    model = LicenceModel(families, linear, 0.5, templates)
-    # calibrate on what was held out: first the temperature, then the least probability
-    truth = np.array([f for _, f in read[:held]])
-    at = np.arange(held)
+    targets = np.eye(classes)[[f for _, f in examples]]
+    return hashed.fit(np.concatenate(rows), np.concatenate(buckets), np.concatenate(values), targets, BUCKETS, steps=60)
+
+
+def _calibrated(model: LicenceModel, held: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
+    """(temperature of the least cross entropy, least probability that a text of no licence rarely reaches)."""
+    truth = np.array([f for _, f in held])
+    at = np.arange(len(held))
 
     def measured(temperature: float) -> np.ndarray:
         model.linear.temperature = temperature
-        return np.concatenate([model.shares(h, np.array([0]), np.array([len(h)])) for h, _ in read[:held]])
+        return np.concatenate([model.shares(h, np.array([0]), np.array([len(h)])) for h, _ in held])
 
-    tried = {t: -np.log(np.maximum(measured(t)[at, truth], 1e-9)).mean() for t in 2.0 ** np.arange(-3, 3.5, 0.5)}
-    shares = measured(min(tried, key=tried.get))
-    strangers = np.sort(shares[truth == len(families) - 1][:, :-1].max(axis=1))
-    model.least = float(np.clip(np.quantile(strangers, 1 - FALSE_ALARMS) if len(strangers) else 0.5, 0.5, 0.9))
-    return model
+    tried = {t: -np.log(np.maximum(measured(t)[at, truth], 1e-9)).mean() for t in (2.0 ** np.arange(-3, 3.5, 0.5)).tolist()}
+    best = min(tried, key=tried.get)
+    strangers = np.sort(measured(best)[truth == len(model.families) - 1][:, :-1].max(axis=1))
+    return best, float(np.clip(np.quantile(strangers, 1 - FALSE_ALARMS) if len(strangers) else 0.5, 0.05, 0.9))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:

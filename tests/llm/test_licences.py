@@ -110,3 +110,89 @@ def test_wrapped_headers_are_found(spark, model, prefix, long):
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([*rows, (99, CODE)], "doc_id bigint, text string"), model).collect()}
     assert {f: got[i].families for i, f in enumerate(WRAPPED)} == {f: [f] for f in WRAPPED}
     assert got[99].families == [] and all(got[i].n_licences >= 1 for i in range(len(WRAPPED)))
+
+
+def plain_found(model, content):
+    """Notices that lines hold by themselves, span by span with sets and dictionaries: (line, family, probability, containment)."""
+    import math
+    import zlib
+
+    import numpy as np
+
+    golden, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mixed(x):
+        x = x * golden & mask
+        return x ^ (x >> 32)
+
+    def pairs(codes):
+        return [mixed((mixed(a) + b) & mask) for a, b in zip(codes, codes[1:])]
+
+    wanted = [(f, {int(x) for x in t}, len(t), [int(x) for x in t]) for f, t in model.templates]
+    weights, bias = model.linear.weights, model.linear.bias
+    out, paragraph = [], -1
+    for line in content.split(b"\n"):
+        if not line.split():
+            continue
+        paragraph += 1
+        bare = [w.strip(licences.MARKS).lower() for w in line.split()]
+        codes = [zlib.crc32(w) | 1 << 32 for w in bare if w]
+        spans = [codes] if codes else []
+        if len(codes) > licences.WINDOW:
+            spans += [codes[i : i + licences.WINDOW] for i in range(0, len(codes), licences.WINDOW // 2)]
+        for span in spans:
+            both = pairs(span)
+            buckets = [x % licences.BUCKETS for x in [mixed(c) for c in span] + both]
+            z = [sum(float(weights[b, c]) for b in buckets) / math.sqrt(max(1, len(buckets))) for c in range(len(model.families))]
+            z = [(a + float(bias[c])) / model.linear.temperature for c, a in enumerate(z)]
+            e = [math.exp(a - max(z)) for a in z]
+            chances = [a / sum(e) for a in e[:-1]]
+            best = int(np.argmax(chances))
+            if chances[best] >= model.least:
+                held = set(both)
+                alike = max(sum(x in held for x in t) / n for f, _, n, t in wanted if f == best)
+                if alike >= licences.CONFIRMED:
+                    out.append((paragraph, best, round(chances[best], 6), round(alike, 9)))
+    return out
+
+
+def test_lines_by_brute_force(spark, model):
+    """Each line and window of real texts and notices scored on its own, without batches, tables or running sums."""
+    import random
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    rng = random.Random(2)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if len(t) < 20_000] if os.path.isdir(FOLDER) else []
+    notices = [t for every in licences.TEMPLATES.values() for t in every]
+    for _ in range(80):
+        words = " ".join(rng.choices(notices, k=2)).split()
+        texts.append("\n".join(["some words go first"] + [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)] + [rng.choice(notices) + " tail " * rng.randrange(60)]))
+    hits = 0
+    for text in texts:
+        lines = [x for x in text.encode().split(b"\n") if x.split()]
+        hashes = [licences._hashes(x) for x in lines]
+        if not sum(map(len, hashes)):
+            continue
+        got = model.found(np.concatenate(hashes), np.array([len(h) for h in hashes]))
+        got = sorted((i, f, round(p, 6), round(c, 9)) for f, p, c, i in got)
+        wanted = sorted(plain_found(model, text.encode()))
+        assert [x[:2] for x in got] == [x[:2] for x in wanted]
+        assert all(abs(a[2] - b[2]) < 1e-4 and abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, wanted))
+        hits += len(wanted)
+    assert hits > 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in licences.scan(docs, model).collect():
+        alone = plain_found(model, texts[r.doc_id].encode())
+        assert {model.families[x[1]] for x in alone} <= set(r.families)
+        assert r.n_licences >= len({x[0] for x in alone})
+
+
+def test_background_is_bounded(spark):
+    lines = [f"line number {i} of the background" for i in range(3000)] + ["the same line in very many documents"] * 2000
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 50 : i * 50 + 50])) for i in range(100)], "doc_id bigint, text string")
+    for most in (50, 500, 10_000):
+        found = licences.background_lines(docs, most)
+        assert len(found) == len(set(found)) == min(most, 3001) and set(found) <= set(lines)
+    assert licences.background_lines(docs.withColumnRenamed("text", "t").selectExpr("t as text").filter("false")) == []
