@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from mldiag.functions.columns import cosine_distance, dot, doubles, euclidean, ref
-from mldiag.operators.scale import global_rank, hash_sample
+from mldiag.operators.scale import global_rank, hash_sample, spread
 from mldiag.session import cut_lineage
 
 MAX_CELLS = 1024
@@ -184,6 +184,8 @@ def _pivot_join(
     schema = "rep bigint, distance double, neighbor bigint, carried string"
     n_points = t.count()
     n_cells = n_cells or max(1, min(MAX_CELLS, math.ceil(n_points / block_rows)))
+    if n_cells == 1 and 0 < n_points <= block_rows:
+        return _block_join(reps, t, need, block_rows)
     pivots = np.array([r["v"] for r in hash_sample(t, "id", n_cells).collect()], dtype=float)
     if len(pivots) == 0:
         return spark.createDataFrame([], schema)
@@ -273,6 +275,21 @@ def _pivot_join(
     return asking.cogroup(held.groupBy("cell", "block", "to_home", "to_part")).applyInPandas(match, schema)
 
 
+def _block_join(reps: DataFrame, t: DataFrame, need: int, block_rows: int) -> DataFrame:
+    """`_pivot_join` for points of one cell, at most `block_rows` of them: nothing to prune, so every batch of queries meets them all."""
+    rows = t.select("id", "v", "carried").collect()
+    t_ids, t_rows = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], dtype=float)
+    carried = np.array([r["carried"] for r in rows], dtype=object)
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.iloc[at : at + 1024]
+                yield _block_top_k(some["rep"].to_numpy(), np.stack(some["v"].to_numpy()), t_ids, t_rows, carried, need)
+
+    return spread(reps.select("rep", "v"), "rep").mapInPandas(match, "rep bigint, distance double, neighbor bigint, carried string")
+
+
 def knn_classify(
     train: DataFrame,
     df: DataFrame,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from mldiag.functions.columns import doubles, euclidean, ref
 from mldiag.operators.neighbors import knn_join
 from mldiag.operators.reduce import reduce2d
-from mldiag.operators.scale import global_rank, hash_pairs, hash_sample
+from mldiag.operators.scale import global_rank, hash_pairs, hash_sample, spread
 from mldiag.session import cut_lineage
 
 N_PAIRS = 5000
 BLOCK_ROWS = 1024
 CHUNK = 16
+#: Cells at most, and rings of a cell (a bit each of a long).
+MAX_CELLS, RINGS = 2048, 63
+#: Relative rounding that bounds and ties allow for.
+SLACK, TIE = 1e-9, 1e-12
 
 Methods = Mapping[str, tuple[str, str]]
 
@@ -30,6 +34,7 @@ def _points(
     rows = df.select(
         ref(id_col).alias("id"), doubles(ref(vector)).alias("v"), F.array(*coordinates).alias("xy")
     )
+    rows = rows.where(F.col("v").isNotNull())  # rows without a vector take no part
     return rows if sample_size is None else hash_sample(rows, "id", sample_size, seed)
 
 
@@ -38,20 +43,57 @@ def _distances_to(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.sqrt(((t[None, :, :] - q[:, None, :]) ** 2).sum(2))
 
 
-def _sought(points: DataFrame, methods: Methods, k: int) -> DataFrame:
-    """(id, v, xy, near): each row with the k nearest rows of every projection: (method, rank, neighbour, its vector)."""
-    found = None
-    for m, name in enumerate(methods):
-        plane = points.select("id", F.col("xy")[m].alias("p"))
-        near = knn_join(plane, plane, "id", "p", k, exclude_self=True).select(
-            "id", F.lit(m).alias("method"), "rank", "neighbor"
+def _plane_neighbors(points: DataFrame, n_methods: int, k: int, size: float, ids: tuple) -> DataFrame:
+    """(id, method, rank, neighbor): the k nearest rows of every row in each projection, by one neighbour join.
+
+    The planes stand behind one another, further apart than any two points of a plane, which leaves distances inside a plane as they are.
+    Numbers take the method into the id; other ids are joined plane by plane.
+    """
+    low, high = ids
+    numbers = isinstance(low, int) and max(abs(low), abs(high)) < (1 << 62) // n_methods
+    if numbers:
+        gap = 4.0 * size + 1.0
+        planes = F.posexplode("xy").alias("m", "p")
+        stacked = points.select("id", planes).select(
+            (F.col("id") * n_methods + F.col("m")).alias("key"), F.concat(F.array(F.col("m") * gap), "p").alias("p")
         )
-        found = near if found is None else found.unionByName(near)
-    vectors = points.select(F.col("id").alias("neighbor"), F.col("v").alias("nv"))
-    lists = found.join(vectors, "neighbor").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("method", "rank", "neighbor", "nv"))).alias("near")  # methods x k
-    )
-    return points.join(lists, "id")
+        found = knn_join(stacked, stacked, "key", "p", k, exclude_self=True)
+        number = F.lit(n_methods).cast("bigint")
+        kind = points.schema["id"].dataType
+        return found.select(
+            F.expr(f"id div {n_methods} - if(pmod(id, {n_methods}) > id % {n_methods}, 1, 0)").cast(kind).alias("id"),
+            F.pmod("id", number).cast("int").alias("method"),
+            "rank",
+            F.expr(f"neighbor div {n_methods} - if(pmod(neighbor, {n_methods}) > neighbor % {n_methods}, 1, 0)").cast(kind).alias("neighbor"),
+        )
+    out = None
+    for m in range(n_methods):
+        plane = points.select("id", F.col("xy")[m].alias("p"))
+        near = knn_join(plane, plane, "id", "p", k, exclude_self=True).select("id", F.lit(m).alias("method"), "rank", "neighbor")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def _count_nearer(d: np.ndarray, others: np.ndarray, limits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """How many rows at distances d come before each (limit, id); distances that differ by rounding alone tie, ties go by id."""
+    order = np.argsort(d, kind="stable")
+    ordered, names = d[order], others[order]
+    first = np.searchsorted(ordered, limits * (1 - TIE), "left")
+    last = np.searchsorted(ordered, limits * (1 + TIE), "right")
+    count = first.astype(np.int64)
+    one = np.flatnonzero(last - first == 1)
+    count[one] += names[first[one]] < ids[one]
+    for i in np.flatnonzero(last - first > 1).tolist():
+        count[i] += int((names[first[i] : last[i]] < ids[i]).sum())
+    return count
+
+
+def _cells(points: DataFrame, n_cells: int) -> tuple[np.ndarray, float]:
+    """Pivots, and the width of the rings about them."""
+    pivots = np.array([r["v"] for r in hash_sample(points, "id", n_cells).collect()], dtype=float)
+    apart = _distances_to(pivots, pivots)
+    typical = float(np.median(apart[apart > 0])) if (apart > 0).any() else 1.0
+    return pivots, typical / 16
 
 
 def neighborhood_counts(
@@ -62,60 +104,38 @@ def neighborhood_counts(
     ks: Sequence[int],
     sample_size: int | None = None,
     seed: int = 42,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(id, method, k, n, penalty, missing, d2, e2) for every row (or every row of a sample that is asked for).
-
-    `penalty` sums rank - k over projected neighbours that rank beyond k in the embedding; `missing`
-    counts embedding neighbours lost by the projection; d2 and e2 are the row's squared original
-    distances and squared errors. Projected neighbours come from the nearest-neighbour join. A neighbour's
-    rank in the embedding is one more than the rows that are nearer, which blocks of rows count for blocks
-    of rows by matrix arithmetic and Spark adds up. Ranks and all-pairs stress compare every row with every
-    other by definition; on large tables ask for a sample.
+    """(id, method, k, n, penalty, missing) for every row (or every row of a sample that is asked for).
+
+    `penalty` sums rank - k over projected neighbours that rank beyond k in the embedding; `missing` counts embedding neighbours
+    lost by the projection. Projected neighbours come from the nearest-neighbour join. A neighbour's rank in the embedding is one
+    more than the rows that are nearer: range counting. Rows are grouped into cells by their nearest pivot, and into rings by their
+    distance to it. By the triangle inequality a ring is wholly nearer than a limit or wholly beyond it for most rows; it is counted from
+    a small table then. A row is sent to a cell only for the rings that a limit of its cuts, and only those are read. On clustered vectors
+    that leaves little of all pairs; in high dimension without clusters every row still meets every other.
     """
     spark = df.sparkSession
     points = cut_lineage(_points(df, id_col, vector, methods, sample_size, seed))
-    n = points.count()
     kind = points.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, method string, k int, n bigint, penalty bigint, missing bigint, d2 double, e2 double"
+    schema = f"id {kind}, method string, k int, n bigint, penalty bigint, missing bigint"
+    reach = F.max(F.array_max(F.transform(F.flatten("xy"), lambda x: F.abs(x))))
+    n, low, high, size = points.agg(F.count(F.lit(1)), F.min("id"), F.max("id"), reach).first()
     ks = sorted(int(k) for k in ks if 0 < k < n)
     if not ks:
         return spark.createDataFrame([], schema)
     names, most = list(methods), ks[-1]
-    n_blocks = max(1, -(-n // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    asking = _sought(points, methods, most).select("*", block.alias("a"), every.alias("b"))
-    against = points.select(
-        F.col("id").alias("other"), F.col("v").alias("ov"), F.col("xy").alias("oxy"), block.alias("ob"), every.alias("oa")
-    )
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ("id", "nearer", "d2", "e2")})
-        t, txy = np.stack(right["ov"].to_numpy()), np.stack([np.stack(x) for x in right["oxy"]])
-        others = right["other"].to_numpy()
-        out = []
-        for at in range(0, len(left), CHUNK):
-            part = left.iloc[at : at + CHUNK]
-            q, qxy = np.stack(part["v"].to_numpy()), np.stack([np.stack(x) for x in part["xy"]])
-            d = _distances_to(q, t)
-            errors = [((d - _distances_to(qxy[:, m], txy[:, m])) ** 2).sum(1) for m in range(len(names))]
-            for i, (own, near) in enumerate(zip(part["id"].to_numpy(), part["near"])):
-                limits = _distances_to(q[i : i + 1], np.stack([x["nv"] for x in near]))[0]
-                ids = np.array([x["neighbor"] for x in near], dtype=others.dtype)
-                closer = (d[i] < limits[:, None]) | ((d[i] == limits[:, None]) & (others < ids[:, None]))
-                closer &= others != own
-                out.append((own, closer.sum(1).tolist(), float((d[i] ** 2).sum()), [float(e[i]) for e in errors]))
-        return pd.DataFrame(out, columns=["id", "nearer", "d2", "e2"])
-
-    partial = asking.groupBy("a", "b").cogroup(against.groupBy("oa", "ob")).applyInPandas(
-        compare, f"id {kind}, nearer array<bigint>, d2 double, e2 array<double>"
-    )
-    size = len(names) * most
-    ranks = F.array(*[F.sum(F.col("nearer")[i]) + 1 for i in range(size)])  # methods x k sums
-    totals = partial.groupBy("id").agg(
-        ranks.alias("ranks"), F.sum("d2").alias("d2"), F.array(*[F.sum(F.col("e2")[m]) for m in range(len(names))]).alias("e2")
-    )
+    near = _plane_neighbors(points, len(names), most, float(size or 0.0), (low, high))
+    if n <= 4 * block_rows:
+        totals = _ranks_at_once(points, near, kind)
+    else:
+        own = points.select("id", "v")
+        other = points.select(F.col("id").alias("neighbor"), F.col("v").alias("nv"))
+        limits = near.join(own, "id").join(other, "neighbor").select("id", "method", "rank", "neighbor", euclidean(F.col("v"), F.col("nv")).alias("d"))
+        lists = limits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("method", "rank", "neighbor", "d"))).alias("near"))  # methods x k
+        asking = own.join(lists, "id").select("id", "v", F.col("near.d").alias("limits"), F.col("near.neighbor").alias("ids"))
+        ranks = F.array(*[F.sum(F.get("nearer", F.lit(i))) + 1 for i in range(len(names) * most)])
+        totals = _ranks_by_range(points, asking, n, kind, block_rows).groupBy("id").agg(ranks.alias("ranks"))
     zero = "cast(0 as bigint)"
     cells = []
     for m, name in enumerate(names):
@@ -128,13 +148,139 @@ def neighborhood_counts(
                     F.lit(n).cast("bigint").alias("n"),
                     F.expr(f"aggregate({over}, {zero}, (s, r) -> s + r - {k})").alias("penalty"),
                     F.expr(f"cast(size({over}) as bigint)").alias("missing"),
-                    F.col("d2"),
-                    F.col("e2")[m].alias("e2"),
                 )
             )
     return totals.select("id", F.inline(F.array(*cells)))
 
 
+def reached_cells(points: DataFrame, asking: DataFrame, n: int, kind: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, v, limits, ids, nearer, cells, rings) and the placed points (other, ov, cell, ring): which rings of which cells each row reads
+    (a bit a ring), and how many rows of the others are nearer than its limits."""
+    n_cells = min(MAX_CELLS, max(1, -(-n // block_rows)))
+    pivots, step = _cells(points, n_cells)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                d = np.concatenate([_distances_to(q[None, :], pivots) for q in np.stack(batch["ov"].to_numpy())])
+                cell = d.argmin(1)
+                own = d[np.arange(len(cell)), cell]
+                yield batch.assign(cell=cell, ring=np.minimum(own / step, RINGS - 1).astype(int), d=own)
+
+    named = points.select(F.col("id").alias("other"), F.col("v").alias("ov"))
+    placed = cut_lineage(named.mapInPandas(place, f"other {kind}, ov array<double>, cell int, ring int, d double"))
+    table = placed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
+    cell, ring, count = (np.array([r[c] for r in table]) for c in ("cell", "ring", "n"))
+    low, high = (np.array([r[c] for r in table]) for c in ("low", "high"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for v, limits in zip(batch["v"], batch["limits"]):
+                to = _distances_to(np.asarray(v, dtype=float)[None, :], pivots)[0][cell]
+                near = np.maximum(np.maximum(to - high, low - to), 0) * (1 - SLACK)
+                far = (to + high) * (1 + SLACK)
+                ordered = np.sort(limits)
+                cut = np.searchsorted(ordered, far, "right") > np.searchsorted(ordered, near, "left")
+                whole = np.flatnonzero(~cut)
+                steps = np.zeros(len(ordered) + 1, np.int64)
+                np.add.at(steps, np.searchsorted(ordered, far[whole], "right"), count[whole])  # nearer than all limits from there on
+                inside = np.cumsum(steps)[np.searchsorted(ordered, limits, "left")]
+                cells = np.unique(cell[cut])
+                bits = [int(np.bitwise_or.reduce(np.int64(1) << ring[cut & (cell == c)])) for c in cells.tolist()]
+                out.append((inside.tolist(), cells.tolist(), bits))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield batch.assign(nearer=list(columns[0]), cells=list(columns[1]), rings=list(columns[2]))
+
+    wide = f"id {kind}, v array<double>, limits array<double>, ids array<{kind}>, nearer array<bigint>, cells array<int>, rings array<bigint>"
+    return cut_lineage(asking.mapInPandas(ask, wide)), placed
+
+
+def _ranks_at_once(points: DataFrame, near: DataFrame, kind: str) -> DataFrame:
+    """(id, ranks) where all points are a few blocks, which every batch of rows can meet."""
+    rows = points.select("id", "v").orderBy("id").collect()
+    others, t = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], dtype=float)
+    lists = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("method", "rank", "neighbor"))).alias("near"))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for at in range(0, len(batch), CHUNK):
+                part = batch.iloc[at : at + CHUNK]
+                own = np.searchsorted(others, part["id"].to_numpy())
+                for d, i, ids in zip(_distances_to(t[own], t), own, part["ids"]):
+                    d[i] = np.inf
+                    seat = np.empty(len(d), np.int64)
+                    seat[np.argsort(d, kind="stable")] = np.arange(1, len(d) + 1)  # ties go by id
+                    out.append(seat[np.searchsorted(others, np.asarray(ids, dtype=others.dtype))].tolist())
+            yield pd.DataFrame({"id": batch["id"], "ranks": out})
+
+    asking = spread(lists.select("id", F.col("near.neighbor").alias("ids")), "id")
+    return asking.mapInPandas(rank, f"id {kind}, ranks array<bigint>")
+
+
+def _ranks_by_range(points: DataFrame, asking: DataFrame, n: int, kind: str, block_rows: int) -> DataFrame:
+    """(id, nearer): parts of the counts of rows nearer than each limit, to be added up."""
+    result = f"id {kind}, nearer array<bigint>"
+    asked, placed = reached_cells(points, asking, n, kind, block_rows)
+    sent = asked.select("id", "v", "limits", "ids", F.explode(F.arrays_zip("cells", "rings")).alias("c"))
+    sent = sent.select("id", "v", "limits", "ids", F.col("c.cells").alias("cell"), F.col("c.rings").alias("rings"))
+    crowd = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # a row a cell
+    asks = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    sizes = cut_lineage(crowd.join(asks, "cell"))
+    sent = sent.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = placed.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int"))
+    held = held.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumnRenamed("cell", "c")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": [], "nearer": []})
+        t, others, ring = np.stack(right["ov"].to_numpy()), right["other"].to_numpy(), right["ring"].to_numpy()
+        out = []
+        for at in range(0, len(left), CHUNK):
+            part = left.iloc[at : at + CHUNK]
+            d = _distances_to(np.stack(part["v"].to_numpy()), t)
+            for row, own, rings, limits, ids in zip(d, part["id"], part["rings"], part["limits"], part["ids"]):
+                take = (others != own) & ((np.int64(rings) >> ring) & 1 == 1)
+                out.append(_count_nearer(row[take], others[take], np.asarray(limits), np.asarray(ids, dtype=others.dtype)).tolist())
+        return pd.DataFrame({"id": left["id"].to_numpy(), "nearer": out})
+
+    counted = sent.groupBy("cell", "block", "part").cogroup(held.groupBy("c", "b", "p")).applyInPandas(compare, result)
+    return counted.unionByName(asked.select("id", "nearer"))
+
+
+def stress_sums(points: DataFrame, methods: Methods, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(method, d2, e2): squared original distances and squared errors over all pairs, each pair twice.
+
+    Every row is compared with every other by definition, in pairs of blocks that leave one row each.
+    """
+    names = list(methods)
+    n = points.count()
+    blocks = max(1, -(-n // block_rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    left = points.select("v", "xy", block.alias("a"), F.explode(F.sequence(block, F.lit(blocks - 1))).alias("b"))
+    right = points.select("v", "xy", F.explode(F.sequence(F.lit(0), block)).alias("oa"), block.alias("ob"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"same": [], "d2": [], "e2": []})
+        t, txy = np.stack(right["v"].to_numpy()), np.stack([np.stack(x) for x in right["xy"]])
+        d2, e2 = 0.0, np.zeros(len(names))
+        for at in range(0, len(left), CHUNK):
+            part = left.iloc[at : at + CHUNK]
+            q, qxy = np.stack(part["v"].to_numpy()), np.stack([np.stack(x) for x in part["xy"]])
+            d = _distances_to(q, t)
+            d2 += float((d**2).sum())
+            e2 += [((d - _distances_to(qxy[:, m], txy[:, m])) ** 2).sum() for m in range(len(names))]
+        return pd.DataFrame({"same": [int(left["a"].iloc[0] == right["ob"].iloc[0])], "d2": [d2], "e2": [e2.tolist()]})
+
+    sums = left.groupBy("a", "b").cogroup(right.groupBy("oa", "ob")).applyInPandas(compare, "same int, d2 double, e2 array<double>")
+    twice = F.when(F.col("same") == 1, 1.0).otherwise(2.0)
+    rows = [F.struct(F.lit(name).alias("method"), (F.get("e2", F.lit(m)) * twice).alias("e2")) for m, name in enumerate(names)]
+    return sums.select((F.col("d2") * twice).alias("d2"), F.inline(F.array(*rows))).groupBy("method").agg(F.sum("d2").alias("d2"), F.sum("e2").alias("e2"))
+
+
 def quality_curves(
     df: DataFrame,
     id_col: str,
@@ -153,26 +299,10 @@ def quality_curves(
 
 def _scores(counts: DataFrame) -> DataFrame:
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    return (
-        counts.groupBy("method", "k", "n")
-        .agg(
-            F.sum("penalty").alias("penalty"),
-            F.sum("missing").alias("missing"),
-            F.sum("d2").alias("d2"),
-            F.sum("e2").alias("e2"),
-        )
-        .select(
-            "method",
-            "k",
-            "n",
-            F.round(1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * F.col("penalty"), 6).alias(
-                "trustworthiness"
-            ),
-            F.round(1 - F.col("missing") / (n * k), 6).alias("continuity"),
-            F.round(
-                F.when(F.col("d2") > 0, F.sqrt(F.try_divide(F.col("e2"), F.col("d2")))).otherwise(0.0), 6
-            ).alias("stress"),
-        )
+    trust = 1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * F.col("penalty")
+    sums = counts.groupBy("method", "k", "n").agg(F.sum("penalty").alias("penalty"), F.sum("missing").alias("missing"))
+    return sums.select(
+        "method", "k", "n", F.round(trust, 6).alias("trustworthiness"), F.round(1 - F.col("missing") / (n * k), 6).alias("continuity")
     )
 
 
@@ -193,8 +323,11 @@ def quality_metrics(
     n = df.count() if sample_size is None else min(sample_size, df.count())
     used = min(k, max(1, n // 2 - 1))
     counts = neighborhood_counts(df, id_col, vector, {"m": (x, y)}, [used], sample_size, seed)
-    scores = _scores(counts)
     trust = F.lit(1.0) if n < 4 else F.col("trustworthiness")
+    points = cut_lineage(_points(df, id_col, vector, {"m": (x, y)}, sample_size, seed))
+    ratio = F.when(F.col("d2") > 0, F.sqrt(F.try_divide(F.col("e2"), F.col("d2")))).otherwise(0.0)
+    stress = stress_sums(points, {"m": (x, y)}).select("method", F.round(ratio, 6).alias("stress"))
+    scores = _scores(counts).join(stress, "method")  # one row each
     return scores.select(
         trust.alias("trustworthiness"), "stress", F.col("n").alias("n_samples"), F.lit(used).alias("k")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from mldiag.functions.columns import as_double, literal_matrix, literal_vector, ref
 from mldiag.operators.scale import hash_sample, spread
 from mldiag.operators.scoring import BatchScorer, ExprScorer, LinearScorer, Scorer
+from mldiag.operators.tree_shap import fitted_trees, tree_shap
 
 BACKGROUND_ROWS = 100
 MAX_EXACT = 10
@@ -304,17 +305,21 @@ def shap_values(
     method: str | None = None,
     **options,
 ) -> DataFrame:
-    """Attributions by the method asked for: linear, exact (at most 10 features) or sampled.
+    """Attributions by the method asked for: linear, tree, exact (at most 10 features) or sampled.
 
-    Without one: linear for a linear scorer without a background, else exact, which raises beyond 10 features.
+    Without one: linear for a linear scorer without a background, tree for a trained forest (of any number of features), else exact,
+    which raises beyond 10 features. Boosted trees are explained on their margins if `tree` is asked for.
     """
     if method is None:
-        method = "linear" if isinstance(scorer, LinearScorer) and rows is None else "exact"
-    if method not in ("linear", "exact", "sampled"):
+        forest = type(fitted_trees(scorer)).__name__ == "RandomForestClassificationModel"
+        method = "linear" if isinstance(scorer, LinearScorer) and rows is None else "tree" if forest else "exact"
+    if method not in ("linear", "tree", "exact", "sampled"):
         raise ValueError(f"Unknown method: {method}")
     if method == "linear":
         return linear_shap(df, id_col, scorer)
     rows = rows if rows is not None else background(df, id_col, scorer.features)
+    if method == "tree":
+        return tree_shap(df, id_col, scorer, rows)
     if isinstance(scorer, BatchScorer):
         return batch_shap(df, id_col, scorer, rows, method=method, **options)
     if method == "sampled":

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import functions as F
 
-from mldiag.operators import counterfactual, scoring, shap, train
+from mldiag.operators import counterfactual, scoring, shap, train, tree_shap
 from mldiag.plans.model_queries import (
     LINE_BIAS,
     LINE_FEATURES,
@@ -178,6 +178,66 @@ def shap_batch(spark, folder):
     return _rounded(shap.batch_shap(rows, "p_partkey", scorer, background))
 
 
+#: Two small trees over the part features: (feature, threshold, left, right, [output]).
+HAND_TREES = [
+    [
+        (0, 25.0, 1, 2, [0.0]), (1, 1000.0, 3, 4, [0.0]), (2, 30.0, 5, 6, [0.0]), (-1, 0.0, -1, -1, [0.1]), (-1, 0.0, -1, -1, [0.4]),
+        (0, 40.0, 7, 8, [0.0]), (-1, 0.0, -1, -1, [0.9]), (-1, 0.0, -1, -1, [0.6]), (-1, 0.0, -1, -1, [0.75]),
+    ],
+    [(1, 950.0, 1, 2, [0.0]), (-1, 0.0, -1, -1, [0.25]), (1, 1200.0, 3, 4, [0.0]), (0, 10.0, 5, 6, [0.0]), (-1, 0.0, -1, -1, [-0.5]), (-1, 0.0, -1, -1, [1.0]), (-1, 0.0, -1, -1, [2.0])],
+]
+
+
+def _trees_sql(a: str, b: str, c: str) -> str:
+    one = f"CASE WHEN {a} <= 25 THEN CASE WHEN {b} <= 1000 THEN 0.1 ELSE 0.4 END WHEN {c} <= 30 THEN CASE WHEN {a} <= 40 THEN 0.6 ELSE 0.75 END ELSE 0.9 END"
+    two = f"CASE WHEN {b} <= 950 THEN 0.25 WHEN {b} <= 1200 THEN CASE WHEN {a} <= 10 THEN 1.0 ELSE 2.0 END ELSE -0.5 END"
+    return f"CAST({one} AS DOUBLE) + CAST({two} AS DOUBLE)"
+
+
+def _tree_coalition(mask: int) -> str:
+    picks = [own if mask >> i & 1 else other for i, (own, other) in enumerate(zip("abc", ("ba", "bb", "bc")))]
+    return f"avg({_trees_sql(*picks)}) AS v{mask}"
+
+
+@query(
+    "shap_tree",
+    "WITH " + _PARTS + ", v AS (SELECT p_partkey, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, "
+    + ", ".join(_tree_coalition(m) for m in range(8)) + " FROM parts, bg GROUP BY p_partkey), long AS ("
+    + " UNION ALL ".join(
+        f"SELECT p_partkey AS id, 'score' AS class, '{f}' AS feature, {_phi(i)} AS phi, {'abc'[i]} AS value FROM v" for i, f in enumerate(PART_FEATURES)
+    )
+    + ") SELECT id, class, feature, round(phi, 8) + 0.0 AS phi, round(value, 6) AS value FROM long",
+)
+def shap_tree(spark, folder):
+    """Path-wise attributions of two trees, held against all coalitions in SQL."""
+    rows = part_rows(spark, folder)
+    background = shap.background(rows, "p_partkey", PART_FEATURES)
+    points = rows.select(F.col("p_partkey").alias("id"), F.array(*PART_FEATURES).alias("x"))
+    return _rounded(tree_shap.path_shap(points, PART_FEATURES, ["score"], tree_shap.paths_of(HAND_TREES, 1), background))
+
+
+@query(
+    "shap_forest",
+    """SELECT vec_id AS id, c AS class, CAST(30 AS BIGINT) AS features, true AS adds_up
+FROM embeddings, (SELECT DISTINCT CAST(label AS VARCHAR) AS c FROM embeddings)""",
+)
+def shap_forest(spark, folder):
+    """A fitted forest of thirty features: the attributions of every row and class add up to its probability less the base."""
+    features = [f"f{i}" for i in range(30)]
+    values = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)]
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", *values)
+    fitted = train.train(rows, "vec_id", features, "label", "RandomForest", n_trees=20, max_depth=8)
+    background = shap.background(rows, "vec_id", features)
+    long = shap.shap_values(rows, "vec_id", fitted.scorer, background)
+    total = long.groupBy("id", "class").agg(F.sum("phi").alias("phi"), F.count("*").alias("features"))
+    base = shap.base_values(fitted.scorer, spark, background)
+    names = F.array(*[F.lit(c) for c in fitted.scorer.classes])
+    scored = fitted.scored.select(F.col("vec_id").alias("id"), F.posexplode("probability").alias("i", "p"))
+    scored = scored.select("id", F.get(names, F.col("i")).alias("class"), "p")
+    both = total.join(scored, ["id", "class"]).join(F.broadcast(base), "class")  # one row per class
+    return both.select("id", "class", "features", (F.abs(F.col("p") - F.col("base") - F.col("phi")) < 1e-9).alias("adds_up"))
+
+
 N_ORDERS = 200
 
 

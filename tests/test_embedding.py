@@ -189,3 +189,47 @@ def test_quality_covers_all_rows_by_brute_force(points):
         penalty += sum(max(0, rank[j] - k) for j in sorted(others, key=lambda j: (e[i, j], j))[:k])
     assert got["trustworthiness"] == pytest.approx(1 - 2 / (n * k * (2 * n - 3 * k - 1)) * penalty, abs=1e-6)
     assert got["stress"] == pytest.approx(np.sqrt(((d - e) ** 2).sum() / (d**2).sum()), abs=1e-6) and got["n_samples"] == n
+
+
+def _plain_counts(v, planes, ids, ks):
+    """(method, k) -> (penalty, missing) over all rows, ties by id."""
+    n, out = len(v), {}
+    order = lambda m, i: sorted((j for j in range(n) if j != i), key=lambda j: (round(float(np.sqrt(((m[i] - m[j]) ** 2).sum())), 12), ids[j]))
+    for name, plane in planes.items():
+        for i in range(n):
+            rank = {j: r for r, j in enumerate(order(v, i), 1)}
+            near = order(plane, i)
+            for k in ks:
+                beyond = [rank[j] - k for j in near[:k] if rank[j] > k]
+                p, m = out.get((name, k), (0, 0))
+                out[name, k] = (p + sum(beyond), m + len(beyond))
+    return out
+
+
+@pytest.mark.parametrize("block", [1000, 12])
+def test_range_counting_by_brute_force(spark, block):
+    """Ranks counted by rings and cells equal those of sorted distances, with copies and odd ids among the rows."""
+    rng = np.random.RandomState(6)
+    v = np.concatenate([rng.randn(30, 5) + 20 * c for c in range(3)] + [rng.randn(1, 5).repeat(4, 0)])
+    ids = [-7 + 3 * i for i in range(len(v))]
+    rows = [(i, x.tolist(), float(x[0]), float(x[1]), float(x[2]), float(x[3])) for i, x in zip(ids, v)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, a double, b double, c double, d double").repartition(3)
+    got = quality.neighborhood_counts(df, "id", "v", {"one": ("a", "b"), "two": ("c", "d")}, [3, 8], block_rows=block)
+    sums = got.groupBy("method", "k").agg(F.sum("penalty").alias("p"), F.sum("missing").alias("m"), F.count("*").alias("n")).collect()
+    wanted = _plain_counts(v, {"one": v[:, :2], "two": v[:, 2:4]}, ids, [3, 8])
+    assert {(r["method"], r["k"]): (r["p"], r["m"]) for r in sums} == wanted and all(r["n"] == len(v) for r in sums)
+    text = df.withColumn("id", F.format_string("k%05d", F.col("id") + 100))
+    named = quality.neighborhood_counts(text, "id", "v", {"one": ("a", "b")}, [3], block_rows=block)
+    assert named.agg(F.sum("penalty"), F.sum("missing")).first()[:] == wanted["one", 3]
+
+
+def test_rows_of_clusters_reach_few_cells(spark):
+    """On clustered vectors a row is sent to little more than its own cell."""
+    rng = np.random.RandomState(2)
+    v = np.concatenate([rng.randn(50, 4) * 0.1 + 50 * rng.randn(4) for _ in range(12)])
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
+    limits = [0.1, 0.2]
+    asking = points.select("id", "v", F.array(*map(F.lit, limits)).alias("limits"), F.array(F.lit(0), F.lit(1)).cast("array<bigint>").alias("ids"))
+    asked, _ = quality.reached_cells(points, asking, len(v), "bigint", 20)
+    sent = asked.agg(F.sum(F.size("cells"))).first()[0]
+    assert sent < 4 * len(v)  # of 30 cells
