@@ -32,24 +32,35 @@ class Numbers(dict):
 
 
 class Remembered:
-    """Ids of words by `encode`, which gets lists of new words; forgets everything beyond `most` words."""
+    """Ids of words by `encode`, which gets lists of new words. Beyond `most` words those that came in one call only are forgotten."""
 
     def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype, most: int = 250_000):
         self.encode, self.most, self.dtype = encode, most, dtype
-        self.forget()
-
-    def forget(self) -> None:
         self.place = Numbers()
-        self.flat = np.zeros(1 << 16, self.dtype)
+        self.flat = np.zeros(1 << 16, dtype)
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.again[: len(self.place)])
+        if 4 * len(keep) > 3 * self.most:
+            keep = keep[:0]
+        known, self.place = self.place.order, Numbers()
+        self.place.of([known[i] for i in keep.tolist()])
+        kept, sizes = gather(self.flat, self.starts[keep], self.lengths[keep]), self.lengths[keep]
+        self.used = len(kept)
+        self.flat[: self.used] = kept
+        self.starts[: len(keep)], self.lengths[: len(keep)] = np.cumsum(sizes) - sizes, sizes
+        self.again[:] = False
 
     def ids(self, words: list) -> np.ndarray:
         if len(self.place) > self.most:
             self.forget()
         place, known = self.place, len(self.place)
         at = place.of(words)
+        self.again[at[at < known]] = True
         if len(place) > known:
             fresh = place.order[known:]
             found = self.encode(fresh)
@@ -60,6 +71,7 @@ class Remembered:
             while len(self.starts) < len(place):
                 self.starts = np.append(self.starts, np.zeros(len(self.starts), np.int64))
                 self.lengths = np.append(self.lengths, np.zeros(len(self.lengths), np.int64))
+                self.again = np.append(self.again, np.zeros(len(self.again), bool))
             self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
             self.starts[known : len(place)] = self.used + np.cumsum(sizes) - sizes
             self.lengths[known : len(place)] = sizes

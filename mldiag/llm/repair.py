@@ -322,7 +322,7 @@ class WordEncoder:
                 found[i] = e.ids
             return found
 
-        self.words = Remembered(encode, np.uint32, 600_000)
+        self.words = Remembered(encode, np.uint32, 700_000)
 
     def encode(self, content: bytes) -> np.ndarray:
         low = content.lower()

@@ -140,3 +140,21 @@ def test_more_rules_than_two_bytes_hold():
     ids = np.concatenate([pairs[np.random.default_rng(i).permutation(len(pairs))].ravel() for i in range(5)])
     block = repair.Block(repair.compress(ids.astype(np.uint32)))
     assert (block.ids() == ids).all() and len(block.symbols) == 200_000 and len(block.lengths) == 120_000
+
+
+def test_words_that_come_again_are_remembered():
+    from mldiag.llm.ragged import Remembered
+
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [[len(w)] * (len(w) % 3) for w in words]
+
+    rng = np.random.default_rng(4)
+    memory = Remembered(encode, np.uint32, 50)
+    for i in range(300):
+        words = ["often", "twice"] + ["w" * int(n) for n in rng.integers(1, 200, 5)]
+        assert memory.ids(words).tolist() == [len(w) for w in words for _ in range(len(w) % 3)]
+        assert len(memory.place) <= 60
+    assert asked.count("often") <= 2
