@@ -302,12 +302,15 @@ def train(docs: DataFrame, background: int = BACKGROUND) -> LicenceModel:
     rng = random.Random(SEED)
     families = [*sorted(TEMPLATES), UNKNOWN]
     templates = [(f, hashed.pair_hashes(_hashes(t.encode()))) for f, name in enumerate(families[:-1]) for t in TEMPLATES[name]]
+    template_pairs = [t.tolist() for _, t in templates]
     windows = []
     for line in sample:
         words = line.split()
         first = rng.randrange(max(1, len(words) - WINDOW))
         window = " ".join(words[first : first + WINDOW]) if rng.random() < 0.7 else line
-        if max(containment(_hashes(window.encode()), t) for _, t in templates) < 0.4:
+        codes = _hashes(window.encode())
+        mine = set(hashed.pair_hashes(codes).tolist()) if len(codes) > 1 else set()
+        if max(sum(x in mine for x in t) / len(t) for t in template_pairs) < 0.4:
             windows.append(window)
     fillers = [w for line in windows[:300] for w in line.split()]
     unknown = len(families) - 1
@@ -341,7 +344,9 @@ def _fitted(examples: list[tuple[np.ndarray, int]], classes: int) -> hashed.Line
         buckets.append(both)
         values.append(np.full(len(both), 1 / np.sqrt(len(both))))
     targets = np.eye(classes)[[f for _, f in examples]]
-    return hashed.fit(np.concatenate(rows), np.concatenate(buckets), np.concatenate(values), targets, BUCKETS, steps=60)
+    rows, buckets, values = np.concatenate(rows), np.concatenate(buckets), np.concatenate(values)
+    shared = np.bincount(buckets, minlength=BUCKETS)[buckets] > 2  # what hardly any text holds can only be learnt by heart
+    return hashed.fit(rows[shared], buckets[shared], values[shared], targets, BUCKETS, steps=40)
 
 
 def _calibrated(model: LicenceModel, held: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
@@ -349,9 +354,12 @@ def _calibrated(model: LicenceModel, held: list[tuple[np.ndarray, int]]) -> tupl
     truth = np.array([f for _, f in held])
     at = np.arange(len(held))
 
+    model.linear.temperature = 1.0
+    plain = np.log(np.maximum(np.concatenate([model.shares(h, np.array([0]), np.array([len(h)])) for h, _ in held]), 1e-300))
+
     def measured(temperature: float) -> np.ndarray:
-        model.linear.temperature = temperature
-        return np.concatenate([model.shares(h, np.array([0]), np.array([len(h)])) for h, _ in held])
+        e = np.exp(plain / temperature)
+        return e / e.sum(axis=1, keepdims=True)
 
     tried = {t: -np.log(np.maximum(measured(t)[at, truth], 1e-9)).mean() for t in (2.0 ** np.arange(-3, 3.5, 0.5)).tolist()}
     best = min(tried, key=tried.get)
