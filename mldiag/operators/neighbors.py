@@ -302,7 +302,7 @@ def knn_classify(
 ) -> DataFrame:
     """Append vote shares of the k nearest training rows as `probability`, and the `prediction`.
 
-    A tie goes to the class listed first. A training row counts among its own neighbours.
+    A tie goes to the class listed first. A training row counts among its own neighbours. A row without a vector stays, with neither.
     """
     found = knn_join(df, train, id_col, vector, k, carry=label, **options)
     votes = found.groupBy("id").agg(
@@ -313,7 +313,7 @@ def knn_classify(
     names = F.array(*[F.lit(c) for c in classes])
     best = F.array_position("probability", F.array_max("probability")).cast("int")
     scored = votes.withColumn("prediction", F.element_at(names, best)).withColumnRenamed("id", id_col)
-    return df.join(scored, id_col)
+    return df.join(scored, id_col, "left")
 
 
 def approximate_similar_rows(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -24,6 +25,8 @@ from mldiag.operators.scale import hash_sample
 
 AXES = ("x", "y", "z")
 DENSE_DIMENSIONS = 4096
+#: Numbers of the landmark matrix that goes to every task.
+MOST_CELLS = 20_000_000
 
 
 def _is_vector(df: DataFrame, vector: str) -> bool:
@@ -105,8 +108,16 @@ def pca(df: DataFrame, vector: str, n_components: int = 2, passes: int = 5, extr
 
     Randomised subspace iteration (Halko, Martinsson and Tropp, 2011): each pass multiplies a basis of a few columns by
     the covariance, so the driver holds dimensions x columns numbers, never a square matrix. Up to `extra` dimensions
-    the basis is complete and one pass is exact.
+    of an array column count, sums and products come from one pass, which is exact. A row without a vector has null coordinates, and so have all
+    rows of a table without any.
     """
+    first = df.where(ref(vector).isNotNull()).select(ref(vector).alias("v")).first()
+    if first is None:
+        return _append(df, F.lit(None).cast("array<double>"), n_components)
+    if not _is_vector(df, vector) and len(first["v"]) <= extra:
+        mean, covariance = _moments(df, vector, np.asarray(first["v"], dtype=float))
+        values, vectors = np.linalg.eigh(covariance)
+        return _project(df, vector, vectors[:, np.argsort(values)[::-1][:n_components]], mean)
     rows = df.where(ref(vector).isNotNull()).select(ref(vector)).persist()  # read by every pass
     size = _vector_size(rows, vector)
     n = rows.count()
@@ -119,11 +130,39 @@ def pca(df: DataFrame, vector: str, n_components: int = 2, passes: int = 5, extr
         basis = np.linalg.qr(_centred_products(rows, vector, basis, mean))[0]
     small = basis.T @ _centred_products(rows, vector, basis, mean) / max(n - 1, 1)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    loadings = basis @ vectors[:, np.argsort(values)[::-1][:n_components]]
+    rows.unpersist()
+    return _project(df, vector, basis @ vectors[:, np.argsort(values)[::-1][:n_components]], mean)
+
+
+def _moments(df: DataFrame, vector: str, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance in one pass over arrays of few dimensions; each task leaves a row a dimension."""
+    size = len(shift)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size + 1, size + 1))
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy()) - shift
+                x = np.column_stack([x, np.ones(len(x))])  # the last column counts and sums
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(size + 1), "t": total.tolist()})
+
+    rows = df.select(doubles(ref(vector)).alias("v")).where(F.col("v").isNotNull())
+    found = rows.mapInPandas(add, "i int, t array<double>")
+    sums = found.groupBy("i").agg(*[F.sum(F.get("t", F.lit(j))).alias(f"t{j}") for j in range(size + 1)])
+    out = np.zeros((size + 1, size + 1))
+    for r in sums.collect():
+        out[r["i"]] = r[1:]
+    n, near = out[size, size], out[size, :size] / out[size, size]
+    return shift + near, (out[:size, :size] - n * np.outer(near, near)) / max(n - 1, 1)
+
+
+def _project(df: DataFrame, vector: str, loadings: np.ndarray, mean: np.ndarray) -> DataFrame:
+    """Append the coordinates on the axes, each turned so that its largest loading is positive."""
+    n_components = loadings.shape[1]
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(n_components)])
     loadings = loadings * np.where(signs == 0, 1.0, signs)
     offset = mean @ loadings
-    rows.unpersist()
     if _is_vector(df, vector):
 
         @F.udf("array<double>")  # the vector type has no Arrow form
@@ -146,6 +185,8 @@ def _landmark_distances(df: DataFrame, vector: str, points: list) -> Column:
     # only dimensions that some landmark has matter to the products
     parts = [_indexed(p) for p in points]
     known = np.unique(np.concatenate([at[x != 0] for at, x in parts]))
+    if len(points) * len(known) > MOST_CELLS:
+        raise ValueError(f"landmarks x their dimensions are over {MOST_CELLS}: take fewer landmarks")
     matrix = np.zeros((len(points), len(known)))
     for row, (at, x) in enumerate(parts):
         keep = x != 0
@@ -154,6 +195,8 @@ def _landmark_distances(df: DataFrame, vector: str, points: list) -> Column:
 
     @F.udf("array<double>")
     def measure(v):
+        if v is None:
+            return None
         at, x = _indexed(v)
         place = np.minimum(np.searchsorted(known, at), len(known) - 1)
         hit = known[place] == at
@@ -168,10 +211,14 @@ def landmark_mds(
     """Append coordinates by landmark multidimensional scaling (de Silva and Tenenbaum, 2004).
 
     The only non-linear-distance job on the driver is the eigenproblem of the landmark block (at
-    most `landmarks` rows); every row is placed by its distances to the landmarks, in a column.
+    most `landmarks` rows); every row is placed by its distances to the landmarks, in a column. A row without a vector has null
+    coordinates, and so have all rows of a table without any.
     """
     point = ref(vector) if _is_vector(df, vector) else doubles(ref(vector))
-    sample = hash_sample(df.select(ref(id_col).alias("id"), point.alias("v")), "id", landmarks, seed).collect()
+    known_rows = df.select(ref(id_col).alias("id"), point.alias("v")).where(F.col("v").isNotNull())
+    sample = hash_sample(known_rows, "id", landmarks, seed).collect()
+    if not sample:
+        return _append(df, F.lit(None).cast("array<double>"), n_components)
     parts = [_indexed(r["v"]) for r in sample]
     known = np.unique(np.concatenate([at for at, _ in parts]))
     points = np.zeros((len(parts), len(known)))
@@ -183,13 +230,15 @@ def landmark_mds(
     centring = np.eye(n) - 1.0 / n
     values, vectors = np.linalg.eigh(-0.5 * centring @ squared @ centring)
     top = np.argsort(values)[::-1][:n_components]
+    missing = n_components - len(top)  # fewer landmarks than axes: the others are 0
     values, vectors = np.maximum(values[top], 1e-12), vectors[:, top]
     signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(top))])
     vectors = vectors * np.where(signs == 0, 1.0, signs)
     pseudo = vectors.T / np.sqrt(values)[:, None]
     near = _landmark_distances(df, vector, [r["v"] for r in sample])
     rows = df.withColumn("_d2", F.zip_with(near, literal_vector(squared.mean(0)), lambda d, m: m - d))
-    axes = F.array(*[0.5 * dot(literal_vector(p), F.col("_d2")) for p in pseudo])
+    flat = [F.when(F.col("_d2").isNotNull(), 0.0)] * missing
+    axes = F.array(*[0.5 * dot(literal_vector(p), F.col("_d2")) for p in pseudo], *flat)
     return _append(rows, axes, n_components).drop("_d2")
 
 
@@ -199,6 +248,8 @@ def reduce2d(
 ) -> DataFrame:
     """Append x, y (, z). An embedding with no more dimensions than asked for is passed through."""
     size = _vector_size(df, vector)
+    if size == 0 and method in ("pca", "landmark_mds"):  # no row has a vector
+        return _append(df, F.lit(None).cast("array<double>"), n_components)
     if size <= n_components:
         column = vector_to_array(ref(vector)) if _is_vector(df, vector) else doubles(ref(vector))
         return df.withColumns({AXES[i]: F.get(column, F.lit(i)) for i in range(size)})

@@ -8,6 +8,7 @@ from mldiag.plans import (  # noqa: F401
     model_queries,
     profile_queries,
     source_queries,
+    state_queries,
     workflow_queries,
 )
 

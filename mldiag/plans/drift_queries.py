@@ -222,59 +222,56 @@ def reference_bins(spark, folder):
 
 
 # -- streams -------------------------------------------------------------------------------------
-# Files are read in the order of writing, one a micro-batch: all events but the last day's, half of the last
-# day's, the other half with one row that is years late (rows are late by the watermark of the batch before),
-# and a row that moves the watermark past every window, so that all of them are emitted.
+# Folders are written and drained one after the other, each a micro-batch of as many files as the table has parts: all events but the
+# last day's, half of the last day's, the other half with one row that is years late (rows are late by the watermark of the batch
+# before), and a row that moves the watermark past every window, so that all of them are emitted.
 _LATE = "2001-01-01 00:00:00"
 
 
-def _event_files(spark, folder):
+def _event_parts(spark, folder):
     events = table(spark, folder, "events")
-    base = shared_folder(spark, "events")
     last = F.date_trunc("day", events.agg(F.max("ts").alias("t")).scalar())
     late = events.where("event_id = 0").withColumn("ts", F.lit(_LATE).cast(events.schema["ts"].dataType))
     end = events.where("event_id = 0").withColumn(
         "ts", F.lit("2100-01-01 00:00:00").cast(events.schema["ts"].dataType)
     )
     final, even = F.col("ts") >= last, F.col("event_id") % 2 == 0
-    parts = (
+    return (
         events.where(~final),
         events.where(final & even),
         events.where(final & ~even).unionByName(late),
         end,
     )
-    for number, rows in enumerate(parts):
-        rows.coalesce(1).write.parquet(f"{base}/{number}")
-    return base, events.schema
-
-
-def _run(spark, stream, name):
-    """Drain a stream whose closed windows are appended to a table in the shared folder."""
-    base = shared_folder(spark, name)
-    run = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{base}/counts")
-        .option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/counts")
 
 
-def _events_stream(spark, folder):
-    base, schema = _event_files(spark, folder)
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
-    return reader.option("pathGlobFilter", "*.parquet").parquet(base)
+def _run(spark, folder, name, counted):
+    """Drain a stream of events, whose closed windows are appended to a table in the shared folder."""
+    base, source = shared_folder(spark, name), shared_folder(spark, "events")
+    parts = _event_parts(spark, folder)
+    files = None
+    for number, rows in enumerate(parts):
+        rows.write.parquet(f"{source}/{number}")
+        if files is None:
+            reader = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+            files = counted(reader.parquet(source))
+        run = (
+            files.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{base}/counts")
+            .option("checkpointLocation", f"{base}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+    return spark.read.schema(files.schema).parquet(f"{base}/counts")
 
 
 def _stream_psi(spark, folder, size, slide, name):
     events = table(spark, folder, "events")
     bins = drift.reference_bins(events, ["value"])
     edges = {r["feature"]: r["edges"] for r in bins.select("feature", "edges").distinct().collect()}
-    counts = drift_stream.bin_counts(_events_stream(spark, folder), "ts", edges, size, slide)
-    psi = drift_stream.window_psi(_run(spark, counts, name), bins)
+    counts = _run(spark, folder, name, lambda events: drift_stream.bin_counts(events, "ts", edges, size, slide))
+    psi = drift_stream.window_psi(counts, bins)
     return psi.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -313,8 +310,8 @@ def stream_psi_sliding(spark, folder):
 FROM events GROUP BY ALL""",
 )
 def stream_class_counts(spark, folder):
-    counts = drift_stream.class_counts(_events_stream(spark, folder), "ts", ["event_type"])
-    return _run(spark, counts, "stream_class_counts").withColumn(
+    counts = _run(spark, folder, "stream_class_counts", lambda events: drift_stream.class_counts(events, "ts", ["event_type"]))
+    return counts.withColumn(
         "start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")
     )
 
@@ -326,8 +323,10 @@ CASE WHEN value > 10 THEN 'purchase' ELSE 'click' END AS prediction, count(*) AS
 )
 def stream_confusion_counts(spark, folder):
     predicted = F.when(F.col("value") > 10, "purchase").otherwise("click")
-    rows = _events_stream(spark, folder).withColumns({"label": F.col("event_type"), "prediction": predicted})
-    counts = drift_stream.class_counts(rows, "ts", ["label", "prediction"])
-    return _run(spark, counts, "stream_confusion_counts").withColumn(
+    names = {"label": F.col("event_type"), "prediction": predicted}
+    counts = _run(
+        spark, folder, "stream_confusion_counts", lambda events: drift_stream.class_counts(events.withColumns(names), "ts", ["label", "prediction"])
+    )
+    return counts.withColumn(
         "start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")
     )

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from mldiag.operators import embed, evaluate, neighbors, quality, reduce, scale, transforms
+from mldiag.operators import embed, evaluate, neighbors, quality, reduce, scale, transforms, vector_index
 from mldiag.operators.train import stratified_split
 from mldiag.plans import workflows
 from mldiag.plans.model_queries import N_DIMS, vectors
 from mldiag.plans.registry import query, table
+from mldiag.session import shared_folder
 
 # A short list keeps the SQL readable; the operator's default is the list shipped with Spark ML.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "on", "for", "that"]
@@ -90,6 +91,21 @@ def knn_lsh(spark, folder):
     return found.agg((F.sum("hit") >= 0.9 * F.count("*")).alias("recalled"), (F.count("*") > 0).alias("rows_"))
 
 
+@query(
+    "knn_index",
+    """SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, 10 * count(*) FILTER (vec_id % 50 = 0) AS answers, true AS recalled FROM embeddings""",
+)
+def knn_index(spark, folder):
+    """Recall of the inverted-file index over all rows whose id is divisible by 50, held against the exact join."""
+    rows = table(spark, folder, "embeddings")
+    path = shared_folder(spark, "vector-index")
+    vector_index.build(rows, "vec_id", "embedding", path, metric="cosine")
+    asked = rows.where("vec_id % 50 = 0")
+    found = vector_index.search(spark, path, asked, "vec_id", "embedding", 10, probes=24, candidates=60, metric="cosine", exclude_self=True)
+    exact = neighbors.knn_join(asked, rows, "vec_id", "embedding", 10, "cosine", exclude_self=True)
+    return vector_index.recall(found, exact).select("queries", "answers", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 @query(
     "nearest_point",
     """SELECT vec_id AS id, round(sqrt(pow(CAST(embedding[1] AS DOUBLE) - 0.05, 2) + pow(CAST(embedding[2] AS DOUBLE) + 0.1, 2)), 6) AS distance
