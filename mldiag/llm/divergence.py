@@ -7,6 +7,8 @@ of short texts are large by chance, hence the minimum length and a word threshol
 
 Cases: a null or empty text has no words and fails the base rule. Without any language reference (no labels) the distances
 are null and only the base rule decides; it also decides alone on a document whose own language has no reference. Rows that repeat are measured one by one.
+An empty table gives no rows. A very long text is counted whole, one text at a time. Only doc_id, text, lang and the named columns are
+read; `keep_good` keeps all columns of the input, whatever they are called.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Fitting reads at most `documents_a_language` labelled documents a language, draw
 more than `MOST_LANGUAGES` of them are an error. Every text is scored whole. Words are scored once and remembered.
 
 Cases: a text that is null or has no letter is `und` with score 0, and so is every text where nothing is labelled. Repeated rows
-are scored one by one; a null identifier hashes like an empty one.
+are scored one by one; a null identifier hashes like an empty one. A very long text is scored whole, in parts. An empty
+table gives no rows. Other columns have no part in it, whatever they are called.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ of each, then a packed plane for every bit beyond 16. Spark commits both tables,
 of a block.
 
 Cases: a null text counts as empty and holds the end id alone; null identifiers come first; rows of one identifier are ordered by
-content and each has its own start; a text longer than a block goes on in the next one.
+content and each has its own start; a text longer than a block goes on in the next one; an empty table
+gives empty files; other columns have no part in it.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ member of each local component leaves the task. A key's members lie within four
 more than 10,903 values of the next segment; keys with many members are split by the indices of the third segment.
 
 Cases: a null or empty text has fingerprint zero and is linked like any other; a text of one or two words is one shingle.
+Repeated rows share a fingerprint; a null doc_id names no component that has another. A very long text is hashed in batches of
+shingles. An empty table gives no rows. Only doc_id and text are read; `deduplicate` keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ repeated identifiers fill one slot. What comes to the driver is one row a slot.
 rank within the slot behind the slots before it, so that no task sorts a whole shard.
 
 Cases: a null text has one byte and the checksum of the empty text; null identifiers are hashed like any other; rows that repeat
-share a slot and have places of their own.
+share a slot and have places of their own. An empty table gives no rows; a text of any length is a size and a checksum; other columns
+have no part in it, whatever they are called.
 """
 
 from __future__ import annotations

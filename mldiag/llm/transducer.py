@@ -11,6 +11,8 @@ each prefix of the input has one path of finite weight. Whether two pieces stay
 
 Words are composed apart, since no piece holds white space behind a letter (checked when compiling); paths of short words are
 remembered. Cases: a null text counts as empty and has no ids; a text that holds U+2581 itself decodes to a space there.
+An empty table gives no rows; a text of any length is cut at white space and never held twice; repeated rows are encoded one by one; columns of
+the input stay, and new ones that would clash get a name with an underscore.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mldiag.llm.common import map_batches, texts_of
+from mldiag.llm.common import free_name, map_batches, texts_of
 from mldiag.llm.ragged import Remembered, blocks
 
 SPACE = "▁"
@@ -237,8 +239,9 @@ def read_model(path: str) -> Transducer:
 
 
 def encode(docs: DataFrame, machine: Transducer, column: str = "ids") -> DataFrame:
-    """All columns but the text, n_pieces, and the ids of the whole text as array<int>. Clashing columns of the input go."""
-    names = [c for c in docs.columns if c not in ("text", "n_pieces", column)]
+    """All columns but the text, n_pieces, and the ids of the whole text as array<int>; under free names where the input has such columns."""
+    names = [c for c in docs.columns if c != "text"]
+    count, column = free_name(docs, "n_pieces"), free_name(docs, column)
     rows = docs.select(*names, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +255,7 @@ def encode(docs: DataFrame, machine: Transducer, column: str = "ids") -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
                 counts = pa.array(np.diff(ends), pa.int64())
                 others = [c.slice(first, stop - first) for c in batch.columns[:-1]]
-                return pa.RecordBatch.from_arrays([*others, counts, lists], [*names, "n_pieces", column])
+                return pa.RecordBatch.from_arrays([*others, counts, lists], [*names, count, column])
 
             for i, text in enumerate(texts_of(batch.column(batch.num_columns - 1))):
                 ids.append(encoder.encode(text))
@@ -263,7 +266,7 @@ def encode(docs: DataFrame, machine: Transducer, column: str = "ids") -> DataFra
             yield part(batch.num_rows)
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, run, f"{kinds}{', ' if kinds else ''}n_pieces bigint, `{column}` array<int>")
+    return map_batches(rows, run, f"{kinds}{', ' if kinds else ''}`{count}` bigint, `{column}` array<int>")
 
 
 def decode(encoded: DataFrame, machine: Transducer, column: str = "ids") -> DataFrame:

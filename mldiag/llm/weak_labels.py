@@ -5,7 +5,8 @@ vote patterns of the corpus estimates how often each heuristic's votes are right
 hash, a hashed linear scorer learns these labels from words and shapes alone; it scores every document.
 
 No more than 3^heuristics pattern counts and `sample` feature lists come to the driver. Cases: a null or empty text has no features
-and the votes of an empty text; rows that repeat get equal scores; an empty table has no rows and nothing is fitted.
+and the votes of an empty text; rows that repeat get equal scores; an empty table has no rows and nothing is fitted. A very long text is
+read whole, by itself; only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

@@ -41,11 +41,11 @@ def test_documents(spark, both):
     texts = ODD + [None, "long text. " * 30_000]
     docs = spark.createDataFrame([(i, t, 1.5, [i]) for i, t in enumerate(texts)] * 2, "doc_id bigint, text string, n_pieces double, other array<int>")
     encoded = transducer.encode(docs, machine)
-    assert encoded.columns == ["doc_id", "other", "n_pieces", "ids"]
+    assert encoded.columns == ["doc_id", "n_pieces", "other", "n_pieces_", "ids"]
     rows = encoded.collect()
     assert len(rows) == 2 * len(texts)
     for r in rows:
-        assert r.ids == library.encode(texts[r.doc_id] or "") and r.n_pieces == len(r.ids) and r.other == [r.doc_id]
+        assert r.ids == library.encode(texts[r.doc_id] or "") and r.n_pieces_ == len(r.ids) and r.n_pieces == 1.5 and r.other == [r.doc_id]
     for r in transducer.decode(encoded, machine).collect():
         assert r.text == (texts[r.doc_id] or "").replace("▁", " ")
     for r in transducer.digest(docs, machine).collect():
