@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from mldiag.functions.columns import ref
 from mldiag.operators.roles import infer_columns
 from mldiag.operators.transforms import feature_embedding, vector_columns
+from mldiag.session import shared_folder
 
 # Fixed value: a token is two or more word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -89,7 +90,9 @@ def tfidf(
     per document holds its distinct terms. Documents without any vocabulary term have no rows.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
-    counts = _term_counts(df, id_col, text_col, stop_words)
+    path = shared_folder(df.sparkSession, "term-counts")  # read twice; texts are tokenised once
+    _term_counts(df, id_col, text_col, stop_words).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
     vocab = _vocabulary(counts, df, max_features).select("term", "idf")
     weighted = counts.join(vocab, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
