@@ -216,6 +216,29 @@ def shap_tree(spark, folder):
     return _rounded(tree_shap.path_shap(points, PART_FEATURES, ["score"], tree_shap.paths_of(HAND_TREES, 1), background))
 
 
+@query(
+    "shap_forest",
+    """SELECT vec_id AS id, c AS class, CAST(30 AS BIGINT) AS features, true AS adds_up
+FROM embeddings, (SELECT DISTINCT CAST(label AS VARCHAR) AS c FROM embeddings)""",
+)
+def shap_forest(spark, folder):
+    """A fitted forest of thirty features: the attributions of every row and class add up to its probability less the base."""
+    features = [f"f{i}" for i in range(30)]
+    values = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)]
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", *values)
+    fitted = train.train(rows, "vec_id", features, "label", "RandomForest", n_trees=20, max_depth=8)
+    background = shap.background(rows, "vec_id", features)
+    long = shap.shap_values(rows, "vec_id", fitted.scorer, background)
+    base = F.create_map(*[F.lit(v) for r in shap.base_values(fitted.scorer, spark, background).collect() for v in r])  # one entry a class
+    names = F.array(*[F.lit(c) for c in fitted.scorer.classes])
+    scored = fitted.scored.select(F.col("vec_id").alias("id"), F.posexplode("probability").alias("i", "p"))
+    scored = scored.select("id", F.get(names, F.col("i")).alias("class"), "p")
+    scored = scored.select("id", "class", (base[F.col("class")] - F.col("p")).alias("part"), F.lit(0).alias("feature"))
+    parts = long.select("id", "class", F.col("phi").alias("part"), F.lit(1).alias("feature")).unionByName(scored)
+    total = parts.groupBy("id", "class").agg(F.sum("part").alias("gap"), F.sum("feature").alias("features"))
+    return total.select("id", "class", "features", (F.abs("gap") < 1e-9).alias("adds_up"))
+
+
 N_ORDERS = 200
 
 
