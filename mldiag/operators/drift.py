@@ -174,6 +174,33 @@ def time_windows(
     return timed if n_windows >= 2 else timed.limit(0)
 
 
+def reference_counts(reference: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value, n_ref): the reference as counts, to be stored where many windows are held against it."""
+    return unpivot_features(reference, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_ref"))
+
+
+def ks_by_group(ref_counts: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, feature, n, ks): each group of (keys, feature, value, n) against (feature, value, n_ref); groups need two rows.
+
+    The reference is ordered once for all groups. The largest gap to a group's step function lies at one of its values or just before
+    it, so groups only carry their own values, whether the reference has them or not.
+    """
+    points = (
+        ref_counts.unionByName(counts.select("feature", "value", F.lit(0).cast("bigint").alias("n_ref")))
+        .groupBy("feature", "value")
+        .agg(F.sum("n_ref").alias("n_ref"))
+    )
+    ref_running = global_cumsum(points, ["feature"], "value", ["n_ref"])
+    running = global_cumsum(counts, [*keys, "feature"], "value", ["n"])
+    both = running.where(F.col("total_n") > 1).join(ref_running, ["feature", "value"])
+    at = F.abs(F.col("cum_n_ref") / F.col("total_n_ref") - F.col("cum_n") / F.col("total_n"))
+    below = F.abs(
+        (F.col("cum_n_ref") - F.col("n_ref")) / F.col("total_n_ref")
+        - (F.col("cum_n") - F.col("n")) / F.col("total_n")
+    )
+    return both.groupBy(*keys, "feature").agg(F.max("total_n").alias("n"), F.max(F.greatest(at, below)).alias("ks"))
+
+
 def temporal_drift(
     reference: DataFrame,
     production: DataFrame,
@@ -182,39 +209,16 @@ def temporal_drift(
     features: Sequence[str] | None = None,
     max_windows: int = N_WINDOWS,
 ) -> DataFrame:
-    """(window, mean_ks, max_ks): each time window of production against the whole reference.
-
-    The reference is ordered once for all windows. The largest gap to a window's step function lies
-    at a window value or just before it, so windows only carry their own values.
-    """
+    """(window, mean_ks, max_ks): each time window of production against the whole reference."""
     names = drift_features(reference, production, features, timestamp_col)
-    ref_counts = (
-        unpivot_features(reference, names)
-        .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("n_ref"))
-    )
+    ref_counts = reference_counts(reference, names)
     windowed = time_windows(production, timestamp_col, id_col, max_windows)
     win_counts = (
         unpivot_features(windowed, names, keep=["window"])
         .groupBy("window", "feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    points = (
-        ref_counts.unionByName(
-            win_counts.select("feature", "value", F.lit(0).cast("bigint").alias("n_ref"))
-        )
-        .groupBy("feature", "value")
-        .agg(F.sum("n_ref").alias("n_ref"))
-    )
-    ref_running = global_cumsum(points, ["feature"], "value", ["n_ref"])
-    win_running = global_cumsum(win_counts, ["window", "feature"], "value", ["n"])
-    both = win_running.where(F.col("total_n") > 1).join(ref_running, ["feature", "value"])
-    at = F.abs(F.col("cum_n_ref") / F.col("total_n_ref") - F.col("cum_n") / F.col("total_n"))
-    below = F.abs(
-        (F.col("cum_n_ref") - F.col("n_ref")) / F.col("total_n_ref")
-        - (F.col("cum_n") - F.col("n")) / F.col("total_n")
-    )
-    per_feature = both.groupBy("window", "feature").agg(F.max(F.greatest(at, below)).alias("ks"))
+    per_feature = ks_by_group(ref_counts, win_counts, ["window"])
     return per_feature.groupBy("window").agg(
         F.round(F.avg("ks"), 4).alias("mean_ks"), F.round(F.max("ks"), 4).alias("max_ks")
     )

@@ -16,8 +16,12 @@ from mldiag.functions.columns import (
     ref,
     share,
 )
+from mldiag.operators.gram import wide_correlation
 from mldiag.operators.scale import exact_quantiles, global_cumsum, rank_picks, unpivot_features
 
+#: Columns whose pairs still fit into one aggregate (820 buffers).
+WIDE = 40
+
 
 def normalise_nulls(df: DataFrame) -> DataFrame:
     """NaN in float and double columns becomes NULL, so both count as missing."""
@@ -139,13 +143,24 @@ def dtype_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    one, other = F.regr_slope(x, y), F.regr_slope(y, x)
+    return F.signum(one) * F.sqrt(one * other)
+
+
 def correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(x, y, corr) over pairwise complete rows, both triangles and the diagonal, in one scan."""
+    """(x, y, corr) over pairwise complete rows, both triangles and the diagonal.
+
+    Some columns take one scan with aggregates a pair; beyond WIDE of them, the products of rows are added up in blocks. A pair has no
+    correlation without two different values on both sides (corr() itself raises there); the product of both slopes is its square.
+    """
     if len(features) < 2:
         raise ValueError("correlation needs at least two numeric columns")
+    if len(features) > WIDE:
+        return wide_correlation(df, features)
     pairs = list(combinations_with_replacement(range(len(features)), 2))
     wide = df.select(*[as_double(f).alias(f"v{i}") for i, f in enumerate(features)]).agg(
-        *[F.corr(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs]
+        *[_pearson(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"c{i}_{j}") for i, j in pairs]
     )
     ordered = [(i, j, i, j) for i, j in pairs] + [(j, i, i, j) for i, j in pairs if i != j]
     return _rows(

@@ -330,3 +330,29 @@ def stream_confusion_counts(spark, folder):
     return counts.withColumn(
         "start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")
     )
+
+
+@query(
+    "stream_ks",
+    """
+WITH long AS (SELECT date_trunc('day', ts) AS w, 'value' AS feature, CAST(value AS DOUBLE) AS value FROM events WHERE value IS NOT NULL
+  UNION ALL SELECT date_trunc('day', ts), 'user_id', CAST(user_id AS DOUBLE) FROM events WHERE user_id IS NOT NULL),
+refc AS (SELECT feature, value, count(*) AS r, sum(count(*)) OVER (PARTITION BY feature ORDER BY value) AS cr,
+  sum(count(*)) OVER (PARTITION BY feature) AS nr FROM long GROUP BY feature, value),
+wc AS (SELECT w, feature, value, count(*) AS c, sum(count(*)) OVER (PARTITION BY w, feature ORDER BY value) AS cw,
+  sum(count(*)) OVER (PARTITION BY w, feature) AS nw FROM long GROUP BY w, feature, value),
+ks AS (SELECT w, feature, max(nr) AS nr, max(nw) AS nw, max(greatest(abs(cr / nr - cw / nw), abs((cr - r) / nr - (cw - c) / nw))) AS d
+  FROM wc JOIN refc USING (feature, value) WHERE nw > 1 GROUP BY w, feature),
+arg AS (SELECT *, round(nr::DOUBLE * nw / (nr + nw)) AS m FROM ks),
+lam AS (SELECT *, sqrt(m) * d + 1 / (6 * sqrt(m)) + (sqrt(m) * d - 1) / (4 * m) AS l FROM arg),
+pv AS (SELECT *, CASE WHEN l < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * (
+  SELECT sum((CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * l * l)) FROM generate_series(1, 100) AS g(j)))) END AS p FROM lam)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, feature, CAST(nw AS BIGINT) AS n, round(d, 4) AS ks_statistic,
+  round(p, 4) AS ks_pvalue, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS drift FROM pv""",
+)
+def stream_ks(spark, folder):
+    """Every closed day of the stream against all events, by exact distances."""
+    features = ["value", "user_id"]
+    reference = drift.reference_counts(table(spark, folder, "events"), features)
+    counts = _run(spark, folder, "stream_ks_counts", lambda events: drift_stream.value_counts(events, "ts", features))
+    return drift_stream.window_ks(counts, reference).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

@@ -99,6 +99,20 @@ def profile_correlation(spark, folder):
     return profile.correlation(line_items(spark, folder), LINE)
 
 
+@query(
+    "profile_correlation_wide",
+    """
+WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS e FROM embeddings),
+w AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 11 <> 0 THEN CAST(e AS DOUBLE) END AS e FROM v)
+SELECT 'd' || a.i AS x, 'd' || b.i AS y, round(corr(a.e, b.e), 3) AS corr FROM w a JOIN w b USING (vec_id) GROUP BY a.i, b.i""",
+)
+def profile_correlation_wide(spark, folder):
+    """Every pair of the embeddings' dimensions, each with a value missing in every eleventh row."""
+    dims = range(64)
+    there = [F.when((F.col("vec_id") + i) % 11 != 0, F.col("embedding")[i]).alias(f"d{i}") for i in dims]
+    return profile.correlation(table(spark, folder, "embeddings").select(*there), [f"d{i}" for i in dims])
+
+
 @query(
     "profile_class_balance",
     "SELECT lang AS label, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang",

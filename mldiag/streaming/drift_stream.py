@@ -1,7 +1,8 @@
 """Temporal drift on a stream: production counts per time window against fixed reference bins.
 
-State holds one counter per (window, feature, bin) or (window, label) only; rows later than the
-watermark are dropped. The reference bins are a small table fixed before the stream starts.
+State holds one counter per (window, feature, bin) or (window, label) only; for Kolmogorov-Smirnov distances one per (window,
+feature, distinct value), hashed over all state partitions. Rows later than the watermark are dropped. The reference bins or
+counts are a table fixed before the stream starts.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mldiag.functions.columns import as_double, literal_vector, ref
-from mldiag.operators.drift import bin_of, psi_term
+from mldiag.functions.columns import as_double, kolmogorov_pvalue, literal_vector, ref
+from mldiag.operators.drift import bin_of, ks_by_group, psi_term
 
 
 def _window(time_col: str, size: str, slide: str | None) -> Column:
@@ -72,6 +73,48 @@ def window_psi(counts: DataFrame, bins: DataFrame) -> DataFrame:
     )
 
 
+def value_counts(
+    stream: DataFrame,
+    time_col: str,
+    features: Sequence[str],
+    size: str = "1 day",
+    slide: str | None = None,
+    watermark: str = "1 hour",
+) -> DataFrame:
+    """(start, feature, value, n): each window's distinct values with their counts, emitted once, when the window closes.
+
+    Exact distances need every distinct value of an open window, as many as its rows for a continuous feature: keep such state in
+    the RocksDB store. Null and NaN values are left out.
+    """
+    timed = with_event_time(stream, time_col, watermark)
+    cells = [F.struct(F.lit(f).alias("feature"), as_double(f).alias("value")) for f in features]
+    long = timed.select(F.col(time_col), F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    return (
+        long.groupBy(_window(time_col, size, slide).alias("w"), "feature", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("w.start").alias("start"), "feature", "value", "n")
+    )
+
+
+def window_ks(counts: DataFrame, ref_counts: DataFrame) -> DataFrame:
+    """(start, feature, n, ks_statistic, ks_pvalue, drift) of closed windows' value counts against `drift.reference_counts`.
+
+    Runs on the sink's table or inside foreachBatch. Windows of one row, and features that the reference lacks, have no distance.
+    """
+    total = ref_counts.groupBy("feature").agg(F.sum("n_ref").alias("_total"))
+    found = ks_by_group(ref_counts, counts, ["start"])
+    p = kolmogorov_pvalue(F.col("ks"), F.col("_total"), F.col("n"))
+    # one row per feature
+    return found.join(F.broadcast(total), "feature").select(
+        "start",
+        "feature",
+        "n",
+        F.round("ks", 4).alias("ks_statistic"),
+        F.round(p, 4).alias("ks_pvalue"),
+        F.when(p < 0.05, "Yes").otherwise("No").alias("drift"),
+    )
+
+
 def class_counts(
     stream: DataFrame,
     time_col: str,
