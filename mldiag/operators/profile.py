@@ -144,15 +144,16 @@ def dtype_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def _pearson(x: Column, y: Column) -> Column:
-    one, other = F.regr_slope(x, y), F.regr_slope(y, x)
-    return F.signum(one) * F.sqrt(one * other)
+    square, product = F.regr_r2(y, x), F.regr_sxy(y, x)
+    flat = (product == 0) & (square == 1)  # what regr_r2 gives for a constant y
+    return F.when(~flat, F.signum(product) * F.sqrt(square))
 
 
 def correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(x, y, corr) over pairwise complete rows, both triangles and the diagonal.
 
     Some columns take one scan with aggregates a pair; beyond WIDE of them, the products of rows are added up in blocks. A pair has no
-    correlation without two different values on both sides (corr() itself raises there); the product of both slopes is its square.
+    correlation without two different values on both sides (corr() itself raises there).
     """
     if len(features) < 2:
         raise ValueError("correlation needs at least two numeric columns")
@@ -160,7 +161,10 @@ def correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
         return wide_correlation(df, features)
     pairs = list(combinations_with_replacement(range(len(features)), 2))
     wide = df.select(*[as_double(f).alias(f"v{i}") for i, f in enumerate(features)]).agg(
-        *[_pearson(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"c{i}_{j}") for i, j in pairs]
+        *[
+            (_pearson(F.col(f"v{i}"), F.col(f"v{j}")) if i < j else F.when(F.var_pop(f"v{i}") > 0, 1.0)).alias(f"c{i}_{j}")
+            for i, j in pairs
+        ]
     )
     ordered = [(i, j, i, j) for i, j in pairs] + [(j, i, i, j) for i, j in pairs if i != j]
     return _rows(
