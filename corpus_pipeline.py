@@ -22,7 +22,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, the one with the smallest doc_id."""
+    """One document of each near-duplicate component stays, the one with the smallest doc_id: Golay indices of SimHash segments, then exact sets."""
     return near_copies.deduplicate(docs)
 
 

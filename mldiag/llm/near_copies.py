@@ -1,8 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, exact sets decide.
+"""Near copies by the Jaccard similarity of word shingles: Golay-code indices of SimHash segments find candidates, exact sets decide.
 
-A text is the set of its shingles of `WIDTH` lower-case words. `BANDS` bands of `ROWS` MinHash values are its keys; two texts at
-similarity s share one with probability 1 - (1 - s^5)^20: 0.9996 at 0.8, more above. SimHash can't do this: at 0.8 fingerprints of
-64 bits differ in about ten, which no small set of keys covers.
+A text is the set of its shingles of `WIDTH` lower-case words. Its SimHash has `BANDS` segments of 23 bits, each with the indices that
+`simhash` gives it: the Golay code words within four bits. At similarity 0.8 the segments of two texts differ in 3.5 bits and share an
+index with probability 0.60 (counted over 40,000 random segments; always up to two bits, 0.79 at 0.9). The 64 bits of one fingerprint
+within two bits would find few such pairs, so there are 16 segments. An index has only 12 bits; as a key of `simhash` begins with
+a segment that is free of errors, one of these begins with `ROWS` MinHash values, which agree with probability 0.64. Two texts at similarity s share a
+key with probability 1 - (1 - s^2 g)^16, g being that of the index: 0.9996 at 0.8, more above. Bands that nobody else has go before
+their indices are made.
 
 Texts with equal sets collapse to one node, and keys with equal members to one key. The members of a key meet in one task with their sets,
 once, and only star links leave it. Inside, a pair is looked at only if it shares one of the shingles that come first in both
@@ -30,10 +34,13 @@ from mldiag.llm.common import bytes_of, map_batches, stored
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS = 20
-ROWS = 5
+BANDS = 16
+ROWS = 2
 SEED = 42
-PART = 2_000
+PART = 2_040
+#: Words of 64 bits that hold the segments.
+WORDS = -(-BANDS * simhash.GOLAY_BITS // 64)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles of all members of a key that meet in a task.
 MOST = 2_000_000
 #: Nodes whose shingles are counted for the order, and shingles that get a count.
@@ -59,39 +66,75 @@ def shingles(content: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64))
 
 
-def band_keys(hashes: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """One key a band: its number and the hash of its MinHash values."""
+def sketch(hashes: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each band the hash of its number and MinHash values, and a segment of the set's SimHash. The first `WORDS` factors are for the SimHash."""
     import xxhash
 
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    counts = np.zeros(WORDS * 64, np.int64)
     for at in range(0, len(hashes), PART):
         mixed = hashes[at : at + PART, None] * factors + terms
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+        mixed ^= mixed >> np.uint64(29)
+        np.minimum(least, mixed[:, WORDS:].min(axis=0), out=least)
+        words = mixed[:, :WORDS] * FACTOR
+        words ^= words >> np.uint64(32)
+        bits = np.unpackbits(words.astype("<u8").view(np.uint8).ravel(), bitorder="little").reshape(-1, WORDS * 64)
+        for i in range(0, len(bits), 255):  # one byte counts so many
+            counts += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
+    ones = (2 * counts > len(hashes))[: BANDS * simhash.GOLAY_BITS].reshape(BANDS, simhash.GOLAY_BITS)
+    bands = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(bands, np.uint64), ones @ (1 << np.arange(simhash.GOLAY_BITS))
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, fp, n, keys): one row per input row; fp is the hash of the shingle set, n its size."""
+    """(doc_id, text_hash, fp, n, bands, segments): one row per input row; fp is the hash of the shingle set, n its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         rng = np.random.default_rng(SEED)
-        factors = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-        terms = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+        factors = rng.integers(0, 1 << 63, WORDS + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+        terms = rng.integers(0, 1 << 63, WORDS + BANDS * ROWS, np.uint64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            found, sizes, keys = [], [], []
+            found, sizes, sketches = [], [], []
             for content in bytes_of(batch.column(1)):
                 hashes = shingles(content, width)
                 found.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0)
                 sizes.append(len(hashes))
-                keys.append(band_keys(hashes, factors, terms).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
-            columns = [pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_hash", "fp", "n", "keys"])
+                sketches.append(sketch(hashes, factors, terms) if len(hashes) else none)
+            columns = [
+                pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                pa.array([b.view(np.int64) for b, _ in sketches], pa.list_(pa.int64())), pa.array([s.astype(np.int32) for _, s in sketches], pa.list_(pa.int32())),
+            ]
+            names = ["doc_id", "text_hash", "fp", "n", "bands", "segments"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names)
 
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return map_batches(texts, run, "doc_id bigint, text_hash bigint, fp bigint, n bigint, keys array<bigint>")
+    return map_batches(texts, run, "doc_id bigint, text_hash bigint, fp bigint, n bigint, bands array<bigint>, segments array<int>")
+
+
+def _golay_keys(table: np.ndarray, sizes: np.ndarray):
+    """(key, fp, n) of (band, segment, fp, n): one row for every Golay index of the segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, segment, fp, n = (np.asarray(c) for c in batch.columns)
+            rows, index = simhash.code_indices(segment, table, sizes)
+            key = band.view(np.uint64)[rows] ^ (index.astype(np.uint64) * FACTOR)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), fp[rows], n[rows])], ["key", "fp", "n"])
+
+    return run
+
+
+def segment_keys(nodes: DataFrame) -> DataFrame:
+    """(key, fp, n): the bands that a node (fp, n, bands, segments) shares with others, with every Golay index of their segments."""
+    sketches = nodes.select(F.explode(F.arrays_zip("bands", "segments")).alias("s"), "fp", "n")
+    bands = sketches.select(F.col("s.bands").alias("band"), F.col("s.segments").alias("segment"), "fp", "n")
+    shared = bands.groupBy("band").count().filter("count > 1").select("band")
+    both = bands.join(shared, "band").select("band", "segment", "fp", "n")
+    return map_batches(both, _golay_keys(*simhash.golay_indices()), "key bigint, fp bigint, n bigint")
 
 
 def prefix_length(sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -284,8 +327,8 @@ def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
-    """(a, b): enough links between the nodes (fp, text_hash, n, keys) to join all that share a key and are alike enough."""
-    members = nodes.select(F.explode("keys").alias("key"), "fp", "n")
+    """(a, b): enough links between the nodes (fp, text_hash, n, bands, segments) to join all that share a key and are alike enough."""
+    members = stored(segment_keys(nodes), "keys")
     members = stored(members.join(distinct_keys(members), "key").select("key", "fp", "size"), "members")
     wanted = nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash")
     text = F.col("text").cast("string")
@@ -310,6 +353,7 @@ def links(nodes: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: flo
 def deduplicate(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows whose doc_id is the smallest of their component, with the columns of the input."""
     rows = stored(signatures(docs, width), "signatures")
-    nodes = rows.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    found = simhash.named_components(rows.drop("keys", "n"), links(stored(nodes, "nodes"), docs, width, similarity))
+    same = [F.first(c).alias(c) for c in ("n", "bands", "segments")]
+    nodes = rows.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), *same)
+    found = simhash.named_components(rows.drop("n", "bands", "segments"), links(stored(nodes, "nodes"), docs, width, similarity))
     return simhash.keep_least(docs, found)

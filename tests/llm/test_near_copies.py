@@ -122,3 +122,32 @@ def test_odd_rows(spark):
     assert kept.schema == docs.schema
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 4, 6, 8]
     assert near_copies.deduplicate(docs.filter("false")).count() == 0
+
+
+def test_candidates_come_from_golay_indices(spark):
+    """Segments within two bits always meet under a key of their band, segments far apart and other bands don't."""
+    rng = np.random.default_rng(2)
+    rows, flips = [], [0, 1, 2, 0, 1, 2, 12, 12]
+    for i, n in enumerate(flips):
+        segment = int(rng.integers(1 << 23))
+        other = segment ^ sum(1 << int(b) for b in rng.choice(23, n, replace=False))
+        rows += [(2 * i, 9, [100 + i], [segment]), (2 * i + 1, 9, [100 + i], [other])]
+    rows += [(98, 9, [1], [rows[0][3][0]]), (99, 9, [2], [rows[0][3][0]])]
+    nodes = spark.createDataFrame(rows, "fp bigint, n bigint, bands array<bigint>, segments array<int>")
+    keys = {}
+    for r in near_copies.segment_keys(nodes).collect():
+        keys.setdefault(r.fp, set()).add(r.key)
+    assert [bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(flips))] == [n <= 2 for n in flips]
+    assert 98 not in keys and 99 not in keys
+
+
+def test_segments_differ_as_the_angle_between_sets():
+    rng = np.random.default_rng(4)
+    factors = rng.integers(0, 1 << 63, near_copies.WORDS + near_copies.BANDS * near_copies.ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    differ, bands = [], []
+    for _ in range(100):
+        pool = rng.integers(0, 1 << 64, 330, np.uint64)
+        (x, s), (y, t) = (near_copies.sketch(np.sort(part), factors, factors >> np.uint64(3)) for part in (pool[:297], pool[33:]))  # 264 of 330: 0.8
+        differ.append(np.bitwise_count(s ^ t).mean())
+        bands.append((x == y).mean())
+    assert 3.2 < np.mean(differ) < 3.8 and 0.6 < np.mean(bands) < 0.68
