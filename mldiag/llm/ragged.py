@@ -55,7 +55,8 @@ class Remembered:
         self.starts[: len(keep)], self.lengths[: len(keep)] = np.cumsum(sizes) - sizes, sizes
         self.again[:] = False
 
-    def ids(self, words: list) -> np.ndarray:
+    def places(self, words: list) -> np.ndarray:
+        """Where the words' ids are in `starts` and `lengths`, until the next call."""
         if len(self.place) > self.most:
             self.forget()
         place, known = self.place, len(self.place)
@@ -76,6 +77,10 @@ class Remembered:
             self.starts[known : len(place)] = self.used + np.cumsum(sizes) - sizes
             self.lengths[known : len(place)] = sizes
             self.used += total
+        return at
+
+    def ids(self, words: list) -> np.ndarray:
+        at = self.places(words)
         return gather(self.flat, self.starts[at], self.lengths[at])
 
 

@@ -33,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mldiag.llm.common import bytes_of, map_batches, text_or_empty
-from mldiag.llm.ragged import Remembered, blocks, gather
+from mldiag.llm.common import map_batches, text_or_empty
+from mldiag.llm.ragged import Remembered, gather
 
 END = 1
 BLOCK_IDS = 1 << 20
@@ -47,7 +48,8 @@ NARROW = 1 << 16
 MARK = 1024
 MAGIC = b"RPR2"
 HEAD = "<4s7I"
-WORDS_AT_ONCE = 200_000
+#: Bytes of texts, and words, that are encoded together.
+TEXT_AT_ONCE, WORDS_AT_ONCE = 1 << 23, 1 << 21
 #: Fixed value: how a tokenizer parts runs of letters, digits and marks; marks never join a letter or digit before them.
 PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -270,20 +272,23 @@ class Block:
         return gather(self.flat, self.starts[symbols], self.lengths[symbols])[offset : offset + stop - start]
 
 
-ALNUM, MARKS = (np.array([chr(c) in x for c in range(256)]) for x in (string.ascii_letters + string.digits, ",.;:!?"))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: 1 for ASCII letters and digits, 2 for the marks that never join one before them: all but the apostrophe, which begins 's and the like.
+KINDS = bytes(1 if chr(c) in string.ascii_letters + string.digits else 2 if chr(c) in string.punctuation.replace("'", "") else 0 for c in range(256))
 #: A module of this worker process that holds its encoders; functions come to a worker by value, so their own module's names don't last.
 KEPT = "mldiag_kept_encoders"
 
 
-def parted(content: bytes) -> bytes:
-    """A blank between an ASCII letter or digit and a mark that follows it."""
-    letters = np.frombuffer(content, np.uint8)
-    at = np.flatnonzero(MARKS[letters[1:]] & ALNUM[letters[:-1]]) + 1
-    return np.insert(letters, at, 32).tobytes() if len(at) else content
+def parted(content: bytes) -> tuple[bytes, np.ndarray]:
+    """A blank between an ASCII letter or digit and a mark that follows it; and the places of these marks."""
+    kinds = np.frombuffer(content.translate(KINDS), np.uint8)
+    at = np.flatnonzero(kinds[:-1] & (kinds[1:] >> 1)) + 1
+    return np.insert(np.frombuffer(content, np.uint8), at, 32).tobytes() if len(at) else content, at
 
 
 class WordEncoder:
     """Ids of whole texts. No token of a tokenizer that drops white space crosses it, so words are encoded apart and remembered.
+    Arrow finds the distinct words of many texts; only these are looked up one by one.
 
     Where the tokenizer lowers letters, ASCII letters are lowered first; where it parts runs of letters from marks, so does a cut
     between an ASCII letter or digit and a mark. Both only let more words be the same. Texts that might hold an added token in capitals are left as they are."""
@@ -326,15 +331,45 @@ class WordEncoder:
         self.words = Remembered(encode, np.uint32, 700_000)
 
     def encode(self, content: bytes) -> np.ndarray:
-        low = content.lower()
+        return next(self.encode_all(pa.array([content], pa.binary())))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        before = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy()))[:-1]
+        cuts = np.flatnonzero(np.diff(before // TEXT_AT_ONCE)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+            if start < stop:
+                yield from self._together(texts[start:stop])
+
+    def _together(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        content = texts.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes() if ends[-1] > ends[0] else b""
+        ends = ends - ends[0]
+        low = content.translate(LOWER)
         if not any(a in low for a in self.added):
             content = low if self.lowers else content
             if self.cut:
-                content = parted(content)
-        words = content.split()
-        if len(words) <= WORDS_AT_ONCE:
-            return self.words.ids(words)
-        return np.concatenate([self.words.ids(part) for part in blocks(iter(words), WORDS_AT_ONCE)])
+                content, at = parted(content)
+                ends = ends + np.searchsorted(at, ends)
+        elif len(texts) > 1:
+            half = len(texts) // 2
+            yield from self._together(texts[:half])
+            yield from self._together(texts[half:])
+            return
+        whole = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(content)])
+        split = pc.ascii_split_whitespace(whole)
+        words, ids, lengths = split.flatten(), [self.words.flat[:0]], [self.words.lengths[:0]]
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            part = words[i : i + WORDS_AT_ONCE].dictionary_encode()
+            distinct = part.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+            at = self.words.places(distinct)[part.indices.to_numpy()]
+            lengths.append(self.words.lengths[at])
+            ids.append(gather(self.words.flat, self.words.starts[at], lengths[-1]))
+        found = np.concatenate(ids)
+        ends = np.append(0, np.cumsum(np.concatenate(lengths)))[split.offsets.to_numpy()]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield found[a:b]
 
 
 def kept_encoder(tokenizer_json: str) -> WordEncoder:
@@ -365,8 +400,8 @@ def _write_blocks(tokenizer_json: str, block_ids: int, end: int):
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
-                ids = np.append(encoder.encode(content), np.uint32(end))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                ids = np.append(ids, np.uint32(end))
                 at = 0
                 while at < len(ids):
                     piece = ids[at : at + block_ids - n_held]

@@ -96,6 +96,35 @@ def test_real_texts(vocabulary):
         assert encoder.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+ODD = [*TEXTS, "end$$$ end&&& end,", "x.'s 'st! don't! a'b a''b 5's (a) [b]c _d e_f", "é. é— a̸=b a≠ n̈! ᾳ; a\x00.b\x1c.c", "<|startoftext|>end$$$", "x<|EndOfText|>.Y.", "a.", ".b", "", "&c"]
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 23])
+def test_texts_encoded_together(vocabulary, monkeypatch, together):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repair, "TEXT_AT_ONCE", together)
+    monkeypatch.setattr(repair, "WORDS_AT_ONCE", max(3, together // 10))
+    library, encoder = tokenizers.Tokenizer.from_str(vocabulary), repair.WordEncoder(vocabulary)
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    column = pa.array(["before", *ODD, "behind"])
+    assert [x.tolist() for x in encoder.encode_all(column[1:-1])] == wanted
+    assert list(encoder.encode_all(column[:0])) == []
+    assert [x.tolist() for x in encoder.encode_all(pa.array([None, "", None], pa.string()))] == [[], [], []]
+
+
+def test_the_library_gets_each_word_once_for_many_texts(vocabulary):
+    """Words are the same whatever mark follows, and many short texts are one call."""
+    import pyarrow as pa
+
+    encoder = repair.WordEncoder(vocabulary)
+    calls, encode = [], encoder.words.encode
+    encoder.words.encode = lambda words: calls.append(words) or encode(words)
+    texts = [f"new{'abcdefghij'[i % 10]}ly{mark} other" for i in range(100) for mark in ("", ".", "$$$", "&&&", "*", ")")]
+    assert len(list(encoder.encode_all(pa.array(texts)))) == 600
+    assert len(calls) == 1 and len(calls[0]) == 10 + 1 + 5
+
+
 def pair_counts(symbols):
     """How often each neighbouring pair occurs without overlapping itself."""
     counts, last = {}, {}
