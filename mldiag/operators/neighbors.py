@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from mldiag.functions.columns import cosine_distance, dot, doubles, euclidean, ref
+from mldiag.operators.blocks import CHUNK, away, met, packed, squares, stacked
 from mldiag.operators.scale import global_rank, hash_sample, spread
 from mldiag.session import cut_lineage
 
@@ -77,29 +78,46 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _block_top_k(q_ids, q, t_ids, t, carried, k) -> pd.DataFrame:
-    """Exact top-k of a block: the matrix product preselects, direct differences decide."""
-    approx = _distances(q, t)
-    slack = 1e-6 * (1.0 + np.sqrt((t * t).sum(1).max()))
-    kth = min(k, t.shape[0]) - 1
-    bound = np.partition(approx, kth, axis=1)[:, kth]
-    ids, picks, distances = [], [], []
-    for row, limit in enumerate(bound):
-        near = np.flatnonzero(approx[row] <= limit + slack)
-        exact = np.sqrt(((t[near] - q[row]) ** 2).sum(1))
-        order = np.lexsort((t_ids[near], exact))[:k]
-        ids.append(np.full(len(order), q_ids[row]))
-        picks.append(near[order])
-        distances.append(exact[order])
-    pick = np.concatenate(picks)
-    return pd.DataFrame(
-        {
-            "rep": np.concatenate(ids),
-            "distance": np.concatenate(distances),
-            "neighbor": t_ids[pick],
-            "carried": carried[pick],
-        }
-    )
+class _Nearest:
+    """The `need` nearest points of a block's rows among those met so far; ties go to the smallest id."""
+
+    def __init__(self, reps: np.ndarray, q: np.ndarray, need: int):
+        self.reps, self.q, self.need = reps, q, need
+        self.bound = np.full(len(q), np.inf)  # distance of the last one kept
+        self.row, self.distance, self.id, self.carried = np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, rows: np.ndarray, t_ids: np.ndarray, t: np.ndarray, carried: np.ndarray) -> None:
+        """The matrix product in single precision preselects points for some of the rows, direct differences decide."""
+        found, middle = [], t.mean(0)  # distances are the same from anywhere, and rounding is least from the middle
+        for at in range(0, len(rows), CHUNK):
+            some = rows[at : at + CHUNK]
+            for kind in (np.float32, float):
+                near, slack = squares(self.q[some] - middle, t - middle, kind)
+                limit = self.bound[some] ** 2
+                if len(t) >= self.need and not np.isfinite(limit).all():
+                    new = np.flatnonzero(~np.isfinite(limit))
+                    limit[new] = np.partition(near[new], self.need - 1, axis=1)[:, self.need - 1] + slack[new]
+                limit = np.nextafter((limit * (1 + 1e-12) + slack).astype(kind), kind(np.inf))
+                hit = np.flatnonzero(near <= limit[:, None])
+                if len(hit) <= 16 * self.need * len(some):
+                    break  # else too many are about as near as the last one for single precision
+            found.append((some[hit // len(t)], hit % len(t)))
+        row, pick = (np.concatenate(x) for x in zip(*found))
+        distance = away(self.q[row], t[pick])
+        row, distance = np.concatenate([self.row, row]), np.concatenate([self.distance, distance])
+        ids, brought = np.concatenate([self.id, t_ids[pick]]), np.concatenate([self.carried, carried[pick]])
+        order = np.lexsort((ids, distance, row))
+        row = row[order]
+        seat = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        order, row, seat = (x[seat < self.need] for x in (order, row, seat))
+        self.row, self.distance, self.id, self.carried = row, distance[order], ids[order], brought[order]
+        full = seat == self.need - 1
+        self.bound[row[full]] = self.distance[full]
+
+    def result(self) -> pd.DataFrame:
+        rows, starts = np.unique(self.row, return_index=True)
+        cut = [np.split(x, starts[1:]) if len(rows) else [] for x in (self.distance, self.id, self.carried)]
+        return pd.DataFrame({"rep": self.reps[rows], "distances": cut[0], "neighbors": cut[1], "carried": [list(x) for x in cut[2]]})
 
 
 def _first_copies(points: DataFrame, need: int) -> DataFrame:
@@ -126,9 +144,9 @@ def knn_join(
     first few ids are kept. The rest follows the pivot method of Lu, Shen, Chen and Ooi (2012):
     points are grouped by their nearest pivot, each group's radius and k smallest pivot distances are
     collected (bounded by the pivot count), and the triangle inequality tells which groups can hold
-    a query's neighbours; only those receive the query. Groups are cut into blocks of about
-    `block_rows` rows on both sides, so one that holds a third of all points is spread over many
-    tasks. Ids may be of any type that orders; `carry` names a column of `points` to bring along as text.
+    a query's neighbours; only with those is it compared. Both sides are packed into blocks of about
+    `block_rows` rows, so a group that holds a third of all points is many blocks, and are kept once:
+    no copy of a row is made for each pair of blocks. Ids may be of any type that orders; `carry` names a column of `points` to bring along as text.
     """
     spark = points.sparkSession
     need = k + 1 if exclude_self else k
@@ -149,15 +167,9 @@ def knn_join(
     q = q.withColumn("hash", F.xxhash64("v"))
     reps = cut_lineage(q.groupBy("hash", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id()))
     found = _pivot_join(spark, reps, t, need, n_cells, block_rows)
-    if metric == "cosine":
-        found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
-    order = Window.partitionBy("rep").orderBy("distance", "neighbor")
-    best = (
-        found.withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= need)
-        .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor", "carried"))).alias("near"))
-    )
+    d = F.transform("distances", lambda d: d * d / 2) if metric == "cosine" else F.col("distances")
+    near = F.arrays_zip(d.alias("distance"), F.col("neighbors").alias("neighbor"), "carried")
+    best = found.select("rep", near.alias("near"))  # in order, at most `need` a row
     named = reps.join(best, "rep").select("hash", F.col("v").alias("rep_v"), "near")
     answered = q.join(named, (q["hash"] == named["hash"]) & (q["v"] == named["rep_v"])).select("key", "near")
     rows = answered.select("key", F.posexplode("near").alias("_i", "n")).select(
@@ -173,22 +185,24 @@ def knn_join(
     return rows.where(F.col("rank") <= k).select(F.col("key").alias("id"), "rank", "neighbor", "distance", "carried")
 
 
+_FOUND = "rep bigint, distances array<double>, neighbors array<bigint>, carried array<string>"
+
+
 def _pivot_join(
     spark, reps: DataFrame, t: DataFrame, need: int, n_cells: int | None, block_rows: int
 ) -> DataFrame:
-    """(rep, distance, neighbor, carried): per block the `need` nearest points of each query vector.
+    """(rep, distances, neighbors, carried): the `need` nearest points of each query vector, nearest first.
 
-    Queries are cut into parts by their own nearest pivot, so that a part's queries reach much the same cells;
-    a block of points goes only to the parts of which some query reaches its cell.
+    Points are packed into blocks of one cell, queries into blocks of any. Every block of queries meets every block of points where it lies,
+    without a shuffle; only the rows of which the cell can hold a neighbour, by its radius and by what they have found, are measured.
     """
-    schema = "rep bigint, distance double, neighbor bigint, carried string"
     n_points = t.count()
     n_cells = n_cells or max(1, min(MAX_CELLS, math.ceil(n_points / block_rows)))
     if n_cells == 1 and 0 < n_points <= block_rows:
         return _block_join(reps, t, need, block_rows)
     pivots = np.array([r["v"] for r in hash_sample(t, "id", n_cells).collect()], dtype=float)
     if len(pivots) == 0:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _FOUND)
 
     def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,66 +227,41 @@ def _pivot_join(
     cells = np.array([r["cell"] for r in stats])
     radius = np.array([r["radius"] for r in stats])
     closest_of = [np.array(r["closest"]) for r in stats]
-    blocks = np.array([math.ceil(r["n"] / block_rows) for r in stats])
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = _distances(np.stack(batch["v"].to_numpy()), pivots[cells])
-            if n_points > need:
-                bounds = np.concatenate(
-                    [d[:, [j]] + c[None, :] for j, c in enumerate(closest_of)], axis=1
-                )
-                reach = np.partition(bounds, need - 1, axis=1)[:, need - 1]
-            else:
-                reach = np.full(len(d), np.inf)
-            near = d - radius[None, :] <= reach[:, None] * (1 + 1e-9) + 1e-6
-            yield pd.DataFrame(
-                {
-                    "rep": batch["rep"].to_numpy(),
-                    "v": batch["v"].to_numpy(),
-                    "home": cells[d.argmin(1)],
-                    "cells": [cells[row] for row in near],
-                }
-            )
-
-    counts = F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair])
-    asked = cut_lineage(
-        reps.select("rep", "v").mapInPandas(to_cells, "rep bigint, v array<double>, home int, cells array<int>")
-    )
-    crowd = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-    sent = (
-        asked.join(F.broadcast(crowd), "home")  # one row a cell
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .select("rep", "v", "home", "part", F.explode("cells").alias("cell"))
-    )
-    reached = sent.select(F.col("home").alias("to_home"), F.col("part").alias("to_part"), "cell").distinct()
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), counts[F.col("cell")] - 1)))
-    block = F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int")
-    held = placed.select("id", "v", "carried", "cell", block.alias("block")).join(reached, "cell")
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(
-                {
-                    "rep": pd.Series(dtype="int64"),
-                    "distance": pd.Series(dtype="float64"),
-                    "neighbor": pd.Series(dtype="int64"),
-                    "carried": pd.Series(dtype="object"),
-                }
-            )
-        return _block_top_k(
-            left["rep"].to_numpy(),
-            np.stack(left["v"].to_numpy()),
-            right["id"].to_numpy(),
-            np.stack(right["v"].to_numpy()),
-            right["carried"].to_numpy(),
-            need,
-        )
+    def asked(frame: pd.DataFrame) -> tuple:
+        return frame["rep"].to_numpy(), stacked(frame["v"])
+
+    def held(frame: pd.DataFrame) -> tuple:
+        return frame["id"].to_numpy(), stacked(frame["v"]), frame["carried"].to_numpy(object)
+
+    class Asking(_Nearest):
+        def __init__(self, number: int, payload: tuple):
+            super().__init__(*payload, need)
+            self.d = _distances(self.q, pivots[cells])
+            self.reach = np.full(len(self.q), np.inf)
+            if n_points > need:  # the nearest of all cells, by way of their pivots
+                best = np.full((len(self.q), need), np.inf)
+                for j, c in enumerate(closest_of):
+                    best = np.partition(np.concatenate([best, self.d[:, [j]] + c[None, :]], axis=1), need - 1, axis=1)[:, :need]
+                self.reach = best.max(axis=1)
+
+        def meet(self, number: int, key: int, load: Callable) -> None:
+            j = int(np.searchsorted(cells, key))
+            rows = np.flatnonzero(self.d[:, j] - radius[j] <= np.minimum(self.reach, self.bound) * (1 + 1e-9) + 1e-6)
+            if len(rows):
+                self.add(rows, *load())
 
-    asking = sent.groupBy("cell", "block", "home", "part")
-    return asking.cogroup(held.groupBy("cell", "block", "to_home", "to_part")).applyInPandas(match, schema)
+    blocks = F.create_map(*[F.lit(x) for r in stats for x in (r["cell"], math.ceil(r["n"] / block_rows))])
+    deal = [F.col("cell"), F.pmod(F.xxhash64("id"), blocks[F.col("cell")])]
+    n_reps = reps.count()
+    left = packed(reps.select("rep", "v"), asked, n_reps, _left_rows(spark, n_reps, block_rows), [F.col("rep")])
+    right = packed(placed.select("id", "v", "carried", "cell"), held, n_points, block_rows, deal, "cell")
+    return met(left, right, Asking, _FOUND)
+
+
+def _left_rows(spark, n: int, block_rows: int) -> int:
+    """Rows of a left block: smaller ones where a few full ones would leave tasks without work."""
+    return max(1, min(block_rows, max(256, math.ceil(n / (4 * spark.sparkContext.defaultParallelism)))))
 
 
 def _block_join(reps: DataFrame, t: DataFrame, need: int, block_rows: int) -> DataFrame:
@@ -283,11 +272,12 @@ def _block_join(reps: DataFrame, t: DataFrame, need: int, block_rows: int) -> Da
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch.iloc[at : at + 1024]
-                yield _block_top_k(some["rep"].to_numpy(), np.stack(some["v"].to_numpy()), t_ids, t_rows, carried, need)
+            if len(batch):
+                one = _Nearest(batch["rep"].to_numpy(), stacked(batch["v"]), need)
+                one.add(np.arange(len(batch)), t_ids, t_rows, carried)
+                yield one.result()
 
-    return spread(reps.select("rep", "v"), "rep").mapInPandas(match, "rep bigint, distance double, neighbor bigint, carried string")
+    return spread(reps.select("rep", "v"), "rep").mapInPandas(match, _FOUND)
 
 
 def knn_classify(
