@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mldiag.session import cut_lineage
@@ -82,6 +82,11 @@ def met(left: DataFrame, right: DataFrame, start: Callable, schema: str) -> Data
     return left.sparkSession.createDataFrame(every, "payload binary").mapInPandas(rows, schema)
 
 
+def left_rows(spark: SparkSession, n: int, block_rows: int) -> int:
+    """Rows of a left block: fewer where full ones would leave tasks without work."""
+    return max(1, min(block_rows, max(256, math.ceil(n / (4 * spark.sparkContext.defaultParallelism)))))
+
+
 def stacked(column: pd.Series) -> np.ndarray:
     """Arrays of one length as a matrix."""
     return np.stack(column.to_numpy()).astype(float)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from mldiag.functions.columns import cosine_distance, dot, doubles, euclidean, ref
-from mldiag.operators.blocks import CHUNK, away, met, packed, squares, stacked
+from mldiag.operators.blocks import CHUNK, away, left_rows, met, packed, squares, stacked
 from mldiag.operators.scale import global_rank, hash_sample, spread
 from mldiag.session import cut_lineage
 
@@ -84,7 +84,8 @@ class _Nearest:
     def __init__(self, reps: np.ndarray, q: np.ndarray, need: int):
         self.reps, self.q, self.need = reps, q, need
         self.bound = np.full(len(q), np.inf)  # distance of the last one kept
-        self.row, self.distance, self.id, self.carried = np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object)
+        self.distance, self.id = np.full((len(q), need), np.inf), np.zeros((len(q), need), np.int64)
+        self.carried = np.full((len(q), need), None, object)
 
     def add(self, rows: np.ndarray, t_ids: np.ndarray, t: np.ndarray, carried: np.ndarray) -> None:
         """The matrix product in single precision preselects points for some of the rows, direct differences decide."""
@@ -103,21 +104,22 @@ class _Nearest:
                     break  # else too many are about as near as the last one for single precision
             found.append((some[hit // len(t)], hit % len(t)))
         row, pick = (np.concatenate(x) for x in zip(*found))
-        distance = away(self.q[row], t[pick])
-        row, distance = np.concatenate([self.row, row]), np.concatenate([self.distance, distance])
-        ids, brought = np.concatenate([self.id, t_ids[pick]]), np.concatenate([self.carried, carried[pick]])
+        touched, row = np.unique(row, return_inverse=True)
+        distance = np.concatenate([self.distance[touched].ravel(), away(self.q[touched[row]], t[pick])])
+        ids = np.concatenate([self.id[touched].ravel(), t_ids[pick]])
+        brought = np.concatenate([self.carried[touched].ravel(), carried[pick]])
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.need), row])
         order = np.lexsort((ids, distance, row))
         row = row[order]
-        seat = np.arange(len(row)) - np.searchsorted(row, row, "left")
-        order, row, seat = (x[seat < self.need] for x in (order, row, seat))
-        self.row, self.distance, self.id, self.carried = row, distance[order], ids[order], brought[order]
-        full = seat == self.need - 1
-        self.bound[row[full]] = self.distance[full]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row, "left") < self.need].reshape(len(touched), self.need)
+        self.distance[touched], self.id[touched], self.carried[touched] = distance[order], ids[order], brought[order]
+        self.bound[touched] = self.distance[touched, -1]
 
     def result(self) -> pd.DataFrame:
-        rows, starts = np.unique(self.row, return_index=True)
-        cut = [np.split(x, starts[1:]) if len(rows) else [] for x in (self.distance, self.id, self.carried)]
-        return pd.DataFrame({"rep": self.reps[rows], "distances": cut[0], "neighbors": cut[1], "carried": [list(x) for x in cut[2]]})
+        size = np.isfinite(self.distance).sum(1)
+        rows = np.flatnonzero(size)
+        cut = lambda x: [x[i, : size[i]] for i in rows]
+        return pd.DataFrame({"rep": self.reps[rows], "distances": cut(self.distance), "neighbors": cut(self.id), "carried": [list(x) for x in cut(self.carried)]})
 
 
 def _first_copies(points: DataFrame, need: int) -> DataFrame:
@@ -254,16 +256,11 @@ def _pivot_join(
     blocks = F.create_map(*[F.lit(x) for r in stats for x in (r["cell"], math.ceil(r["n"] / block_rows))])
     deal = [F.col("cell"), F.pmod(F.xxhash64("id"), blocks[F.col("cell")])]
     n_reps = reps.count()
-    left = packed(reps.select("rep", "v"), asked, n_reps, _left_rows(spark, n_reps, block_rows), [F.col("rep")])
+    left = packed(reps.select("rep", "v"), asked, n_reps, left_rows(spark, n_reps, block_rows), [F.col("rep")])
     right = packed(placed.select("id", "v", "carried", "cell"), held, n_points, block_rows, deal, "cell")
     return met(left, right, Asking, _FOUND)
 
 
-def _left_rows(spark, n: int, block_rows: int) -> int:
-    """Rows of a left block: smaller ones where a few full ones would leave tasks without work."""
-    return max(1, min(block_rows, max(256, math.ceil(n / (4 * spark.sparkContext.defaultParallelism)))))
-
-
 def _block_join(reps: DataFrame, t: DataFrame, need: int, block_rows: int) -> DataFrame:
     """`_pivot_join` for points of one cell, at most `block_rows` of them: nothing to prune, so every batch of queries meets them all."""
     rows = t.select("id", "v", "carried").collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mldiag.functions.columns import doubles, euclidean, ref
+from mldiag.operators.blocks import CHUNK as ROWS_AT_ONCE
+from mldiag.operators.blocks import away, left_rows, met, packed, squares, stacked
 from mldiag.operators.neighbors import knn_join
 from mldiag.operators.reduce import reduce2d
 from mldiag.operators.scale import global_rank, hash_pairs, hash_sample, spread
@@ -74,18 +76,40 @@ def _plane_neighbors(points: DataFrame, n_methods: int, k: int, size: float, ids
     return out
 
 
-def _count_nearer(d: np.ndarray, others: np.ndarray, limits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """How many rows at distances d come before each (limit, id); distances that differ by rounding alone tie, ties go by id."""
-    order = np.argsort(d, kind="stable")
-    ordered, names = d[order], others[order]
-    first = np.searchsorted(ordered, limits * (1 - TIE), "left")
-    last = np.searchsorted(ordered, limits * (1 + TIE), "right")
-    count = first.astype(np.int64)
-    one = np.flatnonzero(last - first == 1)
-    count[one] += names[first[one]] < ids[one]
-    for i in np.flatnonzero(last - first > 1).tolist():
-        count[i] += int((names[first[i] : last[i]] < ids[i]).sum())
-    return count
+def _count_nearer(q: np.ndarray, t: np.ndarray, near: np.ndarray, slack: np.ndarray, others: np.ndarray, limits: list, ids: list, present: list) -> np.ndarray:
+    """How many of `others` (in order; unknown ids last) at squared distances `near` come before each (limit, id) of a row.
+
+    Rows that the matrix product leaves in doubt are measured directly; distances that differ by rounding alone tie, ties go by id. `present` tells
+    which ids are among `others`: each is as far as its limit, and so the only one in doubt where one is.
+    """
+    ordered = np.sort(near, axis=1)
+    out = np.empty((len(q), len(limits[0])), np.int64)
+    doubt = []  # row, limit, columns
+    for i in range(len(q)):
+        square = limits[i] * limits[i]
+        wide = square * (4 * TIE) + slack[i]
+        first = np.searchsorted(ordered[i], square - wide, "left")
+        last = np.searchsorted(ordered[i], square + wide, "right")
+        out[i] = first
+        known = {}
+        for j in np.flatnonzero(last - first > present[i]).tolist():
+            bounds = (first[j], last[j])
+            if bounds not in known:
+                known[bounds] = np.flatnonzero((near[i] >= ordered[i, bounds[0]]) & (near[i] <= ordered[i, bounds[1] - 1]))
+            doubt.append((i, j, known[bounds]))
+    for at in range(0, len(doubt), 4096):
+        part = doubt[at : at + 4096]
+        size = [len(c) for *_, c in part]
+        row, column = np.repeat([i for i, *_ in part], size), np.concatenate([c for *_, c in part])
+        limit = np.repeat([limits[i][j] for i, j, _ in part], size)
+        d = away(q[row], t[column])
+        tied = (d >= limit * (1 - TIE)) & (d <= limit * (1 + TIE))
+        before = d < limit * (1 - TIE)
+        if tied.any():
+            wanted = np.repeat(np.array([ids[i][j] for i, j, _ in part], dtype=others.dtype), size)
+            before[tied] = others[column[tied]] < wanted[tied]
+        np.add.at(out, ([i for i, *_ in part], [j for _, j, _ in part]), np.add.reduceat(before, np.cumsum([0, *size[:-1]])).astype(np.int64))
+    return out
 
 
 def _cells(points: DataFrame, n_cells: int) -> tuple[np.ndarray, float]:
@@ -113,7 +137,8 @@ def neighborhood_counts(
     more than the rows that are nearer: range counting. Rows are grouped into cells by their nearest pivot, and into rings by their
     distance to it. By the triangle inequality a ring is wholly nearer than a limit or wholly beyond it for most rows; it is counted from
     a small table then. A row is sent to a cell only for the rings that a limit of its cuts, and only those are read. On clustered vectors
-    that leaves little of all pairs; in high dimension without clusters every row still meets every other.
+    that leaves little of all pairs; in high dimension without clusters every row still meets every other. Blocks of rows are read past one
+    another where they lie (`blocks.met`): no row is copied for each cell.
     """
     spark = df.sparkSession
     points = cut_lineage(_points(df, id_col, vector, methods, sample_size, seed))
@@ -129,11 +154,10 @@ def neighborhood_counts(
     if n <= 4 * block_rows:
         totals = _ranks_at_once(points, near, kind)
     else:
-        own = points.select("id", "v")
-        other = points.select(F.col("id").alias("neighbor"), F.col("v").alias("nv"))
-        limits = near.join(own, "id").join(other, "neighbor").select("id", "method", "rank", "neighbor", euclidean(F.col("v"), F.col("nv")).alias("d"))
-        lists = limits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("method", "rank", "neighbor", "d"))).alias("near"))  # methods x k
-        asking = own.join(lists, "id").select("id", "v", F.col("near.d").alias("limits"), F.col("near.neighbor").alias("ids"))
+        lists = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("method", "rank", "neighbor"))).alias("near"))  # methods x k
+        wanted = points.select("id", "v").join(lists, "id").select("id", "v", F.col("near.neighbor").alias("ids"))
+        block_rows *= 4  # what tasks hold of either side
+        asking = _limits(points, wanted, n, kind, block_rows)
         ranks = F.array(*[F.sum(F.get("nearer", F.lit(i))) + 1 for i in range(len(names) * most)])
         totals = _ranks_by_range(points, asking, n, kind, block_rows).groupBy("id").agg(ranks.alias("ranks"))
     zero = "cast(0 as bigint)"
@@ -170,25 +194,30 @@ def reached_cells(points: DataFrame, asking: DataFrame, n: int, kind: str, block
     named = points.select(F.col("id").alias("other"), F.col("v").alias("ov"))
     placed = cut_lineage(named.mapInPandas(place, f"other {kind}, ov array<double>, cell int, ring int, d double"))
     table = placed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
+    table.sort(key=lambda r: (r["cell"], r["ring"]))
     cell, ring, count = (np.array([r[c] for r in table]) for c in ("cell", "ring", "n"))
+    kinds, starts = np.unique(cell, return_index=True)
+    bit = np.int64(1) << ring.astype(np.int64)
     low, high = (np.array([r[c] for r in table]) for c in ("low", "high"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for v, limits in zip(batch["v"], batch["limits"]):
-                to = _distances_to(np.asarray(v, dtype=float)[None, :], pivots)[0][cell]
+                every = _distances_to(np.asarray(v, dtype=float)[None, :], pivots)[0]
+                home = every.argmin()
+                own = (cell == home) & (ring == min(int(every[home] / step), RINGS - 1))
+                to = every[cell]
                 near = np.maximum(np.maximum(to - high, low - to), 0) * (1 - SLACK)
                 far = (to + high) * (1 + SLACK)
                 ordered = np.sort(limits)
                 cut = np.searchsorted(ordered, far, "right") > np.searchsorted(ordered, near, "left")
                 whole = np.flatnonzero(~cut)
                 steps = np.zeros(len(ordered) + 1, np.int64)
-                np.add.at(steps, np.searchsorted(ordered, far[whole], "right"), count[whole])  # nearer than all limits from there on
+                np.add.at(steps, np.searchsorted(ordered, far[whole], "right"), (count - own)[whole])  # the row itself aside; nearer than all limits from there on
                 inside = np.cumsum(steps)[np.searchsorted(ordered, limits, "left")]
-                cells = np.unique(cell[cut])
-                bits = [int(np.bitwise_or.reduce(np.int64(1) << ring[cut & (cell == c)])) for c in cells.tolist()]
-                out.append((inside.tolist(), cells.tolist(), bits))
+                bits = np.bitwise_or.reduceat(np.where(cut, bit, 0), starts)
+                out.append((inside.tolist(), kinds[bits != 0].tolist(), bits[bits != 0].tolist()))
             columns = list(zip(*out)) or [(), (), ()]
             yield batch.assign(nearer=list(columns[0]), cells=list(columns[1]), rings=list(columns[2]))
 
@@ -219,66 +248,155 @@ def _ranks_at_once(points: DataFrame, near: DataFrame, kind: str) -> DataFrame:
     return asking.mapInPandas(rank, f"id {kind}, ranks array<bigint>")
 
 
+class _ByName:
+    """Rows of a block in the order of their ids, those without one last, so that ids are found by bisection."""
+
+    def __init__(self, ids: np.ndarray, *columns: np.ndarray):
+        blank = pd.isna(ids)
+        order = np.concatenate([np.flatnonzero(~blank)[np.argsort(ids[~blank], kind="stable")], np.flatnonzero(blank)])
+        self.ids, self.columns = ids[order], [c[order] for c in columns]
+        self.known = self.ids[: len(ids) - int(blank.sum())]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place (exclusive) of each id."""
+        wanted = np.asarray(wanted, dtype=self.ids.dtype)
+        return np.searchsorted(self.known, wanted, "left"), np.searchsorted(self.known, wanted, "right")
+
+
+def _limits(points: DataFrame, wanted: DataFrame, n: int, kind: str, block_rows: int) -> DataFrame:
+    """(id, v, limits, ids): distances to the rows named by `ids`, whose blocks are read past those of the asking rows."""
+
+    def asked(frame: pd.DataFrame) -> tuple:
+        return frame["id"].to_numpy(), stacked(frame["v"]), [np.asarray(x) for x in frame["ids"]]
+
+    def held(frame: pd.DataFrame) -> tuple:
+        return frame["id"].to_numpy(), stacked(frame["v"])
+
+    class Asking:
+        def __init__(self, number: int, payload: tuple):
+            self.own, self.q, self.ids = payload
+            self.flat, self.row = np.concatenate(self.ids), np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
+            self.limits = np.full(len(self.flat), np.nan)
+
+        def meet(self, number: int, key: int, load: Callable) -> None:
+            right = _ByName(*load())
+            if len(right.known):
+                first, last = right.find(self.flat)
+                hit = np.flatnonzero((last > first) & np.isnan(self.limits))
+                self.limits[hit] = away(self.q[self.row[hit]], right.columns[0][first[hit]])
+
+        def result(self) -> pd.DataFrame:
+            ends = np.cumsum([len(x) for x in self.ids])[:-1]
+            return pd.DataFrame({"id": self.own, "v": list(self.q), "limits": np.split(self.limits, ends), "ids": self.ids})
+
+    left = packed(wanted, asked, n, left_rows(points.sparkSession, n, block_rows), [F.col("id")])
+    right = packed(points.select("id", "v"), held, n, block_rows, [F.col("id")])
+    return met(left, right, Asking, f"id {kind}, v array<double>, limits array<double>, ids array<{kind}>")
+
+
 def _ranks_by_range(points: DataFrame, asking: DataFrame, n: int, kind: str, block_rows: int) -> DataFrame:
     """(id, nearer): parts of the counts of rows nearer than each limit, to be added up."""
-    result = f"id {kind}, nearer array<bigint>"
     asked, placed = reached_cells(points, asking, n, kind, block_rows)
-    sent = asked.select("id", "v", "limits", "ids", F.explode(F.arrays_zip("cells", "rings")).alias("c"))
-    sent = sent.select("id", "v", "limits", "ids", F.col("c.cells").alias("cell"), F.col("c.rings").alias("rings"))
-    crowd = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # a row a cell
-    asks = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-    sizes = cut_lineage(crowd.join(asks, "cell"))
-    sent = sent.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = placed.join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int"))
-    held = held.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumnRenamed("cell", "c")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "nearer": []})
-        t, others, ring = np.stack(right["ov"].to_numpy()), right["other"].to_numpy(), right["ring"].to_numpy()
-        out = []
-        for at in range(0, len(left), CHUNK):
-            part = left.iloc[at : at + CHUNK]
-            d = _distances_to(np.stack(part["v"].to_numpy()), t)
-            for row, own, rings, limits, ids in zip(d, part["id"], part["rings"], part["limits"], part["ids"]):
-                take = (others != own) & ((np.int64(rings) >> ring) & 1 == 1)
-                out.append(_count_nearer(row[take], others[take], np.asarray(limits), np.asarray(ids, dtype=others.dtype)).tolist())
-        return pd.DataFrame({"id": left["id"].to_numpy(), "nearer": out})
-
-    counted = sent.groupBy("cell", "block", "part").cogroup(held.groupBy("c", "b", "p")).applyInPandas(compare, result)
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n")).collect()  # a row a cell
+    blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["cell"], r["n"])])
+    spot = max(r["cell"] for r in sizes) + 1
+
+    def question(frame: pd.DataFrame) -> tuple:
+        rings = np.zeros((len(frame), spot), np.int64)
+        for row, cells, bits in zip(rings, frame["cells"], frame["rings"]):
+            row[np.asarray(cells, int)] = bits
+        return frame["id"].to_numpy(), stacked(frame["v"]), [np.asarray(x) for x in frame["limits"]], [np.asarray(x) for x in frame["ids"]], rings
+
+    def held(frame: pd.DataFrame) -> tuple:
+        return frame["other"].to_numpy(), stacked(frame["ov"]), frame["ring"].to_numpy().astype(np.int64)
+
+    class Asking:
+        def __init__(self, number: int, payload: tuple):
+            self.own, self.q, self.limits, self.ids, self.rings = payload
+            self.sums = [np.zeros(len(x), np.int64) for x in self.limits]
+
+        def meet(self, number: int, key: int, load: Callable) -> None:
+            rows = np.flatnonzero(self.rings[:, key])
+            if not len(rows):
+                return
+            right = _ByName(*load())
+            t, ring = right.columns
+            middle = t.mean(0)
+            first, last = right.find(self.own[rows]) if len(right.known) else (np.zeros(len(rows), int),) * 2
+            some = np.bitwise_or.reduce(np.int64(1) << ring)
+            for at in range(0, len(rows), ROWS_AT_ONCE):
+                part = rows[at : at + ROWS_AT_ONCE]
+                near, slack = squares(self.q[part] - middle, t - middle)
+                near = np.maximum(near, 0.0)
+                for i in np.flatnonzero(self.rings[part, key] & some != some).tolist():  # rings that are counted as a whole, or not at all
+                    near[i, (self.rings[part[i], key] >> ring) & 1 == 0] = np.inf
+                for i in np.flatnonzero(last[at : at + len(part)] > first[at : at + len(part)]).tolist():
+                    near[i, first[at + i] : last[at + i]] = np.inf  # the row itself
+                sizes = [len(self.ids[i]) for i in part]
+                named = np.concatenate([self.ids[i] for i in part])
+                if len(right.known):
+                    begin, end = right.find(named)
+                    place = np.minimum(begin, len(t) - 1)
+                    here = (end - begin == 1) & np.isfinite(near[np.repeat(np.arange(len(part)), sizes), place])
+                else:
+                    here = np.zeros(len(named), bool)
+                present = np.split(here.astype(int), np.cumsum(sizes)[:-1])
+                counts = _count_nearer(self.q[part], t, near, slack, right.ids, [self.limits[i] for i in part], [self.ids[i] for i in part], present)
+                for i, c in zip(part.tolist(), counts):
+                    self.sums[i] += c
+
+        def result(self) -> pd.DataFrame:
+            return pd.DataFrame({"id": self.own, "nearer": self.sums})
+
+    left = packed(asked.select("id", "v", "limits", "ids", "cells", "rings"), question, n, left_rows(points.sparkSession, n, block_rows), [F.col("id")])
+    right = packed(placed.select("other", "ov", "cell", "ring"), held, n, block_rows, [F.col("cell"), F.pmod(F.xxhash64("other"), blocks[F.col("cell")])], "cell")
+    counted = met(left, right, Asking, f"id {kind}, nearer array<bigint>")
     return counted.unionByName(asked.select("id", "nearer"))
 
 
 def stress_sums(points: DataFrame, methods: Methods, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(method, d2, e2): squared original distances and squared errors over all pairs, each pair twice.
 
-    Every row is compared with every other by definition, in pairs of blocks that leave one row each.
+    Every row is compared with every other by definition, a block with the blocks that are read past it; each leaves one row.
     """
     names = list(methods)
     n = points.count()
-    blocks = max(1, -(-n // block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = points.select("v", "xy", block.alias("a"), F.explode(F.sequence(block, F.lit(blocks - 1))).alias("b"))
-    right = points.select("v", "xy", F.explode(F.sequence(F.lit(0), block)).alias("oa"), block.alias("ob"))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"same": [], "d2": [], "e2": []})
-        t, txy = np.stack(right["v"].to_numpy()), np.stack([np.stack(x) for x in right["xy"]])
-        d2, e2 = 0.0, np.zeros(len(names))
-        for at in range(0, len(left), CHUNK):
-            part = left.iloc[at : at + CHUNK]
-            q, qxy = np.stack(part["v"].to_numpy()), np.stack([np.stack(x) for x in part["xy"]])
-            d = _distances_to(q, t)
-            d2 += float((d**2).sum())
-            e2 += [((d - _distances_to(qxy[:, m], txy[:, m])) ** 2).sum() for m in range(len(names))]
-        return pd.DataFrame({"same": [int(left["a"].iloc[0] == right["ob"].iloc[0])], "d2": [d2], "e2": [e2.tolist()]})
-
-    sums = left.groupBy("a", "b").cogroup(right.groupBy("oa", "ob")).applyInPandas(compare, "same int, d2 double, e2 array<double>")
-    twice = F.when(F.col("same") == 1, 1.0).otherwise(2.0)
-    rows = [F.struct(F.lit(name).alias("method"), (F.get("e2", F.lit(m)) * twice).alias("e2")) for m, name in enumerate(names)]
-    return sums.select((F.col("d2") * twice).alias("d2"), F.inline(F.array(*rows))).groupBy("method").agg(F.sum("d2").alias("d2"), F.sum("e2").alias("e2"))
+
+    def form(frame: pd.DataFrame) -> tuple:
+        return stacked(frame["v"]), np.stack([np.stack(x) for x in frame["xy"]])
+
+    def apart(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        near, _ = squares(q, t)
+        d = np.sqrt(np.maximum(near, 0.0))
+        row, column = np.nonzero(near <= 1e-6 * ((q * q).sum(1) + (t * t).sum(1).max())[:, None])
+        d[row, column] = away(q[row], t[column])  # where the product has few digits left; equal vectors have distance 0
+        return d
+
+    class Sums:
+        def __init__(self, number: int, payload: tuple):
+            self.number, (self.q, self.qxy) = number, payload
+            self.d2, self.e2 = 0.0, np.zeros(len(names))
+
+        def meet(self, number: int, key: int, load: Callable) -> None:
+            if number != self.number and (number > self.number) == bool((number + self.number) % 2):
+                return  # the other block meets this one
+            t, txy = load()
+            twice = 1.0 if number == self.number else 2.0
+            middle, shift = t.mean(0), np.nan_to_num(txy.mean(0))
+            for at in range(0, len(self.q), ROWS_AT_ONCE):
+                d = apart(self.q[at : at + ROWS_AT_ONCE] - middle, t - middle)
+                self.d2 += twice * float((d**2).sum())
+                for m in range(len(names)):
+                    self.e2[m] += twice * float(((d - apart(self.qxy[at : at + ROWS_AT_ONCE, m] - shift[m], txy[:, m] - shift[m])) ** 2).sum())
+
+        def result(self) -> pd.DataFrame:
+            return pd.DataFrame({"d2": [self.d2], "e2": [self.e2]})
+
+    rows = points.select("id", "v", "xy")
+    blocks = packed(rows, form, n, left_rows(points.sparkSession, n, block_rows), [F.col("id")])
+    sums = met(blocks, blocks, Sums, "d2 double, e2 array<double>")
+    each = [F.struct(F.lit(name).alias("method"), F.get("e2", F.lit(m)).alias("e2")) for m, name in enumerate(names)]
+    return sums.select("d2", F.inline(F.array(*each))).groupBy("method").agg(F.sum("d2").alias("d2"), F.sum("e2").alias("e2"))
 
 
 def quality_curves(
