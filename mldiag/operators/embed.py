@@ -7,24 +7,31 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
     StopWordsRemover,
 )
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from mldiag.functions.columns import ref
 from mldiag.operators.roles import infer_columns
 from mldiag.operators.transforms import feature_embedding, vector_columns
-from mldiag.session import shared_folder
+from mldiag.session import cut_lineage, shared_folder
 
 # Fixed value: a token is two or more word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-DRIVER_TERMS = 1_000_000
+#: Terms that a model may take along; more stay distributed.
+DRIVER_TERMS = 200_000
+#: Texts and words of a block at most.
+BLOCK_TEXTS, BLOCK_WORDS = 4096, 2_000_000
 
 
 def english_stop_words() -> list[str]:
@@ -107,15 +114,20 @@ def tfidf_vectors(
     stop_words: Sequence[str] | None = None,
     name: str = "embedding",
 ) -> DataFrame:
-    """Append the same weights as one sparse ML vector per row; only the vocabulary job shuffles.
+    """Append the same weights as one sparse ML vector per row; terms are numbered by falling corpus count, ties by name.
 
-    The vocabulary travels with the model, so more than `DRIVER_TERMS` terms are refused, not cut: bound them, or use `tfidf`.
+    Up to `DRIVER_TERMS` terms, or as many as the caller asks for, travel with the model. A larger vocabulary stays distributed: blocks of rows
+    look up their own terms only, and the vectors are written once.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     vocab = vocabulary(df, id_col, text_col, max_features, stop_words).select("term", "total", "idf")
-    rows = vocab.limit(DRIVER_TERMS + 1).collect() if max_features is None else vocab.collect()
-    if max_features is None and len(rows) > DRIVER_TERMS:
-        raise ValueError(f"more than {DRIVER_TERMS} terms: give max_features, or use tfidf()")
+    if max_features is None:
+        path = shared_folder(df.sparkSession, "vocabulary")  # read more than once; texts are tokenised once for it
+        vocab.write.parquet(path)
+        vocab = df.sparkSession.read.parquet(path)
+        if vocab.count() > DRIVER_TERMS:
+            return _block_vectors(df, text_col, stop_words, vocab, name)
+    rows = vocab.collect()
     rows.sort(key=lambda r: (-r["total"], r["term"]))
     terms = [r["term"] for r in rows]
     if not terms:
@@ -129,6 +141,91 @@ def tfidf_vectors(
     return unit.transform(weigh.transform(counter.transform(rows_))).drop("_tokens", "_tf", "_w")
 
 
+def _numbered(vocab: DataFrame) -> DataFrame:
+    """(term, i, idf): terms numbered by falling corpus count, ties by name, by one sort over all tasks."""
+    ordered = cut_lineage(vocab.orderBy(F.desc("total"), "term"))
+    place = F.monotonically_increasing_id()
+    placed = ordered.withColumns({"part": F.shiftright(place, 33), "at": place.bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, before = {}, 0
+    for part in sorted(sizes):
+        first[part], before = before, before + sizes[part]
+    start = F.create_map(*[F.lit(x).cast("bigint") for pair in first.items() for x in pair])
+    return placed.select("term", (start[F.col("part")] + F.col("at")).cast("int").alias("i"), "idf")
+
+
+def _block_vectors(df: DataFrame, text_col: str, stop_words: Sequence[str], vocab: DataFrame, name: str) -> DataFrame:
+    """Rows are written in blocks with their terms as numbers of the block's own list; each block then meets the vocabulary's numbers and
+    weights of that list, so that what is shuffled for the vocabulary is a row for each block and term, not for each text and term."""
+    spark, size = df.sparkSession, vocab.count()
+    kept = [f for f in df.schema.fields if f.name != name]
+    plain = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept)
+    stops = list(stop_words)
+
+    def encode_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            words = batch.column(batch.num_columns - 1)
+            lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            ends, start = np.cumsum(lengths), 0
+            while start < len(lengths):
+                most = ends[start] - lengths[start] + BLOCK_WORDS
+                stop = min(start + BLOCK_TEXTS, max(start + 1, int(np.searchsorted(ends, most, "right"))))
+                part, n = batch.slice(start, stop - start), stop - start
+                coded = pc.dictionary_encode(part.column(part.num_columns - 1).flatten())
+                known, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(n), lengths[start:stop])
+                keys, tf = np.unique(row * max(len(known), 1) + code, return_counts=True)
+                row, code = keys // max(len(known), 1), keys % max(len(known), 1)
+                if stops and len(known):
+                    keep = ~pc.is_in(known, value_set=pa.array(stops, known.type)).to_numpy(zero_copy_only=False)[code]
+                    row, code, tf = row[keep], code[keep], tf[keep]
+                used, code = np.unique(code, return_inverse=True)
+                at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (code, tf)]
+                terms = pa.array([known.take(pa.array(used)).to_pylist()] + [None] * (n - 1), pa.list_(pa.string()))
+                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                fields = [part.schema.field(i) for i in range(part.num_columns - 1)]
+                more = [("_block", pa.array(np.full(n, number))), ("_codes", lists[0]), ("_tf", lists[1]), ("_terms", terms)]
+                yield pa.RecordBatch.from_arrays(columns + [c for _, c in more], schema=pa.schema(fields + [pa.field(k, c.type) for k, c in more]))
+                number, start = number + 1, stop
+
+    path = shared_folder(spark, "text-blocks")
+    rows = df.select(*[ref(f.name) for f in kept], tokens(ref(text_col), ()).alias("_words"))
+    rows.mapInArrow(encode_terms, plain + ", _block bigint, _codes array<int>, _tf array<int>, _terms array<string>").write.parquet(path)
+    blocks = spark.read.parquet(path)
+    own = blocks.where(F.col("_terms").isNotNull()).select(F.col("_block").alias("block"), F.posexplode("_terms").alias("code", "term"))
+    looked = own.join(_numbered(vocab), "term").select("block", "code", "i", "idf")
+
+    def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        n = left.num_rows
+        place, idf = np.zeros(right.num_rows, np.int32), np.zeros(right.num_rows)
+        code = right.column("code").to_numpy()
+        place[code], idf[code] = right.column("i").to_numpy(), right.column("idf").to_numpy()
+        lengths = pc.list_value_length(left.column("_codes")).to_numpy()
+        code, tf = (pc.list_flatten(left.column(c)).to_numpy() for c in ("_codes", "_tf"))
+        row = np.repeat(np.arange(n), lengths)
+        at, w = place[code], tf * idf[code]
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=n))
+        order = np.lexsort((at, row))
+        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (at, w / norm[row])]
+        vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], ["type", "size", "indices", "values"])
+        columns = [left.column(f) for f in range(left.num_columns) if left.column_names[f] not in ("_block", "_codes", "_tf")]
+        names = [c for c in left.column_names if c not in ("_block", "_codes", "_tf")]
+        return pa.table([*columns, vector], names=[*names, name])
+
+    asking = blocks.drop("_terms").groupBy("_block").cogroup(looked.groupBy("block"))
+    form = f"{plain}, `{name}` struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    out = shared_folder(spark, "text-vectors")
+    asking.applyInArrow(weigh, form).write.parquet(out)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)  # only this function reads the blocks
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    # read as what the parts are: the vector type has no Arrow form
+    return spark.read.schema(StructType([*kept, StructField(name, VectorUDT())])).parquet(out)
+
+
 def encode(
     df: DataFrame,
     column: str,
