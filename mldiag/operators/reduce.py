@@ -25,7 +25,7 @@ from mldiag.operators.scale import hash_sample
 
 AXES = ("x", "y", "z")
 DENSE_DIMENSIONS = 4096
-#: Numbers of the landmark matrix that goes to every task.
+#: Numbers of the landmark matrix that are held at once.
 MOST_CELLS = 20_000_000
 
 
@@ -182,25 +182,28 @@ def _landmark_distances(df: DataFrame, vector: str, points: list) -> Column:
     if not _is_vector(df, vector):
         matrix = [list(p) for p in points]
         return F.transform(literal_matrix(matrix), lambda l: F.pow(euclidean(doubles(ref(vector)), l), F.lit(2)))
-    # only dimensions that some landmark has matter to the products
+    # only dimensions that some landmark has matter to the products: of each, the landmarks that have it
     parts = [_indexed(p) for p in points]
-    known = np.unique(np.concatenate([at[x != 0] for at, x in parts]))
-    if len(points) * len(known) > MOST_CELLS:
-        raise ValueError(f"landmarks x their dimensions are over {MOST_CELLS}: take fewer landmarks")
-    matrix = np.zeros((len(points), len(known)))
-    for row, (at, x) in enumerate(parts):
-        keep = x != 0
-        matrix[row, np.searchsorted(known, at[keep])] = x[keep]
-    lengths = (matrix**2).sum(1)
+    at, x = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    of = np.repeat(np.arange(len(parts)), [len(a) for a, _ in parts])
+    order = np.argsort(at, kind="stable")[(x != 0)[np.argsort(at, kind="stable")]]
+    held, whose = x[order], of[order]
+    known, first = np.unique(at[order], return_index=True)
+    ends = np.append(first, len(order))
+    lengths = np.bincount(of, weights=x * x, minlength=len(parts))
 
     @F.udf("array<double>")
     def measure(v):
         if v is None:
             return None
         at, x = _indexed(v)
-        place = np.minimum(np.searchsorted(known, at), len(known) - 1)
-        hit = known[place] == at
-        return np.maximum((x**2).sum() + lengths - 2 * matrix[:, place[hit]] @ x[hit], 0.0).tolist()
+        place = np.searchsorted(known, at)
+        hit = np.append(known, -1)[place] == at
+        place, own = place[hit], x[hit]
+        size = ends[place + 1] - ends[place]
+        entry = np.repeat(ends[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        products = np.bincount(whose[entry], weights=held[entry] * np.repeat(own, size), minlength=len(lengths))
+        return np.maximum((x**2).sum() + lengths - 2 * products, 0.0).tolist()
 
     return measure(ref(vector))
 
@@ -221,12 +224,16 @@ def landmark_mds(
         return _append(df, F.lit(None).cast("array<double>"), n_components)
     parts = [_indexed(r["v"]) for r in sample]
     known = np.unique(np.concatenate([at for at, _ in parts]))
-    points = np.zeros((len(parts), len(known)))
-    for row, (at, x) in enumerate(parts):
-        points[row, np.searchsorted(known, at)] = x
-    n = len(points)
-    lengths = (points**2).sum(1)
-    squared = np.maximum(lengths[:, None] + lengths[None, :] - 2 * points @ points.T, 0.0)
+    n = len(parts)
+    products = np.zeros((n, n))
+    for some in np.array_split(known, max(1, -(-n * len(known) // MOST_CELLS))):
+        points = np.zeros((n, len(some)))
+        for row, (at, x) in enumerate(parts):
+            here = np.isin(at, some)
+            points[row, np.searchsorted(some, at[here])] = x[here]
+        products += points @ points.T
+    lengths = products.diagonal()
+    squared = np.maximum(lengths[:, None] + lengths[None, :] - 2 * products, 0.0)
     centring = np.eye(n) - 1.0 / n
     values, vectors = np.linalg.eigh(-0.5 * centring @ squared @ centring)
     top = np.argsort(values)[::-1][:n_components]
