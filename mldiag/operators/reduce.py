@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +26,8 @@ from mldiag.operators.scale import hash_sample
 
 AXES = ("x", "y", "z")
 DENSE_DIMENSIONS = 4096
+#: Dimensions of which the driver holds columns of numbers; and entries that a task holds of more.
+DRIVER_DIMENSIONS, GROUP_ENTRIES = 200_000, 8_000_000
 #: Numbers of the landmark matrix that are held at once.
 MOST_CELLS = 20_000_000
 
@@ -108,12 +111,15 @@ def pca(df: DataFrame, vector: str, n_components: int = 2, passes: int = 5, extr
 
     Randomised subspace iteration (Halko, Martinsson and Tropp, 2011): each pass multiplies a basis of a few columns by
     the covariance, so the driver holds dimensions x columns numbers, never a square matrix. Up to `extra` dimensions
-    of an array column count, sums and products come from one pass, which is exact. A row without a vector has null coordinates, and so have all
+    of an array column count, sums and products come from one pass, which is exact. Beyond `DRIVER_DIMENSIONS` of ML vectors the basis stays with
+    the tasks that hold its dimensions, and the driver has rows x columns numbers. A row without a vector has null coordinates, and so have all
     rows of a table without any.
     """
     first = df.where(ref(vector).isNotNull()).select(ref(vector).alias("v")).first()
     if first is None:
         return _append(df, F.lit(None).cast("array<double>"), n_components)
+    if _is_vector(df, vector) and first["v"].size > DRIVER_DIMENSIONS:
+        return _pca_by_columns(df, vector, n_components, passes, n_components + 8, seed)
     if not _is_vector(df, vector) and len(first["v"]) <= extra:
         mean, covariance = _moments(df, vector, np.asarray(first["v"], dtype=float))
         values, vectors = np.linalg.eigh(covariance)
@@ -134,6 +140,97 @@ def pca(df: DataFrame, vector: str, n_components: int = 2, passes: int = 5, extr
     return _project(df, vector, basis @ vectors[:, np.argsort(values)[::-1][:n_components]], mean)
 
 
+def _pca_by_columns(df: DataFrame, vector: str, n_components: int, passes: int, width: int, seed: int) -> DataFrame:
+    """`pca` of sparse vectors with more dimensions than the driver should hold columns of.
+
+    Dimensions are dealt to groups once. The iteration runs on the rows' side: with centred orthonormal columns q of the rows, a group makes its own
+    part z of x'q and adds x z to the next columns, so no basis of the dimensions is ever sent. The last product gives the best axes within x'q.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    rows = df.where(ref(vector).isNotNull()).select(ref(vector)).rdd
+    entries = rows.map(lambda r: len(_indexed(r[0])[0])).sum()
+    groups = max(context.defaultParallelism, -(-entries // GROUP_ENTRIES))
+
+    def deal(part_number, part):
+        def pieces(block, number):
+            of = np.repeat(np.arange(len(block), dtype=np.int32), [len(at) for at, _ in block])
+            at, x = (np.concatenate([b[i] for b in block]) for i in (0, 1))
+            order = np.argsort(at % groups, kind="stable")
+            of, at, x = of[order], at[order].astype(np.int32), x[order]
+            ends = np.searchsorted(at % groups, np.arange(groups + 1))
+            for g, (a, b) in enumerate(zip(ends, ends[1:])):  # a piece for each group, empty or not
+                yield g, ((part_number, number), len(block), of[a:b], at[a:b], x[a:b])
+
+        block, number = [], 0
+        for (v,) in part:
+            block.append(_indexed(v))
+            if len(block) == 4096:
+                yield from pieces(block, number)
+                block, number = [], number + 1
+        if block:
+            yield from pieces(block, number)
+
+    dealt = rows.mapPartitionsWithIndex(deal).partitionBy(groups, lambda g: g)  # every pass reads the same shuffle
+    sizes = dict(dealt.filter(lambda p: p[0] == 0).map(lambda p: p[1][:2]).collect())
+    first, n = {}, 0
+    for block in sorted(sizes):
+        first[block], n = n, n + sizes[block]
+
+    def held(part, q):
+        pieces = [p for _, p in part]
+        if not pieces or not sum(len(p[2]) for p in pieces):
+            return None
+        row = np.concatenate([p[2] + np.int32(first[p[0]]) for p in pieces])
+        known, code = np.unique(np.concatenate([p[3] for p in pieces]), return_inverse=True)
+        x = np.concatenate([p[4] for p in pieces])
+        del pieces
+        z = np.column_stack([np.bincount(code, weights=x * q[row, j], minlength=len(known)) for j in range(q.shape[1])])
+        return row, known, code, x, z
+
+    def product(q, kind):
+        sent = context.broadcast(q)
+
+        def add(part):
+            found = held(part, sent.value)
+            if found:
+                row, _, code, x, z = found
+                y = np.column_stack([np.bincount(row, weights=x * z[code, j], minlength=n) for j in range(z.shape[1])]).astype(kind)
+                yield from ((start, y[start : start + 65536]) for start in range(0, n, 65536))
+
+        out = np.zeros(q.shape)
+        for start, y in dealt.mapPartitions(add).reduceByKey(lambda a, b: a + b).collect():
+            out[start : start + len(y)] = y
+        sent.destroy()
+        return out
+
+    centred = lambda y: y - y.mean(0)
+    q = np.linalg.qr(centred(np.random.RandomState(seed).normal(size=(n, min(width, n)))))[0]
+    for _ in range(passes):
+        q = np.linalg.qr(centred(product(q, np.float32)))[0]
+        q = np.linalg.qr(centred(q))[0]  # a column that was lost to rounding need not be centred
+        gc.collect()
+        spark._jvm.System.gc()  # else shuffles of past passes stay until the driver happens to collect its garbage
+    raw = product(q, float)
+    values, vectors = np.linalg.eigh(q.T @ centred(raw))
+    keep = values > 1e-12 * max(values.max(), 1e-300)
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    y = centred(raw) @ root
+    values, vectors = np.linalg.eigh(y.T @ y)
+    axes = root @ vectors[:, np.argsort(values)[::-1][:n_components]]
+    axes = np.column_stack([axes, np.zeros((len(axes), n_components - axes.shape[1]))])
+    sent = context.broadcast(q @ axes)
+
+    def load(part):
+        found = held(part, sent.value)
+        return [(found[1], found[4])] if found else []
+
+    loadings = np.zeros((df.where(ref(vector).isNotNull()).select(ref(vector)).first()[0].size, n_components))
+    for at, z in dealt.mapPartitions(load).collect():
+        loadings[at] = z
+    return _project(df, vector, loadings, offset=raw.mean(0) @ axes)
+
+
 def _moments(df: DataFrame, vector: str, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance in one pass over arrays of few dimensions; each task leaves a row a dimension."""
     size = len(shift)
@@ -157,12 +254,13 @@ def _moments(df: DataFrame, vector: str, shift: np.ndarray) -> tuple[np.ndarray,
     return shift + near, (out[:size, :size] - n * np.outer(near, near)) / max(n - 1, 1)
 
 
-def _project(df: DataFrame, vector: str, loadings: np.ndarray, mean: np.ndarray) -> DataFrame:
-    """Append the coordinates on the axes, each turned so that its largest loading is positive."""
+def _project(df: DataFrame, vector: str, loadings: np.ndarray, mean: np.ndarray | None = None, offset: np.ndarray | None = None) -> DataFrame:
+    """Append the coordinates on the axes, each turned so that its largest loading is positive, from the mean or its coordinates."""
     n_components = loadings.shape[1]
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(n_components)])
-    loadings = loadings * np.where(signs == 0, 1.0, signs)
-    offset = mean @ loadings
+    signs = np.where(signs == 0, 1.0, signs)
+    loadings = loadings * signs
+    offset = mean @ loadings if offset is None else offset * signs
     if _is_vector(df, vector):
 
         @F.udf("array<double>")  # the vector type has no Arrow form
