@@ -24,7 +24,7 @@ from pyspark.sql.types import StructField, StructType
 from mldiag.functions.columns import ref
 from mldiag.operators.roles import infer_columns
 from mldiag.operators.transforms import feature_embedding, vector_columns
-from mldiag.session import cut_lineage, shared_folder
+from mldiag.session import cut_lineage, shared_folder, small_batches
 
 # Fixed value: a token is two or more word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -123,7 +123,8 @@ def tfidf_vectors(
     vocab = vocabulary(df, id_col, text_col, max_features, stop_words).select("term", "total", "idf")
     if max_features is None:
         path = shared_folder(df.sparkSession, "vocabulary")  # read more than once; texts are tokenised once for it
-        vocab.write.parquet(path)
+        with small_batches(df.sparkSession):
+            vocab.write.parquet(path)
         vocab = df.sparkSession.read.parquet(path)
         if vocab.count() > DRIVER_TERMS:
             return _block_vectors(df, text_col, stop_words, vocab, name)
@@ -192,7 +193,8 @@ def _block_vectors(df: DataFrame, text_col: str, stop_words: Sequence[str], voca
 
     path = shared_folder(spark, "text-blocks")
     rows = df.select(*[ref(f.name) for f in kept], tokens(ref(text_col), ()).alias("_words"))
-    rows.mapInArrow(encode_terms, plain + ", _block bigint, _codes array<int>, _tf array<int>, _terms array<string>").write.parquet(path)
+    with small_batches(spark):
+        rows.mapInArrow(encode_terms, plain + ", _block bigint, _codes array<int>, _tf array<int>, _terms array<string>").write.parquet(path)
     blocks = spark.read.parquet(path)
     own = blocks.where(F.col("_terms").isNotNull()).select(F.col("_block").alias("block"), F.posexplode("_terms").alias("code", "term"))
     looked = own.join(_numbered(vocab), "term").select("block", "code", "i", "idf")
